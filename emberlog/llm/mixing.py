@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.llm.shared import WORD, document_columns
+from emberlog.llm.shared import WORD, document_columns, scratch, stored
 
 #: Weights of the sources in code point order, null last, repeating.
 WEIGHTS = (3, 1, 2)
@@ -76,6 +76,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, rises: tuple = RISES, share:
     sized = own.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), order.alias("key"))
     # '1' before a name and '2' for null: code point order with null last, and no null in a join's key
     sized = sized.withColumn("skey", F.when(F.col("source").isNull(), F.lit("2")).otherwise(F.concat(F.lit("1"), "source"))).withColumn("bucket", F.substring("key", 1, 3))
+    sized = stored(sized, f"{scratch(docs.sparkSession, 'mixing')}/sized")  # read three times below, without the texts
     buckets = sized.groupBy("skey", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = buckets.select("skey", "bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("bucket_start"))
@@ -89,7 +90,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, rises: tuple = RISES, share:
     taken, copies = sum(passes[1:], passes[0]), sum([(x > 0).cast("int") for x in passes[1:]], (passes[0] > 0).cast("int"))
     rise = F.when(F.col("taken") > 0, training_time(start / F.col("target"), _cycle(F.col("rank"), tuple(F.array(*[F.lit(float(x)) for x in r]) for r in rises))))
     mixed = placed.withColumn("taken", taken.cast("bigint")).withColumn("copies", copies).withColumn("position", rise)
-    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "position").repartitionByRange(F.col("position").asc_nulls_last()).sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "position").repartitionByRange(F.col("position").asc_nulls_last(), F.xxhash64("doc_id")).sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:

@@ -61,8 +61,9 @@ def word_hashes(words: list[bytes], seen: dict[bytes, int]) -> np.ndarray:
     """64-bit hash of each word; `seen` saves hashing frequent words again and is emptied when it grows large."""
     if len(seen) > 400_000:
         seen.clear()
-    for w in set(words) - seen.keys():
-        seen[w] = xxhash.xxh3_64_intdigest(w)
+    for w in set(words):
+        if w not in seen:
+            seen[w] = xxhash.xxh3_64_intdigest(w)
     return np.fromiter(map(seen.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
