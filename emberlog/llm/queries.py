@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import dac, langid, mixing, packing, quality_rules, rule_ensemble, token_cache
+from emberlog.llm import dac, langid, line_dedup, mixing, packing, quality_rules, rule_ensemble, token_cache
 from emberlog.llm.shared import learning_fold
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -23,6 +23,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ruled.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deduped = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return deduped.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.learn(docs, folds=5))
@@ -112,6 +117,18 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM measured m LEFT JOIN odd o USING (row_id)
 """
 
+OP2_SQL = r"""
+WITH texts AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(doc_id, 9223372036854775807) AS own_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (SELECT row_id, own_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM texts),
+keyed AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+shared AS (SELECT key, min(own_id) AS owner FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING min(own_id) < max(own_id)),
+judged AS (SELECT k.row_id, k.pos, k.line, s.key IS NOT NULL AND k.own_id != s.owner AS gone FROM keyed k LEFT JOIN shared s ON s.key = k.key),
+joined AS (
+  SELECT row_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS kept
+  FROM judged GROUP BY row_id)
+SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM texts JOIN joined USING (row_id)
+"""
+
 OP8_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
@@ -154,6 +171,7 @@ FROM taking
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_line_dedup": op2_line_dedup,
         "op3_language_id": op3_language_id,
         "op4_token_counts": op4_token_counts,
         "op7_token_files": op7_token_files,
@@ -164,4 +182,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op8_mix_sources": OP8_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op2_line_dedup": OP2_SQL, "op8_mix_sources": OP8_SQL}
