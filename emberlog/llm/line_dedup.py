@@ -195,3 +195,15 @@ def dedup_lines(docs: DataFrame, *keep: str) -> DataFrame:
     index = LineIndex(docs.sparkSession, scratch(docs.sparkSession, "line-index"))
     index.insert(docs)
     return index.dedup(docs, *keep)
+
+
+def documents_without_repeated_lines(docs: DataFrame) -> DataFrame:
+    """docs with the dropped lines taken out of text (a null text stays null) and n_chars, if there is one, counted anew."""
+    index = LineIndex(docs.sparkSession, scratch(docs.sparkSession, "line-index"))
+    index.insert(docs)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    out = index.dedup(docs.withColumn("no_text", F.col("text").isNull()), *others, "no_text")
+    out = out.withColumn("text", F.when(~F.col("no_text"), F.col("kept_text")))
+    if "n_chars" in others:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)

@@ -61,11 +61,11 @@ def source_targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = 1.
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, rises: tuple = RISES, share: float = 1.5, most: int = 2) -> DataFrame:
-    """docs (doc_id, text, source) with size, source_size, target, taken, copies and position, in training order.
+    """docs (doc_id, text, source) with size, source_size, target, taken, copies, positions and position.
 
     size: words of the text (null text: 0). taken: words that the mix takes of the document, repeats counted, never
-    over `most` times size. copies: passes through the document, the one that the target cuts included. position: the
-    training time of its first word, null if nothing is taken. Sums of taken reach each target to the word. A null
+    over `most` times size. copies: passes through the document, the one that the target cuts included. positions:
+    the training times of the first word in each; position: the first of them, null if nothing is taken. Sums of taken reach each target to the word. A null
     source is a source; null ids and repeated rows are documents of their own; an empty table gives no row.
 
     A source's running sums are made in 4096 buckets of the random order, so a source with most of the rows is dealt
@@ -88,15 +88,27 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, rises: tuple = RISES, share:
     part = lambda p: F.greatest(F.least(goal - start - p * F.col("source_size"), F.col("size")), F.lit(0))
     passes = [part(p) for p in range(most)]
     taken, copies = sum(passes[1:], passes[0]), sum([(x > 0).cast("int") for x in passes[1:]], (passes[0] > 0).cast("int"))
-    rise = F.when(F.col("taken") > 0, training_time(start / F.col("target"), _cycle(F.col("rank"), tuple(F.array(*[F.lit(float(x)) for x in r]) for r in rises))))
-    mixed = placed.withColumn("taken", taken.cast("bigint")).withColumn("copies", copies).withColumn("position", rise)
-    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "position").repartitionByRange(F.col("position").asc_nulls_last(), F.xxhash64("doc_id")).sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
+    # the same source_size and rank hold for all copies, only the place in the source's demand differs
+    rise = _cycle(F.col("rank"), tuple(F.array(*[F.lit(float(x)) for x in r]) for r in rises))
+    places = [F.when(x > 0, training_time((start + p * F.col("source_size")) / F.col("target"), rise)) for p, x in enumerate(passes)]
+    mixed = placed.withColumn("taken", taken.cast("bigint")).withColumn("copies", copies).withColumn("positions", F.filter(F.array(*places), lambda x: x.isNotNull())).withColumn("position", places[0])
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "positions", "position")
+
+
+def training_order(mixed: DataFrame) -> DataFrame:
+    """The rows sorted by ranges of their training position; those without one, last."""
+    first = F.col("position").asc_nulls_last()
+    return mixed.repartitionByRange(first, F.xxhash64("doc_id")).sortWithinPartitions(first, "doc_id")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the mix takes, as often as it takes them (a cut pass counts if half of it is taken)."""
-    chosen = mix(docs).where("taken > 0").select(F.col("doc_id").alias("taken_id"), F.floor((F.col("taken") + F.col("size") / 2) / F.col("size")).alias("times")).where("times > 0")
-    # the same id may stand in several rows, which the mix counts as documents of their own: the most counts for all
-    chosen = chosen.groupBy("taken_id").agg(F.max("times").alias("times"))
-    repeated = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("taken_id")))
-    return repeated.withColumn("pass", F.explode(F.sequence(F.lit(1).cast("bigint"), "times"))).select(docs.columns)
+    """The rows of docs that the mix takes, as often as it takes them, in training order.
+
+    A pass that the target cuts counts if at least half of the document is taken.
+    """
+    whole = F.floor((F.col("taken") + F.col("size") / 2) / F.col("size"))
+    chosen = mix(docs).where("taken > 0").select(F.col("doc_id").alias("taken_id"), F.slice("positions", 1, whole.cast("int")).alias("positions"))
+    # rows of one id are documents of their own to the mix, which names no row: the one that is taken most holds for all
+    chosen = chosen.groupBy("taken_id").agg(F.max_by("positions", F.size("positions")).alias("positions"))
+    repeated = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("taken_id"))).select(*docs.columns, F.explode("positions").alias("position"))
+    return training_order(repeated).drop("position")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import dac, langid, line_dedup, mixing, near_dup, packing, quality_rules, rule_ensemble, token_cache
+from emberlog.llm import ann_tree, dac, langid, line_dedup, mixing, near_dup, packing, quality_rules, rule_ensemble, token_cache
 from emberlog.llm.shared import learning_fold
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -39,6 +39,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.selectExpr("doc_id", "n_bytes", "n_tokens", "n_tokens > 512 as over_limit")
 
 
+def op5_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_tree.nearest(_table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", most=5)
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents")).selectExpr("doc_id", "size", "source_size", "target", "taken", "cast(floor(position * 1000000) as bigint) as position_ppm")
+    return mixing.training_order(mixing.mix(_table(spark, sf_dir, "documents"))).selectExpr("doc_id", "size", "source_size", "target", "taken", "cast(floor(position * 1000000) as bigint) as position_ppm")
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,6 +182,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_line_dedup": op2_line_dedup,
         "op3_language_id": op3_language_id,
         "op4_token_counts": op4_token_counts,
+        "op5_nearest_vectors": op5_nearest_vectors,
         "op6_near_duplicates": op6_near_duplicates,
         "op7_token_files": op7_token_files,
         "op8_mix_sources": op8_mix_sources,
