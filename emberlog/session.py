@@ -1,0 +1,18 @@
+"""Session settings that the library relies on."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+}
+
+
+def session(app: str = "emberlog", **settings: str) -> SparkSession:
+    """A session with SETTINGS; keyword arguments use _ for the dots of further settings."""
+    own = SETTINGS | {k.replace("_", "."): v for k, v in settings.items()}
+    return SparkSession.builder.appName(app).config(map=own).getOrCreate()
