@@ -58,7 +58,8 @@ def find_ips(text: Column) -> Column:
     """The canonical addresses in a line, in order."""
     tokens = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.btrim(t, F.lit(".:")))
     v6 = _canonical_v6_tokens(F.when(F.exists(tokens, lambda t: F.contains(t, F.lit(":"))), tokens))
-    own = F.transform(tokens, lambda t, k: F.when(t.rlike(IPV4), t).otherwise(F.get(v6, k)))
+    both = F.arrays_zip(tokens.alias("t"), F.coalesce(v6, F.array().cast("array<string>")).alias("v6"))  # a lambda can't hold the helper
+    own = F.transform(both, lambda e: F.when(e["t"].rlike(IPV4), e["t"]).otherwise(e["v6"]))
     return F.filter(own, lambda t: t.isNotNull())
 
 
@@ -76,14 +77,15 @@ def _v6_digits(ips: pd.Series) -> pd.Series:
 
 def any_in_networks(ips: Column, networks: list[ipaddress.IPv4Network | ipaddress.IPv6Network]) -> Column:
     """Whether any canonical address of an array lies in any network; versions never mix."""
-    v4, v6 = [n for n in networks if n.version == 4], [n for n in networks if n.version == 6]
-    hit = F.lit(False)
-    for n in v4:
-        low, high = int(n.network_address), int(n.broadcast_address)
-        hit |= F.exists(ips, lambda x, low=low, high=high: F.coalesce(ipv4_number(x).between(low, high), F.lit(False)))
+    def inside(number, low, high):
+        return lambda x: F.coalesce(number(x).between(low, high), F.lit(False))
+
+    hit, v6 = F.lit(False), [n for n in networks if n.version == 6]
+    for n in networks:
+        if n.version == 4:
+            hit |= F.exists(ips, inside(ipv4_number, int(n.network_address), int(n.broadcast_address)))
     if v6:
         digits = _v6_digits(F.when(F.exists(ips, lambda x: F.contains(x, F.lit(":"))), ips))
         for n in v6:
-            low, high = f"{int(n.network_address):032x}", f"{int(n.broadcast_address):032x}"
-            hit |= F.coalesce(F.exists(digits, lambda x, low=low, high=high: F.coalesce(x.between(low, high), F.lit(False))), F.lit(False))
+            hit |= F.coalesce(F.exists(digits, inside(lambda x: x, f"{int(n.network_address):032x}", f"{int(n.broadcast_address):032x}")), F.lit(False))
     return hit
