@@ -1,45 +1,18 @@
-"""What several operators need: the shared scratch folder, ASCII words, hashes."""
+"""What several operators need: ASCII words, hashes, folds, and the scratch folder of the library."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A word, as Spark's regular expressions write it: anything between ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-#: Where intermediate tables go when the session names no folder (a test session on one machine).
-LOCAL_BASE = "/tmp/checkpoints/emberlog"
-
-
-def shared_base(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or LOCAL_BASE where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (base or LOCAL_BASE).rstrip("/")
-
+from emberlog.scratch import scratch, stored
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder in the shared one, deleted when the driver's Python ends."""
-    path = f"{shared_base(spark)}/{label}-{uuid.uuid4().hex}"
-    context = spark.sparkContext
+__all__ = ["WORD", "document_columns", "learning_fold", "mix64", "scratch", "shingle_hashes", "stored", "word_hashes", "words_of"]
 
-    def remove() -> None:
-        if context._jsc is not None:
-            target = context._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
-
-    atexit.register(remove)
-    return path
-
-
-def stored(df: DataFrame, path: str) -> DataFrame:
-    """Writes df as Parquet to a shared path and reads it back: lineage ends here, and a lost executor costs nothing."""
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: A word, as Spark's regular expressions write it: anything between ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def document_columns(docs: DataFrame, *names: str) -> DataFrame:
