@@ -9,11 +9,12 @@ class; all further work is on classes.
   INDEXED * THRESHOLD hashes this is certain (prefix filter); for larger ones the smallest hashes are a random sample
   of the union, of which fewer than LEAST_SHARED of INDEXED are common in one pair of 10^9 at the threshold itself.
   Common passages are ordered last, and a list of one class is no list.
-* Candidates: each list first links its members to its smallest one. Then the lists whose members aren't all connected
-  are compared in blocks inside tasks, which emit a spanning forest of what seems similar, and at last all pairs that
-  still lie in different components. So a group of n near copies gives about n pairs, not n * n.
+* Candidates: each list first pairs its members with its smallest one.
 * Filter: the SKETCH smallest hashes of the union of two sketches estimate the similarity.
 * Verification: the full sets of what is left, exactly.
+* Rest: lists whose members aren't all connected by now are compared in blocks inside tasks, with sketches first and
+  full sets then; a task emits a spanning forest of its links. So a group of n near copies gives about n pairs of each
+  list, not n * n.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ SKETCH, INDEXED = 64, 32
 #: similarity of 0.85: the binomial distribution's lower end.
 LEAST_SHARED, LEAST_SKETCHED = 13, 35
 #: Classes of one block of a list.
-BLOCK = 512
+BLOCK = 1_024
 
 
 def shingles(text: str | None, seen: dict[bytes, int]) -> np.ndarray:
@@ -104,32 +105,35 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * F.col("common") >= THRESHOLD * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
 
 
-def similar_in_block(keys: list[bytes], sizes: np.ndarray, values: list[np.ndarray], component: list[bytes], side: np.ndarray, forest: bool) -> list[tuple[int, int]]:
-    """Pairs of one block, or across its two sides, in different components and with enough common sketch values.
+def links_in_block(value: int, sets: list[np.ndarray], component: list[bytes], side: np.ndarray, lists: list[list[int]]) -> list[tuple[int, int]]:
+    """Exact links of one block, or across its two sides, between different components: as many as connect what they connect.
 
-    forest: only as many as connect what they connect, those with the most common values first.
+    A pair that shares a smaller list than `value` is left to that list, so each pair is looked at once. Sketches, the
+    first hashes of each sorted set, rule most of the others out; the full sets decide.
     """
-    flat = np.concatenate(values)
-    _, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    several = counts > 1
-    column = np.cumsum(several) - 1
-    owner = np.repeat(np.arange(len(values)), [len(v) for v in values])
-    use = several[inverse]
-    held = np.zeros((len(values), max(1, int(several.sum()))), np.float32)
-    held[owner[use], column[inverse[use]]] = 1
-    common = held @ held.T
+    sizes, group = np.array([len(x) for x in sets], dtype=np.float64), np.unique(np.array(component, dtype=object), return_inverse=True)[1]
+
+    def together(columns: list[np.ndarray]) -> np.ndarray:
+        """How many numbers each two rows have in common."""
+        numbers, inverse, counts = np.unique(np.concatenate(columns), return_inverse=True, return_counts=True)
+        place = np.where(counts > 1, np.cumsum(counts > 1) - 1, -1)[inverse]
+        row = np.repeat(np.arange(len(columns)), [len(c) for c in columns])
+        held = np.zeros((len(columns), int((counts > 1).sum()) + 1), np.float32)
+        held[row[place >= 0], place[place >= 0]] = 1
+        return held @ held.T
+
+    common = together([x[:SKETCH] for x in sets])
     small = sizes <= SKETCH
-    enough = np.where(small[:, None] & small[None, :], 100 * common >= THRESHOLD * (sizes[:, None] + sizes[None, :] - common), common >= LEAST_SKETCHED)
-    enough &= 100 * np.minimum(sizes[:, None], sizes[None, :]) >= THRESHOLD * np.maximum(sizes[:, None], sizes[None, :])
-    names = {c: k for k, c in enumerate(dict.fromkeys(component))}
-    group = np.array([names[c] for c in component])
-    enough &= group[:, None] != group[None, :]
+    may = np.where(small[:, None] & small[None, :], 100 * common >= THRESHOLD * (sizes[:, None] + sizes[None, :] - common), common >= LEAST_SKETCHED)
+    may &= 100 * np.minimum(sizes[:, None], sizes[None, :]) >= THRESHOLD * np.maximum(sizes[:, None], sizes[None, :])
+    may &= group[:, None] != group[None, :]
     if side.min() != side.max():
-        enough &= side[:, None] != side[None, :]
-    i, j = np.nonzero(np.triu(enough, 1))
-    if not forest:
-        return list(zip(i.tolist(), j.tolist(), strict=True))
-    order, root, out = np.argsort(-common[i, j], kind="stable"), list(range(len(names))), []
+        may &= side[:, None] != side[None, :]
+    may &= together([np.array([x for x in own if x < value], dtype=np.int64) for own in lists]) == 0
+    may = np.triu(may, 1)
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    mark, root, out = np.zeros(int(ids.max()) + 1, bool), list(range(int(group.max()) + 1)), []
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -137,28 +141,41 @@ def similar_in_block(keys: list[bytes], sizes: np.ndarray, values: list[np.ndarr
             x = root[x]
         return x
 
-    for k in order:
-        x, y = find(group[i[k]]), find(group[j[k]])
-        if x != y:
-            root[x] = y
-            out.append((int(i[k]), int(j[k])))
+    for i in np.flatnonzero(may.any(axis=1)):
+        others = [j for j in np.flatnonzero(may[i]) if find(group[i]) != find(group[j])]
+        if not others:
+            continue
+        own = ids[starts[i] : starts[i + 1]]
+        mark[own] = True
+        shared = np.array([int(mark[ids[starts[j] : starts[j + 1]]].sum()) for j in others])
+        mark[own] = False
+        for j in np.array(others)[100 * shared >= THRESHOLD * (sizes[i] + sizes[others] - shared)]:
+            x, y = find(group[i]), find(group[j])
+            if x != y:
+                root[x] = y
+                out.append((int(i), int(j)))
     return out
 
 
-def unconnected_pairs(lists: DataFrame, links: DataFrame, classes: DataFrame, path: str, forest: bool) -> DataFrame:
-    """(a, b): pairs of a list that may be similar and that links don't connect yet."""
+def unconnected_links(lists: DataFrame, links: DataFrame, sets: DataFrame, path: str) -> DataFrame:
+    """(a, b): links inside the lists whose members `links` doesn't connect yet.
+
+    Members of a list are dealt over blocks, and each two blocks meet in one task, so no task holds more than about
+    2 * BLOCK sets, however long the list is.
+    """
     member = lists.select("value", "set_key", "members").join(components(links).withColumnsRenamed({"node": "set_key"}), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
     member = stored(member, f"{path}/members")
     split = member.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("value")
-    block, blocks = F.pmod(F.xxhash64("set_key"), F.col("blocks")), F.ceil(F.col("members") / BLOCK)
-    own = member.join(split, "value").withColumn("blocks", blocks).withColumn("block", block).join(classes.select("set_key", "n", "sketch"), "set_key")
-    dealt = own.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("value", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "set_key", "n", "sketch", "component")
+    open_ = stored(member.join(split, "value"), f"{path}/open")
+    held = open_.groupBy("set_key").agg(F.collect_list("value").alias("lists"))  # INDEXED values at most
+    own = open_.withColumn("blocks", F.ceil(F.col("members") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks"))).join(held.join(sets, "set_key"), "set_key")
+    dealt = own.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("value", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "set_key", "component", "lists", "hashes")
 
     def search(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("set_key", "ascending")])
-        keys, component = rows["set_key"].to_pylist(), rows["component"].to_pylist()
-        values = [np.array(v, dtype=np.int64) for v in rows["sketch"].to_pylist()]
-        pairs = similar_in_block(keys, rows["n"].to_numpy().astype(np.float64), values, component, rows["block"].to_numpy(), forest)
+        keys = rows["set_key"].to_pylist()
+        full = [np.array(x, dtype=np.int64).view(np.uint64) for x in rows["hashes"].to_pylist()]
+        pairs = links_in_block(rows["value"][0].as_py(), full, rows["component"].to_pylist(), rows["block"].to_numpy(), rows["lists"].to_pylist())
         return pa.table({"a": pa.array([keys[i] for i, _ in pairs], pa.binary()), "b": pa.array([keys[j] for _, j in pairs], pa.binary())})
 
     return dealt.groupBy("value", "low", "high").applyInArrow(search, "a binary, b binary").distinct()
@@ -178,18 +195,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = stored(classes, f"{path}/classes")
     lists = inverted_lists(classes, path)
     sets = _full_sets(docs, lists.select("set_key").distinct().join(classes, "set_key").select("set_key", "owner"), f"{path}/sets")
-    links, tested = [], []
-    for name in ("star", "forest", "rest"):
-        if name == "star":
-            pairs = lists.where("set_key != leader").select(F.col("leader").alias("a"), F.col("set_key").alias("b")).distinct()
-        else:
-            pairs = unconnected_pairs(lists, _union(links), classes, f"{path}/{name}", name == "forest")
-            for old in tested:
-                pairs = pairs.join(old.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = stored(estimated(pairs, classes), f"{path}/{name}/pairs")
-        tested.append(pairs)
-        links.append(stored(verified(pairs, sets), f"{path}/{name}/links"))
-    found = components(_union(links)).withColumnRenamed("node", "set_key")
+    star = lists.where("set_key != leader").select(F.col("leader").alias("a"), F.col("set_key").alias("b")).distinct()
+    star = stored(verified(estimated(star, classes), sets), f"{path}/star")
+    links = star.union(stored(unconnected_links(lists, star, sets, path), f"{path}/rest"))
+    found = components(links).withColumnRenamed("node", "set_key")
     smallest = found.join(classes, "set_key").groupBy("component").agg(F.min("owner").alias("component_id"))
     reached = stored(found.join(smallest, "component").select("set_key", "component_id"), f"{path}/reached")
     own = classes.select("set_key", "owner").join(reached, "set_key", "left").select("set_key", F.coalesce("component_id", "owner").alias("component_id"))
@@ -197,13 +206,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
-
-
 def _full_sets(docs: DataFrame, needed: DataFrame, path: str) -> DataFrame:
     """(set_key, hashes): the full set of each needed class (set_key, owner), from the text of one of its documents."""
     texts = document_columns(docs, "doc_id", "text").join(needed.select("owner").distinct(), F.col("doc_id").eqNullSafe(F.col("owner")), "left_semi")
