@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.llm.shared import document_columns, learning_fold
+from emberlog.llm.shared import document_columns, learning_fold, releasing
 
 PER_LANGUAGE = 300
 MOST_TEXTS = 6_000
@@ -135,7 +135,7 @@ def learn(docs: DataFrame, folds: int = 5) -> LanguageModel:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array([features(t).tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["doc_id", "lang", "x"])
 
-    rows = sample.select("doc_id", "text", "lang").mapInArrow(extract, "doc_id bigint, lang string, x binary").orderBy("lang", "doc_id", "x").limit(2 * MOST_TEXTS).collect()
+    rows = sample.select("doc_id", "text", "lang").mapInArrow(releasing(extract), "doc_id bigint, lang string, x binary").orderBy("lang", "doc_id", "x").limit(2 * MOST_TEXTS).collect()
     x = np.array([np.frombuffer(r["x"], np.float32) for r in rows]).reshape(len(rows), 2 * WIDTH)
     return LanguageModel(x, [r["lang"] for r in rows])
 
@@ -153,7 +153,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             parts = [shared.value.predict(texts[k : k + 256]) for k in range(0, len(texts), 256)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x for p in parts for x in p[0]], pa.string()), pa.array([x for p in parts for x in p[1]], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return document_columns(docs, "doc_id", "text").mapInArrow(predict, "doc_id bigint, lang_pred string, score double")
+    return document_columns(docs, "doc_id", "text").mapInArrow(releasing(predict), "doc_id bigint, lang_pred string, score double")
 
 
 def identified_documents(docs: DataFrame, least: float = 0.3) -> DataFrame:
@@ -168,4 +168,4 @@ def identified_documents(docs: DataFrame, least: float = 0.3) -> DataFrame:
                 out += [x != UNDETERMINED and s >= least for x, s in zip(langs, scores, strict=True)]
             yield b.filter(pa.array(out, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(releasing(keep), docs.schema)

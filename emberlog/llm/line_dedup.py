@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.llm.cuckoo import CuckooFilter, FilterFull
-from emberlog.llm.shared import document_columns, scratch, stored
+from emberlog.llm.shared import document_columns, releasing, scratch, stored
 
 SHORTEST = 10
 KEYS_A_SHARD = 50_000
@@ -135,7 +135,7 @@ class LineIndex:
                     if len(part) and of == shards[s]:  # a shard without a filter holds none of the keys
                         yield part.select(["key", "doc_id"]).filter(pa.array(held.copies(_hashes(part.column("key"))) >= least))
 
-        return dealt.mapInArrow(hits, "key binary, doc_id bigint")
+        return dealt.mapInArrow(releasing(hits), "key binary, doc_id bigint")
 
     def insert(self, docs: DataFrame) -> None:
         """Adds documents (doc_id, text) whose ids the index doesn't hold yet."""

@@ -20,7 +20,7 @@ class; all further work is on classes.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm.components import components
-from emberlog.llm.shared import document_columns, scratch, shingle_hashes, stored, word_hashes
+from emberlog.llm.shared import document_columns, give_back_memory, releasing, scratch, shingle_hashes, stored, texts_of, word_hashes
 
 WIDTH = 5
 THRESHOLD = 85
@@ -50,7 +50,7 @@ def set_key(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
-def _longs(arrays: list[np.ndarray]) -> pa.Array:
+def _longs(arrays: Sequence[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *[a.view(np.int64) for a in arrays]])))
 
@@ -61,11 +61,12 @@ def sketches(docs: DataFrame) -> DataFrame:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
         for b in batches:
-            sets = [shingles(t, seen) for t in b.column("text").to_pylist()]
-            columns = [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.binary()), _longs([s[:SKETCH] for s in sets])]
+            rows = [(len(s), set_key(s) if len(s) else None, s[:SKETCH].copy()) for s in (shingles(t, seen) for t in texts_of(b.column("text")))]
+            n, keys, firsts = zip(*rows, strict=True) if rows else ([], [], [])
+            columns = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), _longs(firsts)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_key", "sketch"])
 
-    return document_columns(docs, "doc_id", "text").mapInArrow(sketch, "doc_id bigint, n_shingles bigint, set_key binary, sketch array<bigint>")
+    return document_columns(docs, "doc_id", "text").mapInArrow(releasing(sketch), "doc_id bigint, n_shingles bigint, set_key binary, sketch array<bigint>")
 
 
 def index_length(n: Column) -> Column:
@@ -176,6 +177,8 @@ def unconnected_links(lists: DataFrame, links: DataFrame, sets: DataFrame, path:
         keys = rows["set_key"].to_pylist()
         full = [np.array(x, dtype=np.int64).view(np.uint64) for x in rows["hashes"].to_pylist()]
         pairs = links_in_block(rows["value"][0].as_py(), full, rows["component"].to_pylist(), rows["block"].to_numpy(), rows["lists"].to_pylist())
+        if len(keys) > BLOCK // 4:
+            give_back_memory()
         return pa.table({"a": pa.array([keys[i] for i, _ in pairs], pa.binary()), "b": pa.array([keys[j] for _, j in pairs], pa.binary())})
 
     return dealt.groupBy("value", "low", "high").applyInArrow(search, "a binary, b binary").distinct()
@@ -213,10 +216,10 @@ def _full_sets(docs: DataFrame, needed: DataFrame, path: str) -> DataFrame:
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
         for b in batches:
-            sets = [s for s in (shingles(t, seen) for t in b.column("text").to_pylist()) if len(s)]
+            sets = [s for s in (shingles(t, seen) for t in texts_of(b.column("text"))) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.binary()), _longs(sets)], ["set_key", "hashes"])
 
-    return stored(texts.select("text").mapInArrow(full, "set_key binary, hashes array<bigint>").dropDuplicates(["set_key"]), path)
+    return stored(texts.select("text").mapInArrow(releasing(full), "set_key binary, hashes array<bigint>").dropDuplicates(["set_key"]), path)
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:

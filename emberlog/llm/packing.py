@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.shared import document_columns, scratch, stored
+from emberlog.llm.shared import document_columns, releasing, scratch, stored, texts_of
 from emberlog.llm.tokens import encoder
 
 #: Documents that one task packs together.
@@ -134,14 +134,14 @@ def document_pieces(docs: DataFrame, tokenizer: str, end_id: int, limit: int, wi
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * with_ids]
         for b in batches:
             rows = []
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), texts_of(b.column("text")), strict=True):
                 ids = enc.encode_one(text) + tail
                 for k, (s, n) in enumerate(cut_pieces(len(ids) // 4, limit)):
                     own = ids[4 * s : 4 * (s + n)]
                     rows.append((doc_id, k, s, n, zlib.crc32(own), *[np.frombuffer(own, "<u4").tolist()] * with_ids))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(kinds), kinds, strict=True)], names)
 
-    return document_columns(docs, "doc_id", "text").mapInArrow(pieces, PIECES + ", ids array<bigint>" * with_ids)
+    return document_columns(docs, "doc_id", "text").mapInArrow(releasing(pieces), PIECES + ", ids array<bigint>" * with_ids)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, limit: int = 1024, group: int = GROUP) -> DataFrame:

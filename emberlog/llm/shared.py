@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.scratch import scratch, stored
 
-__all__ = ["WORD", "document_columns", "learning_fold", "mix64", "scratch", "shingle_hashes", "stored", "word_hashes", "words_of"]
+__all__ = ["WORD", "document_columns", "give_back_memory", "learning_fold", "mix64", "releasing", "scratch", "shingle_hashes", "stored", "texts_of", "word_hashes", "words_of"]
 
 #: A word, as Spark's regular expressions write it: anything between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,6 +29,31 @@ def learning_fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def give_back_memory() -> None:
+    """Returns what this process has freed to the system, as far as its allocators can."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def releasing(work: Callable) -> Callable:
+    """A function over a task's Arrow batches that gives memory back at the end: Spark keeps idle workers for later tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            give_back_memory()
+
+    return run
+
+
+def texts_of(column: pa.Array, rows: int = 256) -> Iterator[str | None]:
+    """The texts of a column, made into Python strings a few rows at a time."""
+    for k in range(0, len(column), rows):
+        yield from column.slice(k, rows).to_pylist()
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words between ASCII white space (space, \\t \\n \\v \\f \\r); bytes.split() means exactly these."""
     return (text or "").encode("utf-8", "surrogatepass").split()
