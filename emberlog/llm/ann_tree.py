@@ -6,7 +6,9 @@ goes through the tree with a priority queue, always on to the nearest node seen
 order. How many is calibrated: for at most CALIBRATION queries the true neighbours are found by brute force over all
 classes, and the visits are widened until TARGET of them lie in visited leaves.
 
-Search is a grouped job over (leaf, chunk): no task holds more than CHUNK classes of a leaf, however large it is.
+Search is a grouped job over (bin, chunk): a bin is leaves that follow each other in the tree, up to about CHUNK classes,
+so a query gives one short list for a bin and not one for each leaf. A query that visits a leaf is held against its
+whole bin, which only adds candidates. Larger bins are split into chunks, so no task holds more than about CHUNK.
 """
 
 from __future__ import annotations
@@ -221,20 +223,27 @@ def calibrated_visits(tree: Tree, queries: DataFrame, placed: DataFrame, most: i
 
 
 def _search(tree, visits: int, queries: DataFrame, placed: DataFrame, most: int) -> DataFrame:
-    """(qid, cid, score): each query's best classes in each chunk of each leaf that it visits."""
+    """(qid, cid, score): each query's best classes in each chunk of each bin with a leaf that it visits."""
+    bin_of, held = {}, {}
+    before = 0
+    for leaf, n in sorted(placed.groupBy("leaf").count().collect()):  # one row a leaf, bounded by the fitted sample
+        bin_of[leaf] = before // CHUNK
+        held[bin_of[leaf]] = held.get(bin_of[leaf], 0) + n
+        before += n
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
-                ways = [tree.value.visit(x, visits) for x in _unit(_matrix(b.column("q")))]
-                yield pa.RecordBatch.from_arrays([b.column("qid"), b.column("q"), pa.array(ways, pa.list_(pa.int32()))], ["qid", "q", "ways"])
+                ways = [sorted({bin_of[leaf] for leaf in tree.value.visit(x, visits) if leaf in bin_of}) for x in _unit(_matrix(b.column("q")))]
+                yield pa.RecordBatch.from_arrays([b.column("qid"), b.column("q"), pa.array(ways, pa.list_(pa.int64()))], ["qid", "q", "ways"])
 
-    sizes = placed.groupBy("leaf").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))  # at most MOST_LEAVES rows
-    turns = max(1, -(-queries.count() * visits // (tree.value.leaves * QUERIES_A_TASK)))  # more tasks share a leaf if very many queries visit it
-    routed = queries.mapInArrow(route, "qid bigint, q array<double>, ways array<int>").select("qid", "q", F.explode("ways").alias("leaf"))
+    spark = placed.sparkSession
+    sizes = spark.createDataFrame([(leaf, b, -(-held[b] // CHUNK)) for leaf, b in bin_of.items()], "leaf int, bin bigint, chunks bigint")
+    turns = max(1, -(-queries.count() * min(visits, len(held)) // (len(held) * QUERIES_A_TASK)))  # more tasks share a bin if very many queries visit it
+    routed = queries.mapInArrow(route, "qid bigint, q array<double>, ways array<bigint>").select("qid", "q", F.explode("ways").alias("bin"))
     left = placed.join(F.broadcast(sizes), "leaf").withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks"))).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
-    right = routed.join(F.broadcast(sizes), "leaf").withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1)"))).withColumn("turn", F.pmod(F.xxhash64("qid"), F.lit(turns)).cast("int"))
-    keys = ["leaf", "chunk", "turn"]
+    right = routed.join(F.broadcast(sizes.select("bin", "chunks").distinct()), "bin").withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1)"))).withColumn("turn", F.pmod(F.xxhash64("qid"), F.lit(turns)).cast("int"))
+    keys = ["bin", "chunk", "turn"]
 
     def search(rows: pa.Table, asked: pa.Table) -> pa.Table:
         out = []
