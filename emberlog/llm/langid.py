@@ -23,6 +23,8 @@ from emberlog.llm.shared import document_columns, learning_fold, releasing
 
 PER_LANGUAGE = 300
 MOST_TEXTS = 6_000
+#: Hashes of ids are counted in 2 ** BUCKET_BITS buckets a language.
+BUCKET_BITS = 8
 WIDTH = 1 << 11
 UNDETERMINED = "und"
 #: Families of languages that are easily taken for one another; any other language is a family of its own.
@@ -125,8 +127,12 @@ class LanguageModel:
 def learn(docs: DataFrame, folds: int = 5) -> LanguageModel:
     """Fits the models on texts with a language whose id's fold isn't 0. No such text gives a model that knows nothing."""
     usable = document_columns(docs, "doc_id", "text", "lang").where((learning_fold(F.col("doc_id"), folds) != 0) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("lang", "doc_id").withColumn("place", F.row_number().over(order)).where(F.col("place") <= PER_LANGUAGE)
+    hashed = usable.select("lang", "doc_id", F.xxhash64("doc_id").alias("hash")).withColumn("bucket", F.shiftright("hash", 64 - BUCKET_BITS))
+    # buckets of the lowest hashes up to the one that reaches PER_LANGUAGE, so that only their rows meet by language
+    below = F.coalesce(F.sum("rows").over(Window.partitionBy("lang").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = hashed.groupBy("lang", "bucket").agg(F.count("*").alias("rows")).withColumn("below", below).where(F.col("below") < PER_LANGUAGE).select("lang", "bucket")
+    order = Window.partitionBy("lang").orderBy("hash", "doc_id")
+    chosen = hashed.join(first, ["lang", "bucket"], "left_semi").withColumn("place", F.row_number().over(order)).where(F.col("place") <= PER_LANGUAGE)
     chosen = chosen.orderBy("place", "lang").limit(MOST_TEXTS).select(F.col("doc_id").alias("chosen_id"), F.col("lang").alias("chosen_lang"))
     # broadcast: at most MOST_TEXTS ids
     sample = usable.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("chosen_id")) & (F.col("lang") == F.col("chosen_lang")))
