@@ -80,17 +80,17 @@ def test_bursts_against_a_sliding_window(spark):
     expected = set()
     for user in "abc":
         window, alerts = deque(), []
-        for t in sorted(m for m, u, _, _ in rows if u == user):
-            window.append(t)
-            while window[0] < t - 5:
+        for position, t in enumerate(sorted(m for m, u, _, _ in rows if u == user)):
+            window.append((position, t))
+            while window[0][1] < t - 5:
                 window.popleft()
             if len(window) >= 4:
-                if alerts and alerts[-1][-1] >= window[0]:
-                    alerts[-1].append(t)
+                if alerts and alerts[-1][-1][1] >= t - 5:  # all of the window that the alert hasn't yet
+                    alerts[-1] += [x for x in window if x > alerts[-1][-1]]
                 else:
                     alerts.append(list(window))
         us = lambda m: round((START + timedelta(minutes=m)).timestamp() * 1e6)
-        expected |= {(user, len(a), us(a[0]), us(a[-1])) for a in alerts}
+        expected |= {(user, len(a), us(a[0][1]), us(a[-1][1])) for a in alerts}
     assert found == expected and len(found) > 5
 
 
