@@ -71,7 +71,7 @@ def burst_evidence(events: DataFrame, settings: BurstSettings, members: DataFram
 def burst_alerts(events: DataFrame, settings: BurstSettings = BurstSettings()) -> DataFrame:
     """One row for each burst: failures, first and last time, related values and evidence.
 
-    n_related counts all related values; related lists the first max_related of them in order.
+    n_related counts all related values; related lists them in order, the first max_related of them if that is set.
     """
     members = burst_members(events, settings)
     alerts = members.groupBy(*KEYS, "burst").agg(F.sum("n").alias("failures"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))

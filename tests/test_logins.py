@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import random
 from collections import deque
+from dataclasses import replace
 from datetime import datetime, timedelta, timezone
 
 import pytest
 
 from emberlog.functions import time as times
 from emberlog.operators import bursts, counting
+from emberlog.plans.inputs import BURSTS
 from emberlog.settings import BurstSettings, ParseSettings
 from emberlog.sources import logins
 
@@ -94,6 +96,12 @@ def test_bursts_against_a_sliding_window(spark):
     assert found == expected and len(found) > 5
 
 
+def test_all_related_values_are_listed(spark):
+    users = [f"u{k:04}" for k in range(1_203)]  # one address sprays them all
+    found = bursts.burst_alerts(_events(spark, [(0, u, "192.0.2.1", "failure") for u in users]), replace(BURSTS, rules=("ip",))).collect()
+    assert [(r["n_related"], r["related"]) for r in found] == [(len(users), users)]
+
+
 def test_ranking_and_settings(spark):
     rows = [(0, "b", "x", "failure")] * 2 + [(0, "a", "x", "failure")] * 2 + [(0, "c", "x", "success")] * 5 + [(0, "c", "x", "failure")] + [(0, "d", "x", "success")] + [(0, "d", "x", "failure")] * 2
     assert [r["key"] for r in counting.ranked(counting.counts_by(_events(spark, rows), "user")).collect()] == ["d", "a", "b", "c"]
