@@ -6,12 +6,13 @@ and no more than one sequence in thousands is lost at a group's edge.
 
 In a group, best fit decreasing gives the first bins. Then the least filled bin is emptied: its pieces move to other
 underfull bins, or are exchanged one for one, one for two or two for one with smaller ones there, always so that the
-sum of squared fills grows. That sum can't grow for ever, so the search ends; a bin that runs empty is saved.
+sum of squared fills grows. That sum can't grow for ever, so the search ends: when no underfull bin has such a change
+with another, or no bin can be saved any more. A bin that runs empty is saved.
 """
 
 from __future__ import annotations
 
-import bisect
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -25,8 +26,6 @@ from emberlog.llm.tokens import encoder
 
 #: Documents that one task packs together.
 GROUP = 8_192
-#: Bins in a row that the search may fail to empty before it ends.
-PATIENCE = 24
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = PIECES + ", sequence_id bigint, offset bigint"
 
@@ -59,12 +58,56 @@ def best_fit_decreasing(sizes: list[int], limit: int) -> list[list[int]]:
 
 
 class LocalSearch:
-    """Moves and exchanges between the underfull bins of one group."""
+    """Moves and exchanges between the underfull bins of one group.
+
+    What a bin may give back for a piece or two is a row of flat arrays: nothing, a piece or a pair of its pieces, equal
+    sums once. Rows of a bin that changed are dead and its new ones stand at the end, so a donor that failed only looks
+    at the rows written since.
+    """
 
     def __init__(self, sizes: list[int], bins: list[list[int]], limit: int):
         self.sizes, self.limit = sizes, limit
         self.bins = {b: list(items) for b, items in enumerate(bins)}
         self.fill = {b: sum(sizes[k] for k in items) for b, items in self.bins.items()}
+        self.rows = np.zeros((4, 1_024), np.int32)  # bin, weight, the largest sum that may come for it (-1: dead), kind: 0, 1 or 2 pieces
+        self.end = 0
+        self.place: dict[int, tuple[int, int]] = {}
+        self.seen = dict.fromkeys(self.bins, 0)  # the rows that a bin has looked at since it changed
+        for b in self.bins:
+            self._write(b)
+
+    def _sums(self, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """The different sizes of bin b's pieces, and the different sums of two of them."""
+        own = np.array([self.sizes[k] for k in self.bins[b]], np.int32)
+        i, j = np.triu_indices(len(own), 1)
+        return np.unique(own), np.unique(own[i] + own[j])
+
+    def _write(self, b: int) -> None:
+        """Bin b has changed: its old rows are dead; if it has room, it gets new ones."""
+        start, end = self.place.pop(b, (0, 0))
+        self.rows[2, start:end] = -1
+        self.seen[b] = 0
+        if b in self.bins and self.fill[b] < self.limit:
+            ones, twos = self._sums(b)
+            weights = np.concatenate([[0], ones, twos])
+            if self.end + len(weights) > self.rows.shape[1]:
+                self._make_room(len(weights))
+            self.place[b] = self.end, self.end + len(weights)
+            own = self.rows[:, self.end : self.end + len(weights)]
+            own[0], own[1], own[2], own[3] = b, weights, weights + (self.limit - self.fill[b]), 2
+            own[3, 0], own[3, 1 : 1 + len(ones)] = 0, 1
+            self.end += len(weights)
+
+    def _make_room(self, n: int) -> None:
+        """Drops dead rows; then as much room as the rest takes is free."""
+        alive = self.rows[2, : self.end] >= 0
+        before = np.concatenate([[0], np.cumsum(alive)])
+        rest = self.rows[:, : self.end][:, alive]
+        self.place = {b: (int(before[s]), int(before[e])) for b, (s, e) in self.place.items()}
+        self.seen = {b: int(before[x]) for b, x in self.seen.items()}
+        self.end = rest.shape[1]
+        self.rows = np.zeros((4, 2 * (self.end + n)), np.int32)
+        self.rows[:, : self.end] = rest
 
     def _shift(self, a: int, b: int, give: list[int], take: list[int]) -> None:
         """give goes from bin a to bin b, take from b to a."""
@@ -77,43 +120,68 @@ class LocalSearch:
         change = sum(self.sizes[k] for k in give) - sum(self.sizes[k] for k in take)
         self.fill[a] -= change
         self.fill[b] += change
-
-    def _best(self, donor: int, targets: list[int]) -> tuple[int, list[int], list[int]] | None:
-        """The change that raises squared fill most: it moves d tokens from the donor to a bin, and gains 2 d (its fill - the donor's + d)."""
-        best, found, size = 0, None, self.sizes
-        mine = sorted(self.bins[donor], key=size.__getitem__)
-        ones = [([k], size[k]) for k in mine]
-        twos = [([mine[i], mine[j]], size[mine[i]] + size[mine[j]]) for j in range(len(mine)) for i in range(j)][:200]
-        for b in targets:
-            gap, theirs = self.limit - self.fill[b], self.bins[b]
-            back = [([], 0)] + [([k], size[k]) for k in theirs]
-            pairs = [([theirs[i], theirs[j]], size[theirs[i]] + size[theirs[j]]) for j in range(len(theirs)) for i in range(j)][:200]
-            for give, take in ((ones, back + pairs), (twos, back[1:])):
-                weights = [w for _, w in give]
-                for t, w in take if give else ():
-                    at = bisect.bisect_right(weights, w + gap) if give is ones else 0
-                    for g, x in give[max(0, at - 1) : at] if give is ones else give:
-                        d = x - w
-                        if 0 < d <= gap and (gain := 2 * d * (self.fill[b] - self.fill[donor] + d)) > best:
-                            best, found = gain, (b, g, t)
-        return found
+        self._write(a)
+        self._write(b)
+
+    def _pieces(self, b: int, total: int, n: int) -> list[int]:
+        """n pieces of bin b that have this size together."""
+        size, held = self.sizes, {}
+        if n < 2:
+            return [next(k for k in self.bins[b] if size[k] == total)] if n else []
+        for k in self.bins[b]:
+            if total - size[k] in held:
+                return [held[total - size[k]], k]
+            held[size[k]] = k
+        raise ValueError("no such pieces")
+
+    def _best(self, donor: int) -> tuple[int, list[int], list[int]] | None:
+        """The change that raises squared fill most: it moves d tokens from the donor to a bin, and gains 2 d (its fill - the donor's + d).
+
+        That grows with d wherever it is positive, so for what a bin gives back only the largest sum that fits may come.
+        """
+        new = self.rows[:, self.seen[donor] : self.end]
+        new = new[:, (new[2] >= 0) & (new[0] != donor)]
+        if not new.shape[1]:
+            return None
+        room, best, found = self.limit - (new[2] - new[1]) - self.fill[donor], 0, None  # room: a bin's fill - the donor's
+        for n, sums in enumerate(self._sums(donor), 1):
+            if not len(sums):
+                continue
+            at = np.searchsorted(sums, new[2], "right") - 1
+            d = np.where((at >= 0) & ((n == 1) | (new[3] == 1)), sums[at] - new[1], 0).astype(np.int64)
+            gain = np.where(d > 0, 2 * d * (room + d), 0)
+            if gain[k := int(gain.argmax())] > best:
+                best, found = int(gain[k]), (k, n, int(sums[at[k]]))
+        if not found:
+            return None
+        k, n, given = found
+        b, weight, _, kind = new[:, k].tolist()
+        return b, self._pieces(donor, given, n), self._pieces(b, weight, kind)
 
     def run(self) -> list[list[int]]:
-        """Bins after the search; donors are tried from the least filled on."""
-        failed: set[int] = set()
-        while len(failed) < PATIENCE:
-            under = sorted((b for b in self.bins if self.fill[b] < self.limit), key=lambda b: (self.fill[b], b))
-            donors = [b for b in under if b not in failed]
-            slack = sum(self.limit - self.fill[b] for b in under)
-            if not donors or slack < self.limit:  # with less room than one bin in all, no bin can be saved
-                break
-            donor, targets = donors[0], [b for b in under if b != donors[0]]
-            while self.bins[donor] and (change := self._best(donor, [b for b in targets if self.fill[b] < self.limit])):
-                self._shift(donor, change[0], change[1], change[2])
-            if self.bins[donor]:
-                failed.add(donor)
-            else:
-                del self.bins[donor], self.fill[donor]
+        """Bins after the search; in each round donors are tried from the least filled on, until a round changes nothing."""
+        total, changed = sum(self.fill.values()), True
+        while changed:
+            changed, tried = False, set()
+            queue = [(f, b) for b, f in self.fill.items() if f < self.limit]
+            heapq.heapify(queue)
+            while queue:
+                if len(self.bins) * self.limit - total < self.limit:  # with less room than one bin in all, no bin can be saved
+                    return list(self.bins.values())
+                fill, donor = heapq.heappop(queue)
+                if donor in tried or self.fill.get(donor) != fill:
+                    continue
+                tried.add(donor)
+                while self.bins[donor] and (change := self._best(donor)):
+                    self._shift(donor, *change)
+                    changed = True
+                    if self.fill[change[0]] < self.limit and change[0] not in tried:
+                        heapq.heappush(queue, (self.fill[change[0]], change[0]))
+                self.seen[donor] = self.end
+                if not self.bins[donor]:
+                    del self.bins[donor], self.fill[donor]
+                    self._write(donor)
+                    del self.seen[donor]
         return list(self.bins.values())
 
 

@@ -95,6 +95,18 @@ def test_search_saves_bins():
     assert sorted(k for b in bins for k in b) == list(range(len(sizes))) and len(bins) <= -(-sum(sizes) // 10) + 1
 
 
+def test_search_ends_when_nothing_helps():
+    sizes, limit = np.random.default_rng(1).integers(200, 513, 300).tolist(), 1024
+    bins = [[sizes[k] for k in b] for b in packing.pack_sizes(sizes, limit)]
+    assert sorted(x for b in bins for x in b) == sorted(sizes) and len(bins) > -(-sum(sizes) // limit)  # not ended by the bound
+    pairs = lambda b: [x + y for k, x in enumerate(b) for y in b[:k]]
+    for k, a in enumerate(bins):
+        for m, b in enumerate(bins):
+            moved = [g - t for g in a for t in [0, *b, *pairs(b)]] + [g - t for g in pairs(a) for t in b]
+            gap, ahead = limit - sum(b), sum(b) - sum(a)
+            assert k == m or sum(b) == limit or not any(0 < d <= gap and ahead + d > 0 for d in moved)
+
+
 def test_mixing(docs, nothing):
     rows = mixing.mix(docs).collect()
     words = {k: sum(len((t or "").encode().split()) for _, t, _, s in ROWS if s == k) for k in ("a", "b", "c", None)}
