@@ -5,9 +5,9 @@ class; all further work is on classes.
 
 * Sketch: the SKETCH smallest hashes of the set, the whole set if it isn't larger.
 * Lists: of the INDEXED smallest hashes, ordered by how many classes hold them (rare first), the first ones go into
-  inverted lists: so many that two sets of Jaccard similarity THRESHOLD share one of them. For sets up to
-  INDEXED * THRESHOLD hashes this is certain (prefix filter); for larger ones the smallest hashes are a random sample
-  of the union, of which fewer than LEAST_SHARED of INDEXED are common in one pair of 10^9 at the threshold itself.
+  inverted lists: so many that two sets of Jaccard similarity `threshold` share one of them. For sets up to
+  INDEXED * threshold hashes this is certain (prefix filter); for larger ones the smallest hashes are a random sample
+  of the union, of which fewer than least_common of INDEXED are common in two pairs of 10^9 at the threshold itself.
   Common passages are ordered last, and a list of one class is no list.
 * Candidates: each list first pairs its members with its smallest one.
 * Filter: the SKETCH smallest hashes of the union of two sketches estimate the similarity.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,15 +33,24 @@ from emberlog.llm.components import components
 from emberlog.llm.shared import document_columns, give_back_memory, releasing, scratch, shingle_hashes, stored, texts_of, word_hashes
 
 WIDTH = 5
-THRESHOLD = 85
+#: Similarity in percent from which documents are near duplicates: as in op6_near_duplicates, and in corpora (distinct_documents).
+THRESHOLD, USUAL = 85, 80
 SKETCH, INDEXED = 64, 32
-#: Of INDEXED (of SKETCH) smallest hashes of a union, fewer common ones than this happen with a chance of 10^-9 at a
-#: similarity of 0.85: the binomial distribution's lower end.
-LEAST_SHARED, LEAST_SKETCHED = 13, 35
 #: Classes of one block of a list.
 BLOCK = 1_024
 
 
+@cache
+def least_common(smallest: int, threshold: int) -> int:
+    """Of so many smallest hashes of a union, fewer common ones than this happen with a chance below 2 * 10^-9 at the threshold: the binomial distribution's lower end."""
+    t, chance = threshold / 100, 0.0
+    for n in range(smallest + 1):
+        chance += math.comb(smallest, n) * t**n * (1 - t) ** (smallest - n)
+        if chance >= 2e-9:
+            return n
+    return smallest
+
+
 def shingles(text: str | None, seen: dict[bytes, int]) -> np.ndarray:
     """The sorted distinct shingle hashes of a whole text, A-Z in lower case."""
     return shingle_hashes(word_hashes((text or "").encode("utf-8", "surrogatepass").lower().split(), seen), WIDTH)
@@ -69,44 +79,44 @@ def sketches(docs: DataFrame) -> DataFrame:
     return document_columns(docs, "doc_id", "text").mapInArrow(releasing(sketch), "doc_id bigint, n_shingles bigint, set_key binary, sketch array<bigint>")
 
 
-def index_length(n: Column) -> Column:
+def index_length(n: Column, threshold: int) -> Column:
     """How many of its rarest INDEXED hashes a set of n indexes: two sets at the threshold then share an indexed one."""
-    exact = n - F.ceil(n * THRESHOLD / 100) + 1
-    return F.when(n <= INDEXED * THRESHOLD // 100, exact).otherwise(F.least(n, F.lit(INDEXED)) - LEAST_SHARED + 1)
+    exact = n - F.ceil(n * threshold / 100) + 1
+    return F.when(n <= INDEXED * threshold // 100, exact).otherwise(F.least(n, F.lit(INDEXED)) - least_common(INDEXED, threshold) + 1)
 
 
-def inverted_lists(classes: DataFrame, path: str) -> DataFrame:
+def inverted_lists(classes: DataFrame, threshold: int, path: str) -> DataFrame:
     """(value, set_key) of the indexed hashes that more than one class indexes."""
     held = classes.select("set_key", "n", F.explode(F.slice("sketch", 1, INDEXED)).alias("value"))
     shared = held.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     # hashes of one class only come first in the order and need no list: they only use up places
     found = held.join(shared, "value").groupBy("set_key", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("shared"))
-    places = index_length(F.col("n")) - (F.least("n", F.lit(INDEXED)) - F.size("shared"))
+    places = index_length(F.col("n"), threshold) - (F.least("n", F.lit(INDEXED)) - F.size("shared"))
     rows = found.withColumn("places", places).where("places > 0").select("set_key", F.explode(F.slice("shared", 1, F.col("places").cast("int"))).alias("x")).select("x.value", "set_key")
     rows = stored(rows, f"{path}/indexed")
     several = rows.groupBy("value").agg(F.count("*").alias("members"), F.min("set_key").alias("leader")).where("members > 1")
     return stored(rows.join(several, "value"), f"{path}/lists")
 
 
-def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def estimated(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) that may be similar by their sizes and the union of their sketches."""
     side = lambda x: classes.select(F.col("set_key").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * THRESHOLD)
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * threshold)
     both = both.withColumn("union", F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, SKETCH)).withColumn("common", F.size(F.array_intersect("union", F.array_intersect("sketch_a", "sketch_b"))))
     whole = F.greatest("n_a", "n_b") <= SKETCH  # the sketches are the sets
     union = F.col("n_a") + F.col("n_b") - F.size(F.array_intersect("sketch_a", "sketch_b"))
-    may = F.when(whole, F.size(F.array_intersect("sketch_a", "sketch_b")) * 100 >= union * THRESHOLD).otherwise(F.col("common") >= LEAST_SKETCHED)
+    may = F.when(whole, F.size(F.array_intersect("sketch_a", "sketch_b")) * 100 >= union * threshold).otherwise(F.col("common") >= least_common(SKETCH, threshold))
     return both.where(may).select("a", "b", "n_a", "n_b")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b, n_a, n_b) whose full sets reach the threshold."""
     side = lambda x: sets.select(F.col("set_key").alias(x), F.col("hashes").alias(f"set_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
-    return both.where(100 * F.col("common") >= THRESHOLD * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
+    return both.where(100 * F.col("common") >= threshold * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
 
 
-def links_in_block(value: int, sets: list[np.ndarray], component: list[bytes], side: np.ndarray, lists: list[list[int]]) -> list[tuple[int, int]]:
+def links_in_block(value: int, sets: list[np.ndarray], component: list[bytes], side: np.ndarray, lists: list[list[int]], threshold: int) -> list[tuple[int, int]]:
     """Exact links of one block, or across its two sides, between different components: as many as connect what they connect.
 
     A pair that shares a smaller list than `value` is left to that list, so each pair is looked at once. Sketches, the
@@ -125,8 +135,8 @@ def links_in_block(value: int, sets: list[np.ndarray], component: list[bytes], s
 
     common = together([x[:SKETCH] for x in sets])
     small = sizes <= SKETCH
-    may = np.where(small[:, None] & small[None, :], 100 * common >= THRESHOLD * (sizes[:, None] + sizes[None, :] - common), common >= LEAST_SKETCHED)
-    may &= 100 * np.minimum(sizes[:, None], sizes[None, :]) >= THRESHOLD * np.maximum(sizes[:, None], sizes[None, :])
+    may = np.where(small[:, None] & small[None, :], 100 * common >= threshold * (sizes[:, None] + sizes[None, :] - common), common >= least_common(SKETCH, threshold))
+    may &= 100 * np.minimum(sizes[:, None], sizes[None, :]) >= threshold * np.maximum(sizes[:, None], sizes[None, :])
     may &= group[:, None] != group[None, :]
     if side.min() != side.max():
         may &= side[:, None] != side[None, :]
@@ -150,7 +160,7 @@ def links_in_block(value: int, sets: list[np.ndarray], component: list[bytes], s
         mark[own] = True
         shared = np.array([int(mark[ids[starts[j] : starts[j + 1]]].sum()) for j in others])
         mark[own] = False
-        for j in np.array(others)[100 * shared >= THRESHOLD * (sizes[i] + sizes[others] - shared)]:
+        for j in np.array(others)[100 * shared >= threshold * (sizes[i] + sizes[others] - shared)]:
             x, y = find(group[i]), find(group[j])
             if x != y:
                 root[x] = y
@@ -158,7 +168,7 @@ def links_in_block(value: int, sets: list[np.ndarray], component: list[bytes], s
     return out
 
 
-def unconnected_links(lists: DataFrame, links: DataFrame, sets: DataFrame, path: str) -> DataFrame:
+def unconnected_links(lists: DataFrame, links: DataFrame, sets: DataFrame, threshold: int, path: str) -> DataFrame:
     """(a, b): links inside the lists whose members `links` doesn't connect yet.
 
     Members of a list are dealt over blocks, and each two blocks meet in one task, so no task holds more than about
@@ -176,7 +186,7 @@ def unconnected_links(lists: DataFrame, links: DataFrame, sets: DataFrame, path:
         rows = rows.sort_by([("set_key", "ascending")])
         keys = rows["set_key"].to_pylist()
         full = [np.array(x, dtype=np.int64).view(np.uint64) for x in rows["hashes"].to_pylist()]
-        pairs = links_in_block(rows["value"][0].as_py(), full, rows["component"].to_pylist(), rows["block"].to_numpy(), rows["lists"].to_pylist())
+        pairs = links_in_block(rows["value"][0].as_py(), full, rows["component"].to_pylist(), rows["block"].to_numpy(), rows["lists"].to_pylist(), threshold)
         if len(keys) > BLOCK // 4:
             give_back_memory()
         return pa.table({"a": pa.array([keys[i] for i, _ in pairs], pa.binary()), "b": pa.array([keys[j] for _, j in pairs], pa.binary())})
@@ -184,10 +194,10 @@ def unconnected_links(lists: DataFrame, links: DataFrame, sets: DataFrame, path:
     return dealt.groupBy("value", "low", "high").applyInArrow(search, "a binary, b binary").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text).
 
-    component_id: the smallest doc_id that links of similarity THRESHOLD / 100 or more reach, its own included. kept:
+    component_id: the smallest doc_id that links of similarity threshold / 100 or more reach, its own included. kept:
     doc_id is component_id. Texts without words are linked with nothing. Rows of one id with the same set are in one
     component; a null id is never the smallest if another is there, and a null-id row is kept if none is. An empty
     table gives no row.
@@ -196,11 +206,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = stored(sketches(docs), f"{path}/sketches")
     classes = rows.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("owner"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = stored(classes, f"{path}/classes")
-    lists = inverted_lists(classes, path)
+    lists = inverted_lists(classes, threshold, path)
     sets = _full_sets(docs, lists.select("set_key").distinct().join(classes, "set_key").select("set_key", "owner"), f"{path}/sets")
     star = lists.where("set_key != leader").select(F.col("leader").alias("a"), F.col("set_key").alias("b")).distinct()
-    star = stored(verified(estimated(star, classes), sets), f"{path}/star")
-    links = star.union(stored(unconnected_links(lists, star, sets, path), f"{path}/rest"))
+    star = stored(verified(estimated(star, classes, threshold), sets, threshold), f"{path}/star")
+    links = star.union(stored(unconnected_links(lists, star, sets, threshold, path), f"{path}/rest"))
     found = components(links).withColumnRenamed("node", "set_key")
     smallest = found.join(classes, "set_key").groupBy("component").agg(F.min("owner").alias("component_id"))
     reached = stored(found.join(smallest, "component").select("set_key", "component_id"), f"{path}/reached")
@@ -222,10 +232,7 @@ def _full_sets(docs: DataFrame, needed: DataFrame, path: str) -> DataFrame:
     return stored(texts.select("text").mapInArrow(releasing(full), "set_key binary, hashes array<bigint>").dropDuplicates(["set_key"]), path)
 
 
-def distinct_documents(docs: DataFrame) -> DataFrame:
+def distinct_documents(docs: DataFrame, threshold: int = USUAL) -> DataFrame:
     """One row of docs from each group of near duplicates: of the rows of its smallest id, those that differ."""
-    rest = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    rest = near_duplicates(docs, threshold).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
     return docs.join(rest, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
-
-
-assert math.comb(INDEXED, LEAST_SHARED - 1) * 0.85 ** (LEAST_SHARED - 1) * 0.15 ** (INDEXED - LEAST_SHARED + 1) < 2e-9

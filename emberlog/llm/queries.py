@@ -44,7 +44,7 @@ def op5_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), threshold=85)
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

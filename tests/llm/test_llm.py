@@ -185,6 +185,17 @@ def test_near_duplicates(docs, nothing, spark):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == dict(enumerate(root))
 
 
+def test_distinct_documents_from_four_fifths_on(spark):
+    words = [f"w{k}" for k in range(60)]
+    copies = lambda *at: " ".join(f"x{k}" if k in at else w for k, w in enumerate(words))
+    other = lambda n: " ".join(f"v{k}" for k in range(n))
+    texts = [copies(), copies(30), other(24), other(29), "u " + other(20), "u " + other(30)]  # 0 and 1: 51/61, 2 and 3: 20/25, 3 and 5: 25/27, others below 0.8
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    kept = lambda df: sorted(r["doc_id"] for r in df.collect())
+    assert kept(near_dup.distinct_documents(docs)) == [0, 2, 4] and kept(near_dup.near_duplicates(docs, threshold=85).where("kept")) == [0, 1, 2, 3, 4]
+    assert [near_dup.least_common(n, 85) for n in (near_dup.INDEXED, near_dup.SKETCH)] == [13, 35]
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(5)
     v = rng.normal(size=(400, 8))
