@@ -1,7 +1,8 @@
 """Near-duplicate documents: bottom-k sketches of one hash function, overlaps from inverted lists, exact Jaccard.
 
 A document's set holds the 64-bit hashes of its distinct shingles of five words. Documents with the same set are one
-class; all further work is on classes.
+class; all further work is on classes. A class's id begins with the smallest doc_id in it, so that the smallest class
+of a component names the component.
 
 * Sketch: the SKETCH smallest hashes of the set, the whole set if it isn't larger.
 * Lists: of the INDEXED smallest hashes, ordered by how many classes hold them (rare first), the first ones go into
@@ -12,9 +13,10 @@ class; all further work is on classes.
 * Candidates: each list first pairs its members with its smallest one.
 * Filter: the SKETCH smallest hashes of the union of two sketches estimate the similarity.
 * Verification: the full sets of what is left, exactly.
-* Rest: lists whose members aren't all connected by now are compared in blocks inside tasks, with sketches first and
-  full sets then; a task emits a spanning forest of its links. So a group of n near copies gives about n pairs of each
-  list, not n * n.
+* Rest: lists whose members aren't all connected by now are compared in blocks inside tasks. First by sketches: a task
+  names the members that may be similar to another one, not the pairs. Then only these bring their full sets, in
+  blocks bounded by shingles, and a task emits a spanning forest of its links. So a group of n near copies gives about
+  n rows of each list, not n * n.
 """
 
 from __future__ import annotations
@@ -30,14 +32,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm.components import components
-from emberlog.llm.shared import document_columns, give_back_memory, releasing, scratch, shingle_hashes, stored, texts_of, word_hashes
+from emberlog.llm.shared import document_columns, releasing, scratch, shingle_hashes, stored, texts_of, whole_runs, word_hashes
 
 WIDTH = 5
 #: Similarity in percent from which documents are near duplicates: as in op6_near_duplicates, and in corpora (distinct_documents).
 THRESHOLD, USUAL = 85, 80
 SKETCH, INDEXED = 64, 32
-#: Classes of one block of a list.
-BLOCK = 1_024
+#: The most classes of one block of a list, and about the most shingles of their full sets.
+BLOCK, SHINGLES_A_BLOCK = 512, 500_000
+#: The most rows that a list of wanted documents is broadcast with.
+MOST_BROADCAST = 100_000
+SIGN = np.uint64(1 << 63)
 
 
 @cache
@@ -61,22 +66,48 @@ def set_key(hashes: np.ndarray) -> bytes:
 
 
 def _longs(arrays: Sequence[np.ndarray]) -> pa.Array:
+    """Lists of signed numbers in the order of the unsigned hashes: the highest bit is turned."""
     offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *[a.view(np.int64) for a in arrays]])))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *[(a ^ SIGN).view(np.int64) for a in arrays]])))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, text): text_hash tells rows of one id apart."""
+    return document_columns(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_key, sketch) of each row of docs; set_key is null for an empty set."""
+    """(doc_id, text_hash, n_shingles, set_key, sketch) of each row of docs; set_key is null for an empty set."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
         for b in batches:
             rows = [(len(s), set_key(s) if len(s) else None, s[:SKETCH].copy()) for s in (shingles(t, seen) for t in texts_of(b.column("text")))]
             n, keys, firsts = zip(*rows, strict=True) if rows else ([], [], [])
-            columns = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), _longs(firsts)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_key", "sketch"])
+            columns = [b.column("doc_id"), b.column("text_hash"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), _longs(firsts)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "set_key", "sketch"])
+
+    return _keyed(docs).mapInArrow(releasing(sketch), "doc_id bigint, text_hash bigint, n_shingles bigint, set_key binary, sketch array<bigint>")
+
+
+def class_id(owner: Column, key: Column) -> Column:
+    """A class's id in bytes, ordered by owner (null last), then by key: a null mark, the owner with its highest bit turned, the key."""
+    number = F.lpad(F.hex(F.coalesce(owner, F.lit(0)).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat(F.unhex(F.concat(F.when(owner.isNull(), "01").otherwise("00"), number)), key)
+
 
-    return document_columns(docs, "doc_id", "text").mapInArrow(releasing(sketch), "doc_id bigint, n_shingles bigint, set_key binary, sketch array<bigint>")
+def owner_of(cid: Column) -> Column:
+    """The owner that a class's id begins with."""
+    half = lambda at: F.conv(F.hex(F.substring(cid, at, 4)), 16, 10).cast("bigint")
+    number = F.shiftleft(half(2) - (1 << 31), 32) + half(6)
+    return F.when(F.hex(F.substring(cid, 1, 1)) == "00", number)
+
+
+def set_classes(rows: DataFrame) -> DataFrame:
+    """(cid, set_key, owner, owner_hash, n, sketch): each distinct set of rows, and one row that has it: of the smallest id, nulls last."""
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")
+    found = rows.where("set_key is not null").groupBy("set_key").agg(first, F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    return found.select(class_id(F.col("first.doc_id"), F.col("set_key")).alias("cid"), "set_key", F.col("first.doc_id").alias("owner"), F.col("first.text_hash").alias("owner_hash"), "n", "sketch")
 
 
 def index_length(n: Column, threshold: int) -> Column:
@@ -86,21 +117,21 @@ def index_length(n: Column, threshold: int) -> Column:
 
 
 def inverted_lists(classes: DataFrame, threshold: int, path: str) -> DataFrame:
-    """(value, set_key) of the indexed hashes that more than one class indexes."""
-    held = classes.select("set_key", "n", F.explode(F.slice("sketch", 1, INDEXED)).alias("value"))
-    shared = held.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    """(value, cid, members, leader) of the indexed hashes that more than one class indexes."""
+    held = classes.select("cid", "n", F.explode(F.slice("sketch", 1, INDEXED)).alias("value"))
+    shared = stored(held.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), f"{path}/shared")
     # hashes of one class only come first in the order and need no list: they only use up places
-    found = held.join(shared, "value").groupBy("set_key", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("shared"))
+    found = held.join(shared, "value").groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("shared"))
     places = index_length(F.col("n"), threshold) - (F.least("n", F.lit(INDEXED)) - F.size("shared"))
-    rows = found.withColumn("places", places).where("places > 0").select("set_key", F.explode(F.slice("shared", 1, F.col("places").cast("int"))).alias("x")).select("x.value", "set_key")
+    rows = found.withColumn("places", places).where("places > 0").select("cid", F.explode(F.slice("shared", 1, F.col("places").cast("int"))).alias("x")).select("x.value", "cid")
     rows = stored(rows, f"{path}/indexed")
-    several = rows.groupBy("value").agg(F.count("*").alias("members"), F.min("set_key").alias("leader")).where("members > 1")
+    several = stored(rows.groupBy("value").agg(F.count("*").alias("members"), F.min("cid").alias("leader")).where("members > 1"), f"{path}/several")
     return stored(rows.join(several, "value"), f"{path}/lists")
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) that may be similar by their sizes and the union of their sketches."""
-    side = lambda x: classes.select(F.col("set_key").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    side = lambda x: classes.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * threshold)
     both = both.withColumn("union", F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, SKETCH)).withColumn("common", F.size(F.array_intersect("union", F.array_intersect("sketch_a", "sketch_b"))))
     whole = F.greatest("n_a", "n_b") <= SKETCH  # the sketches are the sets
@@ -111,40 +142,48 @@ def estimated(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b, n_a, n_b) whose full sets reach the threshold."""
-    side = lambda x: sets.select(F.col("set_key").alias(x), F.col("hashes").alias(f"set_{x}"))
+    side = lambda x: sets.select(F.col("cid").alias(x), F.col("hashes").alias(f"set_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
     return both.where(100 * F.col("common") >= threshold * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
 
 
-def links_in_block(value: int, sets: list[np.ndarray], component: list[bytes], side: np.ndarray, lists: list[list[int]], threshold: int) -> list[tuple[int, int]]:
-    """Exact links of one block, or across its two sides, between different components: as many as connect what they connect.
+def common_counts(columns: list[np.ndarray]) -> np.ndarray:
+    """How many numbers each two arrays of distinct numbers have in common."""
+    numbers, inverse, counts = np.unique(np.concatenate(columns), return_inverse=True, return_counts=True)
+    place = np.where(counts > 1, np.cumsum(counts > 1) - 1, -1)[inverse]
+    row = np.repeat(np.arange(len(columns)), [len(c) for c in columns])
+    held = np.zeros((len(columns), int((counts > 1).sum()) + 1), np.float32)
+    held[row[place >= 0], place[place >= 0]] = 1
+    return held @ held.T
 
-    A pair that shares a smaller list than `value` is left to that list, so each pair is looked at once. Sketches, the
-    first hashes of each sorted set, rule most of the others out; the full sets decide.
-    """
-    sizes, group = np.array([len(x) for x in sets], dtype=np.float64), np.unique(np.array(component, dtype=object), return_inverse=True)[1]
-
-    def together(columns: list[np.ndarray]) -> np.ndarray:
-        """How many numbers each two rows have in common."""
-        numbers, inverse, counts = np.unique(np.concatenate(columns), return_inverse=True, return_counts=True)
-        place = np.where(counts > 1, np.cumsum(counts > 1) - 1, -1)[inverse]
-        row = np.repeat(np.arange(len(columns)), [len(c) for c in columns])
-        held = np.zeros((len(columns), int((counts > 1).sum()) + 1), np.float32)
-        held[row[place >= 0], place[place >= 0]] = 1
-        return held @ held.T
-
-    common = together([x[:SKETCH] for x in sets])
-    small = sizes <= SKETCH
-    may = np.where(small[:, None] & small[None, :], 100 * common >= threshold * (sizes[:, None] + sizes[None, :] - common), common >= least_common(SKETCH, threshold))
+
+def may_be_similar(sketched: list[np.ndarray], sizes: np.ndarray, component: list[bytes], side: np.ndarray, threshold: int) -> np.ndarray:
+    """Which members i < j (of different components, and of different sides if there are two) may reach the threshold by their sketches and sizes."""
+    number: dict[bytes, int] = {}
+    group = np.array([number.setdefault(c, len(number)) for c in component])
+    may = group[:, None] != group[None, :]
     may &= 100 * np.minimum(sizes[:, None], sizes[None, :]) >= threshold * np.maximum(sizes[:, None], sizes[None, :])
-    may &= group[:, None] != group[None, :]
     if side.min() != side.max():
         may &= side[:, None] != side[None, :]
-    may &= together([np.array([x for x in own if x < value], dtype=np.int64) for own in lists]) == 0
     may = np.triu(may, 1)
+    if not may.any():
+        return may
+    common = common_counts(sketched)
+    small = sizes <= SKETCH
+    return may & np.where(small[:, None] & small[None, :], 100 * common >= threshold * (sizes[:, None] + sizes[None, :] - common), common >= least_common(SKETCH, threshold))
+
+
+def links_in_block(sets: list[np.ndarray], component: list[bytes], side: np.ndarray, threshold: int) -> list[tuple[int, int]]:
+    """Exact links of one block, or across its two sides, between different components: as many as connect what they connect."""
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    may = may_be_similar([x[:SKETCH] for x in sets], sizes, component, side, threshold)
+    if not may.any():
+        return []
+    number: dict[bytes, int] = {}
+    group = [number.setdefault(c, len(number)) for c in component]
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    mark, root, out = np.zeros(int(ids.max()) + 1, bool), list(range(int(group.max()) + 1)), []
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    mark, root, out = np.zeros(int(ids.max()) + 1, bool), list(range(len(number))), []
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -168,71 +207,128 @@ def links_in_block(value: int, sets: list[np.ndarray], component: list[bytes], s
     return out
 
 
-def unconnected_links(lists: DataFrame, links: DataFrame, sets: DataFrame, threshold: int, path: str) -> DataFrame:
-    """(a, b): links inside the lists whose members `links` doesn't connect yet.
+def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of a column as arrays."""
+    lists = column.combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    return [flat[s:e] for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
 
-    Members of a list are dealt over blocks, and each two blocks meet in one task, so no task holds more than about
-    2 * BLOCK sets, however long the list is.
-    """
-    member = lists.select("value", "set_key", "members").join(components(links).withColumnsRenamed({"node": "set_key"}), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
+
+def _dealt(members: DataFrame, *columns: str) -> DataFrame:
+    """members (value, cid, blocks) dealt over the blocks of their lists, so that each two blocks of a list meet, sorted by (value, low, high)."""
+    own = members.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
+    both = own.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("value", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cid", *columns)
+    return both.repartition("value", "low", "high").sortWithinPartitions("value", "low", "high", "cid")
+
+
+def open_members(lists: DataFrame, classes: DataFrame, links: DataFrame, threshold: int, path: str) -> DataFrame:
+    """(value, cid, component): members of lists that `links` doesn't connect yet and whose sketches let them be similar to another component's."""
+    member = lists.select("value", "cid", "members").join(components(links).withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     member = stored(member, f"{path}/members")
-    split = member.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("value")
-    open_ = stored(member.join(split, "value"), f"{path}/open")
-    held = open_.groupBy("set_key").agg(F.collect_list("value").alias("lists"))  # INDEXED values at most
-    own = open_.withColumn("blocks", F.ceil(F.col("members") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks"))).join(held.join(sets, "set_key"), "set_key")
-    dealt = own.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("value", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "set_key", "component", "lists", "hashes")
+    split = stored(member.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("value"), f"{path}/split")
+    open_ = member.join(split, "value").join(classes.select("cid", "n", "sketch"), "cid").withColumn("blocks", F.ceil(F.col("members") / BLOCK))
 
-    def search(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("set_key", "ascending")])
-        keys = rows["set_key"].to_pylist()
-        full = [np.array(x, dtype=np.int64).view(np.uint64) for x in rows["hashes"].to_pylist()]
-        pairs = links_in_block(rows["value"][0].as_py(), full, rows["component"].to_pylist(), rows["block"].to_numpy(), rows["lists"].to_pylist(), threshold)
-        if len(keys) > BLOCK // 4:
-            give_back_memory()
-        return pa.table({"a": pa.array([keys[i] for i, _ in pairs], pa.binary()), "b": pa.array([keys[j] for _, j in pairs], pa.binary())})
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, edges in whole_runs(batches, "value", "low", "high"):
+            sketched, sizes, side, component = _arrays(rows["sketch"]), rows["n"].to_numpy(), rows["block"].to_numpy(), rows["component"].to_pylist()
+            found = []
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                if e - s > 1:
+                    may = may_be_similar(sketched[s:e], sizes[s:e], component[s:e], side[s:e], threshold)
+                    found += (s + np.flatnonzero(may.any(axis=0) | may.any(axis=1))).tolist()
+            yield from rows.select(["value", "cid", "component"]).take(pa.array(found, pa.int64())).combine_chunks().to_batches()
 
-    return dealt.groupBy("value", "low", "high").applyInArrow(search, "a binary, b binary").distinct()
+    named = _dealt(open_, "component", "n", "sketch").mapInArrow(releasing(search), "value bigint, cid binary, component binary")
+    return stored(named.distinct(), f"{path}/open")
 
 
-def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text).
+def links_of_members(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): the links between members (value, cid, component) of each list, by their full sets."""
+    full = members.join(sets.select("cid", "hashes"), "cid")
+    weighed = members.join(sets.select("cid", F.size("hashes").alias("n")), "cid").groupBy("value").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / SHINGLES_A_BLOCK))
+    dealt = _dealt(full.join(weighed.withColumn("blocks", blocks).select("value", "blocks"), "value"), "component", "hashes")
 
-    component_id: the smallest doc_id that links of similarity threshold / 100 or more reach, its own included. kept:
-    doc_id is component_id. Texts without words are linked with nothing. Rows of one id with the same set are in one
-    component; a null id is never the smallest if another is there, and a null-id row is kept if none is. An empty
-    table gives no row.
-    """
-    path = scratch(docs.sparkSession, "near-dup")
-    rows = stored(sketches(docs), f"{path}/sketches")
-    classes = rows.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("owner"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    classes = stored(classes, f"{path}/classes")
-    lists = inverted_lists(classes, threshold, path)
-    sets = _full_sets(docs, lists.select("set_key").distinct().join(classes, "set_key").select("set_key", "owner"), f"{path}/sets")
-    star = lists.where("set_key != leader").select(F.col("leader").alias("a"), F.col("set_key").alias("b")).distinct()
-    star = stored(verified(estimated(star, classes, threshold), sets, threshold), f"{path}/star")
-    links = star.union(stored(unconnected_links(lists, star, sets, threshold, path), f"{path}/rest"))
-    found = components(links).withColumnRenamed("node", "set_key")
-    smallest = found.join(classes, "set_key").groupBy("component").agg(F.min("owner").alias("component_id"))
-    reached = stored(found.join(smallest, "component").select("set_key", "component_id"), f"{path}/reached")
-    own = classes.select("set_key", "owner").join(reached, "set_key", "left").select("set_key", F.coalesce("component_id", "owner").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "set_key").join(own, "set_key", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, edges in whole_runs(batches, "value", "low", "high"):
+            full, side, component, keys = _arrays(rows["hashes"]), rows["block"].to_numpy(), rows["component"].to_pylist(), rows["cid"].to_pylist()
+            pairs = [(keys[s + i], keys[s + j]) for s, e in zip(edges[:-1], edges[1:], strict=True) if e - s > 1 for i, j in links_in_block(full[s:e], component[s:e], side[s:e], threshold)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    return dealt.mapInArrow(releasing(search), "a binary, b binary").distinct()
 
 
-def _full_sets(docs: DataFrame, needed: DataFrame, path: str) -> DataFrame:
-    """(set_key, hashes): the full set of each needed class (set_key, owner), from the text of one of its documents."""
-    texts = document_columns(docs, "doc_id", "text").join(needed.select("owner").distinct(), F.col("doc_id").eqNullSafe(F.col("owner")), "left_semi")
+def full_sets(docs: DataFrame, needed: DataFrame, path: str) -> DataFrame:
+    """(cid, hashes): the full set of each needed class (cid, owner, owner_hash), from the text of the row that it names."""
+    needed = stored(needed, f"{path}-needed")
+    side = F.broadcast(needed) if needed.count() <= MOST_BROADCAST else needed
+    texts = _keyed(docs).join(side, F.col("doc_id").eqNullSafe(F.col("owner")) & (F.col("text_hash") == F.col("owner_hash"))).select("cid", "text")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
         for b in batches:
-            sets = [s for s in (shingles(t, seen) for t in texts_of(b.column("text"))) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.binary()), _longs(sets)], ["set_key", "hashes"])
+            yield pa.RecordBatch.from_arrays([b.column("cid"), _longs([shingles(t, seen) for t in texts_of(b.column("text"))])], ["cid", "hashes"])
+
+    # equal rows of one id give a class's set more than once
+    return stored(texts.mapInArrow(releasing(full), "cid binary, hashes array<bigint>").dropDuplicates(["cid"]), path)
+
+
+def _classes_and_links(docs: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """rows (doc_id, text_hash, n_shingles, set_key) and reached (set_key, cid, component): the class of each set, and the smallest class that links reach."""
+    path = scratch(docs.sparkSession, "near-dup")
+    rows = stored(sketches(docs), f"{path}/sketches")
+    classes = stored(set_classes(rows), f"{path}/classes")
+    lists = inverted_lists(classes, threshold, path)
+    owners = classes.select("cid", "owner", "owner_hash")
+    star = lists.where("cid != leader").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
+    star = stored(estimated(star, classes, threshold), f"{path}/estimated")
+    sets = full_sets(docs, owners.join(star.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid", "left_semi"), f"{path}/sets")
+    star = stored(verified(star, sets, threshold), f"{path}/star")
+    members = open_members(lists, classes, star, threshold, path)
+    more = full_sets(docs, owners.join(members.select("cid").distinct(), "cid", "left_semi").join(sets.select("cid"), "cid", "left_anti"), f"{path}/more-sets")
+    links = star.union(stored(links_of_members(members, sets.union(more), threshold), f"{path}/rest"))
+    reached = classes.select("cid", "set_key").join(components(links).withColumnRenamed("node", "cid"), "cid", "left").select("set_key", "cid", F.coalesce("component", "cid").alias("component"))
+    return rows.drop("sketch"), stored(reached, f"{path}/reached")
 
-    return stored(texts.select("text").mapInArrow(releasing(full), "set_key binary, hashes array<bigint>").dropDuplicates(["set_key"]), path)
+
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text).
+
+    component_id: the smallest doc_id that links of similarity threshold / 100 or more reach, its own included. kept:
+    doc_id is component_id. Texts without words are linked with nothing. Rows of one id with the same set are in one
+    component; a null id is never the smallest if another is there, and a null-id row is kept if none is. Further
+    columns are ignored. An empty table gives no row.
+    """
+    rows, reached = _classes_and_links(docs, threshold)
+    own = reached.select("set_key", owner_of(F.col("component")).alias("component_id"))
+    linked = rows.where("set_key is not null").join(own, "set_key").select("doc_id", "n_shingles", "component_id")
+    out = linked.union(rows.where("set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def distinct_documents(docs: DataFrame, threshold: int = USUAL) -> DataFrame:
-    """One row of docs from each group of near duplicates: of the rows of its smallest id, those that differ."""
-    rest = near_duplicates(docs, threshold).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(rest, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    """One row of docs from each group of near duplicates, and all rows whose text has no word.
+
+    Of a group stays the row of its smallest id, null ids last; of several rows of that id the one whose set has the
+    smallest key, and of rows of that id with the same text any one. Other rows of the id that are no near duplicates
+    are groups of their own. All columns come back, whatever their names. An empty table gives no row.
+    """
+    rows, reached = _classes_and_links(docs, threshold)
+    # rows of the smallest class of a group have the smallest id; (id, text) tells which of the class's rows it is
+    first = rows.where("set_key is not null").groupBy("set_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first"))
+    winners = reached.where("cid = component").select("set_key").join(first, "set_key").select("set_key", F.col("first.doc_id").alias("won_id"), F.col("first.text_hash").alias("won_hash"))
+    stays = F.col("doc_id").eqNullSafe(F.col("won_id")) & F.coalesce(F.col("text_hash") == F.col("won_hash"), F.lit(False))
+    judged = rows.where("set_key is not null").join(winners, "set_key", "left").select("doc_id", "text_hash", stays.alias("stays"))
+    path = scratch(docs.sparkSession, "near-dup-rows")
+    # the (id, text) that go, and those of several rows of which one stays
+    by_row = stored(judged.groupBy("doc_id", "text_hash").agg(F.bool_or("stays").alias("stays"), F.count("*").alias("rows")).where("not stays or rows > 1"), f"{path}/judged")
+    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_hash"))
+    same = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash"))
+    back = lambda df: df.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    out = back(packed.join(by_row, same, "left_anti"))
+    repeated = by_row.where("stays")
+    if not repeated.isEmpty():
+        one = packed.join(repeated.select("doc_id", "text_hash"), same, "left_semi").groupBy("own_id", "own_hash").agg(F.first("row").alias("row"))
+        out = out.union(back(one))
+    return out

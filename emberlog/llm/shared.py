@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from emberlog.scratch import scratch, stored
 
-__all__ = ["WORD", "document_columns", "give_back_memory", "learning_fold", "mix64", "releasing", "scratch", "shingle_hashes", "stored", "texts_of", "word_hashes", "words_of"]
+__all__ = ["WORD", "document_columns", "give_back_memory", "hot_join", "learning_fold", "mix64", "releasing", "scratch", "shingle_hashes", "stored", "texts_of", "whole_runs", "word_hashes", "words_of"]
 
 #: A word, as Spark's regular expressions write it: anything between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: From how many rows on a key is hot, and the most hot keys that are broadcast.
+HOT, MOST_HOT = 500, 100_000
 
 
 def document_columns(docs: DataFrame, *names: str) -> DataFrame:
@@ -29,6 +31,41 @@ def learning_fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def hot_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """left joined to right, which has each key once; the keys of very many rows of left by broadcast, the others by a shuffle.
+
+    weight: right's column with the rows that left has of the key, total in all. A key is hot from HOT rows on, or from
+    total / MOST_HOT on, so that no more than MOST_HOT keys are broadcast. Both sides are read twice: store them.
+    """
+    least = max(HOT, -(-total // MOST_HOT))
+    hot = F.broadcast(right.where(F.col(weight) >= least))
+    rest = left.join(hot, key, "left_anti").join(right.where(F.col(weight) < least), key)
+    return left.join(hot, key).unionByName(rest)
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[pa.Table, list[int]]]:
+    """A sorted partition's rows in tables that no run of equal keys crosses, and where the runs of each start and end."""
+    held = None
+    for b in batches:
+        rows = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+        edges = _edges(rows, keys)
+        if len(edges) > 2:
+            yield rows.slice(0, edges[-2]), edges[:-1]
+        held = rows.slice(edges[-2]) if len(edges) > 1 else None
+    if held is not None:
+        yield held, [0, len(held)]
+
+
+def _edges(rows: pa.Table, keys: tuple[str, ...]) -> list[int]:
+    if not len(rows):
+        return [0]
+    differs = np.zeros(len(rows), bool)
+    for k in keys:
+        column = rows[k].to_numpy()
+        differs[1:] |= column[1:] != column[:-1]
+    return [0, *np.flatnonzero(differs).tolist(), len(rows)]
+
+
 def give_back_memory() -> None:
     """Returns what this process has freed to the system, as far as its allocators can."""
     pa.default_memory_pool().release_unused()
