@@ -7,8 +7,8 @@ order. How many is calibrated: for at most CALIBRATION queries the true neighbou
 classes, and the visits are widened until TARGET of them lie in visited leaves.
 
 Search is a grouped job over (bin, chunk): a bin is leaves that follow each other in the tree, up to about CHUNK classes,
-so a query gives one short list for a bin and not one for each leaf. A query that visits a leaf is held against its
-whole bin, which only adds candidates. Larger bins are split into chunks, so no task holds more than about CHUNK.
+so a query gives one short list for a bin and not one for each leaf. In a bin, a query is held against the classes of
+the leaves that it visits and no others. Larger bins are split into chunks, so no task holds more than about CHUNK.
 """
 
 from __future__ import annotations
@@ -119,14 +119,24 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 
-def best_classes(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its `most` nearest rows (place, cosine), ties to the smaller id."""
+def best_classes(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, most: int, parts: list[tuple[slice, np.ndarray]] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query its `most` nearest rows (place, cosine), ties to the smaller id.
+
+    parts: runs of rows, each with which queries are held against it; None holds all against all.
+    """
     unit = _unit(rows).T
     for start in range(0, len(queries), 256):
-        near = _unit(queries[start : start + 256]) @ unit
+        asked = _unit(queries[start : start + 256])
+        if parts is None:
+            near = asked @ unit
+        else:
+            near = np.full((len(asked), len(rows)), -np.inf)
+            for run, visitors in parts:
+                own = np.flatnonzero(visitors[start : start + 256])
+                near[own, run] = asked[own] @ unit[:, run]
         least = np.partition(near, max(0, near.shape[1] - most), axis=1)[:, max(0, near.shape[1] - most)] - 1e-9
         for k in range(len(near)):
-            short = np.flatnonzero(near[k] >= least[k])
+            short = np.flatnonzero((near[k] >= least[k]) & (near[k] > -np.inf))
             exact = cosines(np.broadcast_to(queries[start + k], (len(short), rows.shape[1])), rows[short])
             order = np.lexsort((ids[short], -exact))[:most]
             yield start + k, short[order], exact[order]
@@ -142,15 +152,15 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def vector_classes(rows: DataFrame, most: int) -> DataFrame:
-    """(cid, ids, v): each distinct vector, its smallest id, and its `most` smallest ids."""
+    """(cid, first_id, ids, v): each distinct vector, a number of its own, its smallest id, and its `most` smallest ids. Store it: cid is made anew each time."""
     place = Window.partitionBy("v").orderBy("vec_id")
     few = rows.withColumn("place", F.dense_rank().over(place)).where(F.col("place") <= most)  # limited before the shuffle, too
-    return few.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")).select(F.element_at("ids", 1).alias("cid"), "ids", "v")
+    return few.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")).select(F.monotonically_increasing_id().alias("cid"), F.element_at("ids", 1).alias("first_id"), "ids", "v")
 
 
 def fit_tree(classes: DataFrame, n: int) -> Tree:
     width = len(classes.select("v").first()["v"])
-    some = classes.select("v").orderBy(F.xxhash64("cid"), "cid").limit(max(1, SAMPLE_VALUES // width)).toArrow()
+    some = classes.select("v").orderBy(F.xxhash64("v"), "v").limit(max(1, SAMPLE_VALUES // width)).toArrow()
     sample = _matrix(some["v"].combine_chunks())
     leaves = min(MOST_LEAVES, max(1, n // LEAF))
     return Tree(sample, 1.5 * len(sample) / leaves)
@@ -161,7 +171,8 @@ def nearest(vectors: DataFrame, query_ids: str, most: int = 5, target: float = T
 
     query_ids: an SQL condition on vec_id. Vectors that are null, zero or hold null or non-finite numbers, vectors of
     another than the most frequent length, and rows without an id take no part. A row isn't its own neighbour; rows
-    of one id with the same vector count once. An empty table gives no row.
+    of one id with the same vector count once, those with different vectors are rows of their own, of which the nearest
+    names the id. Further columns are ignored. An empty table gives no row.
     """
     spark, path = vectors.sparkSession, scratch(vectors.sparkSession, "ann-tree")
     rows = stored(usable(vectors), f"{path}/rows")
@@ -174,23 +185,28 @@ def nearest(vectors: DataFrame, query_ids: str, most: int = 5, target: float = T
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
-                yield pa.RecordBatch.from_arrays([b.column("cid"), b.column("v"), pa.array(tree.value.leaf_of(_unit(_matrix(b.column("v")))))], ["cid", "v", "leaf"])
+                leaf = pa.array(tree.value.leaf_of(_unit(_matrix(b.column("v")))))
+                yield pa.RecordBatch.from_arrays([b.column("cid"), b.column("first_id"), b.column("v"), leaf], ["cid", "first_id", "v", "leaf"])
 
-    placed = stored(classes.select("cid", "v").mapInArrow(assign, "cid bigint, v array<double>, leaf int"), f"{path}/leaves")
+    placed = stored(classes.select("cid", "first_id", "v").mapInArrow(assign, "cid bigint, first_id bigint, v array<double>, leaf int"), f"{path}/leaves")
     asked = rows.where(query_ids).select("vec_id", "v").join(classes.select("cid", F.col("v").alias("class_v")), F.col("v") == F.col("class_v")).select("vec_id", "cid")
     asked = stored(asked, f"{path}/asked")
     queries = stored(asked.select("cid").distinct().join(placed, "cid").select(F.col("cid").alias("qid"), F.col("v").alias("q")), f"{path}/queries")
     visits = calibrated_visits(tree.value, queries, placed, most + 1, target)
     found = _search(tree, visits, queries, placed, most + 1)
-    best = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")
+    best = Window.partitionBy("qid").orderBy(F.desc("score"), "first_id")
     few = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= most + 1).select("qid", "cid", "score")
     named = few.join(classes.select("cid", "ids"), "cid").select("qid", "score", F.explode("ids").alias("vec_id"))
+    named = named.groupBy("qid", "vec_id").agg(F.max("score").alias("score"))  # an id with several vectors
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
     few = named.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most + 1)
     lists = few.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("near"))
     own = asked.select(F.col("vec_id").alias("query_id"), F.col("cid").alias("qid")).distinct().join(lists, "qid")
     others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, most)
-    return own.select("query_id", F.posexplode(others).alias("pos", "x")).select("query_id", (F.col("pos") + 1).alias("rank"), "x.vec_id", "x.score")
+    # an id with several vectors asks with all of them
+    asked_for = own.select("query_id", F.explode(others).alias("x")).groupBy("query_id", "x.vec_id").agg(F.max("x.score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return asked_for.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= most)
 
 
 def brute_force(queries: list[tuple[int, list[float]]], placed: DataFrame, most: int) -> list[tuple[int, int]]:
@@ -200,12 +216,12 @@ def brute_force(queries: list[tuple[int, list[float]]], placed: DataFrame, most:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
-                ids, leaf = b.column("cid").to_numpy(), b.column("leaf").to_numpy()
+                ids, leaf = b.column("first_id").to_numpy(), b.column("leaf").to_numpy()
                 out = [(k, int(ids[p]), int(leaf[p]), float(s)) for k, places, scores in best_classes(asked.value, _matrix(b.column("v")), ids, most) for p, s in zip(places, scores, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.float64()), strict=True)], ["k", "cid", "leaf", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.float64()), strict=True)], ["k", "first_id", "leaf", "score"])
 
-    near = placed.select("cid", "v", "leaf").mapInArrow(scan, "k int, cid bigint, leaf int, score double")
-    place = Window.partitionBy("k").orderBy(F.desc("score"), "cid")
+    near = placed.select("first_id", "v", "leaf").mapInArrow(scan, "k int, first_id bigint, leaf int, score double")
+    place = Window.partitionBy("k").orderBy(F.desc("score"), "first_id")
     return [(r["k"], r["leaf"]) for r in near.withColumn("place", F.row_number().over(place)).where(F.col("place") <= most).select("k", "leaf").collect()]
 
 
@@ -223,7 +239,7 @@ def calibrated_visits(tree: Tree, queries: DataFrame, placed: DataFrame, most: i
 
 
 def _search(tree, visits: int, queries: DataFrame, placed: DataFrame, most: int) -> DataFrame:
-    """(qid, cid, score): each query's best classes in each chunk of each bin with a leaf that it visits."""
+    """(qid, cid, first_id, score): each query's best classes of its visited leaves, from each chunk of each bin."""
     bin_of, held = {}, {}
     before = 0
     for leaf, n in sorted(placed.groupBy("leaf").count().collect()):  # one row a leaf, bounded by the fitted sample
@@ -234,13 +250,20 @@ def _search(tree, visits: int, queries: DataFrame, placed: DataFrame, most: int)
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
-                ways = [sorted({bin_of[leaf] for leaf in tree.value.visit(x, visits) if leaf in bin_of}) for x in _unit(_matrix(b.column("q")))]
-                yield pa.RecordBatch.from_arrays([b.column("qid"), b.column("q"), pa.array(ways, pa.list_(pa.int64()))], ["qid", "q", "ways"])
+                rows, bins, leaves = [], [], []
+                for k, x in enumerate(_unit(_matrix(b.column("q")))):
+                    ways: dict[int, list[int]] = {}
+                    for leaf in tree.value.visit(x, visits):
+                        if leaf in bin_of:
+                            ways.setdefault(bin_of[leaf], []).append(leaf)
+                    rows, bins, leaves = rows + [k] * len(ways), bins + list(ways), leaves + list(ways.values())
+                own = b.take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([own.column("qid"), own.column("q"), pa.array(bins, pa.int64()), pa.array(leaves, pa.list_(pa.int32()))], ["qid", "q", "bin", "leaves"])
 
     spark = placed.sparkSession
     sizes = spark.createDataFrame([(leaf, b, -(-held[b] // CHUNK)) for leaf, b in bin_of.items()], "leaf int, bin bigint, chunks bigint")
     turns = max(1, -(-queries.count() * min(visits, len(held)) // (len(held) * QUERIES_A_TASK)))  # more tasks share a bin if very many queries visit it
-    routed = queries.mapInArrow(route, "qid bigint, q array<double>, ways array<bigint>").select("qid", "q", F.explode("ways").alias("bin"))
+    routed = queries.mapInArrow(route, "qid bigint, q array<double>, bin bigint, leaves array<int>")
     left = placed.join(F.broadcast(sizes), "leaf").withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks"))).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
     right = routed.join(F.broadcast(sizes.select("bin", "chunks").distinct()), "bin").withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1)"))).withColumn("turn", F.pmod(F.xxhash64("qid"), F.lit(turns)).cast("int"))
     keys = ["bin", "chunk", "turn"]
@@ -248,10 +271,15 @@ def _search(tree, visits: int, queries: DataFrame, placed: DataFrame, most: int)
     def search(rows: pa.Table, asked: pa.Table) -> pa.Table:
         out = []
         if len(rows) and len(asked):
-            ids, qid = rows["cid"].to_numpy(), asked["qid"].to_numpy()
-            pairs = best_classes(_matrix(asked["q"].combine_chunks()), _matrix(rows["v"].combine_chunks()), ids, most)
-            out = [(int(qid[k]), int(ids[p]), float(s)) for k, places, scores in pairs for p, s in zip(places, scores, strict=True)]
-        columns = list(zip(*out, strict=True)) or [[], [], []]
-        return pa.table({"qid": pa.array(columns[0], pa.int64()), "cid": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
-
-    return left.select(*keys, "cid", "v").groupBy(*keys).cogroup(right.select(*keys, "qid", "q").groupBy(*keys)).applyInArrow(search, "qid bigint, cid bigint, score double")
+            rows = rows.sort_by([("leaf", "ascending"), ("first_id", "ascending")])
+            cid, first, qid, leaf, visited = rows["cid"].to_numpy(), rows["first_id"].to_numpy(), asked["qid"].to_numpy(), rows["leaf"].to_numpy(), asked["leaves"].to_pylist()
+            edges = [0, *(np.flatnonzero(np.diff(leaf)) + 1).tolist(), len(leaf)]
+            parts = [(slice(s, e), np.array([leaf[s] in own for own in visited])) for s, e in zip(edges[:-1], edges[1:], strict=True)]
+            pairs = best_classes(_matrix(asked["q"].combine_chunks()), _matrix(rows["v"].combine_chunks()), first, most, parts)
+            out = [(int(qid[k]), int(cid[p]), int(first[p]), float(s)) for k, places, scores in pairs for p, s in zip(places, scores, strict=True)]
+        columns = list(zip(*out, strict=True)) or [[], [], [], []]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["qid", "cid", "first_id", "score"])
+
+    right = right.select(*keys, "qid", "q", "leaves").groupBy(*keys)
+    return left.select(*keys, "cid", "first_id", "leaf", "v").groupBy(*keys).cogroup(right).applyInArrow(search, "qid bigint, cid bigint, first_id bigint, score double")
