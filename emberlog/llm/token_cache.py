@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm.shared import document_columns, scratch, stored
+from emberlog.llm.shared import document_columns, hot_join, releasing, scratch, stored, texts_of
 from emberlog.llm.tokens import encoder, version_digest
 
 CACHE_SCHEMA = "version string, digest binary, n_bytes bigint, n_tokens bigint"
@@ -33,9 +33,16 @@ class TokenCountCache:
 
     def counts(self) -> DataFrame:
         """(digest, n_bytes, n_tokens) of this version; a digest that two runs appended at once counts once."""
+        return self._rows().dropDuplicates(["digest"])
+
+    def _rows(self) -> DataFrame:
         if not self._exists():
             return self.spark.createDataFrame([], CACHE_SCHEMA).drop("version")
-        return self.spark.read.schema(CACHE_SCHEMA).parquet(self.path).where(F.col("version") == self.version).drop("version").dropDuplicates(["digest"])
+        return self.spark.read.schema(CACHE_SCHEMA).parquet(self.path).where(F.col("version") == self.version).drop("version")
+
+    def _held(self, texts: DataFrame) -> DataFrame:
+        """The stored counts of these digests, each once."""
+        return self._rows().join(texts.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
 
     def count(self, docs: DataFrame) -> DataFrame:
         """(doc_id, n_bytes, n_tokens), one row for each row of docs (doc_id, text; further columns are ignored).
@@ -46,12 +53,19 @@ class TokenCountCache:
         keyed = document_columns(docs, "doc_id", "text").select("doc_id", text.alias("text"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"))
         work = scratch(self.spark, "token-counts")
         ids = stored(keyed.select("doc_id", "digest"), f"{work}/ids")
-        missing = ids.groupBy("digest").agg(F.min("doc_id").alias("owner")).join(self.counts(), "digest", "left_anti")
-        missing = stored(missing, f"{work}/missing").withColumnsRenamed({"digest": "missing_digest"})
-        # One holder of each missing text: by its id, which no group of copies shares, so that no task gets them all.
-        fetched = keyed.join(missing, F.col("doc_id").eqNullSafe(F.col("owner")) & (F.col("digest") == F.col("missing_digest")), "left_semi")
-        self._encoded(fetched.select("digest", "text")).write.mode("append").partitionBy("version").parquet(self.path)
-        return ids.join(self.counts(), "digest", "left").select("doc_id", "n_bytes", "n_tokens")
+        # each text once, with how many rows hold it, and one holder: the smallest id, and how many of the rows are that id's
+        first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "same")).alias("first")
+        texts = ids.groupBy("digest", "doc_id").agg(F.count("*").alias("same")).groupBy("digest").agg(F.sum("same").alias("rows"), first)
+        texts = stored(texts.select("digest", "rows", F.col("first.doc_id").alias("owner"), F.col("first.same").alias("same")), f"{work}/texts")
+        missing = stored(texts.join(self._held(texts), "digest", "left_anti").select(F.col("digest").alias("missing_digest"), "owner", "same"), f"{work}/missing")
+        # by the holder's id, which no group of copies shares, so that no task gets all of one
+        holder = F.col("doc_id").eqNullSafe(F.col("owner")) & (F.col("digest") == F.col("missing_digest"))
+        fetched = keyed.join(missing.where("same = 1"), holder, "left_semi").select("digest", "text")
+        if not missing.where("same > 1").isEmpty():
+            fetched = fetched.union(keyed.join(missing.where("same > 1"), holder, "left_semi").select("digest", "text").dropDuplicates(["digest"]))
+        self._encoded(fetched).write.mode("append").partitionBy("version").parquet(self.path)
+        found = stored(texts.select("digest", "rows").join(self._held(texts), "digest"), f"{work}/counts")
+        return hot_join(ids, found, "digest", "rows", found.agg(F.sum("rows")).first()[0] or 0).select("doc_id", "n_bytes", "n_tokens")
 
     def _encoded(self, texts: DataFrame) -> DataFrame:
         name = self.tokenizer
@@ -59,10 +73,10 @@ class TokenCountCache:
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             enc = encoder(name)
             for b in batches:
-                strings = b.column("text").to_pylist()
-                yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array([len(t.encode("utf-8", "surrogatepass")) for t in strings], pa.int64()), pa.array([len(enc.encode_one(t)) // 4 for t in strings], pa.int64())], ["digest", "n_bytes", "n_tokens"])
+                sizes = [(len(t.encode("utf-8", "surrogatepass")), len(enc.encode_one(t)) // 4) for t in texts_of(b.column("text"))]
+                yield pa.RecordBatch.from_arrays([b.column("digest"), *[pa.array([x[k] for x in sizes], pa.int64()) for k in (0, 1)]], ["digest", "n_bytes", "n_tokens"])
 
-        counted = texts.mapInArrow(encode, "digest binary, n_bytes bigint, n_tokens bigint")
+        counted = texts.mapInArrow(releasing(encode), "digest binary, n_bytes bigint, n_tokens bigint")
         return counted.select(F.lit(self.version).alias("version"), "digest", "n_bytes", "n_tokens")
 
 

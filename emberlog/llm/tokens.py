@@ -4,7 +4,8 @@ A byte-level BPE of GPT-2's kind never joins two words over a single space or li
 a new piece at such a space and makes the line feed a piece of its own. So a text whose white space is only single
 spaces and line feeds between words is cut there, and each distinct word is encoded once per worker and kept in a
 bounded cache. The words' merges run in tiktoken, on ranks read from the same vocabulary file; when an encoder is
-loaded, it is held against the tokenizers library on probe texts and dropped if any id differs. Every other text
+loaded, the file's merges are held against its ids and the encoder against the tokenizers library on probe texts, and
+it is dropped if anything differs. Every other text
 (runs of white space, tabs, special strings) and every other kind of tokenizer goes to the library whole.
 """
 
@@ -84,6 +85,10 @@ def _word_encoder(said: dict):
 
     of, special = _byte_symbols(), {t["content"] for t in said.get("added_tokens", [])}
     ranks = {bytes(of[c] for c in token): k for token, k in model["vocab"].items() if token not in special}
+    # tiktoken takes ids for the order of merges: they must be that, and every longer token the result of a merge
+    merged = [model["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
+    if None in merged or any(x >= y for x, y in zip(merged, merged[1:])) or set(merged) != {k for token, k in ranks.items() if len(token) > 1}:
+        return None
     return tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
