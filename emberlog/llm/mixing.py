@@ -61,19 +61,20 @@ def source_targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = 1.
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, rises: tuple = RISES, share: float = 1.5, most: int = 2) -> DataFrame:
-    """docs (doc_id, text, source) with size, source_size, target, taken, copies, positions and position.
+    """docs (doc_id, text, source) with size, source_size, target, taken, copies, positions, position and text_hash.
 
     size: words of the text (null text: 0). taken: words that the mix takes of the document, repeats counted, never
     over `most` times size. copies: passes through the document, the one that the target cuts included. positions:
-    the training times of the first word in each; position: the first of them, null if nothing is taken. Sums of taken reach each target to the word. A null
-    source is a source; null ids and repeated rows are documents of their own; an empty table gives no row.
+    the training times of the first word in each; position: the first of them, null if nothing is taken. Sums of taken
+    reach each target to the word. A null source is a source; null ids and repeated rows are documents of their own;
+    further columns are ignored; an empty table gives no row.
 
     A source's running sums are made in 4096 buckets of the random order, so a source with most of the rows is dealt
     out like any other.
     """
     own = document_columns(docs, "doc_id", "text", "source")
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    sized = own.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), order.alias("key"))
+    sized = own.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), order.alias("key"))
     # '1' before a name and '2' for null: code point order with null last, and no null in a join's key
     sized = sized.withColumn("skey", F.when(F.col("source").isNull(), F.lit("2")).otherwise(F.concat(F.lit("1"), "source"))).withColumn("bucket", F.substring("key", 1, 3))
     sized = stored(sized, f"{scratch(docs.sparkSession, 'mixing')}/sized")  # read three times below, without the texts
@@ -82,7 +83,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, rises: tuple = RISES, share:
     starts = buckets.select("skey", "bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("bucket_start"))
     targets = source_targets(buckets.select("skey", F.col("bucket_size").alias("size")), weights, share, most)
     plan = starts.join(targets, "skey")
-    inside = Window.partitionBy("skey", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("skey", "bucket").orderBy("key", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(plan, ["skey", "bucket"])
     start, goal = F.col("bucket_start") + F.col("before"), F.floor(F.col("target") + F.lit(0.5))
     part = lambda p: F.greatest(F.least(goal - start - p * F.col("source_size"), F.col("size")), F.lit(0))
@@ -92,7 +93,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, rises: tuple = RISES, share:
     rise = _cycle(F.col("rank"), tuple(F.array(*[F.lit(float(x)) for x in r]) for r in rises))
     places = [F.when(x > 0, training_time((start + p * F.col("source_size")) / F.col("target"), rise)) for p, x in enumerate(passes)]
     mixed = placed.withColumn("taken", taken.cast("bigint")).withColumn("copies", copies).withColumn("positions", F.filter(F.array(*places), lambda x: x.isNotNull())).withColumn("position", places[0])
-    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "positions", "position")
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "positions", "position", "text_hash")
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
@@ -104,11 +105,21 @@ def training_order(mixed: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that the mix takes, as often as it takes them, in training order.
 
-    A pass that the target cuts counts if at least half of the document is taken.
+    A pass that the target cuts counts if at least half of the document is taken. Null and empty texts have no words
+    and aren't taken. Rows of one id with different texts or sources are documents of their own; of rows that are the
+    same in all three, one stands for all, as often as they are taken together. A null source is a source. All columns
+    come back, whatever their names. An empty table gives no row.
     """
+    spark, key = docs.sparkSession, ["doc_id", "source", "text_hash"]
     whole = F.floor((F.col("taken") + F.col("size") / 2) / F.col("size"))
-    chosen = mix(docs).where("taken > 0").select(F.col("doc_id").alias("taken_id"), F.slice("positions", 1, whole.cast("int")).alias("positions"))
-    # rows of one id are documents of their own to the mix, which names no row: the one that is taken most holds for all
-    chosen = chosen.groupBy("taken_id").agg(F.max_by("positions", F.size("positions")).alias("positions"))
-    repeated = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("taken_id"))).select(*docs.columns, F.explode("positions").alias("position"))
-    return training_order(repeated).drop("position")
+    chosen = stored(mix(docs).where("taken > 0").select(*key, F.slice("positions", 1, whole.cast("int")).alias("positions")), f"{scratch(spark, 'mixed')}/chosen")
+    repeated = stored(chosen.groupBy(*key).agg(F.count("*").alias("rows")).where("rows > 1").select(*key), f"{scratch(spark, 'mixed')}/repeated")
+    rows = docs.select(F.struct("*").alias("row"), *[F.col(c).alias(f"own_{c}") for c in key[:2]], F.xxhash64("text").alias("own_text_hash"))
+    own = [f"own_{c}" for c in key]
+    same = [F.col(o).eqNullSafe(F.col(c)) for o, c in zip(own, key, strict=True)]
+    if not repeated.isEmpty():
+        one = rows.join(repeated, same, "left_semi").groupBy(*own).agg(F.first("row").alias("row")).select("row", *own)
+        rows = rows.join(repeated, same, "left_anti").select("row", *own).union(one)
+    taken = rows.join(chosen, same).select("row", "own_doc_id", F.explode("positions").alias("position"))
+    ordered = taken.repartitionByRange("position", F.xxhash64("own_doc_id")).sortWithinPartitions("position", "own_doc_id")
+    return ordered.select(*[F.col("row")[c].alias(c) for c in docs.columns])
