@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm.shared import document_columns, scratch
+from emberlog.llm.shared import document_columns, releasing, scratch, texts_of
 from emberlog.llm.tokens import encoder
 
 MAGIC = b"DAC1"
@@ -91,10 +91,11 @@ class DirectCodes:
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None, segment_tokens: int = SEGMENT_TOKENS) -> None:
     """Encodes whole texts (null: empty), appends end_id to each document, and writes segments in ascending doc_id order.
 
-    Rows are dealt by ranges of doc_id (null ids first) and sorted in each; rows of one id are ordered by text, so that
-    reruns write the same files. An empty table gives an empty set of segments.
+    Rows are dealt by ranges of doc_id (null ids first) and sorted in each; rows of one id, or of none, are ordered and
+    dealt by a hash of the text, so that reruns write the same files. An empty table gives an empty set of segments.
     """
-    ranged = document_columns(docs, "doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    own = document_columns(docs, "doc_id", "text").withColumn("hash", F.xxhash64("text"))
+    ranged = own.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").drop("hash")
     tail = b"" if end_id is None else struct.pack("<I", end_id)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +110,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows, kinds, strict=True)], ["part", "segment", "part_start", "doc_ids", "lengths", "codes"])
 
         for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), texts_of(b.column("text")), strict=True):
                 own = enc.encode_one(text) + tail
                 if doc_ids and held + len(own) // 4 > segment_tokens:
                     yield flush()
@@ -120,7 +121,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
         if doc_ids:
             yield flush()
 
-    ranged.mapInArrow(segments, SEGMENT_SCHEMA).write.option("compression", "zstd").parquet(path)
+    ranged.mapInArrow(releasing(segments), SEGMENT_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
 def _with_starts(spark: SparkSession, path: str) -> DataFrame:
@@ -138,34 +139,41 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = False) -> Da
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
+            for k in range(len(b)):
+                r = b.slice(k, 1).to_pylist()[0]
                 codes, lengths = DirectCodes(r["codes"]), np.array(r["lengths"], dtype=np.int64)
                 ends = np.cumsum(lengths)
                 own = [codes.slice(int(e - n), int(e)) for n, e in zip(lengths, ends, strict=True)]
                 columns = [pa.array(r["doc_ids"], pa.int64()), pa.array(r["start"] + ends - lengths), pa.array(lengths), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in own], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array([x.astype(np.int64) for x in own], pa.list_(pa.int64()))] * with_ids, ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
 
-    return _with_starts(spark, path).select("start", "doc_ids", "lengths", "codes").mapInArrow(decode, schema)
+    return _with_starts(spark, path).select("start", "doc_ids", "lengths", "codes").mapInArrow(releasing(decode), schema)
 
 
 def read_tokens(positions: DataFrame, path: str) -> DataFrame:
     """positions (position) with token_id: the id at each global place of the files, null outside of them.
 
-    Places meet their segment through ranges of SEGMENT_TOKENS places, so that no task sees all of either side.
+    Places meet the segments of their range of SEGMENT_TOKENS places in one task, which takes each segment's codes
+    apart once. A null place has a null id. Further columns are ignored.
     """
     spark, width = positions.sparkSession, SEGMENT_TOKENS
     size = F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, x: a + x)
     table = _with_starts(spark, path).withColumn("end", F.col("start") + size).where("end > start")
     table = table.withColumn("range", F.explode(F.expr(f"sequence(start div {width}, (end - 1) div {width})"))).select("range", "start", "end", "codes")
-    asked = positions.select("position").withColumn("range", F.expr(f"position div {width}"))
-
-    def access(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = [None if c is None else DirectCodes(c)[p - s] for p, s, c in zip(*(b.column(n).to_pylist() for n in ("position", "start", "codes")), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("position"), pa.array(ids, pa.int64())], ["position", "token_id"])
-
-    found = asked.alias("a").join(table.alias("t"), F.expr("a.range = t.range and position >= start and position < end"), "left")
-    return found.select("position", "start", "codes").mapInArrow(access, "position bigint, token_id bigint")
+    asked = positions.select(F.col("position").cast("bigint").alias("position")).withColumn("range", F.coalesce(F.expr(f"position div {width}"), F.lit(-1)))
+
+    def access(wanted: pa.Table, segments: pa.Table) -> pa.Table:
+        places = wanted["position"].to_pylist()
+        ids: list[int | None] = [None] * len(places)
+        for k in range(len(segments)):
+            start, end, codes = (segments[c][k] for c in ("start", "end", "codes"))
+            held = DirectCodes(codes.as_buffer())
+            for i, p in enumerate(places):
+                if p is not None and start.as_py() <= p < end.as_py():
+                    ids[i] = held[p - start.as_py()]
+        return pa.table({"position": wanted["position"], "token_id": pa.array(ids, pa.int64())})
+
+    return asked.groupBy("range").cogroup(table.groupBy("range")).applyInArrow(access, "position bigint, token_id bigint")
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:

@@ -6,7 +6,9 @@ by dual coordinate descent. Families are told apart by the same kind of pairwise
 winning family. A winner has the most pairs won, then the largest sum of margins.
 
 The models are fitted on the driver on at most PER_LANGUAGE texts of each language and MOST_TEXTS in all, those with
-the smallest hash of the id; they take 2 * WIDTH numbers a pair, whatever the corpus.
+the smallest hash of the id. They take 2 * WIDTH numbers a pair. Languages of no known family begin as families of
+their own; the most similar families, by the mean features of their texts, are merged until MOST_FAMILIES are left,
+so that pairs don't grow with the square of the languages.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.llm.shared import document_columns, learning_fold, releasing
+from emberlog.llm.shared import document_columns, learning_fold, releasing, texts_of
 
 PER_LANGUAGE = 300
 MOST_TEXTS = 6_000
@@ -27,6 +29,7 @@ MOST_TEXTS = 6_000
 BUCKET_BITS = 8
 WIDTH = 1 << 11
 UNDETERMINED = "und"
+MOST_FAMILIES = 24
 #: Families of languages that are easily taken for one another; any other language is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "af", "da", "sv", "no", "nb", "nn", "is", "lb", "yi"),
@@ -78,7 +81,7 @@ class OneVersusOne:
         self.classes = sorted(set(labels))
         own = np.array(labels)
         self.pairs = list(combinations(range(len(self.classes)), 2))
-        self.weights = np.zeros((x.shape[1] + 1, len(self.pairs)))
+        self.weights = np.zeros((x.shape[1] + 1, len(self.pairs)), np.float32)
         for k, (i, j) in enumerate(self.pairs):
             rows = (own == self.classes[i]) | (own == self.classes[j])
             self.weights[:, k] = linear_svm(x[rows], np.where(own[rows] == self.classes[i], 1.0, -1.0))
@@ -97,11 +100,29 @@ class OneVersusOne:
         return best, 1 / (1 + np.exp(-2 * np.minimum(least[np.arange(n), best], 30.0)))
 
 
+def family_names(x: np.ndarray, langs: list[str], most: int = MOST_FAMILIES) -> dict[str, str]:
+    """The family of each language of rows x: the known one or its own, the most similar ones merged until `most` are left."""
+    members: dict[str, list[str]] = {}
+    for lang in sorted(set(langs)):
+        members.setdefault(FAMILY_OF.get(lang, f"only {lang}"), []).append(lang)
+    own = np.array(langs)
+    sums = {f: x[np.isin(own, ls)].sum(axis=0, dtype=np.float64) for f, ls in members.items()}
+    while len(members) > most:
+        names = sorted(members)
+        means = np.array([sums[f] / np.linalg.norm(sums[f]) for f in names])
+        near = np.triu(means @ means.T, 1) - np.tril(np.full((len(names), len(names)), 2.0))
+        i, j = np.unravel_index(int(near.argmax()), near.shape)
+        members[names[i]] += members.pop(names[j])
+        sums[names[i]] = sums[names[i]] + sums.pop(names[j])
+    return {lang: f for f, ls in members.items() for lang in ls}
+
+
 class LanguageModel:
     """Families, and the languages of each."""
 
     def __init__(self, x: np.ndarray, langs: list[str]):
-        family = [FAMILY_OF.get(x, f"only {x}") for x in langs]
+        of = family_names(x, langs)
+        family = [of[lang] for lang in langs]
         self.families = OneVersusOne(x, family)
         self.within = {}
         for name in self.families.classes:
@@ -127,7 +148,7 @@ class LanguageModel:
 def learn(docs: DataFrame, folds: int = 5) -> LanguageModel:
     """Fits the models on texts with a language whose id's fold isn't 0. No such text gives a model that knows nothing."""
     usable = document_columns(docs, "doc_id", "text", "lang").where((learning_fold(F.col("doc_id"), folds) != 0) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    hashed = usable.select("lang", "doc_id", F.xxhash64("doc_id").alias("hash")).withColumn("bucket", F.shiftright("hash", 64 - BUCKET_BITS))
+    hashed = usable.select("lang", "doc_id").distinct().withColumn("hash", F.xxhash64("doc_id")).withColumn("bucket", F.shiftright("hash", 64 - BUCKET_BITS))
     # buckets of the lowest hashes up to the one that reaches PER_LANGUAGE, so that only their rows meet by language
     below = F.coalesce(F.sum("rows").over(Window.partitionBy("lang").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = hashed.groupBy("lang", "bucket").agg(F.count("*").alias("rows")).withColumn("below", below).where(F.col("below") < PER_LANGUAGE).select("lang", "bucket")
@@ -139,9 +160,11 @@ def learn(docs: DataFrame, folds: int = 5) -> LanguageModel:
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array([features(t).tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["doc_id", "lang", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array([features(t).tobytes() for t in texts_of(b.column("text"))], pa.binary())], ["doc_id", "lang", "x"])
 
-    rows = sample.select("doc_id", "text", "lang").mapInArrow(releasing(extract), "doc_id bigint, lang string, x binary").orderBy("lang", "doc_id", "x").limit(2 * MOST_TEXTS).collect()
+    found = sample.select("doc_id", "text", "lang").mapInArrow(releasing(extract), "doc_id bigint, lang string, x binary")
+    # of several rows of one id and language one is learnt from, so these are MOST_TEXTS rows at most
+    rows = found.groupBy("lang", "doc_id").agg(F.min("x").alias("x")).orderBy("lang", "doc_id").collect()
     x = np.array([np.frombuffer(r["x"], np.float32) for r in rows]).reshape(len(rows), 2 * WIDTH)
     return LanguageModel(x, [r["lang"] for r in rows])
 
@@ -155,22 +178,26 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text").to_pylist()
-            parts = [shared.value.predict(texts[k : k + 256]) for k in range(0, len(texts), 256)]
+            parts = [shared.value.predict(b.column("text").slice(k, 256).to_pylist()) for k in range(0, len(b), 256)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x for p in parts for x in p[0]], pa.string()), pa.array([x for p in parts for x in p[1]], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return document_columns(docs, "doc_id", "text").mapInArrow(releasing(predict), "doc_id bigint, lang_pred string, score double")
 
 
 def identified_documents(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """The rows of docs whose language is determined with a score of at least `least`."""
+    """The rows of docs whose language is determined with a score of at least `least`; learns from their own lang.
+
+    Null texts and texts without a letter are undetermined and go; null languages are only not learnt from. Null ids,
+    repeated rows and further columns of any name are kept. An empty table, or one with no language to learn, gives no
+    row.
+    """
     model = docs.sparkSession.sparkContext.broadcast(learn(docs))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, out = b.column("text").to_pylist(), []
-            for k in range(0, len(texts), 256):
-                langs, scores = model.value.predict(texts[k : k + 256])
+            out: list[bool] = []
+            for k in range(0, len(b), 256):
+                langs, scores = model.value.predict(b.column("text").slice(k, 256).to_pylist())
                 out += [x != UNDETERMINED and s >= least for x, s in zip(langs, scores, strict=True)]
             yield b.filter(pa.array(out, pa.bool_()))
 

@@ -19,6 +19,8 @@ from emberlog.llm.textstats import with_counts
 
 REACH = 3
 MIN_GROUP = 200
+#: Groups whose fences are broadcast, at most; tasks that share a group's rows if there are more groups.
+MOST_BROADCAST, SALTS = 50_000, 64
 #: Metric, its integer expression, its least quartile distance, and whether low values also count as odd.
 METRICS = (
     ("word_length", "1000 * word_chars div greatest(n_words, 1)", 500, True),
@@ -68,6 +70,18 @@ def effective_fences(sketch: DataFrame) -> DataFrame:
     return joined.select("language", "origin", *[pick(c) for c in names])
 
 
+def with_limits(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """rows with the fences of their group (language, origin); rows of a group without any keep nulls.
+
+    The fences are one row a group: broadcast if they are MOST_BROADCAST or fewer, else dealt to SALTS tasks a group.
+    """
+    if limits.count() <= MOST_BROADCAST:
+        return rows.join(F.broadcast(limits), ["language", "origin"], "left")
+    copies = limits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int"))
+    return salted.join(copies, ["language", "origin", "salt"], "left").drop("salt")
+
+
 def apply_quality_rules(docs: DataFrame) -> DataFrame:
     """One row for each row of docs (doc_id, text, lang, source): counts, base_failed, the metrics, their fences and kept.
 
@@ -88,5 +102,5 @@ def apply_quality_rules(docs: DataFrame) -> DataFrame:
     within = F.lit(True)
     for name, _, _, both in METRICS:
         within &= (F.col(name) <= F.col(f"high_{name}")) & ((F.col(name) >= F.col(f"low_{name}")) if both else F.lit(True))
-    joined = rows.join(limits, ["language", "origin"], "left")
+    joined = with_limits(rows, stored(limits, f"{scratch(docs.sparkSession, 'quality-rules')}/fences"))
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(True))).drop("language", "origin")

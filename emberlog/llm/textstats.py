@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from emberlog.llm.shared import document_columns, word_hashes
+from emberlog.llm.shared import document_columns, releasing, texts_of, word_hashes
 
 SPACE = b" \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
@@ -57,10 +57,8 @@ def with_counts(docs: DataFrame, *keep: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
         for b in batches:
-            rows = [text_counts(t, seen) for t in b.column("text").to_pylist()]
+            rows = [text_counts(t, seen) for t in texts_of(b.column("text"))]
             columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * len(COUNTS)
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *columns], [*keep, *COUNTS])
 
-    return own.mapInArrow(count, schema)
-
-
+    return own.mapInArrow(releasing(count), schema)
