@@ -45,7 +45,7 @@ STAGES = [
     ("pack_sequences", pack_sequences),
 ]
 
-#: Fitted language models can't be written in SQL; tests hold the stages against brute force.
+#: Fitted language models can't be written in SQL; tests/llm/test_pipeline.py holds the stages against plain Python.
 ORACLE_SQL = None
 
 
