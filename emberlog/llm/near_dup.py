@@ -14,9 +14,9 @@ of a component names the component.
 * Filter: the SKETCH smallest hashes of the union of two sketches estimate the similarity.
 * Verification: the full sets of what is left, exactly.
 * Rest: lists whose members aren't all connected by now are compared in blocks inside tasks. First by sketches: a task
-  names the members that may be similar to another one, not the pairs. Then only these bring their full sets, in
-  blocks bounded by shingles, and a task emits a spanning forest of its links. So a group of n near copies gives about
-  n rows of each list, not n * n.
+  names the members that may be similar to another one, not the pairs; a pair of several lists is looked at in the one
+  of the smallest value. Then only these bring their full sets, in blocks bounded by shingles, and a task emits a
+  spanning forest of its links. So a group of n near copies gives about n rows of a list, not n * n.
 """
 
 from __future__ import annotations
@@ -157,8 +157,11 @@ def common_counts(columns: list[np.ndarray]) -> np.ndarray:
     return held @ held.T
 
 
-def may_be_similar(sketched: list[np.ndarray], sizes: np.ndarray, component: list[bytes], side: np.ndarray, threshold: int) -> np.ndarray:
-    """Which members i < j (of different components, and of different sides if there are two) may reach the threshold by their sketches and sizes."""
+def may_be_similar(sketched: list[np.ndarray], sizes: np.ndarray, component: list[bytes], side: np.ndarray, threshold: int, earlier: list[np.ndarray] | None = None) -> np.ndarray:
+    """Which members i < j (of different components, and of different sides if there are two) may reach the threshold by their sketches and sizes.
+
+    earlier: of each member the lists that come before this one; a pair that shares one of them is left to it.
+    """
     number: dict[bytes, int] = {}
     group = np.array([number.setdefault(c, len(number)) for c in component])
     may = group[:, None] != group[None, :]
@@ -169,6 +172,8 @@ def may_be_similar(sketched: list[np.ndarray], sizes: np.ndarray, component: lis
     if not may.any():
         return may
     common = common_counts(sketched)
+    if earlier is not None:
+        may &= common_counts(earlier) == 0
     small = sizes <= SKETCH
     return may & np.where(small[:, None] & small[None, :], 100 * common >= threshold * (sizes[:, None] + sizes[None, :] - common), common >= least_common(SKETCH, threshold))
 
@@ -216,10 +221,13 @@ def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
 
 
 def _dealt(members: DataFrame, *columns: str) -> DataFrame:
-    """members (value, cid, blocks) dealt over the blocks of their lists, so that each two blocks of a list meet, sorted by (value, low, high)."""
-    own = members.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
-    both = own.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("value", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cid", *columns)
-    return both.repartition("value", "low", "high").sortWithinPartitions("value", "low", "high", "cid")
+    """members (value, cid, blocks, columns) once for each other block of their list, so that each two blocks of a list meet as (value, low, high)."""
+    own = members.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    return own.select("value", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cid", *columns)
+
+
+def _meeting(dealt: DataFrame) -> DataFrame:
+    return dealt.repartition("value", "low", "high").sortWithinPartitions("value", "low", "high", "cid")
 
 
 def open_members(lists: DataFrame, classes: DataFrame, links: DataFrame, threshold: int, path: str) -> DataFrame:
@@ -227,28 +235,30 @@ def open_members(lists: DataFrame, classes: DataFrame, links: DataFrame, thresho
     member = lists.select("value", "cid", "members").join(components(links).withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     member = stored(member, f"{path}/members")
     split = stored(member.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("value"), f"{path}/split")
-    open_ = member.join(split, "value").join(classes.select("cid", "n", "sketch"), "cid").withColumn("blocks", F.ceil(F.col("members") / BLOCK))
+    open_ = stored(member.join(split, "value").withColumn("blocks", F.ceil(F.col("members") / BLOCK)).drop("members"), f"{path}/split-members")
+    held = open_.groupBy("cid").agg(F.array_sort(F.collect_list("value")).alias("lists"))  # INDEXED values at most
+    dealt = _dealt(open_, "component").join(classes.select("cid", "n", "sketch").join(held, "cid"), "cid")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, edges in whole_runs(batches, "value", "low", "high"):
-            sketched, sizes, side, component = _arrays(rows["sketch"]), rows["n"].to_numpy(), rows["block"].to_numpy(), rows["component"].to_pylist()
+            sketched, held, sizes, side, component, value = _arrays(rows["sketch"]), _arrays(rows["lists"]), rows["n"].to_numpy(), rows["block"].to_numpy(), rows["component"].to_pylist(), rows["value"].to_numpy()
             found = []
             for s, e in zip(edges[:-1], edges[1:], strict=True):
                 if e - s > 1:
-                    may = may_be_similar(sketched[s:e], sizes[s:e], component[s:e], side[s:e], threshold)
+                    earlier = [x[: np.searchsorted(x, value[s])] for x in held[s:e]]
+                    may = may_be_similar(sketched[s:e], sizes[s:e], component[s:e], side[s:e], threshold, earlier)
                     found += (s + np.flatnonzero(may.any(axis=0) | may.any(axis=1))).tolist()
             yield from rows.select(["value", "cid", "component"]).take(pa.array(found, pa.int64())).combine_chunks().to_batches()
 
-    named = _dealt(open_, "component", "n", "sketch").mapInArrow(releasing(search), "value bigint, cid binary, component binary")
+    named = _meeting(dealt).mapInArrow(releasing(search), "value bigint, cid binary, component binary")
     return stored(named.distinct(), f"{path}/open")
 
 
 def links_of_members(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """(a, b): the links between members (value, cid, component) of each list, by their full sets."""
-    full = members.join(sets.select("cid", "hashes"), "cid")
     weighed = members.join(sets.select("cid", F.size("hashes").alias("n")), "cid").groupBy("value").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / SHINGLES_A_BLOCK))
-    dealt = _dealt(full.join(weighed.withColumn("blocks", blocks).select("value", "blocks"), "value"), "component", "hashes")
+    dealt = _dealt(members.join(weighed.withColumn("blocks", blocks).select("value", "blocks"), "value"), "component").join(sets.select("cid", "hashes"), "cid")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, edges in whole_runs(batches, "value", "low", "high"):
@@ -256,11 +266,14 @@ def links_of_members(members: DataFrame, sets: DataFrame, threshold: int) -> Dat
             pairs = [(keys[s + i], keys[s + j]) for s, e in zip(edges[:-1], edges[1:], strict=True) if e - s > 1 for i, j in links_in_block(full[s:e], component[s:e], side[s:e], threshold)]
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["a", "b"])
 
-    return dealt.mapInArrow(releasing(search), "a binary, b binary").distinct()
+    return _meeting(dealt).mapInArrow(releasing(search), "a binary, b binary").distinct()
+
 
+def full_sets(docs: DataFrame, needed: DataFrame, repeated: bool, path: str) -> DataFrame:
+    """(cid, hashes): the full set of each needed class (cid, owner, owner_hash), from the text of the row that it names.
 
-def full_sets(docs: DataFrame, needed: DataFrame, path: str) -> DataFrame:
-    """(cid, hashes): the full set of each needed class (cid, owner, owner_hash), from the text of the row that it names."""
+    repeated: docs has equal rows of one id, which would give a class's set more than once.
+    """
     needed = stored(needed, f"{path}-needed")
     side = F.broadcast(needed) if needed.count() <= MOST_BROADCAST else needed
     texts = _keyed(docs).join(side, F.col("doc_id").eqNullSafe(F.col("owner")) & (F.col("text_hash") == F.col("owner_hash"))).select("cid", "text")
@@ -270,8 +283,8 @@ def full_sets(docs: DataFrame, needed: DataFrame, path: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("cid"), _longs([shingles(t, seen) for t in texts_of(b.column("text"))])], ["cid", "hashes"])
 
-    # equal rows of one id give a class's set more than once
-    return stored(texts.mapInArrow(releasing(full), "cid binary, hashes array<bigint>").dropDuplicates(["cid"]), path)
+    sets = texts.mapInArrow(releasing(full), "cid binary, hashes array<bigint>")
+    return stored(sets.dropDuplicates(["cid"]) if repeated else sets, path)
 
 
 def _classes_and_links(docs: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
@@ -281,12 +294,13 @@ def _classes_and_links(docs: DataFrame, threshold: int) -> tuple[DataFrame, Data
     classes = stored(set_classes(rows), f"{path}/classes")
     lists = inverted_lists(classes, threshold, path)
     owners = classes.select("cid", "owner", "owner_hash")
+    repeated = not rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty()
     star = lists.where("cid != leader").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
     star = stored(estimated(star, classes, threshold), f"{path}/estimated")
-    sets = full_sets(docs, owners.join(star.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid", "left_semi"), f"{path}/sets")
+    sets = full_sets(docs, owners.join(star.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid", "left_semi"), repeated, f"{path}/sets")
     star = stored(verified(star, sets, threshold), f"{path}/star")
     members = open_members(lists, classes, star, threshold, path)
-    more = full_sets(docs, owners.join(members.select("cid").distinct(), "cid", "left_semi").join(sets.select("cid"), "cid", "left_anti"), f"{path}/more-sets")
+    more = full_sets(docs, owners.join(members.select("cid").distinct(), "cid", "left_semi").join(sets.select("cid"), "cid", "left_anti"), repeated, f"{path}/more-sets")
     links = star.union(stored(links_of_members(members, sets.union(more), threshold), f"{path}/rest"))
     reached = classes.select("cid", "set_key").join(components(links).withColumnRenamed("node", "cid"), "cid", "left").select("set_key", "cid", F.coalesce("component", "cid").alias("component"))
     return rows.drop("sketch"), stored(reached, f"{path}/reached")
