@@ -39,7 +39,7 @@ WIDTH = 5
 THRESHOLD, USUAL = 85, 80
 SKETCH, INDEXED = 64, 32
 #: The most classes of one block of a list, and about the most shingles of their full sets.
-BLOCK, SHINGLES_A_BLOCK = 512, 500_000
+BLOCK, SHINGLES_A_BLOCK = 1_024, 500_000
 #: The most rows that a list of wanted documents is broadcast with.
 MOST_BROADCAST = 100_000
 SIGN = np.uint64(1 << 63)
@@ -147,14 +147,19 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return both.where(100 * F.col("common") >= threshold * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
 
 
-def common_counts(columns: list[np.ndarray]) -> np.ndarray:
-    """How many numbers each two arrays of distinct numbers have in common."""
-    numbers, inverse, counts = np.unique(np.concatenate(columns), return_inverse=True, return_counts=True)
+def common_counts(columns: list[np.ndarray], at_once: int = 4_096) -> np.ndarray:
+    """How many numbers each two arrays of distinct numbers have in common; so many numbers are looked at at once."""
+    _, inverse, counts = np.unique(np.concatenate(columns), return_inverse=True, return_counts=True)
     place = np.where(counts > 1, np.cumsum(counts > 1) - 1, -1)[inverse]
     row = np.repeat(np.arange(len(columns)), [len(c) for c in columns])
-    held = np.zeros((len(columns), int((counts > 1).sum()) + 1), np.float32)
-    held[row[place >= 0], place[place >= 0]] = 1
-    return held @ held.T
+    several = int((counts > 1).sum())
+    out = np.zeros((len(columns), len(columns)), np.float32)
+    for first in range(0, several, at_once):
+        own = (place >= first) & (place < first + at_once)
+        held = np.zeros((len(columns), min(at_once, several - first)), np.float32)
+        held[row[own], place[own] - first] = 1
+        out += held @ held.T
+    return out
 
 
 def may_be_similar(sketched: list[np.ndarray], sizes: np.ndarray, component: list[bytes], side: np.ndarray, threshold: int, earlier: list[np.ndarray] | None = None) -> np.ndarray:
