@@ -12,8 +12,10 @@ LOCAL_BASE = "/tmp/checkpoints/emberlog"
 
 
 def shared_base(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or LOCAL_BASE where that is unset."""
+    """spark.checkpoint.dir, or LOCAL_BASE where that is unset and the session runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir isn't set: a cluster needs a folder that all executors share")
     return (base or LOCAL_BASE).rstrip("/")
 
 
