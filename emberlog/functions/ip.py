@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 IPV4 = r"^((25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$"
-TOKEN = r"[0-9A-Fa-f:.]{3,45}"
+#: Runs of an address's characters, from the shortest address to the longest way to write one.
+TOKEN = "[:.0-9a-fA-F]{%d,%d}" % (len("::1"), len("ffff:" * 6 + "255.255.255.255"))
+#: What an IPv6 address has and a time of day hasn't: two colons side by side, or at least six.
+V6_LIKE = r"::|(:[^:]*){6}"
 BLANKS = " \t\n\r\x0b\x0c"
 
 
@@ -57,7 +60,7 @@ def normalize_ip(text: Column, brackets: bool = True) -> Column:
 def find_ips(text: Column) -> Column:
     """The canonical addresses in a line, in order."""
     tokens = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.btrim(t, F.lit(".:")))
-    v6 = _canonical_v6_tokens(F.when(F.exists(tokens, lambda t: F.contains(t, F.lit(":"))), tokens))
+    v6 = _canonical_v6_tokens(F.when(text.rlike(V6_LIKE) & F.exists(tokens, lambda t: t.rlike(V6_LIKE)), tokens))
     both = F.arrays_zip(tokens.alias("t"), F.coalesce(v6, F.array().cast("array<string>")).alias("v6"))  # a lambda can't hold the helper
     own = F.transform(both, lambda e: F.when(e["t"].rlike(IPV4), e["t"]).otherwise(e["v6"]))
     return F.filter(own, lambda t: t.isNotNull())

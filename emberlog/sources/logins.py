@@ -16,14 +16,11 @@ from emberlog.functions.time import NONEXISTENT, iso_error, iso_timestamp, month
 from emberlog.schemas import EMPTY_USER
 from emberlog.settings import ParseSettings
 
-LAB = r"^(\S+)\s+(LOGIN_[A-Z_]+)((?:\s+\S+)*)\s*$"
-SYSLOG_ISO = r"^(\d{4}-\d{2}-\d{2}T\S+)\s+(\S+)\s+(.*)$"
-SYSLOG = r"^([A-Z][a-z]{2})\s+(\d{1,2})\s+(\d{2}:\d{2}:\d{2})\s+(\S+)\s+(.*)$"
-PROCESS = r"^([^\s\[:]+)(?:\[\d+\])?:\s*(.*)$"
-REPEATED = r"^message repeated (\d+) times: \[\s*(.*?)\s*\]$"
-LOGIN_LIKE = r"^(?:Accepted|Failed) \S+ for\b"
-ACCEPTED = r"^Accepted \S+ for (\S+) from (\S+) port \d+"
-FAILED = r"^Failed \S+ for (invalid user )?(\S*) from (\S+) port \d+"
+#: One attempt as sshd reports it: how it ended, whether the account is unknown, the account, the address.
+VERB = r"(Accepted|Failed) \S+ for"
+ATTEMPT = rf"^{VERB} (invalid user )?(\S*) from (\S+) port \d"
+#: What syslog writes in place of equal messages that follow each other.
+REPEATED = r"^message repeated (\d+) times: \[(.*)\]$"
 SSH_PROCESSES = ("sshd", "sshd-session")
 MOST_REPEATS = 10_000
 DETECTION_LINES = 50
@@ -54,9 +51,10 @@ def _finish(lines: DataFrame, own: list[str], ignored: Column, reason: Column, *
     return out.select(*own, "status", "reason", *[F.when(is_event, c).alias(k) for k, c in event.items()])
 
 
-def kv_value(fields: Column, key: str) -> Column:
-    """The value of the last key=value token with this key, in any case; empty if there is none."""
-    return F.regexp_extract(fields, rf"(?i)^.*(?:^|\s){key}=(\S*)(?:\s.*)?$", 1)
+def kv_value(tokens: Column, key: str) -> Column:
+    """The value of the last of the key=value tokens with this key, in any case; empty if there is none."""
+    own = F.filter(tokens, lambda t: F.lower(F.substring_index(t, "=", 1)) == key)
+    return F.coalesce(F.substring(F.try_element_at(own, F.lit(-1)), len(key) + 2, 1 << 30), F.lit(""))
 
 
 def kv_map(fields: Column) -> Column:
@@ -67,18 +65,33 @@ def kv_map(fields: Column) -> Column:
     return F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"], e["v"])))
 
 
+def _is_lab(words: Column) -> Column:
+    return F.coalesce(F.get(words, F.lit(1)).rlike("^LOGIN_[A-Z_]+$"), F.lit(False))
+
+
+def _header(text: Column) -> tuple[Column, Column, Column, Column]:
+    """Of a syslog line: its words if the header is traditional (month, day, time, host, rest) and if it's ISO (moment, host, rest), and whether it is."""
+    old, iso = F.split(text, r"\s+", 5), F.split(text, r"\s+", 3)
+    is_iso = (F.size(iso) == 3) & F.get(iso, F.lit(0)).rlike(r"^\d{4}-\d\d-\d\dT.")
+    shapes = ("^[A-Z][a-z]{2}$", r"^\d{1,2}$", r"^\d\d:\d\d:\d\d$")
+    is_old = F.size(old) == 5
+    for k, shape in enumerate(shapes):
+        is_old &= F.get(old, F.lit(k)).rlike(shape)
+    return old, iso, is_old, is_iso
+
+
 def parse_lab(lines: DataFrame, settings: ParseSettings = ParseSettings()) -> DataFrame:
     """`<ISO timestamp> LOGIN_SUCCESS|LOGIN_FAILURE user=<u> ip=<ip> [key=value ...]`; blank lines and # are ignored."""
     own, t = lines.columns, F.col("_t")
-    part = lambda k: F.regexp_extract(t, LAB, k)
-    rows = lines.withColumn("_t", _stripped(F.col("text"))).withColumns({"_when": part(1), "_what": part(2), "_fields": part(3)})
+    rows = lines.withColumn("_t", _stripped(F.col("text"))).withColumn("_words", F.split("_t", r"\s+"))
+    rows = rows.withColumns({"_when": F.get("_words", F.lit(0)), "_what": F.when(_is_lab(F.col("_words")), F.get("_words", F.lit(1))).otherwise(""), "_fields": F.slice("_words", 3, 1 << 20)})
     rows = rows.withColumns({"_user": kv_value(F.col("_fields"), "user"), "_raw": kv_value(F.col("_fields"), "ip")})
     rows = rows.withColumns({"_ts": iso_timestamp(F.col("_when"), settings.zone), "_ip": normalize_ip(F.col("_raw"))})
     no_user, no_ip = F.col("_user") == "", F.col("_raw") == ""
     reason = _first_reason(
         (F.col("_what") == "", "not a lab line"),
         (~F.col("_what").isin("LOGIN_SUCCESS", "LOGIN_FAILURE"), "unknown event"),
-        (F.col("_fields").rlike(r"(^|\s)(=\S*|[^\s=]+)(\s|$)"), "field without key=value"),
+        (F.exists("_fields", lambda f: F.instr(f, "=") < 2), "field without key=value"),
         (no_user | no_ip, F.concat(F.lit("missing "), F.concat_ws(", ", F.when(no_user, F.lit("user=")), F.when(no_ip, F.lit("ip="))))),
         (F.col("_ts").isNull(), iso_error(F.col("_when"), F.col("_ts"))),
         (F.col("_ip").isNull(), BAD_IP),
@@ -92,35 +105,37 @@ def parse_syslog(lines: DataFrame, settings: ParseSettings = ParseSettings()) ->
 
     Header errors come before the choice of the process, and a repeat count out of range before the test for a login.
     """
-    own, t = lines.columns, F.col("_t")
-    rows = lines.withColumn("_t", _stripped(F.col("text"))).withColumn("_iso", F.regexp_extract("_t", SYSLOG_ISO, 1))
-    is_iso, old = F.col("_iso") != "", lambda k: F.regexp_extract(t, SYSLOG, k)
-    rows = rows.withColumns({"_month": F.when(~is_iso, old(1)), "_rest": F.when(is_iso, F.regexp_extract(t, SYSLOG_ISO, 3)).otherwise(old(5))})
-    rows = rows.withColumn("_ts", F.when(is_iso, iso_timestamp(F.col("_iso"), settings.zone)).otherwise(syslog_timestamp(old(1), old(2), old(3), settings.year, settings.zone)))
-    rows = rows.withColumns({"_process": F.regexp_extract("_rest", PROCESS, 1), "_said": F.regexp_extract("_rest", PROCESS, 2)})
+    own, t, get = lines.columns, F.col("_t"), lambda words, k: F.get(words, F.lit(k))
+    rows = lines.withColumn("_t", _stripped(F.col("text")))
+    old, iso, is_old, is_iso = _header(t)
+    rows = rows.withColumns({"_iso": F.when(is_iso, get(iso, 0)), "_old": F.when(is_old & ~is_iso, old), "_rest": F.when(is_iso, get(iso, 2)).when(is_old, get(old, 4))})
+    is_iso, old = F.col("_iso").isNotNull(), F.col("_old")
+    rows = rows.withColumn("_ts", F.when(is_iso, iso_timestamp(F.col("_iso"), settings.zone)).otherwise(syslog_timestamp(get(old, 0), get(old, 1), get(old, 2), settings.year, settings.zone)))
+    tag = F.substring_index("_rest", ":", 1)  # the program, perhaps with its number in brackets
+    rows = rows.withColumns({"_process": F.when(F.contains("_rest", F.lit(":")), F.regexp_replace(tag, r"\[\d+\]$", "")).otherwise(""), "_said": _stripped(F.expr("substring(_rest, instr(_rest, ':') + 1)"))})
     rows = rows.withColumn("_times", F.regexp_extract("_said", REPEATED, 1))
     is_repeat = F.col("_times") != ""
-    rows = rows.withColumns({"_said": F.when(is_repeat, F.regexp_extract("_said", REPEATED, 2)).otherwise(F.col("_said")), "_n": F.when(is_repeat, F.col("_times").try_cast("int")).otherwise(1)})
-    said = F.col("_said")
-    accepted, failed = F.regexp_extract(said, ACCEPTED, 1) != "", said.rlike(FAILED)
-    raw = F.when(accepted, F.regexp_extract(said, ACCEPTED, 2)).otherwise(F.regexp_extract(said, FAILED, 3))
-    rows = rows.withColumns({"_ok": accepted, "_failed": failed, "_ip": normalize_ip(F.when(accepted | failed, raw))})
-    user = F.when(F.col("_ok"), F.regexp_extract(said, ACCEPTED, 1)).otherwise(F.coalesce(F.nullif(F.regexp_extract(said, FAILED, 2), F.lit("")), F.lit(EMPTY_USER)))
-    no_header = ~is_iso & (F.col("_month") == "")
+    rows = rows.withColumns({"_said": F.when(is_repeat, _stripped(F.regexp_extract("_said", REPEATED, 2))).otherwise(F.col("_said")), "_n": F.when(is_repeat, F.col("_times").try_cast("int")).otherwise(1)})
+    said, part = F.col("_said"), lambda k: F.regexp_extract("_said", ATTEMPT, k)
+    rows = rows.withColumns({"_verb": part(1), "_unknown": part(2) != "", "_account": part(3), "_raw": part(4)})
+    accepted = (F.col("_verb") == "Accepted") & ~F.col("_unknown") & (F.col("_account") != "")
+    rows = rows.withColumns({"_ok": accepted, "_failed": F.col("_verb") == "Failed", "_ip": normalize_ip(F.when(F.col("_verb") != "", F.col("_raw")))})
+    user = F.when(F.col("_account") == "", EMPTY_USER).otherwise(F.col("_account"))
+    no_header = ~is_iso & old.isNull()
     bad_header = no_header | F.col("_ts").isNull()
     other = ~F.col("_process").isin(*SSH_PROCESSES)
     bad_repeat = F.coalesce(~F.col("_n").between(1, MOST_REPEATS), F.lit(True))
     reason = _first_reason(
         (no_header, "no syslog header"),
         (is_iso & F.col("_ts").isNull(), iso_error(F.col("_iso"), F.col("_ts"))),
-        (~is_iso & month_number(F.col("_month")).isNull(), "unknown month"),
+        (~is_iso & month_number(get(old, 0)).isNull(), "unknown month"),
         (F.col("_ts").isNull(), NONEXISTENT),
         (bad_repeat, "repeat count out of range"),
         (~F.col("_ok") & ~F.col("_failed"), "incomplete login message"),
         (F.col("_ip").isNull(), BAD_IP),
     )
-    ignored = (t == "") | (~bad_header & (other | (~bad_repeat & ~said.rlike(LOGIN_LIKE))))
-    invalid = F.col("_failed") & ~F.col("_ok") & (F.regexp_extract(said, FAILED, 1) != "")
+    ignored = (t == "") | (~bad_header & (other | (~bad_repeat & ~said.rlike(rf"^{VERB}\b"))))
+    invalid = F.col("_failed") & F.col("_unknown")
     return _finish(rows, own, ignored, reason, ts=F.col("_ts"), user=user, ip=F.col("_ip"), outcome=F.when(F.col("_ok"), "success").otherwise("failure"), invalid_user=invalid, n=F.col("_n"))
 
 
@@ -168,7 +183,8 @@ def detect_formats(lines: DataFrame) -> DataFrame:
     """(source, fmt): csv by the file's name, else by the first of the first lines that looks like lab or syslog, else null."""
     head = lines.where((F.col("line_no") <= DETECTION_LINES)).withColumn("_t", _stripped(F.col("text")))
     usable = (F.col("_t") != "") & ~F.col("_t").startswith("#")
-    looks = F.when(usable & F.col("_t").rlike(LAB), "lab").when(usable & (F.col("_t").rlike(SYSLOG_ISO) | F.col("_t").rlike(SYSLOG)), "syslog")
+    _, _, is_old, is_iso = _header(F.col("_t"))
+    looks = F.when(usable & _is_lab(F.split("_t", r"\s+")), "lab").when(usable & (is_iso | is_old), "syslog")
     seen = head.withColumn("_f", looks).groupBy("source").agg(F.min_by("_f", F.when(F.col("_f").isNotNull(), F.col("line_no"))).alias("_f"))
     return seen.select("source", F.when(F.lower("source").endswith(".csv"), "csv").otherwise(F.col("_f")).alias("fmt"))
 

@@ -8,6 +8,7 @@ from dataclasses import replace
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 from emberlog.functions import time as times
 from emberlog.operators import bursts, counting
@@ -15,7 +16,7 @@ from emberlog.plans.inputs import BURSTS
 from emberlog.settings import BurstSettings, ParseSettings
 from emberlog.sources import logins
 
-START = datetime(2026, 9, 14, 8, 0, tzinfo=timezone.utc)
+START = datetime(2025, 3, 2, 21, 30, tzinfo=timezone.utc)
 
 
 def _lines(spark, *texts):
@@ -29,50 +30,62 @@ def _events(spark, rows):
 
 
 def test_lab_reasons(spark):
-    parsed = logins.parse_lab(_lines(
-        spark, "2026-09-14T08:10:02-06:00 LOGIN_FAILURE user=admin ip=203.0.113.50 method=password", "# note", "", "2026-09-14T08:10:02Z LOGIN_OTHER user=a ip=192.0.2.1", "free text",
-        "2026-09-14T08:10:02Z LOGIN_SUCCESS user=a", "2026-09-31T08:10:02Z LOGIN_SUCCESS user=a ip=192.0.2.1", "yesterday LOGIN_SUCCESS user=a ip=192.0.2.1", "2026-09-14T08:10:02Z LOGIN_SUCCESS user=a ip=999.1.1.1",
-        "2026-09-14T08:10:02 LOGIN_SUCCESS USER=a user=b ip=[2001:0db8::0025]", "2026-09-14T08:10:02Z LOGIN_SUCCESS user=a ip=::ffff:192.0.2.1 broken",
-    )).orderBy("line_no").collect()
-    assert [r["status"] for r in parsed] == ["event", "ignored", "ignored"] + ["unparsed"] * 6 + ["event", "unparsed"]
-    assert [r["reason"] for r in parsed[3:9]] == ["unknown event", "not a lab line", "missing ip=", "nonexistent date", "unrecognised timestamp", "invalid address"]
-    assert parsed[0]["ts"] == datetime(2026, 9, 14, 14, 10, 2) and (parsed[9]["user"], parsed[9]["ip"]) == ("b", "2001:db8::25")
-    assert parsed[10]["reason"] == "field without key=value"
+    cases = [
+        ("2025-03-02T23:45:00+02:15 LOGIN_SUCCESS user=mira ip=198.51.100.77 via=key", "event", None), ("   ", "ignored", None), ("#", "ignored", None),
+        ("2025-03-02T23:45:00Z LOGIN_RESET user=mira ip=198.51.100.77", "unparsed", "unknown event"), ("mira logged in", "unparsed", "not a lab line"), ("2025-03-02T23:45:00Z", "unparsed", "not a lab line"),
+        ("2025-03-02T23:45:00Z LOGIN_FAILURE ip=198.51.100.77", "unparsed", "missing user="), ("2025-03-02T23:45:00Z LOGIN_FAILURE user= ip=", "unparsed", "missing user=, ip="),
+        ("2025-02-29T23:45:00Z LOGIN_FAILURE user=mira ip=198.51.100.77", "unparsed", "nonexistent date"), ("02/03/2025 LOGIN_FAILURE user=mira ip=198.51.100.77", "unparsed", "unrecognised timestamp"),
+        ("2025-03-02T23:45:00Z LOGIN_FAILURE user=mira ip=198.51.100", "unparsed", "invalid address"), ("2025-03-02T23:45:00 LOGIN_FAILURE User=x ip=::1 USER=teo=2 IP=[2001:DB8:0::77]", "event", None),
+        ("2025-03-02T23:45:00Z LOGIN_FAILURE user=mira ip=::1 =odd", "unparsed", "field without key=value"), ("2025-03-02T23:45:00Z LOGIN_FAILURE", "unparsed", "missing user=, ip="),
+    ]
+    parsed = logins.parse_lab(_lines(spark, *(t for t, _, _ in cases))).orderBy("line_no").collect()
+    assert [(r["status"], r["reason"]) for r in parsed] == [x[1:] for x in cases]
+    assert parsed[0]["ts"] == datetime(2025, 3, 2, 21, 30) and parsed[0]["outcome"] == "success" and (parsed[11]["user"], parsed[11]["ip"]) == ("teo=2", "2001:db8::77")
 
 
 def test_syslog(spark):
-    parsed = logins.parse_syslog(_lines(
-        spark, "Sep 14 08:20:32 lab sshd[23]: Failed password for invalid user oracle from 198.51.100.23 port 40122 ssh2", "Sep 14 08:20:32 lab CRON[1]: session opened",
-        "Sep 14 08:20:32 lab sshd[23]: message repeated 2 times: [ Failed password for root from 198.51.100.23 port 40122 ssh2]", "Sep 31 08:20:32 lab CRON[1]: x", "no header",
-        "2026-09-14T08:20:32.5-06:00 lab sshd-session[9]: Accepted publickey for ana from 2001:db8::1 port 22 ssh2", "Sep 14 08:20:32 lab sshd[23]: Accepted password for", "Sep 14 08:20:32 lab sshd: Failed none for  from 192.0.2.1 port 1",
-        "Sep 14 08:20:32 lab sshd[2]: message repeated 20000 times: [ x]",
-    ), ParseSettings(year=2026, zone="America/Mexico_City")).orderBy("line_no").collect()
-    assert [r["status"] for r in parsed] == ["event", "ignored", "event", "unparsed", "unparsed", "event", "unparsed", "event", "unparsed"]
-    assert parsed[0]["invalid_user"] and parsed[0]["ts"] == datetime(2026, 9, 14, 14, 20, 32) and parsed[2]["n"] == 2 and parsed[7]["user"] == "(vacío)"
+    tail = "from 198.51.100.77 port 2222 ssh2"
+    cases = [
+        (f"Mar  2 21:30:00 gate sshd[5]: Failed publickey for invalid user guest {tail}", "event", None), ("Mar 2 21:30:00 gate cron[9]: done", "ignored", None), ("Mar 2 21:30:00 gate sshd without a colon", "ignored", None),
+        (f"Mar 2 21:30:00 gate sshd[5]: message repeated 7 times: [ Failed password for mira {tail} ]", "event", None), ("Feb 29 21:30:00 gate cron[9]: x", "unparsed", "nonexistent date"), ("Mrz 2 21:30:00 gate cron: x", "unparsed", "unknown month"), ("gate is up", "unparsed", "no syslog header"),
+        ("2025-03-02T21:30:00.25+00:30 gate sshd-session: Accepted password for teo from 2001:db8::77 port 9 ssh2", "event", None), ("2025-03-02T25:30:00Z gate cron: x", "unparsed", "nonexistent date"), ("Mar 2 21:30:00 gate sshd[5]: Failed password for mira", "unparsed", "incomplete login message"),
+        ("Mar 2 21:30:00 gate sshd[5]: Failed none for  from 192.0.2.77 port 4", "event", None), ("Mar 2 21:30:00 gate sshd[5]: Accepted none for  from 192.0.2.77 port 4", "unparsed", "incomplete login message"), ("Mar 2 21:30:00 gate sshd[5]: message repeated 0 times: [ x]", "unparsed", "repeat count out of range"),
+        ("Mar 2 21:30:00 gate sshd[5]: Failed password for mira from gate.example port 4", "unparsed", "invalid address"), ("Mar 2 21:30:00 gate sshd[5]: Connection closed", "ignored", None), ("", "ignored", None),
+    ]
+    parsed = logins.parse_syslog(_lines(spark, *(t for t, _, _ in cases)), ParseSettings(year=2025, zone="Europe/Madrid")).orderBy("line_no").collect()
+    assert [(r["status"], r["reason"]) for r in parsed] == [x[1:] for x in cases]
+    assert parsed[0]["invalid_user"] and parsed[0]["ts"] == datetime(2025, 3, 2, 20, 30) and parsed[3]["n"] == 7 and parsed[10]["user"] == "(vacío)"
+    assert parsed[7]["ts"] == datetime(2025, 3, 2, 21, 0, 0, 250_000) and not parsed[3]["invalid_user"]
 
 
 def test_csv(spark):
-    rows = _lines(spark, "Timestamp, User ,IP,Result,Extra", "2026-09-14T14:00:00Z,ana,192.0.2.1,SUCCESS,x", "2026-09-14T14:00:00Z,ana,,failure", "2026-09-14T14:00:00Z,ana,192.0.2.1,maybe")
+    rows = _lines(spark, "RESULT,note, Ip ,User,timestamp", "Failure,x,198.51.100.77,mira,2025-03-02 21:30:00Z", "success,x,198.51.100.77,,", "odd,,198.51.100.77,mira,2025-03-02 21:30:00Z", "")
     parsed = logins.parse_csv(rows).orderBy("line_no").collect()
-    assert [(r["line_no"], r["reason"]) for r in parsed] == [(2, None), (3, "empty columns: ip"), (4, "unknown result")]
+    assert [(r["line_no"], r["reason"]) for r in parsed] == [(2, None), (3, "empty columns: timestamp, user"), (4, "unknown result")]
     with pytest.raises(ValueError):
-        logins.parse_csv(_lines(spark, "a,b", "1,2"))
+        logins.parse_csv(_lines(spark, "user,ip", "x,y"))
 
 
 @pytest.mark.parametrize(("minutes", "expected"), [
-    ([0, 1, 2, 3], []), ([0, 1, 2, 3, 4], [5]), ([0, 1, 2, 3, 5], [5]), (list(range(12)), [12]), ([*range(5), *range(60, 65)], [5, 5]), ([0, 3, 4, 5, 6, 7, 8], [6]),
+    ([7, 8], []), ([1, 3, 6], [3]), ([1, 3, 6.1], []), ([0, 2, 4, 6, 8, 10, 12, 14], [8]), ([10, 11, 12, 90, 91, 92, 93], [3, 4]), ([0, 9, 11, 12, 13], [4]), ([5, 5, 5], [3]),
 ])
 def test_bursts_by_hand(spark, minutes, expected):
-    rows = _events(spark, [(m, "admin", f"192.0.2.{k}", "failure") for k, m in enumerate(minutes)])
-    found = bursts.burst_alerts(rows, BurstSettings(rules=("user",))).orderBy("first_us").collect()
+    rows = _events(spark, [(m, "mira", f"198.51.100.{k}", "failure") for k, m in enumerate(minutes)])
+    found = bursts.burst_alerts(rows, BurstSettings(rules=("user",), threshold=3)).orderBy("first_us").collect()
     assert [r["failures"] for r in found] == expected and all(r["n_related"] == r["failures"] for r in found)
 
 
 def test_success_after(spark):
-    base = [(m, "admin", "192.0.2.1", "failure") for m in range(5)]
-    for minute, severity in ((10, "alta"), (2.5, "alta"), (-1, "media"), (20, "media")):
-        events = _events(spark, [*base, (minute, "admin", "192.0.2.9", "success")])
-        assert [r["severity"] for r in bursts.detect_bursts(events, BurstSettings(rules=("user",))).collect()] == [severity]
+    base = [(m, "mira", "198.51.100.7", "failure") for m in (0, 1, 2)]
+    for minute, severity in ((0, "alta"), (1.5, "alta"), (17, "alta"), (-0.5, "media"), (17.1, "media")):
+        events = _events(spark, [*base, (minute, "mira", "198.51.100.8", "success")])
+        assert [r["severity"] for r in bursts.detect_bursts(events, BurstSettings(rules=("user",), threshold=3)).collect()] == [severity]
+
+
+def test_evidence_counts_repeats(spark):
+    rows = _events(spark, [(k, "mira", "198.51.100.7", "failure") for k in range(4)]).withColumn("n", F.lit(4))
+    found = bursts.burst_alerts(rows, BurstSettings(rules=("ip",))).first()
+    assert found["failures"] == 16 and [(e["line_no"], e["times"]) for e in found["evidence"]] == [(1, 4), (2, 4), (3, 2)]  # ten by default
 
 
 def test_bursts_against_a_sliding_window(spark):
@@ -103,15 +116,30 @@ def test_all_related_values_are_listed(spark):
 
 
 def test_ranking_and_settings(spark):
-    rows = [(0, "b", "x", "failure")] * 2 + [(0, "a", "x", "failure")] * 2 + [(0, "c", "x", "success")] * 5 + [(0, "c", "x", "failure")] + [(0, "d", "x", "success")] + [(0, "d", "x", "failure")] * 2
-    assert [r["key"] for r in counting.ranked(counting.counts_by(_events(spark, rows), "user")).collect()] == ["d", "a", "b", "c"]
-    for bad in ({"threshold": 1}, {"rules": ()}, {"window": timedelta(0)}, {"max_evidence": 0}):
+    attempts = {"kim": (4, 3), "lou": (0, 3), "max": (0, 3), "ned": (9, 1)}  # successes, failures
+    rows = [(0, user, "x", outcome) for user, counts in attempts.items() for outcome, n in zip(("success", "failure"), counts, strict=True) for _ in range(n)]
+    assert [r["key"] for r in counting.ranked(counting.counts_by(_events(spark, rows), "user")).collect()] == ["kim", "lou", "max", "ned"]
+    for bad in ({"threshold": 1}, {"rules": ()}, {"rules": ("host",)}, {"window": timedelta(0)}, {"success_after": timedelta(-1)}, {"max_evidence": 0}):
         with pytest.raises(ValueError):
             BurstSettings(**bad)
 
 
-def test_zones():
-    assert times.zone_of("-06:00").utcoffset(None) == timedelta(hours=-6)
-    for bad in ("Nowhere/City", "+25:00"):
+def test_zones_and_bounds():
+    assert [times.zone_of(z).utcoffset(START) for z in ("z", "+0345", " -11:30 ", "Asia/Tokyo")] == [timedelta(0), timedelta(hours=3, minutes=45), -timedelta(hours=11, minutes=30), timedelta(hours=9)]
+    for bad in ("Tokyo", "+24:00", "-03:60", "3", ""):
         with pytest.raises(ValueError):
             times.zone_of(bad)
+    utc = lambda *x: datetime(*x, tzinfo=timezone.utc)
+    assert times.date_bound("2025-03-02", "Asia/Tokyo") == utc(2025, 3, 1, 15) and times.date_bound("2025-03-02", "Asia/Tokyo", end=True) == utc(2025, 3, 2, 14, 59, 59, 999_999)
+    assert times.date_bound("2025-03-02t10:00:00.5z", "Asia/Tokyo", end=True) == utc(2025, 3, 2, 10, 0, 0, 500_000) and times.date_bound("2025-03-02 10:00:00", "+01:00") == utc(2025, 3, 2, 9)
+    for bad in ("2025-3-2", "20250302", "2025-02-30", "soon", "2025-03-02T10:00"):
+        with pytest.raises(ValueError):
+            times.date_bound(bad)
+
+
+def test_summer_time(spark):
+    zone, rows = "America/New_York", [("2024-11-03T01:30:00",), ("2024-03-10T02:30:00",), ("2024-07-01T00:00:00",)]  # repeated, left out, plain
+    local = spark.createDataFrame(rows, "x string")
+    got = local.select(times.iso_timestamp(F.col("x"), zone).alias("a"), times.to_utc(F.to_timestamp("x"), zone).alias("b"), times.format_timestamp(times.iso_timestamp(F.col("x"), zone), zone).alias("c")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got] == [datetime(2024, 11, 3, 5, 30), datetime(2024, 3, 10, 7, 30), datetime(2024, 7, 1, 4)]
+    assert [r["c"] for r in got] == ["2024-11-03 01:30:00-04:00", "2024-03-10 03:30:00-04:00", "2024-07-01 00:00:00-04:00"]
