@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions.text import clean_text, safe_csv_cell
 from emberlog.functions.time import format_duration, format_timestamp, iso_seconds, minutes_text
+from emberlog.scratch import scratch, stored
 from emberlog.settings import BurstSettings
 
 KEYS = ["rule", "key"]
@@ -51,18 +52,19 @@ def burst_members(events: DataFrame, settings: BurstSettings) -> DataFrame:
     return rows.withColumn("next", nearest).where(F.col("next.hot") - width <= F.col("us")).select(*KEYS, "us", "n", F.col("next.number").alias("burst"))
 
 
-def _member_failures(events: DataFrame, members: DataFrame, settings: BurstSettings) -> DataFrame:
-    return keyed(events.where("outcome = 'failure'"), settings).join(members.select(*KEYS, "us", "burst"), [*KEYS, "us"])
+def member_failures(events: DataFrame, settings: BurstSettings) -> DataFrame:
+    """The failures of all bursts with rule, key and burst, stored: everything that alerts say comes from them."""
+    rows = keyed(events.where("outcome = 'failure'"), settings).join(burst_members(events, settings).select(*KEYS, "us", "burst"), [*KEYS, "us"])
+    return stored(rows, f"{scratch(events.sparkSession, 'bursts')}/failures")
 
 
-def burst_evidence(events: DataFrame, settings: BurstSettings, members: DataFrame | None = None) -> DataFrame:
-    """(rule, key, burst, place, source, line_no, times): the first max_evidence failures of each burst, in reading order.
+def burst_evidence(failures: DataFrame, settings: BurstSettings) -> DataFrame:
+    """(rule, key, burst, place, source, line_no, times): the first max_evidence of member_failures of each burst, in reading order.
 
     A line that stands for several failures takes as many places; what goes beyond the limit is cut.
     """
-    rows = _member_failures(events, members if members is not None else burst_members(events, settings), settings)
-    order = Window.partitionBy(*KEYS, "burst").orderBy("us", *[c for c in ("file_idx", "line_no") if c in rows.columns], "source")
-    few = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= settings.max_evidence)  # limited before the shuffle
+    order = Window.partitionBy(*KEYS, "burst").orderBy("us", *[c for c in ("file_idx", "line_no") if c in failures.columns], "source")
+    few = failures.withColumn("place", F.row_number().over(order)).where(F.col("place") <= settings.max_evidence)  # limited before the shuffle
     before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     few = few.withColumn("before", before).where(F.col("before") < settings.max_evidence)
     return few.select(*KEYS, "burst", "place", "source", "line_no", F.least("n", settings.max_evidence - F.col("before")).cast("int").alias("times"))
@@ -73,16 +75,14 @@ def burst_alerts(events: DataFrame, settings: BurstSettings = BurstSettings()) -
 
     n_related counts all related values; related lists them in order, the first max_related of them if that is set.
     """
-    members = burst_members(events, settings)
-    alerts = members.groupBy(*KEYS, "burst").agg(F.sum("n").alias("failures"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
-    others = _member_failures(events, members, settings).select(*KEYS, "burst", "related").distinct()
-    order = Window.partitionBy(*KEYS, "burst").orderBy("related")
-    counted = others.groupBy(*KEYS, "burst").agg(F.count("*").alias("n_related"))
-    listed = others if settings.max_related is None else others.withColumn("place", F.row_number().over(order)).where(F.col("place") <= settings.max_related)
-    listed = listed.groupBy(*KEYS, "burst").agg(F.array_sort(F.collect_list("related")).alias("related"))
-    shown = burst_evidence(events, settings, members).groupBy(*KEYS, "burst").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "source", "line_no", "times"))), lambda x: F.struct(x["source"], x["line_no"], x["times"])).alias("evidence"))
-    joined = alerts.join(counted, [*KEYS, "burst"]).join(listed, [*KEYS, "burst"]).join(shown, [*KEYS, "burst"])
-    return joined.withColumn("duration_s", F.floor((F.col("last_us") - F.col("first_us")) / 1_000_000))
+    failures = member_failures(events, settings)
+    related = F.array_sort(F.collect_set("related")).alias("related")
+    alerts = failures.groupBy(*KEYS, "burst").agg(F.sum("n").alias("failures"), F.min("us").alias("first_us"), F.max("us").alias("last_us"), related)
+    alerts = alerts.withColumn("n_related", F.size("related").cast("bigint"))
+    if settings.max_related is not None:
+        alerts = alerts.withColumn("related", F.slice("related", 1, settings.max_related))
+    shown = burst_evidence(failures, settings).groupBy(*KEYS, "burst").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "source", "line_no", "times"))), lambda x: F.struct(x["source"], x["line_no"], x["times"])).alias("evidence"))
+    return alerts.join(shown, [*KEYS, "burst"]).withColumn("duration_s", F.floor((F.col("last_us") - F.col("first_us")) / 1_000_000))
 
 
 def attach_success(alerts: DataFrame, events: DataFrame, settings: BurstSettings = BurstSettings()) -> DataFrame:

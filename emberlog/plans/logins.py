@@ -110,7 +110,7 @@ def burst_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def burst_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bursts.burst_evidence(logins(spark, sf_dir), BURSTS)
+    return bursts.burst_evidence(bursts.member_failures(logins(spark, sf_dir), BURSTS), BURSTS)
 
 
 def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,7 +232,7 @@ SQL = {
     "burst_alerts": f"{_DETECT} SELECT rule, key, burst, failures, first_us, last_us, duration_s, n_related, related FROM detected",
     "burst_evidence": f"{_DETECT} SELECT * FROM evidence",
     "burst_success": f"{_DETECT} SELECT rule, key, first_us, last_us, failures, severity, success_us, success_line FROM detected",
-    "burst_multi_source": f"""WITH {_LOADED}, attempts AS (SELECT us, account, ip, outcome, source, 0 AS file_idx, line_no, 1 AS n FROM loaded WHERE status = 'event'){_BURSTS}
+    "burst_multi_source": f"""WITH {_LOADED}, attempts AS (SELECT us, account, ip, outcome, source, 0 AS file_idx, line_no, n FROM loaded WHERE status = 'event'){_BURSTS}
       SELECT rule, key, failures, first_us, last_us FROM alerts""",
     "detection_stats": f"""WITH {LOGINS}, seen AS (SELECT *, max(us) OVER (ORDER BY file_idx, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM logins)
       SELECT CAST(sum(n) AS BIGINT) AS events, CAST(sum(n) FILTER (WHERE outcome = 'failure') AS BIGINT) AS failures, CAST(sum(n) FILTER (WHERE outcome = 'success') AS BIGINT) AS successes,
