@@ -46,8 +46,7 @@ def load_json(spark: SparkSession, *paths: str) -> DataFrame:
     inner = F.try_variant_get("doc", "$.events", "variant")
     rows = F.when(kind(inner) == "ARRAY", inner).when(kind(F.col("doc")) == "ARRAY", F.col("doc"))
     checked = text.withColumn("list", F.when(rows.isNull(), F.raise_error(F.concat("name", F.lit(" holds no list of events")))).otherwise(rows))
-    checked.createOrReplaceTempView("emberlog_json_documents")
-    each = spark.sql("select name, pos, value from emberlog_json_documents, lateral variant_explode(list)")
+    each = spark.sql("select name, pos, value from {documents}, lateral variant_explode(list)", documents=checked)
     return each.select(F.concat("name", F.lit("["), (F.col("pos") + 1).cast("string"), F.lit("]")).alias("origin"), F.col("value").alias("row"), F.lit(None).cast("string").alias("bad"))
 
 
@@ -87,20 +86,27 @@ def normalize_severity(text: Column) -> Column:
     return F.when(own.isin(*SEVERITIES), own)
 
 
-def validated(rows: DataFrame) -> DataFrame:
+def _settled(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns that later expressions see as values: behind an inlined struct, they aren't copied into each use."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
+def validated(rows: DataFrame, zone: str = "UTC") -> DataFrame:
     """rows (origin, row variant, bad) with the columns of SECURITY_EVENT and reason: null if the row is valid.
 
+    zone: of timestamps without an offset. A number as text is as Spark writes it (a title 1.0 is `1`).
+
     The first check that fails gives the reason: an object, required fields, each text field's type and length, the
     title, the severity, the timestamp, the address.
     """
     kind = {c: F.regexp_extract(F.schema_of_variant(F.try_variant_get("row", f"$.{c}", "variant")), r"^\w+", 0) for c in FIELDS}
     text = {c: F.try_variant_get("row", f"$.{c}", "string") for c in FIELDS}
-    out = rows.withColumns({f"k_{c}": F.coalesce(k, F.lit("VOID")) for c, k in kind.items()} | {f"v_{c}": F.coalesce(t, F.lit("")) for c, t in text.items()} | {"k_row": F.regexp_extract(F.schema_of_variant("row"), r"^\w+", 0)})
+    out = _settled(rows, **{f"k_{c}": F.coalesce(k, F.lit("VOID")) for c, k in kind.items()}, **{f"v_{c}": F.coalesce(t, F.lit("")) for c, t in text.items()}, k_row=F.regexp_extract(F.schema_of_variant("row"), r"^\w+", 0))
     strip = lambda c: F.btrim(F.col(f"v_{c}"), F.lit(BLANKS))
     is_kind = lambda c, *kinds: F.col(f"k_{c}").isin(*kinds)
     absent = lambda c: is_kind(c, "VOID") | (is_kind(c, "STRING") & (F.col(f"v_{c}") == ""))
     numbers = ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "INT", "TINYINT", "SMALLINT")
-    out = out.withColumns({"ts": iso_timestamp(F.col("v_timestamp")), "severity": normalize_severity(F.col("v_severity")), "address": normalize_ip(F.col("v_ip"), brackets=False)})
+    out = _settled(out, ts=iso_timestamp(F.col("v_timestamp"), zone), severity=normalize_severity(F.col("v_severity"))).withColumn("address", normalize_ip(F.col("v_ip"), brackets=False))
     checks = [(F.col("bad").isNotNull(), F.col("bad")), (F.coalesce(F.col("k_row"), F.lit("")) != "OBJECT", F.lit("not an object"))]
     names = F.concat_ws(", ", *[F.when(absent(c), F.lit(c)) for c in REQUIRED])
     checks.append((names != "", F.concat(F.lit("missing fields: "), names)))
