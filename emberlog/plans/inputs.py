@@ -62,10 +62,10 @@ LAB = LOGINS + """, lab AS (
 def syslog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each attempt as an auth.log line, repeats summed up; 29: another process, 23: incomplete, 19: bad date, 17: bad address."""
     said = F.when(F.col("outcome") == "success", F.concat(F.lit("Accepted password for "), "user")).otherwise(F.concat(F.lit("Failed password for "), F.when(F.col("invalid_user"), "invalid user ").otherwise(""), "user"))
-    said = F.when(F.col("event_id") % 23 == 0, said).otherwise(F.concat(said, F.lit(" from "), "addr", F.lit(" port 40122 ssh2")))
+    said = F.when(F.col("event_id") % 23 == 0, said).otherwise(F.concat(said, F.lit(" from "), "addr", F.lit(" port 51877 ssh2")))
     said = F.when(F.col("n") > 1, F.concat(F.lit("message repeated "), "n", F.lit(" times: [ "), said, F.lit("]"))).otherwise(said)
     date = F.when(F.col("event_id") % 19 == 0, "Feb 31 10:00:00").otherwise(F.date_format("ts", "MMM d HH:mm:ss"))
-    process = F.when(F.col("event_id") % 29 == 0, "CRON[7]: ").otherwise("sshd[2301]: ")
+    process = F.when(F.col("event_id") % 29 == 0, "CRON[7]: ").otherwise("sshd[777]: ")
     rows = _spoilt(_attempts(spark, sf_dir))
     return rows.select(F.concat("source", F.lit(".auth")).alias("source"), "file_idx", "line_no", F.concat(date, F.lit(" host "), process, said).alias("text"))
 
@@ -108,9 +108,6 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 DOCUMENT_LINES = """lines AS (
   SELECT doc_id AS source, unnest(l) AS text, CAST(generate_subscripts(l, 1) AS BIGINT) AS line_no
   FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"""
-#: The IPv4 addresses of a line in SQL, as find_ips gives them.
-IPV4_SQL = r"list_filter(list_transform(regexp_extract_all(text, '[0-9A-Fa-f:.]{3,45}'), lambda x: trim(x, '.:')), lambda x: regexp_full_match(x, '((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])'))"
-
 
 def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(origin, row, bad): each row of events as a security event; some are spoilt."""

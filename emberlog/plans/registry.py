@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.plans import logins, report, search
+from emberlog.plans import functions, logins, report, search
 
-PARTS = (logins, search, report)
+PARTS = (logins, search, report, functions)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

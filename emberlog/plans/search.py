@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.operators import search
-from emberlog.plans.inputs import DOCUMENT_LINES, IPV4_SQL, LAB, document_lines, lab_lines
+from emberlog.plans.inputs import DOCUMENT_LINES, LAB, document_lines, lab_lines
+from emberlog.sources.lines import LONGEST, cut_lines
 
 WORDS = ("the", "und")
 
@@ -28,7 +29,8 @@ def search_case(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_cidr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _found(spark, sf_dir, cidrs=("10.0.0.0/8", "192.168.7.9/16"))
+    q = search.query(cidrs=("192.0.2.70/26", "198.51.100.0/24", "2001:db8::/32"))
+    return search.matches(lab_lines(spark, sf_dir), q).select("source", "line_no")
 
 
 def search_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,12 +56,12 @@ def search_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.search(document_lines(spark, sf_dir), search.query(**_CAPPED), context=2, most=3)
+    found = search.search(document_lines(spark, sf_dir), search.query(**_CAPPED), context=2)
     return found.select("source", "line_no", "is_match", "block")
 
 
 def search_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search_stats(document_lines(spark, sf_dir), search.query(**_CAPPED), most=3)
+    return search.search_stats(cut_lines(document_lines(spark, sf_dir)), search.query(**_CAPPED))
 
 
 def undated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,26 +77,26 @@ _LINES = f"WITH {DOCUMENT_LINES}"
 _SHOWN = LAB + """, shown AS (
   SELECT file AS source, line_no, event_id, CASE WHEN event_id % 29 != 0 AND event_id % 17 != 0 THEN ip END AS addr, CASE WHEN event_id % 29 != 0 AND event_id % 19 != 0 THEN ts END AS moment,
     event_id % 29 != 0 AND event_id % 23 != 0 AND outcome = 'failure' AS failed FROM lab)"""
-_CAP = f"""{_LINES}, hits AS (SELECT source, line_no, row_number() OVER (PARTITION BY source ORDER BY line_no) AS place FROM lines WHERE contains(text, 'an')),
-found AS (SELECT source, line_no FROM hits WHERE place <= 3), stops AS (SELECT source, line_no AS stop FROM hits WHERE place = 4)"""
+_CAP_AT = lambda most: f"""{_LINES}, hits AS (SELECT source, line_no, row_number() OVER (PARTITION BY source ORDER BY line_no) AS place FROM lines WHERE contains(text, 'an')),
+found AS (SELECT source, line_no FROM hits WHERE place <= {most}), stops AS (SELECT source, line_no AS stop FROM hits WHERE place = {most + 1})"""
+_CAP = _CAP_AT(search.MOST_MATCHES)
 _RANGE = lambda a, b: f"moment >= TIMESTAMP '{a}' AND moment <= TIMESTAMP '{b}'"
 
 SQL = {
     "search_any": f"{_LINES} SELECT source, line_no FROM lines WHERE {_ANY[0]} OR {_ANY[1]}",
     "search_all": f"{_LINES} SELECT source, line_no FROM lines WHERE {_ANY[0]} AND {_ANY[1]}",
     "search_case": f"{_LINES} SELECT source, line_no FROM lines WHERE contains(text, 'The')",
-    "search_cidr": f"""{_LINES}, found AS (SELECT source, line_no, unnest({IPV4_SQL}) AS ip FROM lines WHERE regexp_matches(text, '[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+'))
-      SELECT DISTINCT source, line_no FROM found WHERE starts_with(ip, '10.') OR starts_with(ip, '192.168.')""",
+    "search_cidr": f"WITH {_SHOWN} SELECT source, line_no FROM shown WHERE CAST(split_part(addr, '.', 4) AS INTEGER) BETWEEN 64 AND 127",
     "search_ip": f"WITH {_SHOWN} SELECT source, line_no FROM shown WHERE addr IN ('192.0.2.1', '192.0.2.20')",
     "search_dates": f"WITH {_SHOWN} SELECT source, line_no FROM shown WHERE {_RANGE('2024-01-05 00:00:00', '2024-01-07 12:00:00')}",
     "search_combined": f"WITH {_SHOWN} SELECT source, line_no FROM shown WHERE failed AND CAST(split_part(addr, '.', 4) AS INTEGER) < 64 AND {_RANGE('2024-01-05 00:00:00', '2024-01-15 23:59:59.999999')}",
-    "search_capped": f"{_CAP} SELECT source, line_no FROM found",
+    "search_capped": f"{_CAP_AT(3)} SELECT source, line_no FROM found",
     "search_context": f"""{_CAP}, near AS (SELECT source, unnest(range(line_no - 2, line_no + 3)) AS line_no, line_no AS hit FROM found),
       kept AS (SELECT n.source, n.line_no, bool_or(n.line_no = n.hit) AS is_match FROM near n JOIN lines l ON l.source = n.source AND l.line_no = n.line_no
         LEFT JOIN stops s ON s.source = n.source WHERE s.stop IS NULL OR n.line_no < s.stop GROUP BY n.source, n.line_no),
       gaps AS (SELECT *, CASE WHEN line_no - lag(line_no) OVER (PARTITION BY source ORDER BY line_no) = 1 THEN 0 ELSE 1 END AS gap FROM kept)
       SELECT source, line_no, is_match, CAST(sum(gap) OVER (PARTITION BY source ORDER BY line_no) AS BIGINT) AS block FROM gaps""",
-    "search_stats": f"""{_CAP} SELECT l.source, max(l.line_no) AS lines_read, least(count(*) FILTER (WHERE contains(text, 'an')), 3) AS matches, CAST(0 AS BIGINT) AS undated, CAST(0 AS BIGINT) AS truncated,
+    "search_stats": f"""{_CAP} SELECT l.source, max(l.line_no) AS lines_read, least(count(*) FILTER (WHERE contains(left(text, {LONGEST}), 'an')), {search.MOST_MATCHES}) AS matches, CAST(0 AS BIGINT) AS undated, count(*) FILTER (WHERE length(text) > {LONGEST}) AS truncated,
       max(stop) IS NOT NULL AS stopped_early FROM lines l LEFT JOIN stops s ON s.source = l.source WHERE stop IS NULL OR l.line_no <= stop GROUP BY l.source""",
     "undated_lines": f"""WITH {_SHOWN} SELECT source, max(line_no) AS lines_read, count(*) FILTER (WHERE {_RANGE('2024-01-05 00:00:00', '2024-01-07 23:59:59.999999')}) AS matches,
       count(*) FILTER (WHERE moment IS NULL) AS undated, CAST(0 AS BIGINT) AS truncated, false AS stopped_early FROM shown GROUP BY source""",
