@@ -10,7 +10,7 @@ Failures of one key at one instant are summed first, so a key under attack is on
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.text import clean_text, safe_csv_cell
@@ -159,6 +159,10 @@ def explanations(alerts: DataFrame, settings: BurstSettings = BurstSettings(), z
     return alerts.withColumn("explanation", F.transform(sentences, clean_text))
 
 
+def _location(success: Column) -> Column:
+    return F.when(success.isNotNull(), F.concat_ws(":", success["source"], success["line_no"].cast("string")))
+
+
 def alerts_flat(alerts: DataFrame) -> DataFrame:
     """Alerts as text cells for CSV."""
     when = lambda us: iso_seconds(F.timestamp_micros(us))
@@ -166,14 +170,15 @@ def alerts_flat(alerts: DataFrame) -> DataFrame:
     s = F.col("success")
     return alerts.select(
         "rule", safe_csv_cell(F.col("key")).alias("key"), "severity", when(F.col("first_us")).alias("first_seen"), when(F.col("last_us")).alias("last_seen"), "duration_s", "failures", "n_related",
-        safe_csv_cell(F.array_join("related", " ")).alias("related"), safe_csv_cell(F.array_join(places, " ")).alias("evidence"), when(s["us"]).alias("success_at"),
+        safe_csv_cell(F.array_join("related", " ")).alias("related"), safe_csv_cell(F.array_join(places, " ")).alias("evidence"), when(s["us"]).alias("success_at"), safe_csv_cell(_location(s)).alias("success_location"),
     )
 
 
 def alerts_json(alerts: DataFrame) -> DataFrame:
-    """(rule, key, first_us, json): each alert as one JSON record."""
+    """(rule, key, first_us, json): each alert, with its explanation if there is one, as one JSON record; no success is null."""
     when = lambda us: iso_seconds(F.timestamp_micros(us))
     s = F.col("success")
-    win = F.when(s.isNotNull(), F.struct(when(s["us"]).alias("timestamp"), s["user"].alias("user"), s["ip"].alias("ip"), F.concat_ws(":", s["source"], s["line_no"].cast("string")).alias("location")))
-    record = F.struct("rule", "key", "severity", when(F.col("first_us")).alias("first_seen"), when(F.col("last_us")).alias("last_seen"), "duration_s", "failures", "related", "evidence", win.alias("success_after"))
-    return alerts.select("rule", "key", "first_us", F.to_json(record).alias("json"))
+    win = F.when(s.isNotNull(), F.struct(when(s["us"]).alias("timestamp"), s["user"].alias("user"), s["ip"].alias("ip"), _location(s).alias("location")))
+    more = ["explanation"] if "explanation" in alerts.columns else []
+    record = F.struct("rule", "key", "severity", when(F.col("first_us")).alias("first_seen"), when(F.col("last_us")).alias("last_seen"), "duration_s", "failures", "related", "evidence", win.alias("success_after"), *more)
+    return alerts.select("rule", "key", "first_us", F.to_json(record, {"ignoreNullFields": "false"}).alias("json"))

@@ -151,7 +151,7 @@ def alerts_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alerts_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bursts.alerts_json(_detected(spark, sf_dir))
+    return bursts.alerts_json(bursts.explanations(_detected(spark, sf_dir), BURSTS))
 
 
 NAMES = (
@@ -205,6 +205,14 @@ _SECONDS = lambda us: f"strftime(make_timestamp(CAST({us} AS BIGINT)), '%Y-%m-%d
 _LOCAL = lambda us: f"strftime(make_timestamp(CAST({us} AS BIGINT)), '%Y-%m-%d %H:%M:%S') || '+00:00'"
 _SPAN = lambda s: f"CASE WHEN {s} >= 3600 THEN ({s} // 3600) || ' h ' || ({s} % 3600 // 60) || ' min ' || ({s} % 60) || ' s' WHEN {s} >= 60 THEN ({s} // 60) || ' min ' || ({s} % 60) || ' s' ELSE {s} || ' s' END"
 
+#: The sentences of an alert's explanation.
+_SENTENCES = f"""failures || ' failed attempts from ' || {_LOCAL('first_us')} || ' to ' || {_LOCAL('last_us')} || ' (' || {_SPAN('duration_s')} || ').',
+        'Rule: 3 or more failures in a window of 720 min.',
+        CASE rule WHEN 'user' THEN 'Addresses' ELSE 'Accounts' END || ' (' || n_related || '): ' || replace(related, ' ', ', '),
+        CASE WHEN success_us IS NULL THEN 'No successful login of the same ' || CASE rule WHEN 'user' THEN 'account' ELSE 'address' END || ' up to 720 min after the burst.'
+          ELSE 'Successful login ' || CASE WHEN success_us <= last_us THEN 'during the burst' ELSE ({_SPAN('((success_us - last_us) // 1000000)')}) || ' after the last failure' END
+            || ': ' || {_LOCAL('success_us')} || CASE rule WHEN 'user' THEN ' from ' ELSE ' as ' END || success_related || ' (' || success_source || ':' || success_line || '). Check whether it was legitimate.' END"""
+
 SQL = {
     "parse_lab": _parse_sql(LAB, "lab", "line_no", "us", "false", "1"),
     "parse_syslog": _parse_sql(SYSLOG, "syslog", "line_no", _SYSLOG_US, _INVALID, "n"),
@@ -243,22 +251,15 @@ SQL = {
         SELECT rule, key, burst, source, min(place) AS place, line_no || CASE WHEN sum(times) > 1 THEN ' (x' || CAST(sum(times) AS BIGINT) || ')' ELSE '' END AS label FROM evidence GROUP BY rule, key, burst, source, line_no),
       parts AS (SELECT rule, key, burst, min(place) AS place, source || ': ' || string_agg(label, ', ' ORDER BY place) AS part FROM labels GROUP BY rule, key, burst, source)
       SELECT rule, key, burst, string_agg(part, '; ' ORDER BY place) AS text FROM parts GROUP BY rule, key, burst""",
-    "alert_explanations": f"""{_DETECT} SELECT rule, key, first_us, concat_ws(' / ',
-        failures || ' failed attempts from ' || {_LOCAL('first_us')} || ' to ' || {_LOCAL('last_us')} || ' (' || {_SPAN('duration_s')} || ').',
-        'Rule: 3 or more failures in a window of 720 min.',
-        CASE rule WHEN 'user' THEN 'Addresses' ELSE 'Accounts' END || ' (' || n_related || '): ' || replace(related, ' ', ', '),
-        CASE WHEN success_us IS NULL THEN 'No successful login of the same ' || CASE rule WHEN 'user' THEN 'account' ELSE 'address' END || ' up to 720 min after the burst.'
-          ELSE 'Successful login ' || CASE WHEN success_us <= last_us THEN 'during the burst' ELSE ({_SPAN('((success_us - last_us) // 1000000)')}) || ' after the last failure' END
-            || ': ' || {_LOCAL('success_us')} || CASE rule WHEN 'user' THEN ' from ' ELSE ' as ' END || success_related || ' (' || success_source || ':' || success_line || '). Check whether it was legitimate.' END
-      ) AS explanation FROM detected""",
+    "alert_explanations": f"""{_DETECT} SELECT rule, key, first_us, concat_ws(' / ', {_SENTENCES}) AS explanation FROM detected""",
     "alerts_flat": f"""{_DETECT}, places AS (SELECT rule, key, burst, string_agg(repeat(source || ':' || line_no || ' ', times), '' ORDER BY place) AS evidence FROM evidence GROUP BY rule, key, burst)
-      SELECT rule, key, severity, {_SECONDS('first_us')} AS first_seen, {_SECONDS('last_us')} AS last_seen, duration_s, failures, n_related, related, trim(evidence) AS evidence, {_SECONDS('success_us')} AS success_at
+      SELECT rule, key, severity, {_SECONDS('first_us')} AS first_seen, {_SECONDS('last_us')} AS last_seen, duration_s, failures, n_related, related, trim(evidence) AS evidence, {_SECONDS('success_us')} AS success_at, success_source || ':' || success_line AS success_location
       FROM detected JOIN places USING (rule, key, burst)""",
     "alerts_json": f"""{_DETECT}, shown AS (
         SELECT rule, key, burst, string_agg('{{"source":"' || source || '","line_no":' || line_no || ',"times":' || times || '}}', ',' ORDER BY place) AS evidence FROM evidence GROUP BY rule, key, burst)
       SELECT rule, key, first_us, '{{"rule":"' || rule || '","key":"' || key || '","severity":"' || severity || '","first_seen":"' || {_SECONDS('first_us')} || '","last_seen":"' || {_SECONDS('last_us')}
         || '","duration_s":' || duration_s || ',"failures":' || failures || ',"related":["' || replace(related, ' ', '","') || '"],"evidence":[' || evidence || ']'
-        || CASE WHEN success_us IS NULL THEN '' ELSE ',"success_after":{{"timestamp":"' || {_SECONDS('success_us')} || '","user":"' || CASE rule WHEN 'user' THEN key ELSE success_related END
-          || '","ip":"' || CASE rule WHEN 'user' THEN success_related ELSE key END || '","location":"' || success_source || ':' || success_line || '"}}' END || '}}' AS json
+        || ',"success_after":' || CASE WHEN success_us IS NULL THEN 'null' ELSE '{{"timestamp":"' || {_SECONDS('success_us')} || '","user":"' || CASE rule WHEN 'user' THEN key ELSE success_related END
+          || '","ip":"' || CASE rule WHEN 'user' THEN success_related ELSE key END || '","location":"' || success_source || ':' || success_line || '"}}' END || ',"explanation":["' || array_to_string([{_SENTENCES}], '","') || '"]}}' AS json
       FROM detected JOIN shown USING (rule, key, burst)""",
 }

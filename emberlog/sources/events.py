@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog.functions.columns import settled
 from emberlog.functions.ip import normalize_ip
 from emberlog.functions.time import iso_error, iso_timestamp
 from emberlog.schemas import SEVERITIES, SEVERITY_ALIASES
@@ -86,11 +87,6 @@ def normalize_severity(text: Column) -> Column:
     return F.when(own.isin(*SEVERITIES), own)
 
 
-def _settled(rows: DataFrame, **columns: Column) -> DataFrame:
-    """rows with columns that later expressions see as values: behind an inlined struct, they aren't copied into each use."""
-    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
-
-
 def validated(rows: DataFrame, zone: str = "UTC") -> DataFrame:
     """rows (origin, row variant, bad) with the columns of SECURITY_EVENT and reason: null if the row is valid.
 
@@ -101,12 +97,12 @@ def validated(rows: DataFrame, zone: str = "UTC") -> DataFrame:
     """
     kind = {c: F.regexp_extract(F.schema_of_variant(F.try_variant_get("row", f"$.{c}", "variant")), r"^\w+", 0) for c in FIELDS}
     text = {c: F.try_variant_get("row", f"$.{c}", "string") for c in FIELDS}
-    out = _settled(rows, **{f"k_{c}": F.coalesce(k, F.lit("VOID")) for c, k in kind.items()}, **{f"v_{c}": F.coalesce(t, F.lit("")) for c, t in text.items()}, k_row=F.regexp_extract(F.schema_of_variant("row"), r"^\w+", 0))
+    out = settled(rows, **{f"k_{c}": F.coalesce(k, F.lit("VOID")) for c, k in kind.items()}, **{f"v_{c}": F.coalesce(t, F.lit("")) for c, t in text.items()}, k_row=F.regexp_extract(F.schema_of_variant("row"), r"^\w+", 0))
     strip = lambda c: F.btrim(F.col(f"v_{c}"), F.lit(BLANKS))
     is_kind = lambda c, *kinds: F.col(f"k_{c}").isin(*kinds)
     absent = lambda c: is_kind(c, "VOID") | (is_kind(c, "STRING") & (F.col(f"v_{c}") == ""))
     numbers = ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "INT", "TINYINT", "SMALLINT")
-    out = _settled(out, ts=iso_timestamp(F.col("v_timestamp"), zone), severity=normalize_severity(F.col("v_severity"))).withColumn("address", normalize_ip(F.col("v_ip"), brackets=False))
+    out = settled(out, ts=iso_timestamp(F.col("v_timestamp"), zone), severity=normalize_severity(F.col("v_severity"))).withColumn("address", normalize_ip(F.col("v_ip"), brackets=False))
     checks = [(F.col("bad").isNotNull(), F.col("bad")), (F.coalesce(F.col("k_row"), F.lit("")) != "OBJECT", F.lit("not an object"))]
     names = F.concat_ws(", ", *[F.when(absent(c), F.lit(c)) for c in REQUIRED])
     checks.append((names != "", F.concat(F.lit("missing fields: "), names)))

@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.functions.columns import settled
 from emberlog.functions.ip import normalize_ip
 from emberlog.functions.text import shortened
 from emberlog.functions.time import NONEXISTENT, iso_error, iso_timestamp, month_number, syslog_timestamp
 from emberlog.schemas import EMPTY_USER
+from emberlog.scratch import scratch, stored
 from emberlog.settings import ParseSettings
 
 #: One attempt as sshd reports it: how it ended, whether the account is unknown, the account, the address.
@@ -83,10 +85,10 @@ def _header(text: Column) -> tuple[Column, Column, Column, Column]:
 def parse_lab(lines: DataFrame, settings: ParseSettings = ParseSettings()) -> DataFrame:
     """`<ISO timestamp> LOGIN_SUCCESS|LOGIN_FAILURE user=<u> ip=<ip> [key=value ...]`; blank lines and # are ignored."""
     own, t = lines.columns, F.col("_t")
-    rows = lines.withColumn("_t", _stripped(F.col("text"))).withColumn("_words", F.split("_t", r"\s+"))
-    rows = rows.withColumns({"_when": F.get("_words", F.lit(0)), "_what": F.when(_is_lab(F.col("_words")), F.get("_words", F.lit(1))).otherwise(""), "_fields": F.slice("_words", 3, 1 << 20)})
-    rows = rows.withColumns({"_user": kv_value(F.col("_fields"), "user"), "_raw": kv_value(F.col("_fields"), "ip")})
-    rows = rows.withColumns({"_ts": iso_timestamp(F.col("_when"), settings.zone), "_ip": normalize_ip(F.col("_raw"))})
+    rows = settled(lines, _t=_stripped(F.col("text")))
+    rows = settled(rows, _words=F.split("_t", r"\s+"))
+    rows = settled(rows, _when=F.get("_words", F.lit(0)), _what=F.when(_is_lab(F.col("_words")), F.get("_words", F.lit(1))).otherwise(""), _fields=F.slice("_words", 3, 1 << 20))
+    rows = settled(rows, _user=kv_value(F.col("_fields"), "user"), _raw=kv_value(F.col("_fields"), "ip"), _ts=iso_timestamp(F.col("_when"), settings.zone)).withColumn("_ip", normalize_ip(F.col("_raw")))
     no_user, no_ip = F.col("_user") == "", F.col("_raw") == ""
     reason = _first_reason(
         (F.col("_what") == "", "not a lab line"),
@@ -106,20 +108,20 @@ def parse_syslog(lines: DataFrame, settings: ParseSettings = ParseSettings()) ->
     Header errors come before the choice of the process, and a repeat count out of range before the test for a login.
     """
     own, t, get = lines.columns, F.col("_t"), lambda words, k: F.get(words, F.lit(k))
-    rows = lines.withColumn("_t", _stripped(F.col("text")))
+    rows = settled(lines, _t=_stripped(F.col("text")))
     old, iso, is_old, is_iso = _header(t)
-    rows = rows.withColumns({"_iso": F.when(is_iso, get(iso, 0)), "_old": F.when(is_old & ~is_iso, old), "_rest": F.when(is_iso, get(iso, 2)).when(is_old, get(old, 4))})
+    rows = settled(rows, _iso=F.when(is_iso, get(iso, 0)), _old=F.when(is_old & ~is_iso, old), _rest=F.when(is_iso, get(iso, 2)).when(is_old, get(old, 4)))
     is_iso, old = F.col("_iso").isNotNull(), F.col("_old")
-    rows = rows.withColumn("_ts", F.when(is_iso, iso_timestamp(F.col("_iso"), settings.zone)).otherwise(syslog_timestamp(get(old, 0), get(old, 1), get(old, 2), settings.year, settings.zone)))
+    at = F.when(is_iso, iso_timestamp(F.col("_iso"), settings.zone)).otherwise(syslog_timestamp(get(old, 0), get(old, 1), get(old, 2), settings.year, settings.zone))
     tag = F.substring_index("_rest", ":", 1)  # the program, perhaps with its number in brackets
-    rows = rows.withColumns({"_process": F.when(F.contains("_rest", F.lit(":")), F.regexp_replace(tag, r"\[\d+\]$", "")).otherwise(""), "_said": _stripped(F.expr("substring(_rest, instr(_rest, ':') + 1)"))})
-    rows = rows.withColumn("_times", F.regexp_extract("_said", REPEATED, 1))
+    rows = settled(rows, _ts=at, _process=F.when(F.contains("_rest", F.lit(":")), F.regexp_replace(tag, r"\[\d+\]$", "")).otherwise(""), _said=_stripped(F.expr("substring(_rest, instr(_rest, ':') + 1)")))
+    rows = settled(rows, _times=F.regexp_extract("_said", REPEATED, 1))
     is_repeat = F.col("_times") != ""
-    rows = rows.withColumns({"_said": F.when(is_repeat, _stripped(F.regexp_extract("_said", REPEATED, 2))).otherwise(F.col("_said")), "_n": F.when(is_repeat, F.col("_times").try_cast("int")).otherwise(1)})
+    rows = settled(rows, _said=F.when(is_repeat, _stripped(F.regexp_extract("_said", REPEATED, 2))).otherwise(F.col("_said")), _n=F.when(is_repeat, F.col("_times").try_cast("int")).otherwise(1))
     said, part = F.col("_said"), lambda k: F.regexp_extract("_said", ATTEMPT, k)
-    rows = rows.withColumns({"_verb": part(1), "_unknown": part(2) != "", "_account": part(3), "_raw": part(4)})
+    rows = settled(rows, _verb=part(1), _unknown=part(2) != "", _account=part(3), _raw=part(4))
     accepted = (F.col("_verb") == "Accepted") & ~F.col("_unknown") & (F.col("_account") != "")
-    rows = rows.withColumns({"_ok": accepted, "_failed": F.col("_verb") == "Failed", "_ip": normalize_ip(F.when(F.col("_verb") != "", F.col("_raw")))})
+    rows = settled(rows, _ok=accepted, _failed=F.col("_verb") == "Failed").withColumn("_ip", normalize_ip(F.when(F.col("_verb") != "", F.col("_raw"))))
     user = F.when(F.col("_account") == "", EMPTY_USER).otherwise(F.col("_account"))
     no_header = ~is_iso & old.isNull()
     bad_header = no_header | F.col("_ts").isNull()
@@ -143,8 +145,8 @@ def parse_csv_row(rows: DataFrame, settings: ParseSettings = ParseSettings()) ->
     """Rows with the text columns of CSV_COLUMNS (null or blank: empty), parsed like lines."""
     own = [c for c in rows.columns if c not in CSV_COLUMNS]
     value = {c: F.coalesce(_stripped(F.col(c)), F.lit("")) for c in CSV_COLUMNS}
-    rows = rows.withColumns({f"_{c}": x for c, x in value.items()})
-    rows = rows.withColumns({"_ts": iso_timestamp(F.col("_timestamp"), settings.zone), "_address": normalize_ip(F.col("_ip"))})
+    rows = settled(rows, **{f"_{c}": x for c, x in value.items()})
+    rows = settled(rows, _ts=iso_timestamp(F.col("_timestamp"), settings.zone)).withColumn("_address", normalize_ip(F.col("_ip")))
     empty = [F.when(F.col(f"_{c}") == "", F.lit(c)) for c in CSV_COLUMNS]
     outcome = F.lower("_result")
     reason = _first_reason(
@@ -191,7 +193,8 @@ def detect_formats(lines: DataFrame) -> DataFrame:
 
 def load_events(lines: DataFrame, formats: DataFrame | None = None, settings: ParseSettings = ParseSettings()) -> DataFrame:
     """Lines of sources in any format, each parsed by its own; adds fmt. A source that no format fits raises ValueError."""
-    formats = formats if formats is not None else detect_formats(lines)
+    if formats is None:
+        formats = stored(detect_formats(lines), f"{scratch(lines.sparkSession, 'formats')}/found")  # a row a source, read for each format
     if unknown := [r["source"] for r in formats.where("fmt is null").limit(10).collect()]:
         raise ValueError(f"unknown format: {', '.join(unknown)}")
     kinds = [r["fmt"] for r in formats.select("fmt").distinct().collect()]  # three at most
