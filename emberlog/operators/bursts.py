@@ -5,12 +5,15 @@ that ends with it. Its members are the failures in the window of a hot one; it e
 window no longer reaches the last hot one. A failure only needs the nearest hot one at or after it, so windows over
 (rule, key) in time order find all bursts in one pass.
 
-Failures of one key at one instant are summed first, so a key under attack is one row for each instant.
+Failures of one key at one instant are summed first, so a key under attack is one row for each instant. Time is cut
+into spans of SPAN windows, and a key's spans are dealt to different tasks: a burst is decided by what lies two windows
+before and one after, so a span also gets copies of these few rows. Windows are running sums, in which a failure counts
+from its instant on and no longer once it's a window old, so the work doesn't grow with the failures in a window.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from emberlog.functions.text import clean_text, safe_csv_cell
@@ -19,6 +22,8 @@ from emberlog.scratch import scratch, stored
 from emberlog.settings import BurstSettings
 
 KEYS = ["rule", "key"]
+#: Windows in a span of time that one task looks through; 3 / SPAN of the rows are copied.
+SPAN = 32
 
 
 def keyed(events: DataFrame, settings: BurstSettings) -> DataFrame:
@@ -33,23 +38,48 @@ def _micros(delta) -> int:
     return round(delta.total_seconds() * 1_000_000)
 
 
+def _span(us: str, width: int) -> Column:
+    """The number of the span of SPAN widths that an instant lies in, exact for any bigint."""
+    return F.expr(f"({us} - pmod({us}, {SPAN * width})) div {SPAN * width}")
+
+
+def _spans(events: DataFrame, width: int, settings: BurstSettings) -> DataFrame:
+    """(rule, key, span, us, n, in_window, own): the instants that a span sees, own being those that lie in it; in_window holds from a window before the span on."""
+    points = keyed(events.where("outcome = 'failure'"), settings).groupBy(*KEYS, "us").agg(F.sum("n").alias("n"))
+    seen = F.explode(F.sequence(_span(f"(us - {width})", width), _span(f"(us + {2 * width})", width)))
+    # an instant comes, and goes again before what happens a microsecond after its last moment
+    change = F.explode(F.array(F.struct(F.col("us").alias("at"), F.lit(1).alias("comes"), F.col("n").alias("by")), F.struct((F.col("us") + width + 1).alias("at"), F.lit(0).alias("comes"), (-F.col("n")).alias("by"))))
+    rows = points.withColumn("span", seen).withColumn("change", change).select(*KEYS, "span", "us", "n", "change.*")
+    rows = rows.withColumn("in_window", F.sum("by").over(_in_span().rowsBetween(Window.unboundedPreceding, 0))).where("comes = 1")
+    return rows.withColumn("own", F.col("span") == _span("us", width))
+
+
+def _in_span(newest_first: bool = False) -> WindowSpec:
+    order = [F.col(c).desc() if newest_first else F.col(c) for c in ("at", "comes")]
+    return Window.partitionBy(*KEYS, "span").orderBy(*order)
+
+
 def window_counts(events: DataFrame, settings: BurstSettings) -> DataFrame:
     """(rule, key, us, n, in_window): failures of each instant, and those in the window that ends with it."""
-    points = keyed(events.where("outcome = 'failure'"), settings).groupBy(*KEYS, "us").agg(F.sum("n").alias("n"))
-    span = Window.partitionBy(*KEYS).orderBy("us").rangeBetween(-_micros(settings.window), 0)
-    return points.withColumn("in_window", F.sum("n").over(span))
+    return _spans(events, _micros(settings.window), settings).where("own").select(*KEYS, "us", "n", "in_window")
 
 
 def burst_members(events: DataFrame, settings: BurstSettings) -> DataFrame:
     """(rule, key, us, n, burst): the instants that belong to a burst; bursts of a key are numbered from 1."""
-    width, order = _micros(settings.window), Window.partitionBy(*KEYS).orderBy("us")
-    hot = F.when(F.col("in_window") >= settings.threshold, F.col("us"))
-    rows = window_counts(events, settings).withColumn("hot", hot)
-    rows = rows.withColumn("before", F.last("hot", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    opens = F.col("hot").isNotNull() & (F.col("before").isNull() | (F.col("before") < F.col("hot") - width))
-    rows = rows.withColumn("number", F.sum(opens.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    nearest = F.first(F.when(F.col("hot").isNotNull(), F.struct("hot", "number")), ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    return rows.withColumn("next", nearest).where(F.col("next.hot") - width <= F.col("us")).select(*KEYS, "us", "n", F.col("next.number").alias("burst"))
+    width = _micros(settings.window)
+    begin = F.col("span") * (SPAN * width)
+    hot = F.when((F.col("in_window") >= settings.threshold) & (F.col("us") >= begin - width), F.col("us"))
+    rows = _spans(events, width, settings).withColumn("hot", hot)
+    rows = rows.withColumn("before", F.last("hot", ignorenulls=True).over(_in_span().rowsBetween(Window.unboundedPreceding, -1)))
+    opens = F.col("hot").isNotNull() & (F.col("us") >= begin) & (F.col("before").isNull() | (F.col("before") < F.col("hot") - width))
+    rows = rows.withColumn("opens", opens.cast("bigint")).withColumn("number", F.sum("opens").over(_in_span().rowsBetween(Window.unboundedPreceding, 0)))
+    # backwards in time, since Spark works through a frame that ends with the last row anew for each row
+    nearest = F.last(F.when(F.col("hot").isNotNull(), F.struct("hot", "number")), ignorenulls=True).over(_in_span(newest_first=True).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("next", nearest).where(F.col("own") & (F.col("next.hot") - width <= F.col("us"))).select(*KEYS, "span", "us", "n", "opens", F.col("next.number").alias("number"))
+    rows = stored(rows, f"{scratch(events.sparkSession, 'bursts')}/members")
+    earlier = Window.partitionBy(*KEYS).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)  # one row a span
+    opened = rows.groupBy(*KEYS, "span").agg(F.sum("opens").alias("opens")).select(*KEYS, "span", F.coalesce(F.sum("opens").over(earlier), F.lit(0)).alias("earlier"))
+    return rows.join(opened, [*KEYS, "span"]).select(*KEYS, "us", "n", (F.col("earlier") + F.col("number")).alias("burst"))
 
 
 def member_failures(events: DataFrame, settings: BurstSettings) -> DataFrame:
@@ -88,24 +118,34 @@ def burst_alerts(events: DataFrame, settings: BurstSettings = BurstSettings()) -
 def attach_success(alerts: DataFrame, events: DataFrame, settings: BurstSettings = BurstSettings()) -> DataFrame:
     """alerts with success, the first success of the same key from the burst's start to success_after its end, and severity.
 
-    Forward as-of join: alerts and the successes of their keys stand in one ordered window, and each alert takes the
-    first success at or after its start, in reading order for equal times. So the work is linear in both.
+    Forward as-of join: alerts and the successes of their keys stand in one ordered window of each span of time, and an
+    alert takes the first success at or after its start, in reading order for equal times. An alert without one in its
+    span takes the first one of the spans after it, of which only one row a span is looked at. So the work is linear
+    in both, and a key with very many successes is dealt to several tasks.
     """
-    names = alerts.columns
+    names, width = alerts.columns, _micros(settings.window + settings.success_after)
     place = [F.col(c).cast("bigint") if c in events.columns else F.lit(0).cast("bigint") for c in ("file_idx", "line_no")]
-    wins = keyed(events.where("outcome = 'success'"), settings).join(alerts.select(*KEYS).distinct(), KEYS, "left_semi")
-    win = F.struct(F.col("us"), F.col("user"), F.col("ip"), F.col("source"), F.col("line_no")).alias("win")
-    right = wins.select(*KEYS, F.col("us").alias("at"), F.lit(1).alias("side"), place[0].alias("f"), place[1].alias("l"), win, F.lit(None).cast(alerts.select(F.struct(*names)).schema[0].dataType).alias("alert"))
-    left = alerts.select(*KEYS, F.col("first_us").alias("at"), F.lit(0).alias("side"), F.lit(0).cast("bigint").alias("f"), F.lit(0).cast("bigint").alias("l"), F.lit(None).cast(right.schema["win"].dataType).alias("win"), F.struct(*names).alias("alert"))
-    ahead = Window.partitionBy(*KEYS).orderBy("at", "side", "f", "l").rowsBetween(0, Window.unboundedFollowing)
-    found = left.unionByName(right).withColumn("found", F.first("win", ignorenulls=True).over(ahead)).where("side = 0")
-    reached = F.when(F.col("found.us") <= F.col("alert.last_us") + _micros(settings.success_after), F.col("found"))
+    win = F.struct("us", place[0].alias("f"), place[1].alias("l"), "user", "ip", "source", "line_no").alias("win")
+    wins = keyed(events.where("outcome = 'success'"), settings).select(*KEYS, _span("us", width).alias("span"), F.col("us").alias("at"), win)
+    kind = lambda df, c: df.schema[c].dataType
+    left = alerts.select(*KEYS, _span("first_us", width).alias("span"), F.col("first_us").alias("at"), F.lit(None).cast(kind(wins, "win")).alias("win"), F.struct(*names).alias("alert"))
+    firsts = wins.select(*KEYS, "span", "win").union(left.select(*KEYS, "span", "win")).groupBy(*KEYS, "span").agg(F.min("win").alias("win"))
+    later = Window.partitionBy(*KEYS).orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = firsts.select(*KEYS, "span", F.last("win", ignorenulls=True).over(later).alias("later"))
+    both = left.unionByName(wins.withColumn("alert", F.lit(None).cast(kind(left, "alert"))))
+    # backwards in time (see burst_members), an alert after the successes of its instant
+    ahead = Window.partitionBy(*KEYS, "span").orderBy(F.desc("at"), F.desc_nulls_last("win.f"), F.desc_nulls_last("win.l")).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("found", F.last("win", ignorenulls=True).over(ahead)).where("alert is not null").join(firsts, [*KEYS, "span"])
+    first = F.coalesce("found", "later")
+    shown = F.struct(*[first[c].alias(c) for c in ("us", "user", "ip", "source", "line_no")])
+    reached = F.when(first["us"] <= F.col("alert.last_us") + _micros(settings.success_after), shown)
     return found.select("alert.*", reached.alias("success")).withColumn("severity", F.when(F.col("success").isNull(), "media").otherwise("alta"))
 
 
 def detect_bursts(events: DataFrame, settings: BurstSettings = BurstSettings()) -> DataFrame:
     """Alerts with their successes, in the order first_us, rule, key."""
-    return attach_success(burst_alerts(events, settings), events, settings).orderBy("first_us", "rule", "key")
+    alerts = stored(burst_alerts(events, settings), f"{scratch(events.sparkSession, 'bursts')}/alerts")  # read twice
+    return attach_success(alerts, events, settings).orderBy("first_us", "rule", "key")
 
 
 def out_of_order(events: DataFrame, chunk: int = 100_000) -> DataFrame:

@@ -109,6 +109,32 @@ def test_bursts_against_a_sliding_window(spark):
     assert found == expected and len(found) > 5
 
 
+@pytest.mark.parametrize("span", [2, 3, 32])
+def test_bursts_and_successes_over_spans(spark, monkeypatch, span):
+    """Bursts go over the edges of spans, some with successes far behind; spans of every length find the same."""
+    monkeypatch.setattr(bursts, "SPAN", span)
+    rng, settings = random.Random(9), BurstSettings(rules=("user",), threshold=3, success_after=timedelta(minutes=40))
+    rows = [(rng.randrange(-900, 900) / 2, rng.choice("abc"), "192.0.2.1", "failure") for _ in range(700)] + [(rng.randrange(-400, 480), rng.choice("abc"), "192.0.2.2", "success") for _ in range(25)]
+    events, us = _events(spark, rows), lambda m: round((START + timedelta(minutes=m)).timestamp() * 1e6)
+    counts = {(r["key"], r["us"]): r["in_window"] for r in bursts.window_counts(events, settings).collect()}
+    at = lambda user: sorted(us(m) for m, u, _, o in rows if u == user and o == "failure")
+    width = us(5) - us(0)
+    assert counts == {(u, t): sum(t - width <= x <= t for x in at(u)) for u in "abc" for t in at(u)}
+    expected = set()
+    for user in "abc":
+        hots = sorted({t for t in at(user) if counts[user, t] >= 3})
+        groups = [[t] for t in hots[:1]]
+        for before, t in zip(hots[:-1], hots[1:], strict=True):
+            groups += [[t]] if before < t - width else []
+            groups[-1] += [] if before < t - width else [t]
+        for number, group in enumerate(groups, 1):
+            own = [x for x in at(user) if next((h for h in hots if h >= x), x + 2 * width) in group and any(h - width <= x <= h for h in group)]
+            wins = sorted(us(m) for m, u, _, o in rows if u == user and o == "success" and own[0] <= us(m) <= own[-1] + 8 * width)
+            expected.add((user, number, len(own), own[0], own[-1], wins[0] if wins else None))
+    found = {(r["key"], r["burst"], r["failures"], r["first_us"], r["last_us"], r["success"] and r["success"]["us"]) for r in bursts.detect_bursts(events, settings).collect()}
+    assert found == expected and len(found) > 20
+
+
 def test_all_related_values_are_listed(spark):
     users = [f"u{k:04}" for k in range(1_203)]  # one address sprays them all
     found = bursts.burst_alerts(_events(spark, [(0, u, "192.0.2.1", "failure") for u in users]), replace(BURSTS, rules=("ip",))).collect()
