@@ -91,12 +91,11 @@ CSV = LOGINS + """, csv AS (
   FROM logins)"""
 
 
-def files(spark: SparkSession, lines: DataFrame, label: str, suffix: str = ".log") -> list[str]:
-    """Writes lines (source, line_no, text) as text folders, one file for each of a few sources, and returns their paths."""
+def folders(spark: SparkSession, lines: DataFrame, label: str) -> list[str]:
+    """Writes lines (source, line_no, text) as text, a folder of parts in order for each of a few sources, and returns their paths."""
     path, sources = scratch(spark, label), sorted(r["source"] for r in lines.select("source").distinct().collect())
-    for s in sources:
-        lines.where(F.col("source") == s).orderBy("line_no").select("text").coalesce(1).write.text(f"{path}/{s}")
-    return [f"{path}/{s}" for s in sources]
+    lines.repartitionByRange("source", "line_no").sortWithinPartitions("source", "line_no").select("source", "text").write.partitionBy("source").text(path)
+    return [f"{path}/source={s}" for s in sources]
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

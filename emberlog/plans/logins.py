@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.operators import bursts, counting
-from emberlog.plans.inputs import BURSTS, CSV, LAB, LOGINS, PARSE, SYSLOG, csv_lines, files, lab_lines, logins, syslog_lines
+from emberlog.plans.inputs import BURSTS, CSV, LAB, LOGINS, PARSE, SYSLOG, csv_lines, folders, lab_lines, logins, syslog_lines
 from emberlog.scratch import scratch, stored
 from emberlog.sources import logins as parsers
 from emberlog.sources.lines import read_lines as numbered_lines
@@ -29,9 +29,9 @@ def parse_csv_logins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lab lines, written as text files and read back with their numbers."""
-    rows = numbered_lines(spark, *files(spark, lab_lines(spark, sf_dir), "lines"))
-    return rows.select(F.element_at(F.split("source", "/"), -2).alias("source"), "line_no", "text")
+    """The lab lines, written as text in several parts and read back with their numbers."""
+    rows = numbered_lines(spark, *folders(spark, lab_lines(spark, sf_dir), "lines"), folders=True)
+    return rows.select(F.element_at(F.split("source", "/source="), -1).alias("source"), "line_no", "text")
 
 
 def _all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,27 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from emberlog.scratch import scratch, stored
+
 LONGEST = 10_000
+#: Blocks whose first line numbers are broadcast, at most; with more, lines and blocks are joined by a shuffle.
+MOST_BROADCAST = 100_000
 
 
-def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
+def read_lines(spark: SparkSession, *paths: str, folders: bool = False) -> DataFrame:
     """(source, file_idx, line_no from 1, text) of text files; invalid UTF-8 bytes become U+FFFD.
 
-    Spark splits files into blocks. One pass counts the lines of each block, and the sums of the blocks before it
-    (a few numbers for each block) are joined to the second pass, so no line is moved to be numbered. file_idx is the
-    place of the file in the order of paths, then of names.
+    Spark splits files into blocks. The lines are read once and stored with their blocks, so that a second split, which
+    could differ where executors have come or gone, can't number them wrongly; the lines of the blocks before it, a few
+    numbers for each block, give a block its first number. So no line is moved to be numbered, unless there are more
+    than MOST_BROADCAST blocks. file_idx is the place of the file in the order of paths, then of names.
+
+    folders: each path is a folder, and its files in the order of their names are the parts of one source.
     """
+    file = F.col("_metadata.file_path")
+    source = F.regexp_replace(file, "/[^/]*$", "") if folders else file
     lines = spark.read.text(list(paths)).select(
-        F.make_valid_utf8("value").alias("text"), F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("order")
+        F.make_valid_utf8("value").alias("text"), source.alias("source"), file.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("order")
     )
-    counts = lines.groupBy("source", "block").agg(F.count("*").alias("n"), F.min("order").alias("first"))
-    before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("source", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    given = F.create_map(*[x for k, p in enumerate(paths) for x in (F.lit(p.rsplit("/", 1)[-1]), F.lit(k))])
+    path = scratch(spark, "lines")
+    lines = stored(lines, f"{path}/lines")
+    counts = lines.groupBy("source", "file", "block").agg(F.count("*").alias("n"), F.min("order").alias("first"))
+    counts = stored(counts, f"{path}/blocks")
+    before = Window.partitionBy("source").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    place = {p.rstrip("/").rsplit("/", 1)[-1]: k for k, p in reversed(list(enumerate(paths)))}  # equal names in several folders share a place
+    given = F.create_map(*[F.lit(x) for pair in place.items() for x in pair])
     rank = F.dense_rank().over(Window.orderBy(F.coalesce(F.try_element_at(given, F.element_at(F.split("source", "/"), -1)), F.lit(0)), "source")) - 1
     files = counts.select("source").distinct().withColumn("file_idx", rank)  # one row a file
-    numbered = lines.join(starts, ["source", "block"]).join(files, "source")
-    return numbered.select("source", "file_idx", (F.col("start") + F.col("order") - F.col("first") + 1).alias("line_no"), "text")
+    starts = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1).join(files, "source").select("file", "block", "file_idx", "start")
+    if counts.count() <= MOST_BROADCAST:
+        starts = F.broadcast(starts)
+    return lines.join(starts, ["file", "block"]).select("source", "file_idx", (F.col("start") + F.col("order")).alias("line_no"), "text")
 
 
 def cut_lines(lines: DataFrame, longest: int = LONGEST) -> DataFrame:

@@ -23,6 +23,29 @@ def test_numbered_and_cut_lines(spark, tmp_path):
     assert (found["lines_read"], found["matches"], found["truncated"], found["stopped_early"]) == (4, 1, 1, False)
 
 
+@pytest.mark.parametrize("most", [0, 100])
+def test_lines_of_split_files_and_folders(spark, tmp_path, monkeypatch, most):
+    """Files in blocks of 64 bytes, alone and as the parts of one source; with the blocks broadcast and not."""
+    monkeypatch.setattr(lines, "MOST_BROADCAST", most)
+    texts = {f"{folder}/part-{k}": [f"{folder}{k} line {i} {'x' * (i % 7)}" for i in range(5 + 9 * k)] for folder in ("p", "q") for k in range(3)}
+    for name, own in texts.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("\n".join(own) + "\n")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        alone = lines.read_lines(spark, f"{tmp_path}/p/part-2").collect()
+        both = lines.read_lines(spark, f"{tmp_path}/q", f"{tmp_path}/p", folders=True).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    twins = lines.read_lines(spark, f"{tmp_path}/q/part-0", f"{tmp_path}/p/part-0").select("source", "file_idx").distinct().collect()
+    assert sorted((r["file_idx"], r["source"][-8:]) for r in twins) == [(0, "p/part-0"), (1, "q/part-0")]  # equal names go by their folders
+    assert [t for _, t in sorted((r["line_no"], r["text"]) for r in alone)] == texts["p/part-2"] and {r["file_idx"] for r in alone} == {0}
+    for idx, folder in enumerate("qp"):
+        own = sorted((r["line_no"], r["text"]) for r in both if r["file_idx"] == idx)
+        assert own == list(enumerate([t for k in range(3) for t in texts[f"{folder}/part-{k}"]], 1))
+
+
 def test_event_files(spark, tmp_path):
     (tmp_path / "e.json").write_text('[{"timestamp": "2025-03-02T21:30:00", "severity": "Low", "title": 7, "ip": "::ffff:192.0.2.7"}, "text", {"severity": "low", "title": true}]')
     (tmp_path / "e.jsonl").write_text('{"timestamp": "2025-03-02T21:30:00Z", "severity": "grave", "title": "t"}\n\nnot json\n')
