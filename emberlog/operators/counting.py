@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.functions.time import iso_seconds
+from emberlog.sources.logins import unparsed_lines
 
 def _tally() -> list[Column]:
     count = lambda outcome: F.coalesce(F.sum(F.when(F.col("outcome") == outcome, F.col("n"))), F.lit(0))
@@ -16,11 +18,14 @@ def counts_by(events: DataFrame, key: str) -> DataFrame:
     return events.groupBy(F.col(key).alias("key")).agg(*_tally())
 
 
+def _totals() -> list[Column]:
+    invalid = F.coalesce(F.sum(F.when(F.col("invalid_user") & (F.col("outcome") == "failure"), F.col("n"))), F.lit(0))
+    return [*_tally(), invalid.alias("invalid_user_failures"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen")]
+
+
 def login_totals(events: DataFrame) -> DataFrame:
     """One row: totals, failure_rate in percent (null without attempts), failures of unknown accounts, first and last time."""
-    invalid = F.coalesce(F.sum(F.when(F.col("invalid_user") & (F.col("outcome") == "failure"), F.col("n"))), F.lit(0))
-    out = events.agg(*_tally(), invalid.alias("invalid_user_failures"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
-    return out.withColumn("failure_rate", F.try_divide(100.0 * F.col("failure"), F.col("total")))
+    return events.agg(*_totals()).withColumn("failure_rate", F.try_divide(100.0 * F.col("failure"), F.col("total")))
 
 
 def counts_grouping_sets(events: DataFrame) -> DataFrame:
@@ -30,6 +35,11 @@ def counts_grouping_sets(events: DataFrame) -> DataFrame:
     return grouped.select(dimension.alias("dimension"), F.coalesce("user", "ip").alias("key"), "success", "failure", "total")
 
 
+def counts_export(events: DataFrame) -> DataFrame:
+    """(dimension, key, success, failure, total) of all users and then all addresses, each ranked: the rows of a counts file."""
+    return counts_grouping_sets(events).where("dimension != 'total'").orderBy(F.desc("dimension"), F.desc("failure"), F.desc("total"), "key")
+
+
 def ranked(counts: DataFrame, top: int = 0) -> DataFrame:
     """Most failures first, then most attempts, then the key; top 0: all rows."""
     ordered = counts.orderBy(F.desc("failure"), F.desc("total"), "key")
@@ -49,3 +59,22 @@ def file_stats(parsed: DataFrame) -> DataFrame:
 def unparsed_sample(unparsed: DataFrame, most: int = 500) -> DataFrame:
     """The first unparsed lines in reading order."""
     return unparsed.orderBy("source", "line_no").limit(most)
+
+
+def summary_json(parsed: DataFrame) -> DataFrame:
+    """(section, name, json): the summary of parsed lines (with fmt) as JSON records; times are UTC, to the second.
+
+    One record of the section totals, one for each source (file), account (user), address (ip) and line of the sample
+    of unparsed ones. Accounts and addresses grow with the logs, so each is a row, not an element of one document.
+    """
+    record = lambda df, section, name, *columns: df.select(F.lit(section).alias("section"), name.alias("name"), F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("json"))
+    # lines that are no event have neither n nor a time, so they count for nothing but unparsed
+    totals = parsed.agg(*_totals(), F.count_if(F.col("status") == "unparsed").alias("unparsed"))
+    times = [iso_seconds(F.col(c)).alias(c) for c in ("first_seen", "last_seen")]
+    out = record(totals, "totals", F.lit(""), "success", "failure", "total", "invalid_user_failures", *times, "unparsed")
+    out = out.union(record(file_stats(parsed), "file", F.col("source"), "source", F.col("fmt").alias("format"), "lines", "events", "ignored", "unparsed"))
+    counts = counts_grouping_sets(parsed.where("status = 'event'"))
+    for side in ("user", "ip"):
+        out = out.union(record(counts.where(F.col("dimension") == side), side, F.col("key"), F.col("key").alias(side), "success", "failure", "total"))
+    sample = unparsed_sample(unparsed_lines(parsed))
+    return out.union(record(sample, "unparsed", F.concat_ws(":", "source", F.col("line_no").cast("string")), "source", F.col("line_no").alias("line"), "reason", "text"))

@@ -9,12 +9,16 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlog.functions.columns import settled
 from emberlog.functions.ip import any_in_networks, canonical, find_ips
 from emberlog.functions.text import casefold
 from emberlog.functions.time import date_bound, leading_timestamp, zone_of
+from emberlog.scratch import scratch, stored
 
 MOST_KEYWORDS, LONGEST_KEYWORD = 20, 200
 MOST_MATCHES, MOST_CONTEXT = 10_000, 20
+#: Numbers of lines to show that are broadcast, at most.
+MOST_BROADCAST = 500_000
 
 
 @dataclass(frozen=True)
@@ -60,27 +64,47 @@ def keyword_hit(text: Column, q: Query) -> Column:
     return hit
 
 
-def evaluated(lines: DataFrame, q: Query) -> DataFrame:
-    """lines (text) with is_match and undated: all other criteria hold, but a date is asked for and the line has none."""
-    text, others = F.col("text"), F.lit(True)
+def _criteria(lines: DataFrame, q: Query) -> tuple[DataFrame, list[str], Column, Column]:
+    """lines with helper columns, their names (which no column of the caller has), and whether a line matches or is undated."""
+    text, others, helpers = F.col("text"), F.lit(True), []
+
+    def helper(label: str, value: Column, once: bool = False) -> Column:
+        nonlocal lines
+        while label.lower() in {c.lower() for c in lines.columns}:
+            label += "_"
+        lines = settled(lines, **{label: value}) if once else lines.withColumn(label, value)
+        helpers.append(label)
+        return F.col(label)
+
     if q.keywords:
         others &= keyword_hit(text, q)
     if q.ips or q.networks:
-        lines = lines.withColumn("_ips", find_ips(text))
-        others &= F.arrays_overlap("_ips", F.array(*[F.lit(x) for x in q.ips]).cast("array<string>")) | any_in_networks(F.col("_ips"), list(q.networks))
+        found = helper("_ips", find_ips(text))
+        others &= F.arrays_overlap(found, F.array(*[F.lit(x) for x in q.ips]).cast("array<string>")) | any_in_networks(found, list(q.networks))
     in_range, undated = F.lit(True), F.lit(False)
     if q.start or q.end:
-        lines = lines.withColumn("_us", F.unix_micros(leading_timestamp(text, q.year, q.zone)))
-        us, micros = F.col("_us"), lambda t: (int(t.timestamp()) * 1_000_000 + t.microsecond)
+        us = helper("_us", F.unix_micros(leading_timestamp(text, q.year, q.zone)), once=True)
+        micros = lambda t: int(t.timestamp()) * 1_000_000 + t.microsecond
         undated = us.isNull()
         in_range = ~undated & (us >= micros(q.start) if q.start else F.lit(True)) & (us <= micros(q.end) if q.end else F.lit(True))
-    out = lines.withColumn("_others", F.coalesce(others, F.lit(False)))
-    return out.withColumn("is_match", F.col("_others") & in_range).withColumn("undated", F.col("_others") & undated).drop("_others", "_ips", "_us")
+    others = helper("_others", F.coalesce(others, F.lit(False)))
+    return lines, helpers, others & in_range, others & undated
+
+
+def evaluated(lines: DataFrame, q: Query) -> DataFrame:
+    """lines (text) with is_match and undated: all other criteria hold, but a date is asked for and the line has none.
+
+    Columns of these two names are replaced, all others are kept.
+    """
+    rows, _, hit, undated = _criteria(lines, q)
+    own = [F.col(f"`{c}`") for c in lines.columns if c.lower() not in ("is_match", "undated")]
+    return rows.select(*own, hit.alias("is_match"), undated.alias("undated"))
 
 
 def matches(lines: DataFrame, q: Query) -> DataFrame:
-    """The lines that match."""
-    return evaluated(lines, q).where("is_match").drop("is_match", "undated")
+    """The lines that match, with all their columns."""
+    rows, helpers, hit, _ = _criteria(lines, q)
+    return rows.where(hit).drop(*helpers)
 
 
 def capped(lines: DataFrame, q: Query, most: int = MOST_MATCHES) -> tuple[DataFrame, DataFrame]:
@@ -96,14 +120,20 @@ def capped(lines: DataFrame, q: Query, most: int = MOST_MATCHES) -> tuple[DataFr
 
 
 def search(lines: DataFrame, q: Query, context: int = 0, most: int = MOST_MATCHES) -> DataFrame:
-    """(source, line_no, text, is_match, block): matches and the lines around them, each once; block counts runs of adjacent lines."""
+    """(source, line_no, text, is_match, block): matches and the lines around them, each once; block counts runs of adjacent lines.
+
+    The numbers of the lines to show are stored and counted: up to MOST_BROADCAST are broadcast, so that no text of
+    another line is shuffled; beyond that lines and numbers are joined by a shuffle.
+    """
     if not 0 <= context <= MOST_CONTEXT:
         raise ValueError(f"context must be 0 to {MOST_CONTEXT}")
     found, stops = capped(lines, q, most)
     near = found.select("source", F.explode(F.sequence(F.col("line_no") - context, F.col("line_no") + context)).alias("line_no"), F.col("line_no").alias("of"))
     shown = near.groupBy("source", "line_no").agg(F.max(F.col("of") == F.col("line_no")).alias("is_match"))
     shown = shown.join(stops, "source", "left").where(F.col("stop").isNull() | (F.col("line_no") < F.col("stop"))).drop("stop")
-    rows = lines.select("source", "line_no", "text").join(shown, ["source", "line_no"])
+    shown = stored(shown, f"{scratch(lines.sparkSession, 'search')}/shown")
+    side = F.broadcast(shown) if shown.count() <= MOST_BROADCAST else shown
+    rows = lines.select("source", "line_no", "text").join(side, ["source", "line_no"])
     order = Window.partitionBy("source").orderBy("line_no")
     gap = (F.col("line_no") - F.lag("line_no", 1).over(order) > 1).cast("int")
     return rows.withColumn("block", F.coalesce(gap, F.lit(1))).withColumn("block", F.sum("block").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -118,6 +148,8 @@ def search_stats(lines: DataFrame, q: Query, most: int = MOST_MATCHES) -> DataFr
     return out.select("source", "lines_read", F.least("found", F.lit(most)).alias("matches"), "undated", "truncated", "stopped_early")
 
 
-def search_json(found: DataFrame) -> DataFrame:
-    """(source, line_no, json): shown lines as JSON records."""
-    return found.select("source", "line_no", F.to_json(F.struct("source", "line_no", "text", "is_match")).alias("json"))
+def search_json(found: DataFrame, stats: DataFrame) -> DataFrame:
+    """(source, line_no, json): the statistics of each source as a JSON record, with line_no 0, and each shown line as one."""
+    record = lambda df, *names: df.select("source", F.col("line_no").cast("bigint").alias("line_no"), F.to_json(F.struct(*names)).alias("json"))
+    head = record(stats.withColumn("line_no", F.lit(0)), "source", "lines_read", "matches", "undated", "stopped_early")
+    return head.union(record(found, "source", "line_no", "is_match", "text"))

@@ -59,6 +59,12 @@ LAB = LOGINS + """, lab AS (
   FROM logins)"""
 
 
+#: The text of a lab line.
+LAB_TEXT = """CASE WHEN event_id % 29 = 0 THEN '# note' ELSE concat_ws(' ', CASE WHEN event_id % 19 = 0 THEN '2024-02-31T10:00:00Z' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') END,
+        CASE WHEN event_id % 23 = 0 THEN 'LOGIN_OTHER' WHEN outcome = 'success' THEN 'LOGIN_SUCCESS' ELSE 'LOGIN_FAILURE' END,
+        'user=' || account, 'ip=' || CASE WHEN event_id % 17 = 0 THEN '999.1.1.1' ELSE ip END, 'method=password') END"""
+
+
 def syslog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each attempt as an auth.log line, repeats summed up; 29: another process, 23: incomplete, 19: bad date, 17: bad address."""
     said = F.when(F.col("outcome") == "success", F.concat(F.lit("Accepted password for "), "user")).otherwise(F.concat(F.lit("Failed password for "), F.when(F.col("invalid_user"), "invalid user ").otherwise(""), "user"))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.operators import bursts, counting
-from emberlog.plans.inputs import BURSTS, CSV, LAB, LOGINS, PARSE, SYSLOG, csv_lines, folders, lab_lines, logins, syslog_lines
+from emberlog.plans.inputs import BURSTS, CSV, LAB, LAB_TEXT, LOGINS, PARSE, SYSLOG, csv_lines, folders, lab_lines, logins, syslog_lines
 from emberlog.scratch import scratch, stored
 from emberlog.sources import logins as parsers
+from emberlog.sources import sinks
 from emberlog.sources.lines import read_lines as numbered_lines
 
 
@@ -154,10 +155,22 @@ def alerts_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bursts.alerts_json(bursts.explanations(_detected(spark, sf_dir), BURSTS))
 
 
+def login_summary_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = stored(parsers.parse_syslog(syslog_lines(spark, sf_dir), PARSE), f"{scratch(spark, 'summary')}/parsed")  # read five times
+    return counting.summary_json(parsed.withColumn("fmt", F.lit("syslog")))
+
+
+def write_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts file, written and read back."""
+    path = scratch(spark, "counts")
+    sinks.write_csv(counting.counts_export(logins(spark, sf_dir)), path)
+    return spark.read.option("header", True).schema("dimension string, key string, success bigint, failure bigint, total bigint").csv(path)
+
+
 NAMES = (
     "parse_lab parse_syslog parse_csv_logins read_lines detect_format load_events file_stats line_status_counts unparsed_sample expand_repeats "
     "counts_by_user counts_by_ip counts_grouping_sets login_totals top_users_by_failure top_ips_by_failure burst_window_counts burst_alerts burst_evidence "
-    "burst_success burst_multi_source detection_stats out_of_order evidence_text alert_explanations alerts_flat alerts_json"
+    "burst_success burst_multi_source detection_stats out_of_order evidence_text alert_explanations alerts_flat alerts_json login_summary_json write_counts"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}
 
@@ -213,14 +226,18 @@ _SENTENCES = f"""failures || ' failed attempts from ' || {_LOCAL('first_us')} ||
           ELSE 'Successful login ' || CASE WHEN success_us <= last_us THEN 'during the burst' ELSE ({_SPAN('((success_us - last_us) // 1000000)')}) || ' after the last failure' END
             || ': ' || {_LOCAL('success_us')} || CASE rule WHEN 'user' THEN ' from ' ELSE ' as ' END || success_related || ' (' || success_source || ':' || success_line || '). Check whether it was legitimate.' END"""
 
+#: The text of a syslog line.
+_SYSLOG_TEXT = """CASE WHEN event_id % 19 = 0 THEN 'Feb 31 10:00:00' ELSE strftime(ts, '%b %-d %H:%M:%S') END || CASE WHEN event_id % 29 = 0 THEN ' host CRON[7]: ' ELSE ' host sshd[777]: ' END
+        || CASE WHEN n > 1 THEN 'message repeated ' || n || ' times: [ ' ELSE '' END
+        || CASE WHEN outcome = 'success' THEN 'Accepted password for ' ELSE 'Failed password for ' || CASE WHEN invalid_user THEN 'invalid user ' ELSE '' END END || account
+        || CASE WHEN event_id % 23 = 0 THEN '' ELSE ' from ' || CASE WHEN event_id % 17 = 0 THEN '999.1.1.1' ELSE ip END || ' port 51877 ssh2' END || CASE WHEN n > 1 THEN ']' ELSE '' END"""
+
 SQL = {
     "parse_lab": _parse_sql(LAB, "lab", "line_no", "us", "false", "1"),
     "parse_syslog": _parse_sql(SYSLOG, "syslog", "line_no", _SYSLOG_US, _INVALID, "n"),
     "parse_csv_logins": _parse_sql(CSV, "csv", "file_line", "us", "false", "1"),
     "read_lines": f"""WITH {LAB} SELECT file AS source, row_number() OVER (PARTITION BY file ORDER BY line_no) AS line_no,
-      CASE WHEN event_id % 29 = 0 THEN '# note' ELSE concat_ws(' ', CASE WHEN event_id % 19 = 0 THEN '2024-02-31T10:00:00Z' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') END,
-        CASE WHEN event_id % 23 = 0 THEN 'LOGIN_OTHER' WHEN outcome = 'success' THEN 'LOGIN_SUCCESS' ELSE 'LOGIN_FAILURE' END,
-        'user=' || account, 'ip=' || CASE WHEN event_id % 17 = 0 THEN '999.1.1.1' ELSE ip END, 'method=password') END AS text FROM lab""",
+      {LAB_TEXT} AS text FROM lab""",
     "detect_format": f"WITH {_LOADED} SELECT DISTINCT source, fmt FROM loaded",
     "load_events": f"WITH {_LOADED} SELECT source, fmt, line_no, us, account, ip, outcome, n FROM loaded WHERE status = 'event'",
     "file_stats": f"""WITH {_LOADED} SELECT source, fmt, max(line_no) AS lines, CAST(coalesce(sum(n) FILTER (WHERE status = 'event'), 0) AS BIGINT) AS events,
@@ -262,4 +279,15 @@ SQL = {
         || ',"success_after":' || CASE WHEN success_us IS NULL THEN 'null' ELSE '{{"timestamp":"' || {_SECONDS('success_us')} || '","user":"' || CASE rule WHEN 'user' THEN key ELSE success_related END
           || '","ip":"' || CASE rule WHEN 'user' THEN success_related ELSE key END || '","location":"' || success_source || ':' || success_line || '"}}' END || ',"explanation":["' || array_to_string([{_SENTENCES}], '","') || '"]}}' AS json
       FROM detected JOIN shown USING (rule, key, burst)""",
+    "write_counts": f"WITH {LOGINS} SELECT 'user' AS dimension, account AS key, {_TALLY} FROM logins GROUP BY account UNION ALL SELECT 'ip', ip, {_TALLY} FROM logins GROUP BY ip",
+    "login_summary_json": f"""WITH {SYSLOG}, done AS (SELECT * FROM syslog WHERE status = 'event'),
+      counts AS (SELECT 'user' AS section, account AS name, {_TALLY} FROM done GROUP BY account UNION ALL SELECT 'ip', ip, {_TALLY} FROM done GROUP BY ip),
+      bad AS (SELECT * FROM syslog WHERE status = 'unparsed' ORDER BY file, line_no LIMIT 500)
+      SELECT section, name, '{{"' || section || '":"' || name || '","success":' || success || ',"failure":' || failure || ',"total":' || total || '}}' AS json FROM counts
+      UNION ALL SELECT 'totals', '', '{{"success":' || success || ',"failure":' || failure || ',"total":' || total || ',"invalid_user_failures":' || invalid || ',"first_seen":"' || {_SECONDS('first_us')} || '","last_seen":"' || {_SECONDS('last_us')}
+        || '","unparsed":' || (SELECT count(*) FROM syslog WHERE status = 'unparsed') || '}}'
+        FROM (SELECT {_TALLY}, CAST(coalesce(sum(n) FILTER (WHERE {_INVALID}), 0) AS BIGINT) AS invalid, min({_SYSLOG_US}) AS first_us, max({_SYSLOG_US}) AS last_us FROM done)
+      UNION ALL SELECT 'file', file, '{{"source":"' || file || '","format":"syslog","lines":' || max(line_no) || ',"events":' || CAST(coalesce(sum(n) FILTER (WHERE status = 'event'), 0) AS BIGINT)
+        || ',"ignored":' || count(*) FILTER (WHERE status = 'ignored') || ',"unparsed":' || count(*) FILTER (WHERE status = 'unparsed') || '}}' FROM syslog GROUP BY file
+      UNION ALL SELECT 'unparsed', file || ':' || line_no, '{{"source":"' || file || '","line":' || line_no || ',"reason":"' || reason || '","text":"' || {_SYSLOG_TEXT} || '"}}' FROM bad""",
 }

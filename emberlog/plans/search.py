@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.operators import search
-from emberlog.plans.inputs import DOCUMENT_LINES, LAB, document_lines, lab_lines
+from emberlog.plans.inputs import DOCUMENT_LINES, LAB, LAB_TEXT, document_lines, lab_lines
 from emberlog.sources.lines import LONGEST, cut_lines
 
 WORDS = ("the", "und")
@@ -69,7 +69,13 @@ def undated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_stats(lab_lines(spark, sf_dir).withColumn("truncated", F.lit(False)), q)
 
 
-NAMES = "search_any search_all search_case search_cidr search_ip search_dates search_combined search_capped search_context search_stats undated_lines".split()
+def search_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches with three lines before and after (a log holds every third number), and the statistics of each log, as JSON records."""
+    lines, q = lab_lines(spark, sf_dir), search.query(["login_failure"], cidrs=("192.0.2.0/28",), start="2024-01-05", end="2024-01-06", year=2024)
+    return search.search_json(search.search(lines, q, context=3), search.search_stats(lines, q))
+
+
+NAMES = "search_any search_all search_case search_cidr search_ip search_dates search_combined search_capped search_context search_stats search_json undated_lines".split()
 QUERIES = {name: globals()[name] for name in NAMES}
 
 _ANY = "contains(lower(text), 'the')", "contains(lower(text), 'und')"
@@ -98,6 +104,13 @@ SQL = {
       SELECT source, line_no, is_match, CAST(sum(gap) OVER (PARTITION BY source ORDER BY line_no) AS BIGINT) AS block FROM gaps""",
     "search_stats": f"""{_CAP} SELECT l.source, max(l.line_no) AS lines_read, least(count(*) FILTER (WHERE contains(left(text, {LONGEST}), 'an')), {search.MOST_MATCHES}) AS matches, CAST(0 AS BIGINT) AS undated, count(*) FILTER (WHERE length(text) > {LONGEST}) AS truncated,
       max(stop) IS NOT NULL AS stopped_early FROM lines l LEFT JOIN stops s ON s.source = l.source WHERE stop IS NULL OR l.line_no <= stop GROUP BY l.source""",
+    "search_json": f"""WITH {_SHOWN}, texts AS (SELECT source, line_no, addr, moment, failed, failed AND CAST(split_part(addr, '.', 4) AS INTEGER) < 16 AS others, {LAB_TEXT} AS text FROM shown JOIN (SELECT event_id, ts, account, outcome, ip FROM lab) USING (event_id)),
+      hits AS (SELECT source, line_no FROM texts WHERE others AND {_RANGE('2024-01-05 00:00:00', '2024-01-06 23:59:59.999999')}),
+      near AS (SELECT DISTINCT source, unnest(range(line_no - 3, line_no + 4)) AS line_no FROM hits)
+      SELECT source, line_no, '{{"source":"' || source || '","line_no":' || line_no || ',"is_match":' || CASE WHEN h.line_no IS NULL THEN 'false' ELSE 'true' END || ',"text":"' || text || '"}}' AS json
+      FROM near JOIN texts USING (source, line_no) LEFT JOIN hits h USING (source, line_no)
+      UNION ALL SELECT source, 0, '{{"source":"' || source || '","lines_read":' || max(line_no) || ',"matches":' || count(h.line_no) || ',"undated":' || count(*) FILTER (WHERE others AND moment IS NULL) || ',"stopped_early":false}}'
+      FROM texts LEFT JOIN hits h USING (source, line_no) GROUP BY source""",
     "undated_lines": f"""WITH {_SHOWN} SELECT source, max(line_no) AS lines_read, count(*) FILTER (WHERE {_RANGE('2024-01-05 00:00:00', '2024-01-07 23:59:59.999999')}) AS matches,
       count(*) FILTER (WHERE moment IS NULL) AS undated, CAST(0 AS BIGINT) AS truncated, false AS stopped_early FROM shown GROUP BY source""",
 }

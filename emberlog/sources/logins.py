@@ -26,6 +26,8 @@ REPEATED = r"^message repeated (\d+) times: \[(.*)\]$"
 SSH_PROCESSES = ("sshd", "sshd-session")
 MOST_REPEATS = 10_000
 DETECTION_LINES = 50
+#: Files whose CSV headers are broadcast, at most.
+MOST_BROADCAST = 100_000
 FORMATS = ("lab", "syslog", "csv")
 CSV_COLUMNS = ("timestamp", "user", "ip", "result")
 BLANKS = " \t\n\r\x0b\x0c"
@@ -164,15 +166,15 @@ def parse_csv(lines: DataFrame, settings: ParseSettings = ParseSettings()) -> Da
     Blank lines and the header aren't rows. A source without the needed columns raises ValueError. For records that span
     lines, read with spark.read.csv(multiLine=True) and use parse_csv_row.
     """
-    heads = {r["source"]: r["text"] for r in lines.where("line_no = 1").select("source", "text").collect()}  # a line a file
-    out = None
-    for head in sorted(set(heads.values())):
+    heads = stored(lines.where("line_no = 1").select(F.col("source").alias("_file"), F.col("text").alias("_head")), f"{scratch(lines.sparkSession, 'headers')}/found")
+    side = F.broadcast(heads) if heads.count() <= MOST_BROADCAST else heads  # a line a file
+    tagged, own, out = lines.join(side, F.col("source") == F.col("_file")), lines.columns, None
+    for head in sorted(r["_head"] for r in heads.select("_head").distinct().collect()):  # as many as there are kinds of headers
         names = [n.strip().strip('"').strip().lower() for n in head.lstrip("﻿").split(",")]
         if missing := [c for c in CSV_COLUMNS if c not in names]:
             raise ValueError(f"columns missing in the header: {', '.join(missing)}")
-        sources = [s for s, h in heads.items() if h == head]
         record = F.from_csv("text", F.lit(", ".join(f"_{k} string" for k in range(len(names)))))
-        rows = lines.where(F.col("source").isin(sources) & (F.col("line_no") > 1) & (F.trim("text") != "")).withColumn("_row", record)
+        rows = tagged.where((F.col("_head") == head) & (F.col("line_no") > 1) & (F.trim("text") != "")).select(*own, record.alias("_row"))
         rows = rows.withColumns({c: F.col(f"_row._{len(names) - 1 - names[::-1].index(c)}") for c in CSV_COLUMNS}).drop("_row")
         parsed = parse_csv_row(rows, settings)
         out = parsed if out is None else out.unionByName(parsed)

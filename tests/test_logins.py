@@ -169,3 +169,28 @@ def test_summer_time(spark):
     got = local.select(times.iso_timestamp(F.col("x"), zone).alias("a"), times.to_utc(F.to_timestamp("x"), zone).alias("b"), times.format_timestamp(times.iso_timestamp(F.col("x"), zone), zone).alias("c")).collect()
     assert [r["a"] for r in got] == [r["b"] for r in got] == [datetime(2024, 11, 3, 5, 30), datetime(2024, 3, 10, 7, 30), datetime(2024, 7, 1, 4)]
     assert [r["c"] for r in got] == ["2024-11-03 01:30:00-04:00", "2024-03-10 03:30:00-04:00", "2024-07-01 00:00:00-04:00"]
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_csv_headers_of_several_files(spark, monkeypatch, most):
+    """Two kinds of headers in three files; headers by broadcast and by a shuffle."""
+    monkeypatch.setattr(logins, "MOST_BROADCAST", most)
+    texts = {"p.csv": ["timestamp,user,ip,result", "2025-03-02T21:30:00Z,mira,192.0.2.77,failure"], "q.csv": ["Result, IP,User,Timestamp", "", "SUCCESS,192.0.2.78,teo,2025-03-02T21:31:00Z"], "r.csv": ["timestamp,user,ip,result"]}
+    lines = spark.createDataFrame([(s, k, t) for s, own in texts.items() for k, t in enumerate(own, 1)], "source string, line_no bigint, text string")
+    rows = logins.parse_csv(lines).orderBy("source").collect()
+    assert [(r["source"], r["line_no"], r["user"], r["ip"], r["outcome"]) for r in rows] == [("p.csv", 2, "mira", "192.0.2.77", "failure"), ("q.csv", 3, "teo", "192.0.2.78", "success")]
+    with pytest.raises(ValueError, match="columns missing"):
+        logins.parse_csv(lines.union(spark.createDataFrame([("s.csv", 1, "timestamp,user")], lines.schema)))
+    with pytest.raises(ValueError, match="no header"):
+        logins.parse_csv(lines.where("false"))
+
+
+def test_summary_of_nothing_and_of_unparsed_lines(spark):
+    parsed = lambda *t: logins.parse_lab(_lines(spark, *t)).withColumn("fmt", F.lit("lab"))
+    records = lambda df: [(r["section"], r["name"], r["json"]) for r in counting.summary_json(df).orderBy("section", "name").collect()]
+    empty = '{"success":0,"failure":0,"total":0,"invalid_user_failures":0,"first_seen":null,"last_seen":null,"unparsed":%d}'
+    assert records(parsed("x").where("false")) == [("totals", "", empty % 0)]
+    assert records(parsed('say "no"')) == [
+        ("file", "a.log", '{"source":"a.log","format":"lab","lines":1,"events":0,"ignored":0,"unparsed":1}'), ("totals", "", empty % 1),
+        ("unparsed", "a.log:1", '{"source":"a.log","line":1,"reason":"not a lab line","text":"say \\"no\\""}'),
+    ]
