@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import ann_tree, dac, langid, line_dedup, mixing, near_dup, packing, quality_rules, rule_ensemble, token_cache
+from emberlog.llm import ann_tree, chat, dac, langid, line_dedup, merkle, mixing, near_dup, packing, quality_rules, rule_ensemble, spelling, token_cache
+from emberlog.llm.oracles import OP11_SQL, OP12_SQL, OP13_SQL
 from emberlog.llm.shared import learning_fold
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -63,6 +64,22 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), BYTE_BPE, END_ID, limit=1024)
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.format_turns(chat.with_hostile(_table(spark, sf_dir, "conversations"))))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of the untampered table, against which the leaves of one with changed n_chars are held."""
+    changed = F.when(learning_fold(F.col("doc_id"), 7) == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    found = merkle.manifest(_table(spark, sf_dir, "documents"), {"claimed": merkle.leaf_digest(n_chars=changed)})
+    found = found.withColumn("folded_root", merkle.folded(F.col("claimed"), F.col("proof")))
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 OP1_SQL = r"""
 WITH texts AS (
   SELECT row_number() OVER () AS row_id, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
@@ -188,8 +205,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mix_sources": op8_mix_sources,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_pack_sequences": op10_pack_sequences,
+        "op11_chat_format": op11_chat_format,
+        "op12_spelling_variants": op12_spelling_variants,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op2_line_dedup": OP2_SQL, "op8_mix_sources": OP8_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op2_line_dedup": OP2_SQL, "op8_mix_sources": OP8_SQL, "op11_chat_format": OP11_SQL, "op12_spelling_variants": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
