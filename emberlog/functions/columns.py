@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 
 def settled(rows: DataFrame, **columns: Column) -> DataFrame:
-    """rows with columns that later expressions see as values: behind an inlined struct, they aren't copied into each use.
+    """rows with columns that later expressions and filters see as values, not as copies of their expressions.
 
-    A column of the same name is replaced. The columns may not hold Python functions.
+    They are made in a projection, which Spark compiles, and then go through an inlined struct, through which Spark
+    moves no expression. A column of the same name is replaced. The columns may not hold Python functions.
     """
-    kept = [F.col(f"`{c}`") for c in rows.columns if c not in columns]
-    return rows.select(*kept, F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+    made = rows.withColumns(columns)
+    kept = [F.col(f"`{c}`") for c in made.columns if c not in columns]
+    return made.select(*kept, F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in columns]))))

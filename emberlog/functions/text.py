@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import string
+import sys
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 SHORT_TEXT = 200
 CONTROL = r"[\x00-\x1f\x7f-\x9f]"
@@ -49,12 +51,18 @@ def shortened(text: Column, most: int = SHORT_TEXT) -> Column:
     return F.when(F.char_length(t) > most, F.concat(F.left(t, F.lit(most)), F.lit("..."))).otherwise(t)
 
 
-@F.pandas_udf(StringType())
-def _casefold(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else t.casefold())
+@cache
+def _folds() -> tuple[str, str, list[tuple[str, str]]]:
+    """Characters beyond ASCII that fold to one other character, what they fold to, and those that fold to several."""
+    folded = [(c, c.casefold()) for c in map(chr, range(128, sys.maxunicode + 1)) if c.casefold() != c]
+    single = [(c, f) for c, f in folded if len(f) == 1]
+    return "".join(c for c, _ in single), "".join(f for _, f in single), [(c, f) for c, f in folded if len(f) > 1]
 
 
 def casefold(text: Column) -> Column:
-    """Unicode case folding; only rows beyond ASCII go to the vectorised helper."""
-    beyond = text.rlike(r"[^\x00-\x7f]")
-    return F.when(beyond, _casefold(F.when(beyond, text))).otherwise(F.lower(text))
+    """Unicode case folding, as Python's str.casefold; lower() for texts of ASCII, which is the same there."""
+    single, to, several = _folds()
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(f).alias("f")) for c, f in several])
+    some = text.rlike("[" + "".join(c for c, _ in several) + "]")
+    spread = F.when(some, F.aggregate(pairs, text, lambda t, x: F.replace(t, x["c"], x["f"]))).otherwise(text)
+    return F.when(text.rlike(r"[^\x00-\x7f]"), F.translate(spread, string.ascii_uppercase + single, string.ascii_lowercase + to)).otherwise(F.lower(text))

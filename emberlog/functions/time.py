@@ -13,52 +13,55 @@ _DAY, _CLOCK = r"\d{4}-\d{2}-\d{2}", r"\d{2}:\d{2}:\d{2}"
 #: A day and a time of day, perhaps with a fraction of up to 6 digits, perhaps with an offset.
 _MOMENT = rf"{_DAY}[T ]{_CLOCK}(?:\.\d{{1,6}})?(?:Z|[+-]\d{{2}}:\d{{2}})?"
 ISO, LEADING_ISO = rf"(?i)^{_MOMENT}$", rf"(?i)^\s*({_MOMENT})"
-LEADING_SYSLOG = rf"^([A-Z][a-z]{{2}})\s+(\d{{1,2}})\s+({_CLOCK})\b"
-#: Zones that are the same distance from UTC all the time; all other zones are IANA names.
-FIXED_ZONE = re.compile(r"(?i)UTC|Z|(?P<sign>[+-])(?P<hours>[01]\d|2[0-3]):?(?P<minutes>[0-5]\d)")
+LEADING_SYSLOG = rf"^[A-Z][a-z]{{2}}\s+\d{{1,2}}\s+{_CLOCK}\b"
 #: The months as syslog writes them.
 MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
 UNRECOGNISED, NONEXISTENT = "unrecognised timestamp", "nonexistent date"
 
 
 def _fixed_seconds(zone: str) -> int | None:
-    """Seconds east of UTC of a fixed zone, None for an IANA name. Other names raise ValueError."""
-    if found := FIXED_ZONE.fullmatch(zone.strip()):
-        sign, hours, minutes = found.group("sign", "hours", "minutes")
-        return 0 if sign is None else int(f"{sign}1") * (3600 * int(hours) + 60 * int(minutes))
-    if zone.strip() not in available_timezones():
+    """Seconds east of UTC of UTC, Z or an offset with or without a colon, None for an IANA name. Other names raise ValueError."""
+    name = zone.strip()
+    if name.upper() in ("UTC", "Z"):
+        return 0
+    digits = name[1:].replace(":", "", 1) if len(name) == 6 and name[3] == ":" else name[1:]
+    if name[:1] in ("+", "-") and len(digits) == 4 and digits.isascii() and digits.isdigit():
+        hours, minutes = divmod(int(digits), 100)
+        if hours < 24 and minutes < 60:
+            return (hours * 3600 + minutes * 60) * (-1 if name[0] == "-" else 1)
+    if name not in available_timezones():
         raise ValueError(f"{zone!r} is no time zone: UTC, Z, an offset or an IANA name is needed")
     return None
 
 
 def zone_of(name: str) -> tzinfo:
-    """The zone of a name (see FIXED_ZONE); other names raise ValueError."""
+    """The zone of a name: UTC, Z, an offset or an IANA name; other names raise ValueError."""
     east = _fixed_seconds(name)
     return ZoneInfo(name.strip()) if east is None else timezone(timedelta(seconds=east))
 
 
-def _instant(year: Column, month: Column, day: Column, hour: Column, minute: Column, second: Column, zone: str) -> Column:
-    """The instant of a local date and time, null if there is none. A repeated hour means its first occurrence."""
+def _shifted(utc: Column, zone: str) -> Column:
+    """The instant at which clocks of a zone show what UTC's show at `utc`. A repeated hour means its first occurrence."""
     fixed = _fixed_seconds(zone)
-    made = F.try_make_timestamp(year, month, day, hour, minute, second, F.lit("UTC" if fixed is not None else zone.strip()))
-    shifted = made - F.expr(f"interval {fixed} seconds") if fixed else made
-    return F.when((year >= 1) & (second < 60), shifted)
+    if fixed is None:
+        return F.to_utc_timestamp(utc, zone.strip())
+    return utc - F.expr(f"interval {fixed} seconds") if fixed else utc
 
 
 def iso_timestamp(text: Column, zone: str = "UTC") -> Column:
-    """The UTC instant of strict ISO 8601 text, null if it isn't; blanks around it don't count."""
-    t = F.trim(text)
-    tail = F.substring(t, 20, 20)
-    fraction = F.regexp_extract(tail, r"^\.(\d+)", 1)
-    offset = F.upper(F.regexp_extract(tail, r"(?i)(Z|[+-]\d{2}:\d{2})$", 1))
-    piece = lambda start, n: F.try_to_number(F.substring(t, start, n), F.lit("9" * n)).cast("int")
-    second = (F.concat(F.substring(t, 18, 2), F.lit("."), F.rpad(fraction, 6, "0"))).try_cast("decimal(8,6)")
-    parts = [piece(1, 4), piece(6, 2), piece(9, 2), piece(12, 2), piece(15, 2), second]
-    hours, minutes = F.substring(offset, 2, 2).try_cast("int"), F.substring(offset, 5, 2).try_cast("int")
-    east = F.when(F.startswith(offset, F.lit("-")), -1).otherwise(1) * (hours * 3600 + minutes * 60)
-    with_offset = F.when((hours <= 23) & (minutes <= 59), F.timestamp_micros(F.unix_micros(_instant(*parts, "UTC")) - east.cast("bigint") * 1_000_000))
-    value = F.when(offset == "", _instant(*parts, zone)).when(offset == "Z", _instant(*parts, "UTC")).otherwise(with_offset)
-    return F.when(t.rlike(ISO), value)
+    """The UTC instant of strict ISO 8601 text, null if it isn't; blanks around it don't count.
+
+    The text without its offset is read once, as a time of UTC, and moved by the offset, or else by the zone: so the
+    code that Spark makes of it stays short.
+    """
+    t = F.upper(F.trim(text))
+    ends = lambda *c: F.substring(t, -6, 1).isin(*c)  # noqa: E731  only an offset has its sign there
+    clock = F.when(F.endswith(t, F.lit("Z")), t).otherwise(F.concat(F.when(ends("+", "-"), F.substring(t, F.lit(1), F.char_length(t) - 6)).otherwise(t), F.lit("Z")))
+    utc = clock.try_cast("timestamp")
+    hours, minutes = F.substring(t, -5, 2).try_cast("int"), F.substring(t, -2, 2).try_cast("int")
+    east = F.when((hours < 24) & (minutes < 60), F.make_dt_interval(F.lit(0), hours, minutes))
+    moved = F.when(ends("+"), utc - east).when(ends("-"), utc + east).when(F.endswith(t, F.lit("Z")), utc).otherwise(_shifted(utc, zone))
+    return F.when(t.rlike(ISO) & ~F.startswith(t, F.lit("0000")), moved)
 
 
 def iso_error(text: Column, value: Column) -> Column:
@@ -68,21 +71,31 @@ def iso_error(text: Column, value: Column) -> Column:
 
 def month_number(name: Column) -> Column:
     """1 to 12 for the English three-letter names, else null."""
-    place = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), name)
-    return F.when(place > 0, place.cast("int"))
+    place = F.instr(F.lit(" ".join(MONTHS)), name)
+    return F.when((F.char_length(name) == 3) & (place % 4 == 1), ((place + 3) / 4).cast("int"))
 
 
 def syslog_timestamp(month: Column, day: Column, at: Column, year: int, zone: str = "UTC") -> Column:
     """The UTC instant of a syslog date (month name, day, HH:MM:SS) in an assumed year, null if there is none."""
-    number = lambda c: c.try_cast("int")
-    return _instant(F.lit(year), month_number(month), number(day), number(F.substring(at, 1, 2)), number(F.substring(at, 4, 2)), F.substring(at, 7, 2).try_cast("decimal(8,6)"), zone)
+    date = F.concat_ws("-", F.lit(f"{year:04}"), F.coalesce(month_number(month).cast("string"), F.lit("?")), day)
+    return _shifted(F.concat(date, F.lit(" "), at, F.lit("Z")).try_cast("timestamp"), zone)
+
+
+def leading_texts(text: Column) -> tuple[Column, Column]:
+    """What may be a timestamp at the start of a line: as ISO (blanks may stand before it) and as syslog writes it; empty if there is none."""
+    return F.regexp_extract(text, LEADING_ISO, 1), F.regexp_extract(text, LEADING_SYSLOG, 0)
+
+
+def leading_instant(iso: Column, old: Column, year: int, zone: str = "UTC") -> Column:
+    """The UTC instant of leading_texts: of the ISO text if there is one, else of syslog's."""
+    part = F.split(old, r"\s+")
+    syslog = F.when(old != "", syslog_timestamp(F.get(part, F.lit(0)), F.get(part, F.lit(1)), F.get(part, F.lit(2)), year, zone))
+    return F.when(iso != "", iso_timestamp(iso, zone)).otherwise(syslog)
 
 
 def leading_timestamp(text: Column, year: int, zone: str = "UTC") -> Column:
     """The UTC instant at the start of a line: ISO (blanks may stand before it), else syslog. Null if there is none."""
-    iso = F.regexp_extract(text, LEADING_ISO, 1)
-    part = lambda k: F.regexp_extract(text, LEADING_SYSLOG, k)
-    return F.when(iso != "", iso_timestamp(iso, zone)).otherwise(syslog_timestamp(part(1), part(2), part(3), year, zone))
+    return leading_instant(*leading_texts(text), year, zone)
 
 
 def format_timestamp(ts: Column, zone: str = "UTC") -> Column:

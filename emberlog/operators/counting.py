@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.time import iso_seconds
+from emberlog.operators.ranks import numbered
+from emberlog.scratch import scratch, stored
 from emberlog.sources.logins import unparsed_lines
 
+
 def _tally() -> list[Column]:
     count = lambda outcome: F.coalesce(F.sum(F.when(F.col("outcome") == outcome, F.col("n"))), F.lit(0))
     return [count("success").alias("success"), count("failure").alias("failure"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")]
@@ -41,9 +44,11 @@ def counts_export(events: DataFrame) -> DataFrame:
 
 
 def ranked(counts: DataFrame, top: int = 0) -> DataFrame:
-    """Most failures first, then most attempts, then the key; top 0: all rows."""
-    ordered = counts.orderBy(F.desc("failure"), F.desc("total"), "key")
-    return ordered.limit(top) if top else ordered
+    """counts with place, their number from 1: most failures first, then most attempts, then the key; top 0: all rows."""
+    order = [F.desc("failure"), F.desc("total"), F.col("key")]
+    if top:
+        return counts.orderBy(*order).limit(top).withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("bigint"))  # top rows
+    return numbered(stored(counts, f"{scratch(counts.sparkSession, 'counts')}/counts"), *order, name="place")
 
 
 def file_stats(parsed: DataFrame) -> DataFrame:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from emberlog.functions.text import html_escape, md_escape
 from emberlog.functions.time import format_timestamp, local_day
+from emberlog.operators.ranks import numbered
 from emberlog.schemas import NO_SOURCE, SEVERITIES, SEVERITY_LABELS, URGENT
+from emberlog.scratch import scratch, stored
 
 MOST_SOURCES = 50
 NOTABLE = 3
@@ -64,8 +66,10 @@ def report_highlights(events: DataFrame) -> DataFrame:
 
 
 def ranked_events(events: DataFrame) -> DataFrame:
-    """events with severity rank and label, most severe first, then by time and origin."""
-    return events.withColumns({"rank": severity_rank(F.col("severity")), "label": severity_label(F.col("severity"))}).orderBy("rank", "ts", "origin")
+    """events with severity rank and label, and place: their number from 1, most severe first, then by time and origin. Stored on the way."""
+    rows = events.withColumns({"rank": severity_rank(F.col("severity")), "label": severity_label(F.col("severity"))})
+    rows = stored(rows, f"{scratch(events.sparkSession, 'report')}/events")
+    return numbered(rows, F.col("rank"), F.col("ts"), F.col("origin"), name="place")
 
 
 def urgent_details(events: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from emberlog.functions.columns import settled
 from emberlog.functions.ip import any_in_networks, canonical, find_ips
 from emberlog.functions.text import casefold
-from emberlog.functions.time import date_bound, leading_timestamp, zone_of
+from emberlog.functions.time import date_bound, leading_instant, leading_texts, zone_of
 from emberlog.scratch import scratch, stored
 
 MOST_KEYWORDS, LONGEST_KEYWORD = 20, 200
@@ -83,7 +83,8 @@ def _criteria(lines: DataFrame, q: Query) -> tuple[DataFrame, list[str], Column,
         others &= F.arrays_overlap(found, F.array(*[F.lit(x) for x in q.ips]).cast("array<string>")) | any_in_networks(found, list(q.networks))
     in_range, undated = F.lit(True), F.lit(False)
     if q.start or q.end:
-        us = helper("_us", F.unix_micros(leading_timestamp(text, q.year, q.zone)), once=True)
+        iso, old = (helper(f"_text{k}", found, once=True) for k, found in enumerate(leading_texts(text)))
+        us = helper("_us", F.unix_micros(leading_instant(iso, old, q.year, q.zone)), once=True)
         micros = lambda t: int(t.timestamp()) * 1_000_000 + t.microsecond
         undated = us.isNull()
         in_range = ~undated & (us >= micros(q.start) if q.start else F.lit(True)) & (us <= micros(q.end) if q.end else F.lit(True))
@@ -107,30 +108,36 @@ def matches(lines: DataFrame, q: Query) -> DataFrame:
     return rows.where(hit).drop(*helpers)
 
 
-def capped(lines: DataFrame, q: Query, most: int = MOST_MATCHES) -> tuple[DataFrame, DataFrame]:
+def capped(lines: DataFrame, q: Query, most: int | None = MOST_MATCHES) -> tuple[DataFrame, DataFrame]:
     """The first `most` matches of each source, and (source, stop) of the sources that have one more, stop being its line.
 
-    Only matches are ranked, and no more than most + 1 of a source are shuffled.
+    None: all matches, and no source is stopped. Only matches are ranked, and no more than most + 1 of a source are
+    shuffled.
     """
-    if not 1 <= most:
+    found = matches(lines, q).select("source", "line_no")
+    if most is None:
+        return found, found.where("false").select("source", F.col("line_no").alias("stop"))
+    if most < 1:
         raise ValueError("most must be 1 or more")
     order = Window.partitionBy("source").orderBy("line_no")
-    few = matches(lines, q).select("source", "line_no").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most + 1)
+    few = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most + 1)
     return few.where(F.col("place") <= most).drop("place"), few.where(F.col("place") == most + 1).select("source", F.col("line_no").alias("stop"))
 
 
-def search(lines: DataFrame, q: Query, context: int = 0, most: int = MOST_MATCHES) -> DataFrame:
+def search(lines: DataFrame, q: Query, context: int = 0, most: int | None = None) -> DataFrame:
     """(source, line_no, text, is_match, block): matches and the lines around them, each once; block counts runs of adjacent lines.
 
-    The numbers of the lines to show are stored and counted: up to MOST_BROADCAST are broadcast, so that no text of
-    another line is shuffled; beyond that lines and numbers are joined by a shuffle.
+    most: matches of a source that are shown (see capped), all by default. The numbers of the lines to show are stored
+    and counted: up to MOST_BROADCAST are broadcast, so that no text of another line is shuffled; beyond that lines and
+    numbers are joined by a shuffle.
     """
     if not 0 <= context <= MOST_CONTEXT:
         raise ValueError(f"context must be 0 to {MOST_CONTEXT}")
     found, stops = capped(lines, q, most)
     near = found.select("source", F.explode(F.sequence(F.col("line_no") - context, F.col("line_no") + context)).alias("line_no"), F.col("line_no").alias("of"))
     shown = near.groupBy("source", "line_no").agg(F.max(F.col("of") == F.col("line_no")).alias("is_match"))
-    shown = shown.join(stops, "source", "left").where(F.col("stop").isNull() | (F.col("line_no") < F.col("stop"))).drop("stop")
+    if most is not None:
+        shown = shown.join(stops, "source", "left").where(F.col("stop").isNull() | (F.col("line_no") < F.col("stop"))).drop("stop")
     shown = stored(shown, f"{scratch(lines.sparkSession, 'search')}/shown")
     side = F.broadcast(shown) if shown.count() <= MOST_BROADCAST else shown
     rows = lines.select("source", "line_no", "text").join(side, ["source", "line_no"])
@@ -139,13 +146,21 @@ def search(lines: DataFrame, q: Query, context: int = 0, most: int = MOST_MATCHE
     return rows.withColumn("block", F.coalesce(gap, F.lit(1))).withColumn("block", F.sum("block").over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def search_stats(lines: DataFrame, q: Query, most: int = MOST_MATCHES) -> DataFrame:
-    """(source, lines_read, matches, undated, truncated, stopped_early). Lines after the match that is one too many don't count."""
-    _, stops = capped(lines, q, most)
+def search_stats(lines: DataFrame, q: Query, most: int | None = None) -> DataFrame:
+    """(source, lines_read, matches, undated, truncated, stopped_early).
+
+    most: with it, lines after the match that is one too many don't count (see capped); by default all do. The stops, a
+    row a source, are stored and counted, and broadcast up to MOST_BROADCAST.
+    """
     lines = lines if "truncated" in lines.columns else lines.withColumn("truncated", F.lit(False))
-    read = evaluated(lines, q).select("source", "line_no", "is_match", "undated", "truncated").join(stops, "source", "left").where(F.col("stop").isNull() | (F.col("line_no") <= F.col("stop")))
-    out = read.groupBy("source").agg(F.max("line_no").alias("lines_read"), F.count_if("is_match").alias("found"), F.count_if("undated").alias("undated"), F.count_if("truncated").alias("truncated"), F.max("stop").isNotNull().alias("stopped_early"))
-    return out.select("source", "lines_read", F.least("found", F.lit(most)).alias("matches"), "undated", "truncated", "stopped_early")
+    read, stop = evaluated(lines, q).select("source", "line_no", "is_match", "undated", "truncated"), F.lit(None).cast("bigint")
+    if most is not None:
+        stops = stored(capped(lines, q, most)[1], f"{scratch(lines.sparkSession, 'search')}/stops")
+        side, stop = F.broadcast(stops) if stops.count() <= MOST_BROADCAST else stops, F.col("stop")
+        read = read.join(side, "source", "left").where(stop.isNull() | (F.col("line_no") <= stop))
+    out = read.groupBy("source").agg(F.max("line_no").alias("lines_read"), F.count_if("is_match").alias("found"), F.count_if("undated").alias("undated"), F.count_if("truncated").alias("truncated"), F.max(stop).isNotNull().alias("stopped_early"))
+    shown = F.col("found") if most is None else F.least("found", F.lit(most))
+    return out.select("source", "lines_read", shown.alias("matches"), "undated", "truncated", "stopped_early")
 
 
 def search_json(found: DataFrame, stats: DataFrame) -> DataFrame:

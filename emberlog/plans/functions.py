@@ -156,7 +156,7 @@ def load_jsonl_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load_csv_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of CSV files of 50,000 events each with a header, every 31st too short and every 37th with a field too many."""
-    path, i, quoted = scratch(spark, "csv-events"), F.col("event_id"), lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('\\"')), F.lit('"'))
+    path, i, quoted = scratch(spark, "csv-events"), F.col("event_id"), lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
     r = _record()
     cells = F.concat_ws(",", r["timestamp"], quoted(r["severity"]), quoted(r["title"]), r["user"])
     row = F.when(i % 31 == 0, r["timestamp"]).when(i % 37 == 0, F.concat(cells, F.lit(",more"))).otherwise(cells)

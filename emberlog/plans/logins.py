@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.operators import bursts, counting
-from emberlog.plans.inputs import BURSTS, CSV, LAB, LAB_TEXT, LOGINS, PARSE, SYSLOG, csv_lines, folders, lab_lines, logins, syslog_lines
+from emberlog.plans.inputs import BURSTS, CSV, LAB, LAB_TEXT, LOGINS, PARSE, SYSLOG, csv_files, csv_lines, folders, lab_lines, logins, syslog_lines
 from emberlog.scratch import scratch, stored
 from emberlog.sources import logins as parsers
 from emberlog.sources import sinks
@@ -29,6 +29,12 @@ def parse_csv_logins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed(parsers.parse_csv(csv_lines(spark, sf_dir), PARSE))
 
 
+def parse_csv_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The CSV logins written as files, every 7th with a line feed in its user, and read back with the numbers of their lines."""
+    lines = numbered_lines(spark, *csv_files(spark, sf_dir), folders=True)
+    return _parsed(parsers.parse_csv(lines, PARSE)).withColumn("source", F.element_at(F.split("source", "/source="), -1))
+
+
 def read_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lab lines, written as text in several parts and read back with their numbers."""
     rows = numbered_lines(spark, *folders(spark, lab_lines(spark, sf_dir), "lines"), folders=True)
@@ -168,7 +174,7 @@ def write_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NAMES = (
-    "parse_lab parse_syslog parse_csv_logins read_lines detect_format load_events file_stats line_status_counts unparsed_sample expand_repeats "
+    "parse_lab parse_syslog parse_csv_logins parse_csv_records read_lines detect_format load_events file_stats line_status_counts unparsed_sample expand_repeats "
     "counts_by_user counts_by_ip counts_grouping_sets login_totals top_users_by_failure top_ips_by_failure burst_window_counts burst_alerts burst_evidence "
     "burst_success burst_multi_source detection_stats out_of_order evidence_text alert_explanations alerts_flat alerts_json login_summary_json write_counts"
 ).split()
@@ -236,6 +242,14 @@ SQL = {
     "parse_lab": _parse_sql(LAB, "lab", "line_no", "us", "false", "1"),
     "parse_syslog": _parse_sql(SYSLOG, "syslog", "line_no", _SYSLOG_US, _INVALID, "n"),
     "parse_csv_logins": _parse_sql(CSV, "csv", "file_line", "us", "false", "1"),
+    # a record's number is that of its last line: its place and the line feeds in users up to it
+    "parse_csv_records": f"""WITH {CSV}, spread AS (
+        SELECT *, event_id % 7 = 0 AND event_id % 23 != 0 AS broken, 1 + row_number() OVER w + CAST(count(*) FILTER (WHERE event_id % 7 = 0 AND event_id % 23 != 0) OVER w AS BIGINT) AS last_line
+        FROM csv WINDOW w AS (PARTITION BY file ORDER BY event_id ROWS UNBOUNDED PRECEDING))
+      SELECT file AS source, last_line AS line_no, status, reason, CASE WHEN status = 'event' THEN us END AS us,
+        CASE WHEN status = 'event' THEN CASE WHEN broken THEN 'u' || chr(10) || substr(account, 2) ELSE account END END AS account,
+        CASE WHEN status = 'event' THEN ip END AS ip, CASE WHEN status = 'event' THEN outcome END AS outcome, CASE WHEN status = 'event' THEN false END AS invalid_user, CASE WHEN status = 'event' THEN 1 END AS n
+      FROM spread""",
     "read_lines": f"""WITH {LAB} SELECT file AS source, row_number() OVER (PARTITION BY file ORDER BY line_no) AS line_no,
       {LAB_TEXT} AS text FROM lab""",
     "detect_format": f"WITH {_LOADED} SELECT DISTINCT source, fmt FROM loaded",
@@ -251,8 +265,8 @@ SQL = {
       FROM logins GROUP BY GROUPING SETS ((account), (ip), ())""",
     "login_totals": f"""WITH {LOGINS} SELECT {_TALLY}, CAST(sum(n) FILTER (WHERE invalid_user AND outcome = 'failure') AS BIGINT) AS invalid_user_failures,
       round(100.0 * sum(n) FILTER (WHERE outcome = 'failure') / sum(n), 6) AS failure_rate, min(us) AS first_us, max(us) AS last_us FROM logins""",
-    "top_users_by_failure": f"WITH {LOGINS} SELECT account AS key, {_TALLY} FROM logins GROUP BY account ORDER BY failure DESC, total DESC, key LIMIT 10",
-    "top_ips_by_failure": f"WITH {LOGINS} SELECT ip AS key, {_TALLY} FROM logins GROUP BY ip ORDER BY failure DESC, total DESC, key LIMIT 10",
+    "top_users_by_failure": f"WITH {LOGINS} SELECT row_number() OVER (ORDER BY failure DESC, total DESC, key) AS place, * FROM (SELECT account AS key, {_TALLY} FROM logins GROUP BY account) ORDER BY place LIMIT 10",
+    "top_ips_by_failure": f"WITH {LOGINS} SELECT row_number() OVER (ORDER BY failure DESC, total DESC, key) AS place, * FROM (SELECT ip AS key, {_TALLY} FROM logins GROUP BY ip) ORDER BY place LIMIT 10",
     "burst_window_counts": f"{_DETECT} SELECT * FROM counted",
     "burst_alerts": f"{_DETECT} SELECT rule, key, burst, failures, first_us, last_us, duration_s, n_related, related FROM detected",
     "burst_evidence": f"{_DETECT} SELECT * FROM evidence",

@@ -39,7 +39,7 @@ def events_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.events_by_source(_valid(spark, sf_dir), 20)
+    return report.events_by_source(_valid(spark, sf_dir))
 
 
 def top_ips(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def report_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.ranked_events(_valid(spark, sf_dir)).select("rank", "label", F.unix_micros("ts").alias("us"), "origin")
+    return report.ranked_events(_valid(spark, sf_dir)).select("place", "rank", "label", F.unix_micros("ts").alias("us"), "origin")
 
 
 def urgent_details(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,14 +92,14 @@ SQL = {
     "load_stats": f"{_WITH} SELECT count(*) AS rows_read, count(*) FILTER (WHERE reason IS NULL) AS valid, count(reason) AS rejected FROM judged",
     "events_by_severity": f"""{_WITH} SELECT severity, rank, coalesce(events, 0) AS events FROM (VALUES ('critica', 0), ('alta', 1), ('media', 2), ('baja', 3), ('info', 4)) s(severity, rank)
       LEFT JOIN (SELECT severity, count(*) AS events FROM sec GROUP BY severity) USING (severity)""",
-    "events_by_source": f"{_WITH} SELECT CASE source WHEN '' THEN '(sin fuente)' ELSE source END AS name, count(*) AS events FROM sec GROUP BY 1 ORDER BY events DESC, name LIMIT 20",
+    "events_by_source": f"{_WITH} SELECT CASE source WHEN '' THEN '(sin fuente)' ELSE source END AS name, count(*) AS events FROM sec GROUP BY 1 ORDER BY events DESC, name LIMIT 50",
     "top_ips": f"{_WITH} {_TOP('ip')} 5",
     "top_users": f"{_WITH} {_TOP('account')} 5",
     "events_per_day": f"{_WITH} SELECT CAST(CAST(ts - INTERVAL 6 HOUR AS DATE) AS VARCHAR) AS day, count(*) AS events FROM sec GROUP BY 1",
     "report_period": f"{_WITH} SELECT count(*) AS events, min(us) AS first_us, max(us) AS last_us FROM sec",
     "report_highlights": f"""{_WITH} SELECT 'urgent' AS kind, '' AS name, count(*) FILTER (WHERE rank < 2) AS events FROM sec
       UNION ALL SELECT 'repeated ip', * FROM ({_TOP('ip')} 1) WHERE events >= 3 UNION ALL SELECT 'repeated user', * FROM ({_TOP('account')} 1) WHERE events >= 3""",
-    "events_ranked": f"{_WITH} SELECT rank, label, us, origin FROM sec",
+    "events_ranked": f"{_WITH} SELECT row_number() OVER (ORDER BY rank, ts, origin) AS place, rank, label, us, origin FROM sec",
     "urgent_details": f"{_WITH} SELECT origin, severity FROM sec WHERE rank < 2 AND described",
     "report_rows_md": f"""{_WITH} SELECT origin, '| ' || concat_ws(' | ', {_TIME}, label, source, event_type, CASE ip WHEN '' THEN '' ELSE '`' || ip || '`' END, replace(account, '_', '\\_'), origin) || ' |' AS row FROM sec""",
     "report_rows_html": f"""{_WITH} SELECT origin, '<tr><td>' || concat_ws('</td><td>', {_TIME}, label, source, event_type, CASE ip WHEN '' THEN '' ELSE '<code>' || ip || '</code>' END, account, origin) || '</td></tr>' AS row FROM sec""",

@@ -9,13 +9,17 @@ from emberlog.functions.columns import settled
 from emberlog.functions.ip import normalize_ip
 from emberlog.functions.time import iso_error, iso_timestamp
 from emberlog.schemas import SEVERITIES, SEVERITY_ALIASES
+from emberlog.scratch import scratch, stored
 from emberlog.sources.lines import read_lines
+from emberlog.sources.records import csv_records, field_value, fields_of
 
 LIMITS = {"title": 200, "source": 100, "description": 2000, "user": 100}
 REQUIRED = ("timestamp", "severity", "title")
 FIELDS = (*REQUIRED, "source", "description", "ip", "user")
 FORMATS = {".json": "json", ".jsonl": "jsonl", ".ndjson": "jsonl", ".csv": "csv"}
 BLANKS = " \t\n\r\x0b\x0c"
+#: Files whose headers are broadcast, at most.
+MOST_BROADCAST = 100_000
 
 
 def event_format(path: str) -> str:
@@ -51,21 +55,28 @@ def load_json(spark: SparkSession, *paths: str) -> DataFrame:
     return each.select(F.concat("name", F.lit("["), (F.col("pos") + 1).cast("string"), F.lit("]")).alias("origin"), F.col("value").alias("row"), F.lit(None).cast("string").alias("bad"))
 
 
-def load_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a CSV file of single-line records with a header. Short rows are bad; surplus fields are ignored."""
-    lines = read_lines(spark, path)
-    head = lines.where("line_no = 1").select("text").first()
-    names = [n.strip('"') for n in (head["text"].lstrip("﻿").split(",") if head else [])]
-    if missing := [c for c in REQUIRED if c not in names]:
-        raise ValueError(f"columns missing in {path}: {', '.join(missing)}")
-    # a sentinel after the line tells a short row, in which it lands in a declared column, from a full one
-    mark = "\x01"
-    record = F.from_csv(F.concat("text", F.lit("," + mark)), F.lit(", ".join(f"_{k} string" for k in range(len(names) + 1))))
-    rows = lines.where((F.col("line_no") > 1) & (F.col("text") != "")).withColumn("r", record)
-    short = F.exists(F.array(*[F.col(f"r._{k}") for k in range(len(names))]), lambda x: x == mark)
-    wanted = [F.coalesce(F.col(f"r._{k}"), F.lit("")).alias(n) for k, n in enumerate(names) if n in FIELDS]
-    as_json = F.parse_json(F.to_json(F.struct(*wanted)))
-    return rows.select(F.concat(_name(F.col("source")), F.lit(":"), "line_no").alias("origin"), F.when(~F.coalesce(short, F.lit(False)), as_json).alias("row"), F.when(short, "fewer columns than the header").alias("bad"))
+def load_csv(spark: SparkSession, *paths: str) -> DataFrame:
+    """Rows of CSV files with a header, whose records may span lines (see csv_records); a file without the needed columns raises ValueError.
+
+    origin has the record's last line; the lines of a field are joined without a break. Short rows, and records that are
+    never closed, are bad; surplus fields are ignored; of equal names in the header the last counts. Empty lines are no
+    rows. Each file goes by its own header, a row a file that is joined to its records.
+    """
+    lines = read_lines(spark, *paths)
+    head = F.transform(fields_of(F.regexp_replace("text", "^\ufeff", "")), field_value)
+    heads = lines.where("line_no = 1").select(F.col("source").alias("_file"), head.alias("_names"))
+    last = lambda c: F.size("_names") + 1 - F.array_position(F.reverse("_names"), c)  # noqa: E731  size + 1 if it is missing
+    heads = stored(heads.select("_file", *[last(c).cast("int").alias(f"_at_{c}") for c in FIELDS], F.size("_names").alias("_width")), f"{scratch(spark, 'headers')}/found")
+    missing = F.array_compact(F.array(*[F.when(F.col(f"_at_{c}") > F.col("_width"), F.lit(c)) for c in REQUIRED]))
+    if bad := heads.select("_file", missing.alias("missing")).where(F.size("missing") > 0).first():
+        raise ValueError(f"columns missing in {bad['_file']}: {', '.join(bad['missing'])}")
+    records = csv_records(lines, joined_by="").where((F.col("first_line") > 1) & (F.col("text") != ""))
+    side = F.broadcast(heads) if heads.count() <= MOST_BROADCAST else heads
+    rows = settled(records.join(side, F.col("source") == F.col("_file")), _fields=fields_of(F.col("text")))
+    short = F.size("_fields") < F.col("_width")
+    wanted = [F.when(F.col(f"_at_{c}") <= F.col("_width"), field_value(F.get("_fields", F.col(f"_at_{c}") - 1))).alias(c) for c in FIELDS]
+    bad = F.when(F.col("open"), "quoted field without an end").when(short, "fewer columns than the header")
+    return rows.select(F.concat(_name(F.col("source")), F.lit(":"), "line_no").alias("origin"), F.when(bad.isNull(), F.parse_json(F.to_json(F.struct(*wanted)))).alias("row"), bad.alias("bad"))
 
 
 def load_events(spark: SparkSession, *paths: str) -> DataFrame:

@@ -17,6 +17,7 @@ from emberlog.functions.time import NONEXISTENT, iso_error, iso_timestamp, month
 from emberlog.schemas import EMPTY_USER
 from emberlog.scratch import scratch, stored
 from emberlog.settings import ParseSettings
+from emberlog.sources.records import csv_records, field_value, fields_of
 
 #: One attempt as sshd reports it: how it ended, whether the account is unknown, the account, the address.
 VERB = r"(Accepted|Failed) \S+ for"
@@ -143,8 +144,8 @@ def parse_syslog(lines: DataFrame, settings: ParseSettings = ParseSettings()) ->
     return _finish(rows, own, ignored, reason, ts=F.col("_ts"), user=user, ip=F.col("_ip"), outcome=F.when(F.col("_ok"), "success").otherwise("failure"), invalid_user=invalid, n=F.col("_n"))
 
 
-def parse_csv_row(rows: DataFrame, settings: ParseSettings = ParseSettings()) -> DataFrame:
-    """Rows with the text columns of CSV_COLUMNS (null or blank: empty), parsed like lines."""
+def parse_csv_row(rows: DataFrame, settings: ParseSettings = ParseSettings(), unclosed: Column | None = None) -> DataFrame:
+    """Rows with the text columns of CSV_COLUMNS (null or blank: empty), parsed like lines; those that are `unclosed` are unparsed."""
     own = [c for c in rows.columns if c not in CSV_COLUMNS]
     value = {c: F.coalesce(_stripped(F.col(c)), F.lit("")) for c in CSV_COLUMNS}
     rows = settled(rows, **{f"_{c}": x for c, x in value.items()})
@@ -152,6 +153,7 @@ def parse_csv_row(rows: DataFrame, settings: ParseSettings = ParseSettings()) ->
     empty = [F.when(F.col(f"_{c}") == "", F.lit(c)) for c in CSV_COLUMNS]
     outcome = F.lower("_result")
     reason = _first_reason(
+        (F.lit(False) if unclosed is None else unclosed, "quoted field without an end"),
         (F.concat_ws(", ", *empty) != "", F.concat(F.lit("empty columns: "), F.concat_ws(", ", *empty))),
         (~outcome.isin("success", "failure"), "unknown result"),
         (F.col("_ts").isNull(), iso_error(F.col("_timestamp"), F.col("_ts"))),
@@ -161,26 +163,32 @@ def parse_csv_row(rows: DataFrame, settings: ParseSettings = ParseSettings()) ->
 
 
 def parse_csv(lines: DataFrame, settings: ParseSettings = ParseSettings()) -> DataFrame:
-    """CSV lines of single-line records. Line 1 of each source is its header, whose names count in any case and without blanks.
+    """CSV records, which may span lines (see csv_records). The first record of each source is its header, whose names count in any case and without blanks.
 
-    Blank lines and the header aren't rows. A source without the needed columns raises ValueError. For records that span
-    lines, read with spark.read.csv(multiLine=True) and use parse_csv_row.
+    Of equal names the last counts; further columns are ignored; fields that a record lacks are empty. line_no is the
+    record's last line. Empty lines and the header aren't rows. A record that is never closed, or of too many lines, is
+    unparsed. A source without the needed columns raises ValueError.
+
+    A source's header says at which places its columns stand: a row a source, joined to its records, so all sources are
+    read in one pass, whatever their headers.
     """
-    heads = stored(lines.where("line_no = 1").select(F.col("source").alias("_file"), F.col("text").alias("_head")), f"{scratch(lines.sparkSession, 'headers')}/found")
-    side = F.broadcast(heads) if heads.count() <= MOST_BROADCAST else heads  # a line a file
-    tagged, own, out = lines.join(side, F.col("source") == F.col("_file")), lines.columns, None
-    for head in sorted(r["_head"] for r in heads.select("_head").distinct().collect()):  # as many as there are kinds of headers
-        names = [n.strip().strip('"').strip().lower() for n in head.lstrip("﻿").split(",")]
-        if missing := [c for c in CSV_COLUMNS if c not in names]:
-            raise ValueError(f"columns missing in the header: {', '.join(missing)}")
-        record = F.from_csv("text", F.lit(", ".join(f"_{k} string" for k in range(len(names)))))
-        rows = tagged.where((F.col("_head") == head) & (F.col("line_no") > 1) & (F.trim("text") != "")).select(*own, record.alias("_row"))
-        rows = rows.withColumns({c: F.col(f"_row._{len(names) - 1 - names[::-1].index(c)}") for c in CSV_COLUMNS}).drop("_row")
-        parsed = parse_csv_row(rows, settings)
-        out = parsed if out is None else out.unionByName(parsed)
-    if out is None:
+    own = lines.columns
+    records = csv_records(lines)
+    head = F.transform(fields_of(F.regexp_replace("text", "^\ufeff", "")), lambda f: F.lower(_stripped(field_value(f))))
+    heads = lines.where("line_no = 1").select(F.col("source").alias("_file"), head.alias("_names"))
+    last = lambda c: F.size("_names") + 1 - F.array_position(F.reverse("_names"), c)  # noqa: E731  size + 1 if it is missing
+    heads = stored(heads.select("_file", *[last(c).cast("int").alias(f"_at_{c}") for c in CSV_COLUMNS], F.size("_names").alias("_width")), f"{scratch(lines.sparkSession, 'headers')}/found")
+    missing = F.array_compact(F.array(*[F.when(F.col(f"_at_{c}") > F.col("_width"), F.lit(c)) for c in CSV_COLUMNS]))
+    if bad := heads.select("_file", missing.alias("missing")).where(F.size("missing") > 0).first():
+        raise ValueError(f"{bad['_file']}: columns missing in the header: {', '.join(bad['missing'])}")
+    count = heads.count()
+    if not count:
         raise ValueError("the file is empty or has no header")
-    return out
+    side = F.broadcast(heads) if count <= MOST_BROADCAST else heads  # a row a file
+    rows = records.where((F.col("first_line") > 1) & (F.col("text") != "")).join(side, F.col("source") == F.col("_file"))
+    rows = settled(rows, _fields=fields_of(F.col("text")))
+    rows = rows.select(*own, F.col("open").alias("_open"), *[field_value(F.get("_fields", F.col(f"_at_{c}") - 1)).alias(c) for c in CSV_COLUMNS])
+    return parse_csv_row(rows, settings, unclosed=F.col("_open")).drop("_open")
 
 
 def detect_formats(lines: DataFrame) -> DataFrame:
