@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions.text import clean_text, safe_csv_cell
 from emberlog.functions.time import format_duration, format_timestamp, iso_seconds, minutes_text
+from emberlog.operators.ranks import numbered
 from emberlog.scratch import scratch, stored
 from emberlog.settings import BurstSettings
 
@@ -26,12 +27,12 @@ KEYS = ["rule", "key"]
 SPAN = 32
 
 
-def keyed(events: DataFrame, settings: BurstSettings) -> DataFrame:
-    """events for each rule: key is what the rule counts by, related the other of user and ip; us is the time in µs."""
-    pairs = {"user": ("user", "ip"), "ip": ("ip", "user")}
-    sides = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(pairs[r][0]).alias("key"), F.col(pairs[r][1]).alias("related")) for r in settings.rules]))
+def keyed(events: DataFrame, settings: BurstSettings, *more: str) -> DataFrame:
+    """events for each rule: key is what the rule counts by, related what it lists; us is the time in µs. more: further columns to keep."""
+    text = lambda c: F.col(f"`{c}`").cast("string")
+    sides = F.explode(F.array(*[F.struct(F.lit(r.name).alias("rule"), text(r.key).alias("key"), text(r.related).alias("related")) for r in settings.all_rules()]))
     place = [c for c in ("file_idx", "line_no") if c in events.columns]
-    return events.withColumn("_s", sides).select("_s.rule", "_s.key", "_s.related", F.unix_micros("ts").alias("us"), "outcome", "n", "source", *place, "user", "ip")
+    return events.withColumn("_s", sides).select("_s.rule", "_s.key", "_s.related", F.unix_micros("ts").alias("us"), "outcome", "n", "source", *place, "user", "ip", *more)
 
 
 def _micros(delta) -> int:
@@ -44,12 +45,26 @@ def _span(us: str, width: int) -> Column:
 
 
 def _spans(events: DataFrame, width: int, settings: BurstSettings) -> DataFrame:
-    """(rule, key, span, us, n, in_window, own): the instants that a span sees, own being those that lie in it; in_window holds from a window before the span on."""
-    points = keyed(events.where("outcome = 'failure'"), settings).groupBy(*KEYS, "us").agg(F.sum("n").alias("n"))
-    seen = F.explode(F.sequence(_span(f"(us - {width})", width), _span(f"(us + {2 * width})", width)))
-    # an instant comes, and goes again before what happens a microsecond after its last moment
-    change = F.explode(F.array(F.struct(F.col("us").alias("at"), F.lit(1).alias("comes"), F.col("n").alias("by")), F.struct((F.col("us") + width + 1).alias("at"), F.lit(0).alias("comes"), (-F.col("n")).alias("by"))))
-    rows = points.withColumn("span", seen).withColumn("change", change).select(*KEYS, "span", "us", "n", "change.*")
+    """(rule, key, span, us, n, in_window, own): the instants that a span sees, own being those that lie in it; in_window holds from a window before the span on.
+
+    in_window is a running sum of changes. By failures, an instant's failures come, and go again a microsecond after
+    the last moment of the window that begins with it. By related values, a value comes with a failure that none of its
+    own stands in the window before, and goes a window after one that none of its own follows.
+    """
+    failures = keyed(events.where("outcome = 'failure'"), settings)
+    distinct = [r.name for r in settings.all_rules() if r.measure == "related"]
+    seen = F.explode(F.sequence(_span(f"(us - {width})", width), _span(f"(us + {2 * width})", width))).alias("span")
+    own = F.col("rule").isin(*distinct) if distinct else F.lit(False)
+    instants = failures.where(~own).groupBy(*KEYS, "us").agg(F.sum("n").alias("n")).select(*KEYS, "us", "n", F.col("n").alias("comes"), F.col("n").alias("goes"), seen)
+    if distinct:
+        each = failures.where(own).groupBy(*KEYS, "related", "us").agg(F.sum("n").alias("n")).select(*KEYS, "related", "us", "n", seen)
+        order = Window.partitionBy(*KEYS, "span", "related").orderBy("us")
+        fresh = F.coalesce(F.lag("us").over(order) < F.col("us") - width, F.lit(True)).cast("bigint")
+        final = F.coalesce(F.lead("us").over(order) > F.col("us") + width, F.lit(True)).cast("bigint")
+        each = each.select(*KEYS, "us", "n", fresh.alias("comes"), final.alias("goes"), "span").groupBy(*KEYS, "span", "us").agg(F.sum("n").alias("n"), F.sum("comes").alias("comes"), F.sum("goes").alias("goes"))
+        instants = instants.unionByName(each)
+    change = F.explode(F.array(F.struct(F.col("us").alias("at"), F.lit(1).alias("in"), F.col("comes").alias("by")), F.struct((F.col("us") + width + 1).alias("at"), F.lit(0).alias("in"), (-F.col("goes")).alias("by"))))
+    rows = instants.select(*KEYS, "span", "us", "n", change.alias("c")).select(*KEYS, "span", "us", "n", "c.at", F.col("c.in").alias("comes"), "c.by")
     rows = rows.withColumn("in_window", F.sum("by").over(_in_span().rowsBetween(Window.unboundedPreceding, 0))).where("comes = 1")
     return rows.withColumn("own", F.col("span") == _span("us", width))
 
@@ -100,19 +115,40 @@ def burst_evidence(failures: DataFrame, settings: BurstSettings) -> DataFrame:
     return few.select(*KEYS, "burst", "place", "source", "line_no", F.least("n", settings.max_evidence - F.col("before")).cast("int").alias("times"))
 
 
+def burst_related(failures: DataFrame) -> DataFrame:
+    """(rule, key, burst, place, related): the different related values of member_failures of each burst, a row a value, numbered in order.
+
+    However many values a burst has, they are counted and numbered by ranges of the values, never in one task or array.
+    """
+    each = stored(failures.select(*KEYS, "burst", "related").distinct(), f"{scratch(failures.sparkSession, 'bursts')}/related")
+    return numbered(each, F.col("related"), groups=(*KEYS, "burst"), name="place").select(*KEYS, "burst", "place", "related")
+
+
+def _listed(failures: DataFrame, most: int | None) -> DataFrame:
+    """(rule, key, burst, n_related, related): the number of related values, and the first `most` of them as an array.
+
+    Values are made distinct dealt by the value, so the counts add up a row a value and task, not sets of a burst.
+    """
+    each, keys = failures.select(*KEYS, "burst", "related").distinct(), [*KEYS, "burst"]
+    every = F.array_sort(F.collect_list("related")).alias("related")
+    if most is None:
+        return each.groupBy(*keys).agg(F.count("related").alias("n_related"), every)
+    each = stored(each, f"{scratch(failures.sparkSession, 'bursts')}/related")
+    few = each.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("related"))).where(F.col("place") <= most)  # limited before the shuffle
+    return each.groupBy(*keys).agg(F.count("related").alias("n_related")).join(few.groupBy(*keys).agg(every), keys)
+
+
 def burst_alerts(events: DataFrame, settings: BurstSettings = BurstSettings()) -> DataFrame:
     """One row for each burst: failures, first and last time, related values and evidence.
 
-    n_related counts all related values; related lists them in order, the first max_related of them if that is set.
+    n_related counts all related values; related lists them in order, the first max_related of them if that is set. For
+    all of very many, as rows, see burst_related.
     """
     failures = member_failures(events, settings)
-    related = F.array_sort(F.collect_set("related")).alias("related")
-    alerts = failures.groupBy(*KEYS, "burst").agg(F.sum("n").alias("failures"), F.min("us").alias("first_us"), F.max("us").alias("last_us"), related)
-    alerts = alerts.withColumn("n_related", F.size("related").cast("bigint"))
-    if settings.max_related is not None:
-        alerts = alerts.withColumn("related", F.slice("related", 1, settings.max_related))
+    alerts = failures.groupBy(*KEYS, "burst").agg(F.sum("n").alias("failures"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
     shown = burst_evidence(failures, settings).groupBy(*KEYS, "burst").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "source", "line_no", "times"))), lambda x: F.struct(x["source"], x["line_no"], x["times"])).alias("evidence"))
-    return alerts.join(shown, [*KEYS, "burst"]).withColumn("duration_s", F.floor((F.col("last_us") - F.col("first_us")) / 1_000_000))
+    alerts = alerts.join(_listed(failures, settings.max_related), [*KEYS, "burst"]).join(shown, [*KEYS, "burst"])
+    return alerts.withColumn("duration_s", F.floor((F.col("last_us") - F.col("first_us")) / 1_000_000))
 
 
 def attach_success(alerts: DataFrame, events: DataFrame, settings: BurstSettings = BurstSettings()) -> DataFrame:
@@ -143,9 +179,10 @@ def attach_success(alerts: DataFrame, events: DataFrame, settings: BurstSettings
 
 
 def detect_bursts(events: DataFrame, settings: BurstSettings = BurstSettings()) -> DataFrame:
-    """Alerts with their successes, in the order first_us, rule, key."""
-    alerts = stored(burst_alerts(events, settings), f"{scratch(events.sparkSession, 'bursts')}/alerts")  # read twice
-    return attach_success(alerts, events, settings).orderBy("first_us", "rule", "key")
+    """Alerts with their successes and rank, their number from 1 in the order first_us, rule, key."""
+    path = scratch(events.sparkSession, "bursts")
+    alerts = stored(burst_alerts(events, settings), f"{path}/alerts")  # read twice, as what follows
+    return numbered(stored(attach_success(alerts, events, settings), f"{path}/detected"), F.col("first_us"), F.col("rule"), F.col("key"))
 
 
 def out_of_order(events: DataFrame, chunk: int = 100_000) -> DataFrame:
@@ -184,7 +221,10 @@ def evidence_text(alerts: DataFrame) -> DataFrame:
 def explanations(alerts: DataFrame, settings: BurstSettings = BurstSettings(), zone: str = "UTC") -> DataFrame:
     """alerts with `explanation`: the sentences that say why each was raised."""
     time = lambda us: format_timestamp(F.timestamp_micros(us), zone)
-    by_user, s = F.col("rule") == "user", F.col("success")
+    rules, s = settings.all_rules(), F.col("success")
+    by_user = F.col("rule").isin(*[r.name for r in rules if r.key == "user"]) if any(r.key == "user" for r in rules) else F.lit(False)
+    by_values = F.col("rule").isin(*[r.name for r in rules if r.measure == "related"]) if any(r.measure == "related" for r in rules) else F.lit(False)
+    of_what = F.when(by_values, F.when(by_user, "different addresses failing").otherwise("different accounts failing")).otherwise("failures")
     gap = F.floor((s["us"] - F.col("last_us")) / 1_000_000)
     moment = F.when(s["us"] <= F.col("last_us"), "during the burst").otherwise(F.concat(format_duration(gap), F.lit(" after the last failure")))
     whose = F.when(by_user, F.concat(F.lit("from "), s["ip"])).otherwise(F.concat(F.lit("as "), s["user"]))
@@ -192,7 +232,7 @@ def explanations(alerts: DataFrame, settings: BurstSettings = BurstSettings(), z
     some = F.concat(F.lit("Successful login "), moment, F.lit(": "), time(s["us"]), F.lit(" "), whose, F.lit(" ("), s["source"], F.lit(":"), s["line_no"].cast("string"), F.lit("). Check whether it was legitimate."))
     sentences = F.array(
         F.concat(F.col("failures").cast("string"), F.lit(" failed attempts from "), time(F.col("first_us")), F.lit(" to "), time(F.col("last_us")), F.lit(" ("), format_duration(F.col("duration_s")), F.lit(").")),
-        F.lit(f"Rule: {settings.threshold} or more failures in a window of {minutes_text(settings.window)}."),
+        F.concat(F.lit(f"Rule: {settings.threshold} or more "), of_what, F.lit(f" in a window of {minutes_text(settings.window)}.")),
         F.concat(F.when(by_user, "Addresses").otherwise("Accounts"), F.lit(" ("), F.col("n_related").cast("string"), F.lit("): "), F.array_join("related", ", ")),
         F.when(s.isNull(), none).otherwise(some),
     )

@@ -33,11 +33,12 @@ def numbered(rows: DataFrame, *order: Column, groups: tuple[str, ...] = (), name
     at = F.monotonically_increasing_id()
     placed = placed.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), *own, F.shiftright(at, ROW_BITS).alias("task"), at.alias("at"))
     placed = stored(placed, f"{path}/placed")
-    counts = stored(placed.groupBy(*own, "task").agg(F.count("*").alias("n"), F.min("at").alias("first")), f"{path}/counts")
+    counts = placed.groupBy(*own, "task").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    counts = stored(counts, f"{path}/counts") if groups else counts
     every = Window.partitionBy(*own)  # without groups one row a task
     earlier = F.coalesce(F.sum("n").over(every.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select(*[F.col(c).alias(f"of_{c}") for c in own], F.col("task").alias("of_task"), (earlier - F.col("first") + 1).alias("start"), F.sum("n").over(every).alias("total"))
-    if counts.count() <= MOST_BROADCAST:
+    if not groups or counts.count() <= MOST_BROADCAST:  # without groups a row a task
         starts = F.broadcast(starts)
     same = [F.col("task") == F.col("of_task"), *[F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in own]]
     out = [(F.col("start") + F.col("at")).alias(name), *([F.col("total").alias(total)] if total else [])]

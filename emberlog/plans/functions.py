@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.functions import ip, text, time
+from emberlog.functions.columns import settled
 from emberlog.plans.inputs import table
 from emberlog.scratch import scratch
 from emberlog.sources import events as sources
@@ -50,7 +51,9 @@ def fn_parse_syslog_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fn_extract_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")
     line = F.when(i % 3 == 0, F.concat(F.lit("  "), _moment(), F.lit(" said"))).when(i % 3 == 1, F.concat(F.date_format("ts", "MMM  d HH:mm:ss"), F.lit(" host said"))).otherwise(F.concat(F.lit("said at "), _moment()))
-    return _events(spark, sf_dir).select("event_id", F.unix_micros(time.leading_timestamp(line, 2024)).alias("us"))
+    rows = settled(_events(spark, sf_dir), line=line)
+    iso, old = time.leading_texts(F.col("line"))
+    return settled(rows, iso=iso, old=old).select("event_id", F.unix_micros(time.leading_instant(F.col("iso"), F.col("old"), 2024)).alias("us"))
 
 
 def fn_to_utc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.operators import bursts, counting
 from emberlog.plans.inputs import BURSTS, CSV, LAB, LAB_TEXT, LOGINS, PARSE, SYSLOG, csv_files, csv_lines, folders, lab_lines, logins, syslog_lines
 from emberlog.scratch import scratch, stored
+from emberlog.settings import Rule
 from emberlog.sources import logins as parsers
 from emberlog.sources import sinks
 from emberlog.sources.lines import read_lines as numbered_lines
@@ -43,7 +46,7 @@ def read_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [lab_lines(spark, sf_dir), syslog_lines(spark, sf_dir), csv_lines(spark, sf_dir)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return stored(parts[0].unionByName(parts[1]).unionByName(parts[2]), f"{scratch(spark, 'lines')}/all")  # made once, read for each format
 
 
 def detect_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,12 +123,22 @@ def burst_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bursts.burst_evidence(bursts.member_failures(logins(spark, sf_dir), BURSTS), BURSTS)
 
 
+def burst_related(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bursts.burst_related(bursts.member_failures(logins(spark, sf_dir), BURSTS))
+
+
+def burst_distinct_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bursts of addresses from which at least six different accounts fail in twelve hours, however often each does."""
+    spraying = replace(BURSTS, threshold=6, rules=(Rule("spraying", "ip", "user", "related"),))
+    return bursts.burst_alerts(logins(spark, sf_dir), spraying).select("rule", "key", "burst", "failures", "first_us", "last_us", "n_related")
+
+
 def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bursts.detect_bursts(logins(spark, sf_dir), BURSTS)
 
 
 def burst_success(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _detected(spark, sf_dir).select("rule", "key", "first_us", "last_us", "failures", "severity", F.col("success.us").alias("success_us"), F.col("success.line_no").alias("success_line"))
+    return _detected(spark, sf_dir).select("rank", "rule", "key", "first_us", "last_us", "failures", "severity", F.col("success.us").alias("success_us"), F.col("success.line_no").alias("success_line"))
 
 
 def burst_multi_source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,7 +188,7 @@ def write_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NAMES = (
     "parse_lab parse_syslog parse_csv_logins parse_csv_records read_lines detect_format load_events file_stats line_status_counts unparsed_sample expand_repeats "
-    "counts_by_user counts_by_ip counts_grouping_sets login_totals top_users_by_failure top_ips_by_failure burst_window_counts burst_alerts burst_evidence "
+    "counts_by_user counts_by_ip counts_grouping_sets login_totals top_users_by_failure top_ips_by_failure burst_window_counts burst_alerts burst_evidence burst_related burst_distinct_users "
     "burst_success burst_multi_source detection_stats out_of_order evidence_text alert_explanations alerts_flat alerts_json login_summary_json write_counts"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}
@@ -220,6 +233,12 @@ wins AS (
 detected AS (SELECT a.*, r.n_related, r.related, w.* EXCLUDE (rule, key, burst), CASE WHEN success_us IS NULL THEN 'media' ELSE 'alta' END AS severity,
   (last_us - first_us) // 1000000 AS duration_s FROM alerts a JOIN related r USING (rule, key, burst) LEFT JOIN wins w USING (rule, key, burst))"""
 _DETECT = f"WITH {LOGINS}, attempts AS (SELECT * EXCLUDE (ts, event_id, invalid_user) FROM logins){_BURSTS}"
+#: The same for a rule of its own: six different accounts of an address in a window.
+_SPRAYING = (
+    _DETECT.replace("SELECT 'user' AS rule, account AS key, ip AS related, * FROM attempts UNION ALL SELECT 'ip', ip, account, * FROM attempts", "SELECT 'spraying' AS rule, ip AS key, account AS related, * FROM attempts")
+    .replace(f"CAST(sum(n) OVER (PARTITION BY rule, key ORDER BY us RANGE BETWEEN {_HOURS12} PRECEDING AND CURRENT ROW) AS BIGINT)",
+             f"(SELECT count(DISTINCT related) FROM keyed k WHERE k.outcome = 'failure' AND k.key = points.key AND k.us BETWEEN points.us - {_HOURS12} AND points.us)").replace("in_window >= 3", "in_window >= 6")
+)
 _SECONDS = lambda us: f"strftime(make_timestamp(CAST({us} AS BIGINT)), '%Y-%m-%dT%H:%M:%S') || '+00:00'"
 _LOCAL = lambda us: f"strftime(make_timestamp(CAST({us} AS BIGINT)), '%Y-%m-%d %H:%M:%S') || '+00:00'"
 _SPAN = lambda s: f"CASE WHEN {s} >= 3600 THEN ({s} // 3600) || ' h ' || ({s} % 3600 // 60) || ' min ' || ({s} % 60) || ' s' WHEN {s} >= 60 THEN ({s} // 60) || ' min ' || ({s} % 60) || ' s' ELSE {s} || ' s' END"
@@ -270,7 +289,9 @@ SQL = {
     "burst_window_counts": f"{_DETECT} SELECT * FROM counted",
     "burst_alerts": f"{_DETECT} SELECT rule, key, burst, failures, first_us, last_us, duration_s, n_related, related FROM detected",
     "burst_evidence": f"{_DETECT} SELECT * FROM evidence",
-    "burst_success": f"{_DETECT} SELECT rule, key, first_us, last_us, failures, severity, success_us, success_line FROM detected",
+    "burst_related": f"{_DETECT} SELECT rule, key, burst, row_number() OVER (PARTITION BY rule, key, burst ORDER BY related) AS place, related FROM (SELECT DISTINCT rule, key, burst, related FROM rows)",
+    "burst_distinct_users": f"{_SPRAYING} SELECT rule, key, burst, failures, first_us, last_us, n_related FROM alerts JOIN related USING (rule, key, burst)",
+    "burst_success": f"{_DETECT} SELECT row_number() OVER (ORDER BY first_us, rule, key) AS rank, rule, key, first_us, last_us, failures, severity, success_us, success_line FROM detected",
     "burst_multi_source": f"""WITH {_LOADED}, attempts AS (SELECT us, account, ip, outcome, source, 0 AS file_idx, line_no, n FROM loaded WHERE status = 'event'){_BURSTS}
       SELECT rule, key, failures, first_us, last_us FROM alerts""",
     "detection_stats": f"""WITH {LOGINS}, seen AS (SELECT *, max(us) OVER (ORDER BY file_idx, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM logins)

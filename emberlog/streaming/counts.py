@@ -1,17 +1,10 @@
-"""Login counts over streams of events."""
+"""Failures over streams of events. Running counts are counting.counts_by on a stream."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.operators.counting import counts_by
-
-
-def running_counts(events: DataFrame, key: str) -> DataFrame:
-    """Counts by user or ip that grow with the stream; write them in update or complete mode."""
-    return counts_by(events, key)
-
 
 def sliding_failures(events: DataFrame, key: str, window: str, slide: str, late: str) -> DataFrame:
     """(start, end, key, failures) of each sliding window; events later than `late` behind the newest are left out."""

@@ -7,7 +7,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from emberlog.operators import search
+from emberlog.operators import counting, search
 from emberlog.sources import events, lines, sinks
 from emberlog.streaming import counts
 
@@ -75,7 +75,7 @@ def test_streams(spark, tmp_path):
     schema = "ts timestamp, user string, ip string, outcome string, n int"
     spark.createDataFrame([(datetime(2025, 3, 2, 21, m), "mira", "192.0.2.7", o, n) for m, o, n in ((1, "failure", 2), (4, "failure", 1), (7, "success", 1))], schema).write.parquet(f"{tmp_path}/in")
     stream = lambda: spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
-    for name, df in (("running", counts.running_counts(stream(), "user")), ("sliding", counts.sliding_failures(stream(), "ip", "10 minutes", "5 minutes", "1 hour"))):
+    for name, df in (("running", counting.counts_by(stream(), "user")), ("sliding", counts.sliding_failures(stream(), "ip", "10 minutes", "5 minutes", "1 hour"))):
         df.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start().awaitTermination(120)
     assert [tuple(r) for r in spark.table("running").collect()] == [("mira", 1, 3, 4)]
     assert sorted((r["start"].minute, r["failures"]) for r in spark.table("sliding").select("start", F.col("failures")).collect()) == [(0, 3), (55, 3)]
