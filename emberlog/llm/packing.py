@@ -4,7 +4,8 @@ Documents longer than a sequence are cut into full pieces, the first one shorter
 about GROUP by a hash of their place in the table; each group is packed on its own, so the search is parallel, its
 memory bounded, and no more than one sequence in thousands is lost at a group's edge.
 
-A group's pieces are put into bins as they come. Then the search empties bins: pieces of the least filled bin move to
+A group's pieces are put into bins by best fit, once from the largest on and once as they come, and the better end of
+two searches counts. The search empties bins: pieces of the least filled bin move to
 other underfull bins, or are exchanged one for one, one for two or two for one with smaller ones there, always so that
 the sum of squared fills grows. Changes that fill a bin to the last token are looked for first. Where no change helps,
 a trade with a full bin fills the donor and leaves the same fill in smaller pieces, which fit into more gaps: the sum
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,8 +89,8 @@ class LocalSearch:
 
     def _sums(self, b: int) -> tuple[list[int], list[int]]:
         """The different sizes of bin b's pieces, and the different sums of two of them."""
-        own = [self.sizes[k] for k in self.bins[b]]
-        return sorted(set(own)), sorted({x + y for k, x in enumerate(own) for y in own[:k]})
+        own = Counter(self.sizes[k] for k in self.bins[b])
+        return sorted(own), sorted({x + y for x, n in own.items() for y in own if y < x or (y == x and n > 1)})
 
     def _squares(self, items: list[int]) -> int:
         return sum(self.sizes[k] ** 2 for k in items)
@@ -104,11 +106,12 @@ class LocalSearch:
         gap, version = self.limit - self.fill[b], self.version[b]
         if not gap:
             self.squares[b] = self._squares(self.bins[b])
-            own = [self.sizes[k] for k in self.bins[b]]
-            for k, x in enumerate(own):
+            own = Counter(self.sizes[k] for k in self.bins[b])
+            for x, n in own.items():  # each different piece and pair once
                 self.full.setdefault(x, []).append((b, version, 1, x * x))
-                for y in own[:k]:
-                    self.full.setdefault(x + y, []).append((b, version, 2, x * x + y * y))
+                for y in own:
+                    if y < x or (y == x and n > 1):
+                        self.full.setdefault(x + y, []).append((b, version, 2, x * x + y * y))
             return
         ones, twos = self._sums(b)
         for kind, sums in enumerate(((0,), ones, twos)):
@@ -251,12 +254,29 @@ class LocalSearch:
         return list(self.bins.values())
 
 
+def decreasing_bins(sizes: list[int], limit: int) -> list[list[int]]:
+    """arrival_bins of the sizes from the largest on: best fit decreasing."""
+    order = sorted(range(len(sizes)), key=lambda k: -sizes[k])
+    return [[order[k] for k in b] for b in arrival_bins([sizes[k] for k in order], limit)]
+
+
 def pack_sizes(sizes: list[int], limit: int) -> list[list[int]]:
-    """Bins of indexes of sizes (each from 1 to limit). Full pieces are bins of their own and take no part in the search."""
+    """Bins of indexes of sizes (each from 1 to limit). Full pieces are bins of their own and take no part in the search.
+
+    Neither start is always the better one: pieces in order of size leave fewer bins where many are large, in order of
+    arrival where all are middling. So the search is made from both, unless the first one ends at the least number that
+    there can be, and the one with fewer bins counts.
+    """
     part = [k for k, s in enumerate(sizes) if s < limit]
     small = [sizes[k] for k in part]
-    bins = LocalSearch(small, arrival_bins(small, limit), limit).run()
-    return [[k] for k, s in enumerate(sizes) if s == limit] + [[part[k] for k in b] for b in bins]
+    least, best = -(-sum(small) // limit), None
+    for start in (decreasing_bins, arrival_bins):
+        bins = LocalSearch(small, start(small, limit), limit).run()
+        if best is None or len(bins) < len(best):
+            best = bins
+        if len(best) == least:
+            break
+    return [[k] for k, s in enumerate(sizes) if s == limit] + [[part[k] for k in b] for b in best]
 
 
 def document_pieces(docs: DataFrame, tokenizer: str, end_id: int, limit: int) -> DataFrame:

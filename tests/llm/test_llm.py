@@ -120,6 +120,22 @@ def test_search_saves_bins():
     assert found < _best_fit_decreasing(sizes, 1024)
 
 
+@pytest.mark.parametrize(("low", "high", "n"), [(20, 1001, 1500), (100, 901, 1500), (200, 513, 1050), (1, 300, 2000)])
+def test_packing_is_never_behind_a_plain_one(low, high, n):
+    for seed in range(3):
+        sizes = np.random.default_rng(seed).integers(low, high, n).tolist()
+        bins = packing.pack_sizes(sizes, 1024)
+        assert sorted(k for b in bins for k in b) == list(range(n)) and all(sum(sizes[k] for k in b) <= 1024 for b in bins)
+        arrived = packing.LocalSearch(sizes, packing.arrival_bins(sizes, 1024), 1024).run()
+        assert len(packing.decreasing_bins(sizes, 1024)) == _best_fit_decreasing(sizes, 1024)
+        assert len(bins) <= min(_best_fit_decreasing(sizes, 1024), len(arrived))
+
+
+def test_equal_pieces_are_offered_once():
+    search = packing.LocalSearch([1] * 4_096, packing.arrival_bins([1] * 4_096, 1024), 1024)
+    assert sum(map(len, search.full.values())) == 8 and [len(b) for b in search.run()] == [1024] * 4
+
+
 def test_search_ends_when_nothing_helps():
     sizes, limit = np.random.default_rng(1).integers(200, 513, 300).tolist(), 1024
     bins = [[sizes[k] for k in b] for b in packing.pack_sizes(sizes, limit)]
