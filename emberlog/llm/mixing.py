@@ -107,7 +107,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     A pass that the target cuts counts if at least half of the document is taken. Null and empty texts have no words
     and aren't taken. Rows of one id with different texts or sources are documents of their own; of rows that are the
-    same in all three, one stands for all, as often as they are taken together. A null source is a source. All columns
+    same in all three, the first as JSON stands for all, as often as they are taken together. A null source is a source. All columns
     come back, whatever their names. An empty table gives no row.
     """
     spark, key = docs.sparkSession, ["doc_id", "source", "text_hash"]
@@ -118,7 +118,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     own = [f"own_{c}" for c in key]
     same = [F.col(o).eqNullSafe(F.col(c)) for o, c in zip(own, key, strict=True)]
     if not repeated.isEmpty():
-        one = rows.join(repeated, same, "left_semi").groupBy(*own).agg(F.first("row").alias("row")).select("row", *own)
+        one = rows.join(repeated, same, "left_semi").groupBy(*own).agg(F.min_by("row", F.to_json("row")).alias("row")).select("row", *own)
         rows = rows.join(repeated, same, "left_anti").select("row", *own).union(one)
     taken = rows.join(chosen, same).select("row", "own_doc_id", F.explode("positions").alias("position"))
     ordered = taken.repartitionByRange("position", F.xxhash64("own_doc_id")).sortWithinPartitions("position", "own_doc_id")

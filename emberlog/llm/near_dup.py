@@ -16,7 +16,8 @@ of a component names the component.
 * Rest: lists whose members aren't all connected by now are compared in blocks inside tasks. First by sketches: a task
   names the members that may be similar to another one, not the pairs; a pair of several lists is looked at in the one
   of the smallest value. Then only these bring their full sets, in blocks bounded by shingles, and a task emits a
-  spanning forest of its links. So a group of n near copies gives about n rows of a list, not n * n.
+  spanning forest of its links. The members of a list's largest component meet only those outside of it. So a group of
+  n near copies gives about n rows of a list, not n * n.
 """
 
 from __future__ import annotations
@@ -225,9 +226,29 @@ def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
     return [flat[s:e] for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
+def _sides(members: DataFrame, weight: Column) -> DataFrame:
+    """(value, big, rest_blocks, big_blocks) of lists of members (value, component): the component with most members, and how many blocks it and the rest take.
+
+    A list that fits into one block has no big component.
+    """
+    each = members.groupBy("value", "component").agg(F.count("*").alias("n"), F.sum(weight).alias("w"))
+    lists = each.groupBy("value").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.max(F.struct("n", "w", "component")).alias("big"))
+    blocks = lambda n, w: F.greatest(F.ceil(n / BLOCK), F.ceil(w / SHINGLES_A_BLOCK), F.lit(1))
+    n, w, big = F.col("n"), F.col("w"), F.col("big")
+    one = blocks(n, w) == 1
+    return lists.select("value", F.when(~one, big["component"]).alias("big"), F.when(one, 1).otherwise(blocks(n - big["n"], w - big["w"])).cast("bigint").alias("rest_blocks"), F.when(one, 0).otherwise(blocks(big["n"], big["w"])).cast("bigint").alias("big_blocks"))
+
+
 def _dealt(members: DataFrame, *columns: str) -> DataFrame:
-    """members (value, cid, blocks, columns) once for each other block of their list, so that each two blocks of a list meet as (value, low, high)."""
-    own = members.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    """members (value, cid, component, big, rest_blocks, big_blocks, columns) once for each block that its own must meet, as (value, low, high).
+
+    Members of the big component are linked with each other already, so its blocks meet those of the rest only, and a
+    list in which few are left over is dealt in proportion to its length. Blocks of the rest meet each other.
+    """
+    inside, hashed = F.coalesce(F.col("component") == F.col("big"), F.lit(False)), F.xxhash64("cid")
+    block = F.when(inside, F.col("rest_blocks") + F.pmod(hashed, F.greatest("big_blocks", F.lit(1)))).otherwise(F.pmod(hashed, F.col("rest_blocks")))
+    last = F.col("rest_blocks") + F.when(inside, 0).otherwise(F.col("big_blocks")) - 1
+    own = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
     return own.select("value", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cid", *columns)
 
 
@@ -240,9 +261,12 @@ def open_members(lists: DataFrame, classes: DataFrame, links: DataFrame, thresho
     member = lists.select("value", "cid", "members").join(components(links).withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     member = stored(member, f"{path}/members")
     split = stored(member.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("value"), f"{path}/split")
-    open_ = stored(member.join(split, "value").withColumn("blocks", F.ceil(F.col("members") / BLOCK)).drop("members"), f"{path}/split-members")
+    open_ = stored(member.join(split, "value"), f"{path}/split-members")
+    long = stored(_sides(open_.where(F.col("members") > BLOCK), F.lit(0)), f"{path}/long")
+    one = {"rest_blocks": 1, "big_blocks": 0}
+    sided = open_.drop("members").join(long, "value", "left").fillna(one)
     held = open_.groupBy("cid").agg(F.array_sort(F.collect_list("value")).alias("lists"))  # INDEXED values at most
-    dealt = _dealt(open_, "component").join(classes.select("cid", "n", "sketch").join(held, "cid"), "cid")
+    dealt = _dealt(sided, "component").join(classes.select("cid", "n", "sketch").join(held, "cid"), "cid")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, edges in whole_runs(batches, "value", "low", "high"):
@@ -261,9 +285,8 @@ def open_members(lists: DataFrame, classes: DataFrame, links: DataFrame, thresho
 
 def links_of_members(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """(a, b): the links between members (value, cid, component) of each list, by their full sets."""
-    weighed = members.join(sets.select("cid", F.size("hashes").alias("n")), "cid").groupBy("value").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
-    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / SHINGLES_A_BLOCK))
-    dealt = _dealt(members.join(weighed.withColumn("blocks", blocks).select("value", "blocks"), "value"), "component").join(sets.select("cid", "hashes"), "cid")
+    sides = _sides(members.join(sets.select("cid", F.size("hashes").alias("n")), "cid"), F.col("n"))
+    dealt = _dealt(members.join(sides, "value"), "component").join(sets.select("cid", "hashes"), "cid")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, edges in whole_runs(batches, "value", "low", "high"):
@@ -330,7 +353,7 @@ def distinct_documents(docs: DataFrame, threshold: int = USUAL) -> DataFrame:
     """One row of docs from each group of near duplicates, and all rows whose text has no word.
 
     Of a group stays the row of its smallest id, null ids last; of several rows of that id the one whose set has the
-    smallest key, and of rows of that id with the same text any one. Other rows of the id that are no near duplicates
+    smallest key, and of rows of that id with the same text the first as JSON. Other rows of the id that are no near duplicates
     are groups of their own. All columns come back, whatever their names. An empty table gives no row.
     """
     rows, reached = _classes_and_links(docs, threshold)
@@ -348,6 +371,6 @@ def distinct_documents(docs: DataFrame, threshold: int = USUAL) -> DataFrame:
     out = back(packed.join(by_row, same, "left_anti"))
     repeated = by_row.where("stays")
     if not repeated.isEmpty():
-        one = packed.join(repeated.select("doc_id", "text_hash"), same, "left_semi").groupBy("own_id", "own_hash").agg(F.first("row").alias("row"))
+        one = packed.join(repeated.select("doc_id", "text_hash"), same, "left_semi").groupBy("own_id", "own_hash").agg(F.min_by("row", F.to_json("row")).alias("row"))
         out = out.union(back(one))
     return out

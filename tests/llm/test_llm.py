@@ -11,9 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from emberlog.llm import ann_tree, dac, langid, line_dedup, mixing, near_dup, packing, quality_rules, rule_ensemble, textstats, token_cache
+from emberlog.llm import ann_tree, components, dac, langid, line_dedup, mixing, near_dup, packing, quality_rules, rule_ensemble, shared, textstats, token_cache
 from emberlog.llm.cuckoo import CuckooFilter
-from emberlog.llm.shared import scratch
+from emberlog.llm.shared import scratch, stored
 from emberlog.llm.tokens import encoder, tokenizer_path
 
 BPE = "byte_bpe_50k.json"
@@ -258,6 +258,74 @@ def test_near_duplicates(docs, nothing, spark):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == dict(enumerate(root))
 
 
+@pytest.mark.parametrize(("block", "shingles", "broadcast"), [(16, 500_000, 100_000), (1_024, 300, 100_000), (16, 2_000, 0)])
+def test_long_lists_in_blocks_equal_all_pairs(spark, monkeypatch, block, shingles, broadcast):
+    """Pages of one template that are near some others and far from most, beside edited copies: lists of many blocks, by members and by shingles; full sets by a shuffle."""
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    monkeypatch.setattr(near_dup, "SHINGLES_A_BLOCK", shingles)
+    monkeypatch.setattr(near_dup, "MOST_BROADCAST", broadcast)
+    rng = np.random.default_rng(block + shingles)
+    template, texts = [f"t{k}" for k in range(45)], []
+    for g in range(40):
+        own = [f"g{g}w{x}" for x in range(rng.integers(4, 30))]
+        for _ in range(rng.integers(1, 6)):
+            edited = [w if rng.random() > 0.04 else f"e{rng.integers(0, 999)}" for w in own]
+            texts.append(" ".join(template + edited))
+    texts += [" ".join(template + [f"x{k}"]) for k in range(60)]  # all near each other
+    texts += [" ".join(f"u{k}v{j}" for j in range(8)) for k in range(5)] + ["", "one two"]
+    words = [t.split() for t in texts]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset() for w in words]
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    got = near_dup.near_duplicates(spark.createDataFrame([(k, t, "clash", 7) for k, t in enumerate(texts)], "doc_id bigint, text string, cid string, n int"))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == dict(enumerate(root))
+
+
+def test_members_left_over_are_dealt_in_proportion(spark, monkeypatch):
+    """A list of 1,000 linked members and 10 others: each linked member goes to the blocks of the others alone."""
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    members = spark.range(1_010).select(F.lit(1).alias("value"), F.col("id").cast("string").cast("binary").alias("cid"), F.when(F.col("id") < 1_000, "big").otherwise(F.col("id").cast("string")).cast("binary").alias("component"))
+    sides = near_dup._sides(members, F.lit(0))
+    assert tuple(sides.select("rest_blocks", "big_blocks").first()) == (1, 63)
+    dealt = near_dup._dealt(members.join(sides, "value"), "component").collect()
+    assert len(dealt) == 1_000 + 10 * 64
+    meet = {}
+    for r in dealt:
+        meet.setdefault((r["low"], r["high"]), set()).add(bytes(r["cid"]))
+    others = [str(k).encode() for k in range(1_000, 1_010)]
+    assert all(any({a, str(k).encode()} <= g for g in meet.values()) for a in others for k in range(0, 1_010, 7))
+
+
+@pytest.mark.parametrize("hot", [2, 500])
+def test_hot_keys_are_joined_like_others(spark, monkeypatch, hot):
+    """A third of the rows has one key; hot ones by broadcast, the others by a shuffle; hubs of many links in components."""
+    monkeypatch.setattr(shared, "HOT", hot)
+    left = spark.createDataFrame([(k % 3 and k % 40, k) for k in range(600)], "key int, v int")
+    right = stored(left.groupBy("key").agg(F.count("*").alias("n")), f"{scratch(spark, 'hot')}/right")
+    got = shared.hot_join(stored(left, f"{scratch(spark, 'hot')}/left"), right, "key", "n", 600).collect()
+    counts = Counter(k % 3 and k % 40 for k in range(600))
+    assert sorted((r["key"], r["v"], r["n"]) for r in got) == sorted((k % 3 and k % 40, k, counts[k % 3 and k % 40]) for k in range(600))
+
+
+@pytest.mark.parametrize("hot", [3, 500])
+def test_components_with_hubs(spark, monkeypatch, hot):
+    monkeypatch.setattr(shared, "HOT", hot)
+    rng = np.random.default_rng(4)
+    pairs = [(0, k) for k in range(1, 60)] + [(100 + k, 101 + k) for k in range(30)] + [tuple(map(int, sorted(rng.integers(200, 260, 2)))) for _ in range(50)]
+    pairs = sorted({p for p in pairs if p[0] != p[1]})
+    root = {x: x for p in pairs for x in p}
+    for a, b in pairs:
+        x, y = root[a], root[b]
+        root = {k: min(x, y) if r in (x, y) else r for k, r in root.items()}
+    key = lambda x: f"{x:05}".encode()
+    links = spark.createDataFrame([(bytearray(key(a)), bytearray(key(b))) for a, b in pairs], "a binary, b binary")
+    assert {bytes(r["node"]): bytes(r["component"]) for r in components.components(links).collect()} == {key(x): key(r) for x, r in root.items()}
+
+
 def test_distinct_documents_from_four_fifths_on(spark):
     words = [f"w{k}" for k in range(60)]
     copies = lambda *at: " ".join(f"x{k}" if k in at else w for k, w in enumerate(words))
