@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions import ip, text, time
@@ -150,6 +150,16 @@ def load_json_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(sources.load_json(spark, path + "/*"))
 
 
+def load_long_json_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of JSON documents of 20,000 events each, which are cut into their elements by several tasks."""
+    path, part = scratch(spark, "long-json"), Window.partitionBy("part").orderBy("event_id")
+    rows = _events(spark, sf_dir).select(F.floor(F.col("event_id") / 20_000).alias("part"), "event_id", F.to_json(_record()).alias("x"))
+    rows = rows.select("part", "event_id", F.concat(F.when(F.row_number().over(part) == 1, "").otherwise(","), "x").alias("value"))
+    ends = rows.select("part").distinct().select("part", F.explode(F.array(F.struct(F.lit(-1).cast("bigint").alias("event_id"), F.lit('{"events":[').alias("value")), F.struct(F.lit((1 << 63) - 1).alias("event_id"), F.lit("]}").alias("value")))).alias("e")).select("part", "e.*")
+    ends.union(rows).repartition("part").sortWithinPartitions("part", "event_id").drop("event_id").write.partitionBy("part").text(path)
+    return _shown(sources.load_json(spark, path + "/*", split_above=100_000))
+
+
 def load_jsonl_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of JSON lines, every 31st spoilt and every 37th blank."""
     path, i = scratch(spark, "jsonl-events"), F.col("event_id")
@@ -171,7 +181,7 @@ def load_csv_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NAMES = (
     "fn_parse_iso fn_parse_syslog_ts fn_extract_ts fn_to_utc fn_format_ts fn_format_duration fn_normalize_ip fn_find_ips fn_kv_map fn_clean_text fn_safe_csv fn_single_line fn_md_escape fn_html_escape "
-    "normalize_severity load_json_events load_jsonl_events load_csv_events"
+    "normalize_severity load_json_events load_long_json_events load_jsonl_events load_csv_events"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}
 
@@ -219,6 +229,7 @@ SQL = {
     "fn_html_escape": f"{_X} SELECT event_id, replace(replace({_ANGLES}, chr(34), '&quot;'), '''', '&#x27;') AS shown FROM h",
     "normalize_severity": f"{_E} SELECT event_id, nullif({_SEVERITY}, '?') AS severity FROM e",
     "load_json_events": _JUDGED.format(short="1 != 0 AND 1", why="", missing=_MISSING, gone="false", rows=""),
+    "load_long_json_events": _JUDGED.format(short="1 != 0 AND 1", why="", missing=_MISSING, gone="false", rows=""),
     "load_jsonl_events": _JUDGED.format(short=31, why="invalid JSON", missing=_MISSING, gone="event_id % 31 = 0", rows="WHERE event_id % 37 != 0 OR event_id % 31 = 0"),
     "load_csv_events": _JUDGED.format(short=31, why="fewer columns than the header", missing=_MISSING, gone="event_id % 31 = 0", rows=""),
 }

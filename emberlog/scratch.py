@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,20 +21,45 @@ def shared_base(spark: SparkSession) -> str:
     return (base or LOCAL_BASE).rstrip("/")
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder in the shared one, deleted when the driver's Python ends."""
-    path = f"{shared_base(spark)}/{label}-{uuid.uuid4().hex}"
+#: Folders that are there now, by the innermost `cleared` that they were made in.
+_made: list[list[tuple[SparkSession, str]]] = [[]]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
     context = spark.sparkContext
+    if context._jsc is not None:
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
-    def remove() -> None:
-        if context._jsc is not None:
-            target = context._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
-    atexit.register(remove)
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared one, deleted at the end of the `cleared` that it is made in, or else when the driver's Python ends."""
+    path = f"{shared_base(spark)}/{label}-{uuid.uuid4().hex}"
+    _made[-1].append((spark, path))
     return path
 
 
+@contextmanager
+def cleared() -> Iterator[None]:
+    """Deletes at its end the folders that are made inside it: read or write results before that.
+
+    with cleared():
+        detect_bursts(events).write.parquet(...)
+    """
+    _made.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _made.pop():
+            _remove(spark, path)
+
+
+@atexit.register
+def _remove_all() -> None:
+    for spark, path in (x for own in _made for x in own):
+        _remove(spark, path)
+
+
 def stored(df: DataFrame, path: str) -> DataFrame:
     """Writes df as Parquet to a shared path and reads it back: lineage ends here, and a lost executor costs nothing."""
     df.write.parquet(path)

@@ -10,6 +10,7 @@ from emberlog.functions.ip import normalize_ip
 from emberlog.functions.time import iso_error, iso_timestamp
 from emberlog.schemas import SEVERITIES, SEVERITY_ALIASES
 from emberlog.scratch import scratch, stored
+from emberlog.sources.documents import elements
 from emberlog.sources.lines import read_lines
 from emberlog.sources.records import csv_records, field_value, fields_of
 
@@ -18,6 +19,8 @@ REQUIRED = ("timestamp", "severity", "title")
 FIELDS = (*REQUIRED, "source", "description", "ip", "user")
 FORMATS = {".json": "json", ".jsonl": "jsonl", ".ndjson": "jsonl", ".csv": "csv"}
 BLANKS = " \t\n\r\x0b\x0c"
+#: Bytes of a JSON document from which on it is cut into its elements.
+SPLIT_ABOVE = 32 << 20
 #: Files whose headers are broadcast, at most.
 MOST_BROADCAST = 100_000
 
@@ -41,18 +44,22 @@ def load_jsonl(spark: SparkSession, *paths: str) -> DataFrame:
     return lines.select(F.concat(_name(F.col("source")), F.lit(":"), "line_no").alias("origin"), row.alias("row"), F.when(row.isNull(), "invalid JSON").alias("bad"))
 
 
-def load_json(spark: SparkSession, *paths: str) -> DataFrame:
+def load_json(spark: SparkSession, *paths: str, split_above: int = SPLIT_ABOVE) -> DataFrame:
     """Rows of JSON documents: a list, or an object with a list under `events`. Another document raises an error when it is read.
 
-    A document is one task's; JSON lines are the format for much data.
+    A document of up to split_above bytes is one task's. A larger one is cut into its elements by many tasks (see
+    elements); it must be a list, or an object with `events` alone.
     """
-    text = spark.read.text(list(paths), wholetext=True).select(_name(F.col("_metadata.file_path")).alias("name"), F.try_parse_json(F.regexp_replace("value", "^﻿", "")).alias("doc"))
+    small = spark.read.text(list(paths), wholetext=True).where(F.col("_metadata.file_size") <= split_above)
+    text = small.select(_name(F.col("_metadata.file_path")).alias("name"), F.try_parse_json(F.regexp_replace("value", "^\ufeff", "")).alias("doc"))
     kind = lambda c: F.substring(F.schema_of_variant(c), 1, 5)
     inner = F.try_variant_get("doc", "$.events", "variant")
     rows = F.when(kind(inner) == "ARRAY", inner).when(kind(F.col("doc")) == "ARRAY", F.col("doc"))
     checked = text.withColumn("list", F.when(rows.isNull(), F.raise_error(F.concat("name", F.lit(" holds no list of events")))).otherwise(rows))
-    each = spark.sql("select name, pos, value from {documents}, lateral variant_explode(list)", documents=checked)
-    return each.select(F.concat("name", F.lit("["), (F.col("pos") + 1).cast("string"), F.lit("]")).alias("origin"), F.col("value").alias("row"), F.lit(None).cast("string").alias("bad"))
+    each = spark.sql("select name, pos + 1 as pos, value from {documents}, lateral variant_explode(list)", documents=checked)
+    if not spark.read.text(list(paths), lineSep="}").where(F.col("_metadata.file_size") > split_above).isEmpty():
+        each = each.union(elements(spark, *paths, larger_than=split_above).select(_name(F.col("source")), "pos", "value"))
+    return each.select(F.concat("name", F.lit("["), F.col("pos").cast("string"), F.lit("]")).alias("origin"), F.col("value").alias("row"), F.lit(None).cast("string").alias("bad"))
 
 
 def load_csv(spark: SparkSession, *paths: str) -> DataFrame:

@@ -20,7 +20,7 @@ def _pinned(spark: SparkSession) -> None:
         spark.conf.set(SPLITS, str(spark.sparkContext.defaultParallelism))
 
 
-def read_lines(spark: SparkSession, *paths: str, folders: bool = False) -> DataFrame:
+def read_lines(spark: SparkSession, *paths: str, folders: bool = False, separator: str | None = None, larger_than: int = -1) -> DataFrame:
     """(source, file_idx, line_no from 1, text) of text files; invalid UTF-8 bytes become U+FFFD.
 
     Spark splits files into blocks. A first pass counts the lines of each block and keeps a few numbers a block; the
@@ -31,14 +31,16 @@ def read_lines(spark: SparkSession, *paths: str, folders: bool = False) -> DataF
 
     file_idx is the place of the file in the order of paths, then of names.
 
-    folders: each path is a folder, and its files in the order of their names are the parts of one source.
+    folders: each path is a folder, and its files in the order of their names are the parts of one source. separator:
+    what ends a line, if not a line break. larger_than: only files of more bytes are read.
     """
     _pinned(spark)
     file = F.col("_metadata.file_path")
     source = F.regexp_replace(file, "/[^/]*$", "") if folders else file
     block = [file, F.col("_metadata.file_block_start"), F.col("_metadata.file_size"), F.col("_metadata.file_modification_time")]
     # a block goes by two hashes: two of a million blocks share both with a chance below 10^-16, and then a line is out of range
-    read = spark.read.text(list(paths)).select(
+    files = spark.read.text(list(paths), **({"lineSep": separator} if separator else {})).where(F.col("_metadata.file_size") > larger_than)
+    read = files.select(
         F.make_valid_utf8("value").alias("text"), source.alias("source"), file.alias("file"), block[1].alias("block"), F.xxhash64(*block).alias("key"), F.hash(*block).alias("key2"), F.monotonically_increasing_id().alias("order")
     )
     counts = read.groupBy("source", "file", "block", "key", "key2").agg(F.count("*").alias("n"), F.min("order").alias("first"))
@@ -47,8 +49,8 @@ def read_lines(spark: SparkSession, *paths: str, folders: bool = False) -> DataF
     place = {p.rstrip("/").rsplit("/", 1)[-1]: k for k, p in reversed(list(enumerate(paths)))}  # equal names in several folders share a place
     given = F.create_map(*[F.lit(x) for pair in place.items() for x in pair])
     rank = F.dense_rank().over(Window.orderBy(F.coalesce(F.try_element_at(given, F.element_at(F.split("source", "/"), -1)), F.lit(0)), "source")) - 1
-    files = counts.select("source").distinct().withColumn("file_idx", rank)  # one row a file
-    starts = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)) + 1).join(files, "source").select("key", "key2", "file_idx", "start", "first", "n")
+    places = counts.select("source").distinct().withColumn("file_idx", rank)  # one row a file
+    starts = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)) + 1).join(places, "source").select("key", "key2", "file_idx", "start", "first", "n")
     if counts.count() <= MOST_BROADCAST:
         starts = F.broadcast(starts)
     inside = (F.col("order") >= F.col("first")) & (F.col("order") < F.col("first") + F.col("n"))
