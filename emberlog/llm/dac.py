@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ MAGIC = b"DAC1"
 #: Bits that one entry of a rank directory covers.
 BLOCK = 512
 SEGMENT_TOKENS = 1 << 20
+#: Places that one task looks up, about, and how far two of them may lie apart to be read together.
+POSITIONS, NEIGHBOURS = 200_000, 256
 SEGMENT_SCHEMA = "part int, segment int, part_start bigint, doc_ids array<bigint>, lengths array<bigint>, codes binary"
 
 
@@ -143,9 +146,10 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = False) -> Da
                 r = b.slice(k, 1).to_pylist()[0]
                 codes, lengths = DirectCodes(r["codes"]), np.array(r["lengths"], dtype=np.int64)
                 ends = np.cumsum(lengths)
-                own = [codes.slice(int(e - n), int(e)) for n, e in zip(lengths, ends, strict=True)]
-                columns = [pa.array(r["doc_ids"], pa.int64()), pa.array(r["start"] + ends - lengths), pa.array(lengths), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in own], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array([x.astype(np.int64) for x in own], pa.list_(pa.int64()))] * with_ids, ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
+                whole = codes.slice(0, len(codes)).astype("<u4")  # all documents are read, so the segment is taken apart at once
+                raw, spans = memoryview(whole).cast("B"), list(zip((ends - lengths).tolist(), ends.tolist(), strict=True))
+                columns = [pa.array(r["doc_ids"], pa.int64()), pa.array(r["start"] + ends - lengths), pa.array(lengths), pa.array([zlib.crc32(raw[4 * a : 4 * e]) for a, e in spans], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array([whole[a:e].astype(np.int64) for a, e in spans], pa.list_(pa.int64()))] * with_ids, ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
 
     return _with_starts(spark, path).select("start", "doc_ids", "lengths", "codes").mapInArrow(releasing(decode), schema)
 
@@ -153,27 +157,37 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = False) -> Da
 def read_tokens(positions: DataFrame, path: str) -> DataFrame:
     """positions (position) with token_id: the id at each global place of the files, null outside of them.
 
-    Places meet the segments of their range of SEGMENT_TOKENS places in one task, which takes each segment's codes
-    apart once. A null place has a null id. Further columns are ignored.
+    Places meet the segments of their range of SEGMENT_TOKENS places, POSITIONS of them or fewer in one task, so a range
+    that is asked for very often is dealt to several. A task takes each segment's codes apart once and reads its
+    places in order, neighbours together. A null place has a null id. Further columns are ignored.
     """
     spark, width = positions.sparkSession, SEGMENT_TOKENS
     size = F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, x: a + x)
     table = _with_starts(spark, path).withColumn("end", F.col("start") + size).where("end > start")
     table = table.withColumn("range", F.explode(F.expr(f"sequence(start div {width}, (end - 1) div {width})"))).select("range", "start", "end", "codes")
-    asked = positions.select(F.col("position").cast("bigint").alias("position")).withColumn("range", F.coalesce(F.expr(f"position div {width}"), F.lit(-1)))
+    # a place that is asked for often is looked up once
+    asked = positions.groupBy(F.col("position").cast("bigint").alias("position")).agg(F.count("*").alias("times")).withColumn("range", F.coalesce(F.expr(f"position div {width}"), F.lit(-1)))
+    deals = asked.groupBy("range").agg(F.ceil(F.count("*") / POSITIONS).cast("bigint").alias("deals"))
+    asked = asked.join(deals, "range").withColumn("deal", F.pmod(F.xxhash64("position"), F.col("deals"))).select("range", "deal", "position", "times")
+    table = table.join(deals, "range").withColumn("deal", F.explode(F.expr("sequence(0L, deals - 1)"))).drop("deals")
 
     def access(wanted: pa.Table, segments: pa.Table) -> pa.Table:
-        places = wanted["position"].to_pylist()
-        ids: list[int | None] = [None] * len(places)
-        for k in range(len(segments)):
-            start, end, codes = (segments[c][k] for c in ("start", "end", "codes"))
-            held = DirectCodes(codes.as_buffer())
-            for i, p in enumerate(places):
-                if p is not None and start.as_py() <= p < end.as_py():
-                    ids[i] = held[p - start.as_py()]
-        return pa.table({"position": wanted["position"], "token_id": pa.array(ids, pa.int64())})
-
-    return asked.groupBy("range").cogroup(table.groupBy("range")).applyInArrow(access, "position bigint, token_id bigint")
+        places = pc.fill_null(wanted["position"], -1).to_numpy()
+        order = np.argsort(places, kind="stable")
+        own, ids, known = places[order], np.zeros(len(places), np.int64), np.zeros(len(places), bool)
+        for start, end, codes in zip(segments["start"].to_pylist(), segments["end"].to_pylist(), segments["codes"], strict=True):
+            first, last = np.searchsorted(own, [start, end])
+            if first == last:
+                continue
+            held, here = DirectCodes(codes.as_buffer()), own[first:last] - start
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(here) > NEIGHBOURS) + 1, [len(here)]])
+            for a, b in zip(edges[:-1], edges[1:], strict=True):  # a run of near places is one slice
+                ids[order[first + a : first + b]] = held.slice(int(here[a]), int(here[b - 1]) + 1)[here[a:b] - here[a]]
+            known[order[first:last]] = True
+        return pa.table({"position": wanted["position"], "token_id": pa.array(ids, pa.int64(), mask=~known), "times": wanted["times"]})
+
+    found = asked.groupBy("range", "deal").cogroup(table.groupBy("range", "deal")).applyInArrow(access, "position bigint, token_id bigint, times bigint")
+    return found.select("position", "token_id", F.explode(F.expr("sequence(1L, times)"))).drop("col")
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:

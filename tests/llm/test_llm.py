@@ -68,7 +68,7 @@ def test_direct_codes_round_trip():
             assert codes[int(i)] == ids[i]
 
 
-def test_token_files(spark, docs, nothing):
+def test_token_files(spark, docs, nothing, monkeypatch):
     path = scratch(spark, "test-files")
     dac.write_token_files(docs, path, BPE, 2, segment_tokens=200)
     own = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0))
@@ -79,6 +79,10 @@ def test_token_files(spark, docs, nothing):
     flat = [x for own_ids in ids for x in own_ids]
     asked = spark.createDataFrame([(0,), (5,), (len(flat) - 1,), (len(flat),)], "position bigint")
     assert {r[0]: r[1] for r in dac.read_tokens(asked, path).collect()} == {0: flat[0], 5: flat[5], len(flat) - 1: flat[-1], len(flat): None}
+    monkeypatch.setattr(dac, "POSITIONS", 20)  # several tasks for one range, which is asked for places near and far, often, and for none
+    wanted = [(k * 37) % (len(flat) + 9) for k in range(300)] + [3] * 50 + [None, None, -4]
+    got = dac.read_tokens(spark.createDataFrame([(p, "clash") for p in wanted], "position bigint, range string"), path).collect()
+    assert Counter((r[0], r[1]) for r in got) == Counter((p, flat[p] if p is not None and 0 <= p < len(flat) else None) for p in wanted)
     assert dac.token_files(nothing, BPE, 2).count() == 0
 
 
