@@ -154,7 +154,7 @@ def detection_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attempts out of order if the table is read in another order than that of time."""
-    mixed = logins(spark, sf_dir).withColumn("line_no", F.col("event_id") * 7919 % 1000003).withColumn("file_idx", F.lit(0))
+    mixed = logins(spark, sf_dir).withColumn("line_no", F.col("event_id") * 7919 % 1000003).withColumn("file_idx", F.floor(F.col("event_id") / 1000003))
     return bursts.out_of_order(mixed, chunk=50_000)
 
 
@@ -297,7 +297,7 @@ SQL = {
     "detection_stats": f"""WITH {LOGINS}, seen AS (SELECT *, max(us) OVER (ORDER BY file_idx, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM logins)
       SELECT CAST(sum(n) AS BIGINT) AS events, CAST(sum(n) FILTER (WHERE outcome = 'failure') AS BIGINT) AS failures, CAST(sum(n) FILTER (WHERE outcome = 'success') AS BIGINT) AS successes,
         CAST(coalesce(sum(n) FILTER (WHERE us < top), 0) AS BIGINT) AS out_of_order FROM seen""",
-    "out_of_order": f"""WITH {LOGINS}, seen AS (SELECT *, max(us) OVER (ORDER BY event_id * 7919 % 1000003 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM logins)
+    "out_of_order": f"""WITH {LOGINS}, seen AS (SELECT *, max(us) OVER (ORDER BY event_id // 1000003, event_id * 7919 % 1000003 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM logins)
       SELECT CAST(coalesce(sum(n) FILTER (WHERE us < top), 0) AS BIGINT) AS n FROM seen""",
     "evidence_text": f"""{_DETECT}, labels AS (
         SELECT rule, key, burst, source, min(place) AS place, line_no || CASE WHEN sum(times) > 1 THEN ' (x' || CAST(sum(times) AS BIGINT) || ')' ELSE '' END AS label FROM evidence GROUP BY rule, key, burst, source, line_no),
