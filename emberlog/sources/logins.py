@@ -7,7 +7,7 @@ stands for. No line is dropped. Of several reasons, the first check that fails g
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.functions.columns import settled
@@ -17,6 +17,7 @@ from emberlog.functions.time import NONEXISTENT, iso_error, iso_timestamp, month
 from emberlog.schemas import EMPTY_USER
 from emberlog.scratch import scratch, stored
 from emberlog.settings import ParseSettings
+from emberlog.sources.lines import read_lines
 from emberlog.sources.records import csv_records, field_value, fields_of
 
 #: One attempt as sshd reports it: how it ended, whether the account is unknown, the account, the address.
@@ -191,13 +192,17 @@ def parse_csv(lines: DataFrame, settings: ParseSettings = ParseSettings()) -> Da
     return parse_csv_row(rows, settings, unclosed=F.col("_open")).drop("_open")
 
 
+def _looks(stripped: Column) -> Column:
+    """lab or syslog if a line looks like it, null for others, blank lines and comments."""
+    usable = (stripped != "") & ~stripped.startswith("#")
+    _, _, is_old, is_iso = _header(stripped)
+    return F.when(usable & _is_lab(F.split(stripped, r"\s+")), "lab").when(usable & (is_iso | is_old), "syslog")
+
+
 def detect_formats(lines: DataFrame) -> DataFrame:
     """(source, fmt): csv by the file's name, else by the first of the first lines that looks like lab or syslog, else null."""
     head = lines.where((F.col("line_no") <= DETECTION_LINES)).withColumn("_t", _stripped(F.col("text")))
-    usable = (F.col("_t") != "") & ~F.col("_t").startswith("#")
-    _, _, is_old, is_iso = _header(F.col("_t"))
-    looks = F.when(usable & _is_lab(F.split("_t", r"\s+")), "lab").when(usable & (is_iso | is_old), "syslog")
-    seen = head.withColumn("_f", looks).groupBy("source").agg(F.min_by("_f", F.when(F.col("_f").isNotNull(), F.col("line_no"))).alias("_f"))
+    seen = head.withColumn("_f", _looks(F.col("_t"))).groupBy("source").agg(F.min_by("_f", F.when(F.col("_f").isNotNull(), F.col("line_no"))).alias("_f"))
     return seen.select("source", F.when(F.lower("source").endswith(".csv"), "csv").otherwise(F.col("_f")).alias("fmt"))
 
 
@@ -219,6 +224,36 @@ def load_events(lines: DataFrame, formats: DataFrame | None = None, settings: Pa
     return out
 
 
+def load_files(spark: SparkSession, *paths: str, settings: ParseSettings = ParseSettings()) -> DataFrame:
+    """load_events of files: their formats are found in one look at the beginnings of files, and each file is numbered and parsed with those of its format only.
+
+    Of a file's first DETECTION_LINES lines only those in its first block count. file_idx is the place of the path that
+    the file was found by, then of its name, among all files. The formats, a row a file, are collected.
+    """
+    file, text = F.col("_metadata.file_path"), F.make_valid_utf8("value")
+    first = spark.read.text(list(paths)).where(F.col("_metadata.file_block_start") == 0).select(file.alias("source"), _stripped(text).alias("_t"), F.monotonically_increasing_id().alias("order"))
+    looks = _looks(F.col("_t"))
+    seen = first.groupBy("source").agg(F.min("order").alias("begin"), F.min(F.when(looks.isNotNull(), F.struct("order", looks.alias("fmt")))).alias("found"))
+    fmt = F.when(F.lower("source").endswith(".csv"), "csv").when(F.col("found.order") < F.col("begin") + DETECTION_LINES, F.col("found.fmt"))
+    formats = [(r["source"], r["fmt"]) for r in seen.select("source", fmt.alias("fmt")).collect()]
+    if unknown := sorted(source for source, kind in formats if kind is None)[:10]:
+        raise ValueError(f"unknown format: {', '.join(unknown)}")
+    place = {p.rstrip("/").rsplit("/", 1)[-1]: k for k, p in reversed(list(enumerate(paths)))}
+    order = sorted(source for source, _ in formats)
+    order = {source: k for k, source in enumerate(sorted(order, key=lambda x: (place.get(x.rsplit("/", 1)[-1], 0), x)))}
+    out = None
+    for kind, parse in (("lab", parse_lab), ("syslog", parse_syslog), ("csv", parse_csv)):
+        own = sorted((source for source, k in formats if k == kind), key=order.__getitem__)
+        if own:
+            numbers = spark.createDataFrame([(source, order[source]) for source in own], "source string, file_idx int")
+            lines = read_lines(spark, *own).drop("file_idx").join(F.broadcast(numbers), "source").withColumn("fmt", F.lit(kind))
+            parsed = parse(lines, settings)
+            out = parsed if out is None else out.unionByName(parsed)
+    if out is None:
+        raise ValueError("there are no lines")
+    return out
+
+
 def login_events(parsed: DataFrame) -> DataFrame:
     """The events of parsed lines, with the line's columns."""
     return parsed.where("status = 'event'").drop("status", "reason", "text")

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberlog.operators import counting, search
-from emberlog.sources import events, lines, sinks
+from emberlog.settings import ParseSettings
+from emberlog.sources import events, lines, logins, sinks
 from emberlog.streaming import counts
 
 
@@ -60,6 +61,24 @@ def test_event_files(spark, tmp_path):
         events.event_format("events.txt")
 
 
+def test_files_of_several_formats(spark, tmp_path):
+    texts = {
+        "b.log": "# note\n\n2025-03-02T21:30:00Z LOGIN_SUCCESS user=mira ip=192.0.2.7\nodd\n", "a.auth": "Mar  2 21:31:00 gate sshd[5]: Failed password for teo from 192.0.2.8 port 22 ssh2\n",
+        "c.CSV": 'timestamp,user,ip,result\n2025-03-02T21:32:00Z,"kim\nli",192.0.2.9,failure\n', "d.log": "2025-03-02T21:33:00Z LOGIN_FAILURE user=mira ip=192.0.2.7\n",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    paths = [f"{tmp_path}/{n}" for n in ("b.log", "a.auth", "c.CSV", "d.log")]
+    got = sorted((r["file_idx"], r["line_no"], r["fmt"], r["status"], r["user"]) for r in logins.load_files(spark, *paths, settings=ParseSettings(year=2025)).collect())
+    assert got == [
+        (0, 1, "lab", "ignored", None), (0, 2, "lab", "ignored", None), (0, 3, "lab", "event", "mira"), (0, 4, "lab", "unparsed", None),
+        (1, 1, "syslog", "event", "teo"), (2, 3, "csv", "event", "kim\nli"), (3, 1, "lab", "event", "mira"),
+    ]
+    (tmp_path / "e.log").write_text("nothing\n" * 3 + "x\n" * 60 + "2025-03-02T21:33:00Z LOGIN_FAILURE user=mira ip=192.0.2.7\n")
+    with pytest.raises(ValueError, match="unknown format: .*e.log"):
+        logins.load_files(spark, str(tmp_path))
+
+
 def test_writers_keep_what_is_there(spark, tmp_path):
     rows = spark.createDataFrame([("=1+1", 2)], "cell string, n int")
     sinks.write_csv(rows, f"{tmp_path}/out")
