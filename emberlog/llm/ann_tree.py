@@ -4,7 +4,7 @@ Rows with the same vector are one class, of which the few smallest ids are kept:
 is fitted on the driver on a sample of at most SAMPLE_VALUES numbers; every class is then put into a leaf. A query
 goes through the tree with a priority queue, always on to the nearest node seen so far, and visits leaves in that
 order. How many is calibrated: for at most CALIBRATION queries the true neighbours are found by brute force over all
-classes, and the visits are widened until TARGET of them lie in visited leaves.
+classes, and the visits are widened until by a lower bound TARGET of all queries' neighbours lie in visited leaves.
 
 Search is a grouped job over (bin, chunk): a bin is leaves that follow each other in the tree, up to about CHUNK classes,
 so a query gives one short list for a bin and not one for each leaf. In a bin, a query is held against the classes of
@@ -14,6 +14,7 @@ the leaves that it visits and no others. Larger bins are split into chunks, so n
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,8 +29,10 @@ SAMPLE_VALUES = 2_000_000
 BRANCHES = 8
 #: Classes that a leaf should hold, and the most leaves of a tree.
 LEAF, MOST_LEAVES = 256, 4_096
-CALIBRATION = 200
-TARGET = 0.97
+#: Queries that the number of visited leaves is calibrated on, and the recall that its lower bound must reach: the mean less
+#: MARGIN standard errors of it.
+CALIBRATION = 400
+TARGET, MARGIN = 0.92, 3.0
 CHUNK = 4_096
 QUERIES_A_TASK = 20_000
 
@@ -226,16 +229,21 @@ def brute_force(queries: list[tuple[int, list[float]]], placed: DataFrame, most:
 
 
 def calibrated_visits(tree: Tree, queries: DataFrame, placed: DataFrame, most: int, target: float) -> int:
-    """The fewest leaves to visit with which `target` of the true neighbours of a sample of queries are found."""
+    """The fewest leaves to visit with which a sample of queries finds so many of its true neighbours that recall over all queries is `target` or more, but for a chance of about one in a thousand."""
     some = [(r["qid"], r["q"]) for r in queries.orderBy(F.xxhash64("qid"), "qid").limit(CALIBRATION).collect()]
     if not some:
         return 1
     order = [{leaf: k + 1 for k, leaf in enumerate(tree.visit(_unit(np.array([q], dtype=np.float64))[0], tree.leaves))} for _, q in some]
-    needed = np.array([order[k][leaf] for k, leaf in brute_force(some, placed, most)])
-    visits = 1
-    while (needed <= visits).mean() < target:  # ends: all neighbours lie in some leaf
+    found = brute_force(some, placed, most)
+    if not found:
+        return 1
+    asked, needed = np.array([k for k, _ in found]), np.array([order[k][leaf] for k, leaf in found])
+    each, visits = np.bincount(asked, minlength=len(some)), 1
+    while True:  # ends: all neighbours lie in some leaf
+        recall = np.bincount(asked, needed <= visits, minlength=len(some))[each > 0] / each[each > 0]
+        if recall.mean() - MARGIN * recall.std() / math.sqrt(len(recall)) >= target:
+            return visits
         visits += 1
-    return visits
 
 
 def _search(tree, visits: int, queries: DataFrame, placed: DataFrame, most: int) -> DataFrame:
