@@ -7,6 +7,8 @@ stands for. No line is dropped. Of several reasons, the first check that fails g
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +32,6 @@ MOST_REPEATS = 10_000
 DETECTION_LINES = 50
 #: Files whose CSV headers are broadcast, at most.
 MOST_BROADCAST = 100_000
-FORMATS = ("lab", "syslog", "csv")
 CSV_COLUMNS = ("timestamp", "user", "ip", "result")
 BLANKS = " \t\n\r\x0b\x0c"
 
@@ -192,6 +193,10 @@ def parse_csv(lines: DataFrame, settings: ParseSettings = ParseSettings()) -> Da
     return parse_csv_row(rows, settings, unclosed=F.col("_open")).drop("_open")
 
 
+Parser = Callable[[DataFrame, ParseSettings], DataFrame]
+PARSERS: dict[str, Parser] = {"lab": parse_lab, "syslog": parse_syslog, "csv": parse_csv}
+
+
 def _looks(stripped: Column) -> Column:
     """lab or syslog if a line looks like it, null for others, blank lines and comments."""
     usable = (stripped != "") & ~stripped.startswith("#")
@@ -206,17 +211,23 @@ def detect_formats(lines: DataFrame) -> DataFrame:
     return seen.select("source", F.when(F.lower("source").endswith(".csv"), "csv").otherwise(F.col("_f")).alias("fmt"))
 
 
-def load_events(lines: DataFrame, formats: DataFrame | None = None, settings: ParseSettings = ParseSettings()) -> DataFrame:
-    """Lines of sources in any format, each parsed by its own; adds fmt. A source that no format fits raises ValueError."""
+def load_events(lines: DataFrame, formats: DataFrame | None = None, settings: ParseSettings = ParseSettings(), more: dict[str, Parser] | None = None) -> DataFrame:
+    """Lines of sources in any format, each parsed by its own; adds fmt. A source that no format fits raises ValueError.
+
+    formats: (source, fmt), found by detect_formats if it isn't given. more: parsers of formats of one's own, by their
+    names in formats; each takes lines and settings and returns them with the columns that the other parsers return.
+    """
+    parsers = PARSERS | (more or {})
     if formats is None:
         formats = stored(detect_formats(lines), f"{scratch(lines.sparkSession, 'formats')}/found")  # a row a source, read for each format
     if unknown := [r["source"] for r in formats.where("fmt is null").limit(10).collect()]:
         raise ValueError(f"unknown format: {', '.join(unknown)}")
-    kinds = [r["fmt"] for r in formats.select("fmt").distinct().collect()]  # three at most
+    kinds = sorted(r["fmt"] for r in formats.select("fmt").distinct().limit(len(parsers) + 1).collect())
+    if odd := [k for k in kinds if k not in parsers]:
+        raise ValueError(f"no parser of the format: {', '.join(odd)}")
     tagged = lines.join(formats, "source")
-    parsers = {"lab": parse_lab, "syslog": parse_syslog, "csv": parse_csv}
     out = None
-    for kind in sorted(kinds):
+    for kind in kinds:
         parsed = parsers[kind](tagged.where(F.col("fmt") == kind), settings)
         out = parsed if out is None else out.unionByName(parsed)
     if out is None:
@@ -242,7 +253,7 @@ def load_files(spark: SparkSession, *paths: str, settings: ParseSettings = Parse
     order = sorted(source for source, _ in formats)
     order = {source: k for k, source in enumerate(sorted(order, key=lambda x: (place.get(x.rsplit("/", 1)[-1], 0), x)))}
     out = None
-    for kind, parse in (("lab", parse_lab), ("syslog", parse_syslog), ("csv", parse_csv)):
+    for kind, parse in PARSERS.items():
         own = sorted((source for source, k in formats if k == kind), key=order.__getitem__)
         if own:
             numbers = spark.createDataFrame([(source, order[source]) for source in own], "source string, file_idx int")

@@ -194,3 +194,19 @@ def test_summary_of_nothing_and_of_unparsed_lines(spark):
         ("file", "a.log", '{"source":"a.log","format":"lab","lines":1,"events":0,"ignored":0,"unparsed":1}'), ("totals", "", empty % 1),
         ("unparsed", "a.log:1", '{"source":"a.log","line":1,"reason":"not a lab line","text":"say \\"no\\""}'),
     ]
+
+
+def test_parsers_of_ones_own(spark):
+    """A format that isn't among the library's own, beside one that is."""
+    lines = spark.createDataFrame([("a.log", 1, "2025-03-02T21:30:00Z LOGIN_FAILURE user=mira ip=192.0.2.7"), ("b.txt", 1, "teo@192.0.2.8"), ("b.txt", 2, "odd")], "source string, line_no bigint, text string")
+    formats = spark.createDataFrame([("a.log", "lab"), ("b.txt", "at")], "source string, fmt string")
+
+    def parse_at(rows, settings):
+        part, good = F.split("text", "@"), F.contains("text", F.lit("@"))
+        event = {"ts": F.lit(START).cast("timestamp"), "user": F.get(part, F.lit(0)), "ip": F.get(part, F.lit(1)), "outcome": F.lit("failure"), "invalid_user": F.lit(False), "n": F.lit(1)}
+        return rows.select("*", F.when(good, "event").otherwise("unparsed").alias("status"), F.when(~good, "no at sign").alias("reason"), *[F.when(good, c).alias(k) for k, c in event.items()])
+
+    got = logins.load_events(lines, formats, more={"at": parse_at}).orderBy("source", "line_no").collect()
+    assert [(r["fmt"], r["status"], r["user"], r["ip"], r["reason"]) for r in got] == [("lab", "event", "mira", "192.0.2.7", None), ("at", "event", "teo", "192.0.2.8", None), ("at", "unparsed", None, None, "no at sign")]
+    with pytest.raises(ValueError, match="no parser"):
+        logins.load_events(lines, formats)
