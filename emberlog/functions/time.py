@@ -117,6 +117,12 @@ def local_day(ts: Column, zone: str = "UTC") -> Column:
     return F.to_date(F.timestamp_micros(F.unix_micros(ts) + fixed * 1_000_000) if fixed is not None else F.from_utc_timestamp(ts, zone.strip()))
 
 
+def local_hour(ts: Column, zone: str = "UTC") -> Column:
+    """The hour of the day, 0 to 23, that clocks of a zone show."""
+    fixed = _fixed_seconds(zone)
+    return F.hour(F.timestamp_micros(F.unix_micros(ts) + fixed * 1_000_000) if fixed is not None else F.from_utc_timestamp(ts, zone.strip()))
+
+
 def to_utc(local: Column, zone: str) -> Column:
     """The instant of a local timestamp in a zone; a repeated hour means its first occurrence."""
     fixed = _fixed_seconds(zone)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions.text import clean_text, safe_csv_cell
 from emberlog.functions.time import format_duration, format_timestamp, iso_seconds, minutes_text
+from emberlog.operators.networks import label_networks
 from emberlog.operators.ranks import numbered
 from emberlog.scratch import scratch, stored
 from emberlog.settings import BurstSettings
@@ -239,6 +240,16 @@ def explanations(alerts: DataFrame, settings: BurstSettings = BurstSettings(), z
     return alerts.withColumn("explanation", F.transform(sentences, clean_text))
 
 
+def mark_excluded(alerts: DataFrame, networks: DataFrame, settings: BurstSettings = BurstSettings(), network: str = "network") -> DataFrame:
+    """alerts with excluded: of an address's alert the longest of the table's networks that it lies in, such as those of one's own scanners; else null.
+
+    Alerts are marked, never dropped. An account is in no network, even if its name is an address.
+    """
+    by_ip = [r.name for r in settings.all_rules() if r.key == "ip"]
+    address = F.when(F.col("rule").isin(*by_ip), F.col("key")) if by_ip else F.lit(None).cast("string")
+    return label_networks(alerts.withColumn("_address", address), networks, "_address", network, "excluded").drop("_address")
+
+
 def _location(success: Column) -> Column:
     return F.when(success.isNotNull(), F.concat_ws(":", success["source"], success["line_no"].cast("string")))
 

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.functions.time import iso_seconds
+from emberlog.functions.time import iso_seconds, local_hour
 from emberlog.operators.ranks import numbered
 from emberlog.scratch import scratch, stored
 from emberlog.sources.logins import unparsed_lines
 
+#: What counts can be ranked by, the largest first; ties by the key.
+ORDERS = {"failure": ("failure", "total"), "total": ("total", "failure"), "success": ("success", "total"), "rate": ("failure_rate", "total"), "key": ()}
+
 
 def _tally() -> list[Column]:
     count = lambda outcome: F.coalesce(F.sum(F.when(F.col("outcome") == outcome, F.col("n"))), F.lit(0))
@@ -43,9 +46,27 @@ def counts_export(events: DataFrame) -> DataFrame:
     return counts_grouping_sets(events).where("dimension != 'total'").orderBy(F.desc("dimension"), F.desc("failure"), F.desc("total"), "key")
 
 
-def ranked(counts: DataFrame, top: int = 0) -> DataFrame:
-    """counts with place, their number from 1: most failures first, then most attempts, then the key; top 0: all rows."""
-    order = [F.desc("failure"), F.desc("total"), F.col("key")]
+def failure_rates(counts: DataFrame) -> DataFrame:
+    """counts with failure_rate in percent, null without attempts."""
+    return counts.withColumn("failure_rate", F.try_divide(100.0 * F.col("failure"), F.col("total")))
+
+
+def failures_by_hour(events: DataFrame, zone: str = "UTC") -> DataFrame:
+    """(hour, failures, total) of each hour of the day in a zone, also of those without attempts."""
+    counts = events.groupBy(local_hour(F.col("ts"), zone).alias("hour")).agg(*_tally())
+    hours = events.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"))
+    filled = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return F.broadcast(hours).join(counts, "hour", "left").select("hour", filled("failure").alias("failures"), filled("total"))
+
+
+def ranked(counts: DataFrame, top: int = 0, by: str = "failure") -> DataFrame:
+    """counts with place, their number from 1; top 0: all rows.
+
+    by: one of ORDERS. By default most failures come first, then most attempts, then the key; `rate` needs failure_rates.
+    """
+    if by not in ORDERS:
+        raise ValueError(f"counts are ranked by {', '.join(ORDERS)}, not by {by!r}")
+    order = [*[F.desc(c) for c in ORDERS[by]], F.col("key")]
     if top:
         return counts.orderBy(*order).limit(top).withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("bigint"))  # top rows
     return numbered(stored(counts, f"{scratch(counts.sparkSession, 'counts')}/counts"), *order, name="place")

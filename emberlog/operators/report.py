@@ -12,6 +12,8 @@ from emberlog.schemas import NO_SOURCE, SEVERITIES, SEVERITY_LABELS, URGENT
 from emberlog.scratch import scratch, stored
 
 MOST_SOURCES = 50
+#: Two events with the same values here are the same event, wherever each was read from.
+SAME = ("ts", "severity", "title", "source", "description", "ip", "user")
 NOTABLE = 3
 
 
@@ -65,6 +67,19 @@ def report_highlights(events: DataFrame) -> DataFrame:
     return urgent
 
 
+def compare_reports(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(severity, rank, before, after, new, gone) of every severity: events of an earlier report and of a later one, those that only the later has, and those that only the earlier has.
+
+    Equal events count as often as they stand in each: two of them before and three after are one new one.
+    """
+    side = lambda df, was: df.select(*SAME, F.lit(int(was)).alias("was"), F.lit(int(not was)).alias("now"))
+    each = side(before, True).union(side(after, False)).groupBy(*SAME).agg(F.sum("was").alias("was"), F.sum("now").alias("now"))
+    more = lambda a, b: F.sum(F.greatest(F.col(a) - F.col(b), F.lit(0)))
+    counts = each.groupBy("severity").agg(F.sum("was").alias("before"), F.sum("now").alias("after"), more("now", "was").alias("new"), more("was", "now").alias("gone"))
+    filled = [F.coalesce(c, F.lit(0)).alias(c) for c in ("before", "after", "new", "gone")]
+    return F.broadcast(severities(before.sparkSession)).join(counts, "severity", "left").select("severity", "rank", *filled)
+
+
 def ranked_events(events: DataFrame) -> DataFrame:
     """events with severity rank and label, and place: their number from 1, most severe first, then by time and origin. Stored on the way."""
     rows = events.withColumns({"rank": severity_rank(F.col("severity")), "label": severity_label(F.col("severity"))})

@@ -11,6 +11,7 @@ from emberlog.operators import bursts, counting
 from emberlog.plans.inputs import BURSTS, CSV, LAB, LAB_TEXT, LOGINS, PARSE, SYSLOG, csv_files, csv_lines, folders, lab_lines, logins, syslog_lines
 from emberlog.scratch import scratch, stored
 from emberlog.settings import Rule
+from emberlog.sources import events as security
 from emberlog.sources import logins as parsers
 from emberlog.sources import sinks
 from emberlog.sources.lines import read_lines as numbered_lines
@@ -110,6 +111,15 @@ def top_ips_by_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(spark, sf_dir, "ip")
 
 
+def users_by_failure_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = counting.ranked(counting.failure_rates(counting.counts_by(logins(spark, sf_dir), "user")), by="rate")
+    return out.select("place", "key", "failure", "total", F.round("failure_rate", 6).alias("failure_rate"))
+
+
+def failures_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counting.failures_by_hour(logins(spark, sf_dir), "-06:00")
+
+
 def burst_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bursts.window_counts(logins(spark, sf_dir), BURSTS)
 
@@ -166,6 +176,20 @@ def alert_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bursts.explanations(_detected(spark, sf_dir), BURSTS).select("rule", "key", "first_us", F.array_join("explanation", " / ").alias("explanation"))
 
 
+def alerts_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts, those of a scanner's addresses marked."""
+    own = spark.createDataFrame([("192.0.2.16/28",), ("192.0.2.20",), ("2001:db8::/32",)], "network string")
+    return bursts.mark_excluded(_detected(spark, sf_dir), own, BURSTS).select("rank", "rule", "key", "severity", "excluded")
+
+
+def alerts_as_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts written as JSON lines, read back as security events and validated as such."""
+    path = scratch(spark, "alerts")
+    sinks.write_rows(bursts.alerts_json(bursts.explanations(_detected(spark, sf_dir), BURSTS)), "json", path)
+    events = security.valid_events(security.validated(security.load_alerts(spark, path, settings=BURSTS)))
+    return events.select(F.unix_micros("ts").alias("us"), "severity", "title", "source", "description", "ip", F.col("user").alias("account"))
+
+
 def alerts_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bursts.alerts_flat(_detected(spark, sf_dir))
 
@@ -188,8 +212,8 @@ def write_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NAMES = (
     "parse_lab parse_syslog parse_csv_logins parse_csv_records read_lines detect_format load_events file_stats line_status_counts unparsed_sample expand_repeats "
-    "counts_by_user counts_by_ip counts_grouping_sets login_totals top_users_by_failure top_ips_by_failure burst_window_counts burst_alerts burst_evidence burst_related burst_distinct_users "
-    "burst_success burst_multi_source detection_stats out_of_order evidence_text alert_explanations alerts_flat alerts_json login_summary_json write_counts"
+    "counts_by_user counts_by_ip counts_grouping_sets login_totals top_users_by_failure top_ips_by_failure users_by_failure_rate failures_by_hour burst_window_counts burst_alerts burst_evidence burst_related burst_distinct_users "
+    "burst_success burst_multi_source detection_stats out_of_order evidence_text alert_explanations alerts_excluded alerts_as_events alerts_flat alerts_json login_summary_json write_counts"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}
 
@@ -286,6 +310,10 @@ SQL = {
       round(100.0 * sum(n) FILTER (WHERE outcome = 'failure') / sum(n), 6) AS failure_rate, min(us) AS first_us, max(us) AS last_us FROM logins""",
     "top_users_by_failure": f"WITH {LOGINS} SELECT row_number() OVER (ORDER BY failure DESC, total DESC, key) AS place, * FROM (SELECT account AS key, {_TALLY} FROM logins GROUP BY account) ORDER BY place LIMIT 10",
     "top_ips_by_failure": f"WITH {LOGINS} SELECT row_number() OVER (ORDER BY failure DESC, total DESC, key) AS place, * FROM (SELECT ip AS key, {_TALLY} FROM logins GROUP BY ip) ORDER BY place LIMIT 10",
+    "users_by_failure_rate": f"""WITH {LOGINS}, rates AS (SELECT *, 100.0 * failure / total AS rate FROM (SELECT account AS key, {_TALLY} FROM logins GROUP BY account))
+      SELECT row_number() OVER (ORDER BY rate DESC, total DESC, key) AS place, key, failure, total, round(rate, 6) AS failure_rate FROM rates""",
+    "failures_by_hour": f"""WITH {LOGINS}, counts AS (SELECT CAST(hour(ts - INTERVAL 6 HOUR) AS INTEGER) AS hour, {_TALLY} FROM logins GROUP BY 1)
+      SELECT CAST(h AS INTEGER) AS hour, coalesce(failure, 0) AS failures, coalesce(total, 0) AS total FROM range(24) r(h) LEFT JOIN counts ON hour = h""",
     "burst_window_counts": f"{_DETECT} SELECT * FROM counted",
     "burst_alerts": f"{_DETECT} SELECT rule, key, burst, failures, first_us, last_us, duration_s, n_related, related FROM detected",
     "burst_evidence": f"{_DETECT} SELECT * FROM evidence",
@@ -304,6 +332,10 @@ SQL = {
       parts AS (SELECT rule, key, burst, min(place) AS place, source || ': ' || string_agg(label, ', ' ORDER BY place) AS part FROM labels GROUP BY rule, key, burst, source)
       SELECT rule, key, burst, string_agg(part, '; ' ORDER BY place) AS text FROM parts GROUP BY rule, key, burst""",
     "alert_explanations": f"""{_DETECT} SELECT rule, key, first_us, concat_ws(' / ', {_SENTENCES}) AS explanation FROM detected""",
+    "alerts_excluded": f"""{_DETECT}, own AS (SELECT *, CASE rule WHEN 'ip' THEN CAST(split_part(key, '.', 4) AS INTEGER) END AS host FROM detected)
+      SELECT row_number() OVER (ORDER BY first_us, rule, key) AS rank, rule, key, severity, CASE WHEN host = 20 THEN '192.0.2.20' WHEN host BETWEEN 16 AND 31 THEN '192.0.2.16/28' END AS excluded FROM own""",
+    "alerts_as_events": f"""{_DETECT} SELECT first_us // 1000000 * 1000000 AS us, severity, 'Failed logins in a burst, rule ' || rule || ': ' || failures AS title, 'logins' AS source,
+        left(concat_ws(' ', {_SENTENCES}), 2000) AS description, CASE rule WHEN 'ip' THEN key ELSE '' END AS ip, CASE rule WHEN 'user' THEN key ELSE '' END AS account FROM detected""",
     "alerts_flat": f"""{_DETECT}, places AS (SELECT rule, key, burst, string_agg(repeat(source || ':' || line_no || ' ', times), '' ORDER BY place) AS evidence FROM evidence GROUP BY rule, key, burst)
       SELECT rule, key, severity, {_SECONDS('first_us')} AS first_seen, {_SECONDS('last_us')} AS last_seen, duration_s, failures, n_related, related, trim(evidence) AS evidence, {_SECONDS('success_us')} AS success_at, success_source || ':' || success_line AS success_location
       FROM detected JOIN places USING (rule, key, burst)""",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberlog.operators import report
 from emberlog.plans.inputs import SECURITY, event_rows
+from emberlog.scratch import scratch, stored
 from emberlog.sources import events as sources
 
 
@@ -58,6 +59,14 @@ def report_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.report_period(_valid(spark, sf_dir)).select("events", F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"))
 
 
+def report_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the first two thirds of the period, and the one of the last two thirds."""
+    events = stored(_valid(spark, sf_dir), f"{scratch(spark, 'report')}/valid")
+    first, last = events.agg(F.coalesce(F.unix_micros(F.min("ts")), F.lit(0)), F.coalesce(F.unix_micros(F.max("ts")), F.lit(0))).first()
+    third, us = (last - first) // 3, F.unix_micros("ts")
+    return report.compare_reports(events.where(us < first + 2 * third), events.where(us >= first + third))
+
+
 def report_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.report_highlights(_valid(spark, sf_dir))
 
@@ -78,7 +87,7 @@ def report_rows_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.html_rows(_valid(spark, sf_dir))
 
 
-NAMES = "validate_events rejected_events rejected_sample load_stats events_by_severity events_by_source top_ips top_users events_per_day report_period report_highlights events_ranked urgent_details report_rows_md report_rows_html".split()
+NAMES = "validate_events rejected_events rejected_sample load_stats events_by_severity events_by_source top_ips top_users events_per_day report_period report_changes report_highlights events_ranked urgent_details report_rows_md report_rows_html".split()
 QUERIES = {name: globals()[name] for name in NAMES}
 
 _WITH = f"WITH {SECURITY}"
@@ -97,6 +106,12 @@ SQL = {
     "top_users": f"{_WITH} {_TOP('account')} 5",
     "events_per_day": f"{_WITH} SELECT CAST(CAST(ts - INTERVAL 6 HOUR AS DATE) AS VARCHAR) AS day, count(*) AS events FROM sec GROUP BY 1",
     "report_period": f"{_WITH} SELECT count(*) AS events, min(us) AS first_us, max(us) AS last_us FROM sec",
+    "report_changes": f"""{_WITH}, ends AS (SELECT min(us) AS a, (max(us) - min(us)) // 3 AS third FROM sec),
+      same AS (SELECT severity, CAST(count(*) FILTER (WHERE us < a + 2 * third) AS BIGINT) AS was, CAST(count(*) FILTER (WHERE us >= a + third) AS BIGINT) AS now
+        FROM sec, ends GROUP BY severity, us, event_type, source, CASE WHEN described THEN value END, ip, account),
+      counts AS (SELECT severity, sum(was) AS before, sum(now) AS after, sum(greatest(now - was, 0)) AS new, sum(greatest(was - now, 0)) AS gone FROM same GROUP BY severity)
+      SELECT severity, rank, CAST(coalesce(before, 0) AS BIGINT) AS before, CAST(coalesce(after, 0) AS BIGINT) AS after, CAST(coalesce(new, 0) AS BIGINT) AS new, CAST(coalesce(gone, 0) AS BIGINT) AS gone
+      FROM (VALUES ('critica', 0), ('alta', 1), ('media', 2), ('baja', 3), ('info', 4)) s(severity, rank) LEFT JOIN counts USING (severity)""",
     "report_highlights": f"""{_WITH} SELECT 'urgent' AS kind, '' AS name, count(*) FILTER (WHERE rank < 2) AS events FROM sec
       UNION ALL SELECT 'repeated ip', * FROM ({_TOP('ip')} 1) WHERE events >= 3 UNION ALL SELECT 'repeated user', * FROM ({_TOP('account')} 1) WHERE events >= 3""",
     "events_ranked": f"{_WITH} SELECT row_number() OVER (ORDER BY rank, ts, origin) AS place, rank, label, us, origin FROM sec",

@@ -10,6 +10,7 @@ from emberlog.functions.ip import normalize_ip
 from emberlog.functions.time import iso_error, iso_timestamp
 from emberlog.schemas import SEVERITIES, SEVERITY_ALIASES
 from emberlog.scratch import scratch, stored
+from emberlog.settings import BurstSettings
 from emberlog.sources.documents import elements
 from emberlog.sources.lines import read_lines
 from emberlog.sources.records import csv_records, field_value, fields_of
@@ -44,6 +45,26 @@ def load_jsonl(spark: SparkSession, *paths: str) -> DataFrame:
     return lines.select(F.concat(_name(F.col("source")), F.lit(":"), "line_no").alias("origin"), row.alias("row"), F.when(row.isNull(), "invalid JSON").alias("bad"))
 
 
+def load_alerts(spark: SparkSession, *paths: str, settings: BurstSettings = BurstSettings()) -> DataFrame:
+    """Rows of alerts in JSON lines, as bursts.alerts_json gives them, as events of that severity at the burst's first failure.
+
+    settings: tells by which rules a key is an address. The description is the explanation up to the length that events
+    may have. A line that is no JSON is bad, and so is one without a rule, a key and a time.
+    """
+    lines = load_jsonl(spark, *paths)
+    text = lambda c: F.try_variant_get("row", f"$.{c}", "string")
+    told = F.array_join(F.try_variant_get("row", "$.explanation", "array<string>"), " ")
+    by_ip = [r.name for r in settings.all_rules() if r.key == "ip"]
+    of_ip = text("rule").isin(*by_ip) if by_ip else F.lit(False)
+    title = F.concat(F.lit("Failed logins in a burst, rule "), text("rule"), F.lit(": "), text("failures"))
+    event = F.struct(
+        text("first_seen").alias("timestamp"), text("severity").alias("severity"), title.alias("title"), F.lit("logins").alias("source"), F.left(told, F.lit(LIMITS["description"])).alias("description"),
+        F.when(of_ip, text("key")).alias("ip"), F.when(~of_ip, text("key")).alias("user"),
+    )
+    no_alert = text("rule").isNull() | text("key").isNull() | text("first_seen").isNull()
+    return lines.select("origin", F.parse_json(F.to_json(event)).alias("row"), F.coalesce("bad", F.when(no_alert, "not an alert")).alias("bad"))
+
+
 def load_json(spark: SparkSession, *paths: str, split_above: int = SPLIT_ABOVE) -> DataFrame:
     """Rows of JSON documents: a list, or an object with a list under `events`. Another document raises an error when it is read.
 

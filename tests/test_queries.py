@@ -18,7 +18,7 @@ def _plain(rows, columns):
     return sorted(tuple(str(float(v)) if isinstance(v, float) else str(v) for v in (r[c] for c in columns)) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["parse_lab", "counts_grouping_sets", "burst_alerts", "burst_success", "detection_stats", "search_any", "search_cidr", "search_combined", "search_context", "search_stats", "rejected_events", "report_rows_md", "fn_parse_iso", "fn_find_ips", "fn_normalize_ip", "fn_md_escape", "fn_kv_map", "load_json_events", "load_jsonl_events", "load_csv_events", "write_counts", "login_summary_json", "search_json", "search_dates", "parse_csv_records", "load_long_json_events", "search_networks", "search_folded", "burst_related", "burst_distinct_users", "events_ranked", "top_users_by_failure"])
+@pytest.mark.parametrize("name", ["parse_lab", "counts_grouping_sets", "burst_alerts", "burst_success", "detection_stats", "search_any", "search_cidr", "search_combined", "search_context", "search_stats", "rejected_events", "report_rows_md", "fn_parse_iso", "fn_find_ips", "fn_normalize_ip", "fn_md_escape", "fn_kv_map", "load_json_events", "load_jsonl_events", "load_csv_events", "write_counts", "login_summary_json", "search_json", "search_dates", "parse_csv_records", "load_long_json_events", "search_networks", "search_folded", "burst_related", "burst_distinct_users", "events_ranked", "top_users_by_failure", "users_by_failure_rate", "failures_by_hour", "alerts_excluded", "alerts_as_events", "report_changes"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for f in glob.glob(f"{TABLES}/*.parquet"):
