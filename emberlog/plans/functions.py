@@ -154,9 +154,10 @@ def load_long_json_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of JSON documents of 20,000 events each, which are cut into their elements by several tasks."""
     path, part = scratch(spark, "long-json"), Window.partitionBy("part").orderBy("event_id")
     rows = _events(spark, sf_dir).select(F.floor(F.col("event_id") / 20_000).alias("part"), "event_id", F.to_json(_record()).alias("x"))
-    rows = rows.select("part", "event_id", F.concat(F.when(F.row_number().over(part) == 1, "").otherwise(","), "x").alias("value"))
-    ends = rows.select("part").distinct().select("part", F.explode(F.array(F.struct(F.lit(-1).cast("bigint").alias("event_id"), F.lit('{"events":[').alias("value")), F.struct(F.lit((1 << 63) - 1).alias("event_id"), F.lit("]}").alias("value")))).alias("e")).select("part", "e.*")
-    ends.union(rows).repartition("part").sortWithinPartitions("part", "event_id").drop("event_id").write.partitionBy("part").text(path)
+    first, last = F.lag("event_id").over(part).isNull(), F.lead("event_id").over(part).isNull()
+    value = F.concat(F.when(first, '{"events":[\n').otherwise(","), "x", F.when(last, "\n]}").otherwise(""))
+    # a document is one task's and in order behind the window; a union with its ends would lose that when partitions are coalesced
+    rows.select("part", "event_id", value.alias("value")).sortWithinPartitions("part", "event_id").drop("event_id").write.partitionBy("part").text(path)
     return _shown(sources.load_json(spark, path + "/*", split_above=100_000))
 
 
