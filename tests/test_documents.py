@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberlog import scratch as folders
+from emberlog.plans import functions
 from emberlog.sources import documents, events
 
 
@@ -79,3 +80,9 @@ def test_cleared_folders(spark):
             folders.stored(spark.range(3), path)
     where = lambda p: p.removeprefix("file:")
     assert os.path.isdir(where(kept)) and not os.path.exists(where(gone))
+
+
+def test_query_writes_each_of_several_documents_whole(spark):
+    """Five documents of the larger tables, whose partitions Spark coalesces."""
+    rows = functions.load_long_json_events(spark, "/root/testdata/sf0.1")
+    assert rows.count() == spark.read.parquet("/root/testdata/sf0.1/events.parquet").count() > 40_000
