@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm.shared import document_columns, releasing, scratch, texts_of
+from emberlog.llm.shared import document_columns, releasing, scratch
 from emberlog.llm.tokens import encoder
 
 MAGIC = b"DAC1"
@@ -113,8 +113,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows, kinds, strict=True)], ["part", "segment", "part_start", "doc_ids", "lengths", "codes"])
 
         for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), texts_of(b.column("text")), strict=True):
-                own = enc.encode_one(text) + tail
+            for doc_id, own in zip(b.column("doc_id").to_pylist(), enc.encode_column(b.column("text")), strict=True):
+                own += tail
                 if doc_ids and held + len(own) // 4 > segment_tokens:
                     yield flush()
                     segment, start, doc_ids, ids, held = segment + 1, start + held, [], [], 0

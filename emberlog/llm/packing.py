@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.shared import document_columns, releasing, scratch, stored, texts_of
+from emberlog.llm.shared import document_columns, releasing, scratch, stored
 from emberlog.llm.tokens import encoder
 
 #: Documents that one task packs together.
@@ -289,8 +289,8 @@ def document_pieces(docs: DataFrame, tokenizer: str, end_id: int, limit: int) ->
         row = TaskContext.get().partitionId() << 40
         for b in batches:
             rows = []
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), texts_of(b.column("text")), strict=True):
-                ids = enc.encode_one(text) + tail
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), enc.encode_column(b.column("text")), strict=True):
+                ids += tail
                 row += 1
                 for k, (s, n) in enumerate(cut_pieces(len(ids) // 4, limit)):
                     rows.append((doc_id, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)]), row))

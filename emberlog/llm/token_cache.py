@@ -12,10 +12,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm.shared import document_columns, hot_join, releasing, scratch, stored, texts_of
+from emberlog.llm.shared import document_columns, hot_join, releasing, scratch, stored
 from emberlog.llm.tokens import encoder, version_digest
 
 CACHE_SCHEMA = "version string, digest binary, n_bytes bigint, n_tokens bigint"
@@ -73,8 +74,9 @@ class TokenCountCache:
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             enc = encoder(name)
             for b in batches:
-                sizes = [(len(t.encode("utf-8", "surrogatepass")), len(enc.encode_one(t)) // 4) for t in texts_of(b.column("text"))]
-                yield pa.RecordBatch.from_arrays([b.column("digest"), *[pa.array([x[k] for x in sizes], pa.int64()) for k in (0, 1)]], ["digest", "n_bytes", "n_tokens"])
+                n_bytes = pc.binary_length(b.column("text")).cast(pa.int64())
+                n_tokens = pa.array([len(ids) // 4 for ids in enc.encode_column(b.column("text"))], pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column("digest"), n_bytes, n_tokens], ["digest", "n_bytes", "n_tokens"])
 
         counted = texts.mapInArrow(releasing(encode), "digest binary, n_bytes bigint, n_tokens bigint")
         return counted.select(F.lit(self.version).alias("version"), "digest", "n_bytes", "n_tokens")

@@ -7,11 +7,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from emberlog.llm import ann_tree, components, dac, langid, line_dedup, mixing, near_dup, packing, quality_rules, rule_ensemble, shared, textstats, token_cache
+from emberlog.llm import ann_tree, components, dac, langid, line_dedup, mixing, near_dup, packing, quality_rules, rule_ensemble, shared, textstats, token_cache, tokens
 from emberlog.llm.cuckoo import CuckooFilter
 from emberlog.llm.shared import scratch, stored
 from emberlog.llm.tokens import encoder, tokenizer_path
@@ -35,6 +36,10 @@ def nothing(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def _library():
+    return Tokenizer.from_file(tokenizer_path(BPE))
+
+
 def _ids(text):
     return Tokenizer.from_file(tokenizer_path(BPE)).encode(text or "", add_special_tokens=False).ids
 
@@ -46,6 +51,29 @@ def test_words_encode_like_the_library():
     assert [np.frombuffer(b, "<u4").tolist() for b in enc.encode(texts)] == [_ids(t) for t in texts]
 
 
+def test_a_column_s_words_are_encoded_once_and_in_one_call(monkeypatch):
+    enc, calls = tokens.Encoder(BPE), []
+    encode_text = enc.words.encode_text
+    monkeypatch.setattr(enc.words, "encode_text", lambda text: calls.append(text) or encode_text(text))
+    texts = [" ".join(f"word{k * n % 97}x" for k in range(50)) + "\nand on" for n in range(300)]
+    column = pa.array([None, *texts, ""])
+    for own in (column, column.slice(40, 100)):
+        got = list(enc.encode_column(own))
+        assert [np.frombuffer(b, "<u4").tolist() for b in got] == [x.ids for x in _library().encode_batch([t or "" for t in own.to_pylist()], add_special_tokens=False)]
+    assert len(calls) == 1 and len(calls[0].split("\n")) == len(set(calls[0].split("\n"))) > 97
+
+
+def test_columns_of_odd_texts_encode_like_the_library(monkeypatch):
+    rng = np.random.default_rng(3)
+    parts = ["a", "The", " ", " ", "  ", "\n", "\n", "\n\n", "\t", "\0", "é", "漢", "<|endoftext|>", "<|endof", "text|>", "'s", "1", "!", "\r", "\x1c", "\x85", "\xa0", "\u2003", "👍", " word", "\nword"]
+    texts = [None, "", *("".join(rng.choice(parts, rng.integers(0, 9))) for _ in range(4_000)), " ".join(["long"] * 500), None]
+    expected = [x.ids for x in _library().encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    for column, cache in ((tokens.COLUMN_BYTES, tokens.CACHE_BYTES), (300, 200)):
+        monkeypatch.setattr(tokens, "COLUMN_BYTES", column)
+        monkeypatch.setattr(tokens, "CACHE_BYTES", cache)
+        assert [np.frombuffer(b, "<u4").tolist() for b in tokens.Encoder(BPE).encode(texts)] == expected
+
+
 def test_token_counts_and_cache(spark, docs, nothing):
     cache = token_cache.TokenCountCache(spark, scratch(spark, "test-cache"), BPE)
     expected = sorted((str(r[0]), len((r[1] or "").encode()), len(_ids(r[1]))) for r in ROWS)
