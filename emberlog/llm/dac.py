@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.llm.shared import document_columns, releasing, scratch
-from emberlog.llm.tokens import encoder
+from emberlog.llm.tokens import Encoder, encoder
 
 MAGIC = b"DAC1"
 #: Bits that one entry of a rank directory covers.
@@ -91,6 +91,30 @@ class DirectCodes:
         return out
 
 
+def _segments(batches: Iterator[pa.RecordBatch], enc: Encoder, part: int, tail: bytes, segment_tokens: int) -> Iterator[pa.RecordBatch]:
+    """The segments of a task's batches (doc_id, text), whose texts are encoded a column at a time."""
+    segment, start, held = 0, 0, 0
+    doc_ids: list[int | None] = []
+    ids: list[bytes] = []
+
+    def flush() -> pa.RecordBatch:
+        rows = [[part], [segment], [start], [doc_ids], [[len(x) // 4 for x in ids]], [encode_codes(np.frombuffer(b"".join(ids), "<u4"))]]
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows, kinds, strict=True)], ["part", "segment", "part_start", "doc_ids", "lengths", "codes"])
+
+    for b in batches:
+        for doc_id, own in zip(b.column("doc_id").to_pylist(), enc.encode_column(b.column("text")), strict=True):
+            own += tail
+            if doc_ids and held + len(own) // 4 > segment_tokens:
+                yield flush()
+                segment, start, doc_ids, ids, held = segment + 1, start + held, [], [], 0
+            doc_ids.append(doc_id)
+            ids.append(own)
+            held += len(own) // 4
+    if doc_ids:
+        yield flush()
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None, segment_tokens: int = SEGMENT_TOKENS) -> None:
     """Encodes whole texts (null: empty), appends end_id to each document, and writes segments in ascending doc_id order.
 
@@ -102,27 +126,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
     tail = b"" if end_id is None else struct.pack("<I", end_id)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, segment, start = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
-        doc_ids: list[int | None] = []
-        ids: list[bytes] = []
-        held = 0
-
-        def flush() -> pa.RecordBatch:
-            rows = [[part], [segment], [start], [doc_ids], [[len(x) // 4 for x in ids]], [encode_codes(np.frombuffer(b"".join(ids), "<u4"))]]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows, kinds, strict=True)], ["part", "segment", "part_start", "doc_ids", "lengths", "codes"])
-
-        for b in batches:
-            for doc_id, own in zip(b.column("doc_id").to_pylist(), enc.encode_column(b.column("text")), strict=True):
-                own += tail
-                if doc_ids and held + len(own) // 4 > segment_tokens:
-                    yield flush()
-                    segment, start, doc_ids, ids, held = segment + 1, start + held, [], [], 0
-                doc_ids.append(doc_id)
-                ids.append(own)
-                held += len(own) // 4
-        if doc_ids:
-            yield flush()
+        return _segments(batches, encoder(tokenizer), TaskContext.get().partitionId(), tail, segment_tokens)
 
     ranged.mapInArrow(releasing(segments), SEGMENT_SCHEMA).write.option("compression", "zstd").parquet(path)
 

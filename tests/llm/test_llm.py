@@ -96,6 +96,21 @@ def test_direct_codes_round_trip():
             assert codes[int(i)] == ids[i]
 
 
+def test_token_files_encode_columns_not_texts(monkeypatch):
+    enc, calls = tokens.Encoder(BPE), []
+    encode_text = enc.words.encode_text
+    monkeypatch.setattr(enc.words, "encode_text", lambda text: calls.append(text) or encode_text(text))
+    texts = [None, *(f"Some words, the {k % 7}th line\nof document{k % 50}." for k in range(400)), "a  b"]
+    batches = [pa.record_batch({"doc_id": pa.array(range(a, a + 134), pa.int64()), "text": pa.array(texts[a : a + 134])}) for a in (0, 134, 268)]
+    found = [r for b in dac._segments(iter(batches), enc, 3, b"\2\0\0\0", 1_000) for r in b.to_pylist()]
+    ids = [[*x.ids, 2] for x in _library().encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert [x for r in found for x in dac.DirectCodes(r["codes"]).slice(0, sum(r["lengths"])).tolist()] == [x for own in ids for x in own]
+    assert [x for r in found for x in r["lengths"]] == [len(x) for x in ids] and [x for r in found for x in r["doc_ids"]] == list(range(402))
+    assert len(found) > 3 and all(sum(r["lengths"]) <= 1_000 for r in found) and [r["part_start"] for r in found] == [sum(sum(x["lengths"]) for x in found[:k]) for k in range(len(found))]
+    words = [w for text in calls for w in text.split("\n")]  # 50 documents' words are all there are, in the first batch
+    assert len(calls) == 2 and len(words) == len(set(words))
+
+
 def test_token_files(spark, docs, nothing, monkeypatch):
     path = scratch(spark, "test-files")
     dac.write_token_files(docs, path, BPE, 2, segment_tokens=200)
