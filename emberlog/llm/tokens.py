@@ -23,12 +23,12 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from emberlog.llm.shared import texts_of
+from emberlog.llm.shared import give_back_memory, texts_of
 
 #: Texts of this many bytes (or one longer text) are cut into words at once.
-COLUMN_BYTES = 8 << 20
+COLUMN_BYTES = 4 << 20
 #: A worker's cache grows to this many bytes of words; then only those of the last texts stay.
-CACHE_BYTES = 8 << 20
+CACHE_BYTES = 4 << 20
 #: The splitting pattern of this family of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A word of a regular text: no white space, as Python and the pattern know it, but a space before it.
@@ -159,17 +159,19 @@ class Encoder:
         edges = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
         data = np.frombuffer(data, np.uint8)[edges[0] : edges[-1]] if edges[-1] > edges[0] else np.empty(0, np.uint8)
         edges = edges - edges[0]
-        begins, starts, feeds = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 1, bool), data == 10
+        begins, breaks = np.zeros(len(data) + 1, bool), data == 10
         begins[edges] = True
-        starts[:-1] = feeds | (data == 32)
-        starts[1:] |= feeds
-        starts |= begins
-        cuts, feeds = np.flatnonzero(starts), np.flatnonzero(feeds)
-        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)]).dictionary_encode()
-        ids, of = self.words.ids(words.dictionary), words.indices
+        feeds, starts = np.flatnonzero(breaks), begins.copy()
+        starts[1:] |= breaks
+        breaks |= data == 32
+        starts[:-1] |= breaks
         # a line feed has a word right before it, which the words themselves tell, and right after it
         after = data[np.minimum(feeds + 1, len(data) - 1)]
         odd = [feeds[begins[feeds] | begins[feeds + 1] | (after == 10) | (after == 32)]]
+        cuts = np.flatnonzero(starts)
+        del begins, breaks, starts, after  # of the texts' size: gone before the words are made
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)]).dictionary_encode()
+        ids, of = self.words.ids(words.dictionary), words.indices
         if ids.null_count:
             odd.append(cuts[np.flatnonzero(ids.is_null().to_numpy(zero_copy_only=False)[of.to_numpy()])])
         whole = np.zeros(len(texts), bool)
@@ -184,15 +186,15 @@ class Encoder:
         if self.words is None:
             yield from (self._whole(t) if t else b"" for t in texts_of(column))
             return
-        texts = column.cast(pa.large_binary()).fill_null(b"")
-        ends, first = np.cumsum(pc.binary_length(texts).to_numpy()), 0
-        while first < len(texts):
+        ends, first = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy().astype(np.int64)), 0
+        while first < len(column):
             before = ends[first - 1] if first else 0
             last = max(first + 1, int(np.searchsorted(ends, before + COLUMN_BYTES, "right")))
-            part = texts.slice(first, last - first)
+            part = column.slice(first, last - first).cast(pa.large_binary()).fill_null(b"")
             for k, ids in enumerate(self._regular_texts(part)):
                 yield self._whole(part[k].as_py().decode()) if ids is None else ids
             first = last
+            give_back_memory()  # else what these texts took stays beside what the next ones take
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         return list(self.encode_column(pa.array(texts, pa.large_string())))
