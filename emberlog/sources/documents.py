@@ -64,7 +64,8 @@ def elements(spark: SparkSession, *paths: str, larger_than: int = 0) -> DataFram
     rows = stored(_running(rows.select("source", "chunk", "no", "kind", "ends"), F.col("ends"), "segment"), f"{path}/segments")
     if cut := rows.groupBy("source").agg(F.max(F.struct("no", "ends")).alias("last")).where("last.ends = 1").first():  # nothing behind its last element
         raise ValueError(f"{cut['source']} is no JSON list of events")
-    joined = pieces.join(rows.select("source", "no", "kind", "ends", "segment"), ["source", "no"])
+    # merged: as Parquet, a row a piece may be so small that Spark would send all of them through the driver
+    joined = pieces.join(rows.select("source", "no", "kind", "ends", "segment").hint("merge"), ["source", "no"])
     parts = F.array_sort(F.collect_list(F.struct("no", "text")))
     texts = joined.groupBy("source", "segment").agg(F.first("kind").alias("kind"), F.max("ends").alias("whole"), F.array_join(F.transform(parts, lambda p: p["text"]), "}").alias("text"))
     # the last segment ends with the document, all others with an element's brace
@@ -85,4 +86,4 @@ def elements(spark: SparkSession, *paths: str, larger_than: int = 0) -> DataFram
     each = spark.sql("select source, segment, pos, value from {texts}, lateral variant_explode(list)", texts=texts)
     counts = each.groupBy("source", "segment").agg(F.count("*").alias("n")).withColumn("chunk", F.floor(F.col("segment") / CHUNK)).withColumnRenamed("segment", "no")
     starts = _running(counts, F.col("n"), "start").select("source", F.col("no").alias("segment"), "start")
-    return each.join(starts, ["source", "segment"]).select("source", (F.col("start") + F.col("pos") + 1).alias("pos"), "value")
+    return each.join(starts.hint("merge"), ["source", "segment"]).select("source", (F.col("start") + F.col("pos") + 1).alias("pos"), "value")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,3 +87,23 @@ def test_query_writes_each_of_several_documents_whole(spark):
     """Five documents of the larger tables, whose partitions Spark coalesces."""
     rows = functions.load_long_json_events(spark, "/root/testdata/sf0.1")
     assert rows.count() == spark.read.parquet("/root/testdata/sf0.1/events.parquet").count() > 40_000
+
+
+def test_no_join_of_pieces_or_elements_goes_through_the_driver(spark, tmp_path, monkeypatch):
+    """Tables of a row a piece or an element are never broadcast, however small Spark takes them for: a document's numbers are a few bytes as Parquet."""
+    rows = [{"title": f"t{k}"} for k in range(50)]
+    (tmp_path / "d.json").write_text(json.dumps({"events": rows}))
+    plans, real = [], documents.stored
+
+    def planned(df):
+        df.collect()  # else the plan isn't the final one
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+
+    monkeypatch.setattr(documents, "stored", lambda df, path: (planned(df), real(df, path))[1])
+    found = documents.elements(spark, str(tmp_path))
+    planned(found)
+    assert found.count() == 50
+    keys = lambda kind: [k for p in plans for k in re.findall(kind + r"Join \[([^\]]*)\]", p)]
+    by_row = lambda k: re.search(r"\b(no|segment)#", k)
+    assert {re.sub(r"#\d+L?", "", k) for k in keys("SortMerge") if by_row(k)} == {"source, no", "source, segment"}
+    assert keys("BroadcastHash") and not [k for k in keys("BroadcastHash") if by_row(k)]
