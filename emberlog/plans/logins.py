@@ -186,7 +186,7 @@ def alerts_as_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alerts written as JSON lines, read back as security events and validated as such."""
     path = scratch(spark, "alerts")
     sinks.write_rows(bursts.alerts_json(bursts.explanations(_detected(spark, sf_dir), BURSTS)), "json", path)
-    events = security.valid_events(security.validated(security.load_alerts(spark, path, settings=BURSTS)))
+    events = security.valid_events(security.validated(security.load_alerts(spark, path, settings=BURSTS), exact=("description",)))
     return events.select(F.unix_micros("ts").alias("us"), "severity", "title", "source", "description", "ip", F.col("user").alias("account"))
 
 

@@ -49,7 +49,8 @@ def load_alerts(spark: SparkSession, *paths: str, settings: BurstSettings = Burs
     """Rows of alerts in JSON lines, as bursts.alerts_json gives them, as events of that severity at the burst's first failure.
 
     settings: tells by which rules a key is an address. The description is the explanation up to the length that events
-    may have. A line that is no JSON is bad, and so is one without a rule, a key and a time.
+    may have, which may end with a blank (see `exact` of validated). A line that is no JSON is bad, and so is one without
+    a rule, a key and a time.
     """
     lines = load_jsonl(spark, *paths)
     text = lambda c: F.try_variant_get("row", f"$.{c}", "string")
@@ -126,10 +127,11 @@ def normalize_severity(text: Column) -> Column:
     return F.when(own.isin(*SEVERITIES), own)
 
 
-def validated(rows: DataFrame, zone: str = "UTC") -> DataFrame:
+def validated(rows: DataFrame, zone: str = "UTC", exact: tuple[str, ...] = ()) -> DataFrame:
     """rows (origin, row variant, bad) with the columns of SECURITY_EVENT and reason: null if the row is valid.
 
-    zone: of timestamps without an offset. A number as text is as Spark writes it (a title 1.0 is `1`).
+    zone: of timestamps without an offset. exact: text fields that keep the blanks at their ends, which the others lose.
+    A number as text is as Spark writes it (a title 1.0 is `1`).
 
     The first check that fails gives the reason: an object, required fields, each text field's type and length, the
     title, the severity, the timestamp, the address.
@@ -138,6 +140,7 @@ def validated(rows: DataFrame, zone: str = "UTC") -> DataFrame:
     text = {c: F.try_variant_get("row", f"$.{c}", "string") for c in FIELDS}
     out = settled(rows, **{f"k_{c}": F.coalesce(k, F.lit("VOID")) for c, k in kind.items()}, **{f"v_{c}": F.coalesce(t, F.lit("")) for c, t in text.items()}, k_row=F.regexp_extract(F.schema_of_variant("row"), r"^\w+", 0))
     strip = lambda c: F.btrim(F.col(f"v_{c}"), F.lit(BLANKS))
+    own = lambda c: F.col(f"v_{c}") if c in exact else strip(c)
     is_kind = lambda c, *kinds: F.col(f"k_{c}").isin(*kinds)
     absent = lambda c: is_kind(c, "VOID") | (is_kind(c, "STRING") & (F.col(f"v_{c}") == ""))
     numbers = ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "INT", "TINYINT", "SMALLINT")
@@ -147,7 +150,7 @@ def validated(rows: DataFrame, zone: str = "UTC") -> DataFrame:
     checks.append((names != "", F.concat(F.lit("missing fields: "), names)))
     for c in ("title", "source", "description", "user"):
         checks.append((~is_kind(c, "VOID", "STRING", *numbers), F.lit(f"{c} isn't text")))
-        checks.append((F.char_length(strip(c)) > LIMITS[c], F.lit(f"{c} is longer than {LIMITS[c]} characters")))
+        checks.append((F.char_length(own(c)) > LIMITS[c], F.lit(f"{c} is longer than {LIMITS[c]} characters")))
     checks += [
         (strip("title") == "", F.lit("blank title")),
         (~is_kind("severity", "STRING"), F.lit("severity isn't text")),
@@ -159,7 +162,7 @@ def validated(rows: DataFrame, zone: str = "UTC") -> DataFrame:
     reason = F.lit(None).cast("string")
     for fails, why in reversed(checks):
         reason = F.when(fails, why).otherwise(reason)
-    return out.select("origin", reason.alias("reason"), "ts", "severity", strip("title").alias("title"), strip("source").alias("source"), strip("description").alias("description"), F.coalesce("address", F.lit("")).alias("ip"), strip("user").alias("user"))
+    return out.select("origin", reason.alias("reason"), "ts", "severity", own("title").alias("title"), own("source").alias("source"), own("description").alias("description"), F.coalesce("address", F.lit("")).alias("ip"), own("user").alias("user"))
 
 
 def valid_events(checked: DataFrame) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta, timezone
 
+import duckdb
 import pytest
 
 from emberlog.operators import bursts, counting, report
+from emberlog.plans import registry
 from emberlog.settings import BurstSettings, Rule
 from emberlog.sources import events as sources
 from emberlog.sources import sinks
@@ -86,3 +88,16 @@ def test_reports_side_by_side(spark):
     assert got == {"critica": (0, 0, 0, 0, 0), "alta": (1, 2, 3, 1, 0), "media": (2, 1, 1, 1, 1), "baja": (3, 1, 1, 0, 0), "info": (4, 0, 0, 0, 0)}
     assert all(r["new"] == r["gone"] == 0 for r in report.compare_reports(after, after).collect())
     assert sum(r["gone"] for r in report.compare_reports(before, after.limit(0)).collect()) == 4
+
+
+def test_descriptions_cut_at_a_blank_equal_sql(spark, tmp_path):
+    """Nine addresses with 300 accounts each, whose descriptions are cut at nine places of an account and its comma."""
+    con = duckdb.connect()
+    con.sql(f"""copy (SELECT k * 300 + i AS event_id, TIMESTAMP '2024-01-01' + INTERVAL (i) SECOND AS ts, CASE i WHEN 0 THEN CAST(10 ** k AS BIGINT) ELSE 200000 + i END AS user_id,
+      'view' AS event_type, 1.0 AS value, '{{"k": ' || k || '}}' AS props FROM range(9) a(k), range(300) b(i)) to '{tmp_path}/events.parquet'""")
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet'")
+    columns = ["us", "severity", "title", "source", "description", "ip", "account"]
+    expected = con.sql(f"SELECT {', '.join(columns)} FROM ({registry.oracle_sql()['alerts_as_events']})").fetchall()
+    ends = {d[-1] for *_, d, _, _ in expected if len(d) == 2000}
+    assert {" ", ","} < ends
+    assert sorted(map(tuple, registry.queries()["alerts_as_events"](spark, str(tmp_path)).select(*columns).collect())) == sorted(expected)
