@@ -64,7 +64,7 @@ def elements(spark: SparkSession, *paths: str, larger_than: int = 0) -> DataFram
     rows = stored(_running(rows.select("source", "chunk", "no", "kind", "ends"), F.col("ends"), "segment"), f"{path}/segments")
     if cut := rows.groupBy("source").agg(F.max(F.struct("no", "ends")).alias("last")).where("last.ends = 1").first():  # nothing behind its last element
         raise ValueError(f"{cut['source']} is no JSON list of events")
-    # merged: as Parquet, a row a piece may be so small that Spark would send all of them through the driver
+    # merged, as the elements below: Spark may take a row a piece or an element for so small that it would send all of them through the driver
     joined = pieces.join(rows.select("source", "no", "kind", "ends", "segment").hint("merge"), ["source", "no"])
     parts = F.array_sort(F.collect_list(F.struct("no", "text")))
     texts = joined.groupBy("source", "segment").agg(F.first("kind").alias("kind"), F.max("ends").alias("whole"), F.array_join(F.transform(parts, lambda p: p["text"]), "}").alias("text"))
